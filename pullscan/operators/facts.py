@@ -12,11 +12,12 @@ text is cut by characters.
 
 from __future__ import annotations
 
-import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullscan.functions import text as tx
+from pullscan.operators import pyfacts
 from pullscan.rules.checks import CLASS, DEF
 
 FUNCTION_TYPE = (
@@ -33,42 +34,20 @@ FACTS_TYPE = (
     f"struct<functions:array<{FUNCTION_TYPE}>,classes:array<{CLASS_TYPE}>,imports:array<{IMPORT_TYPE}>,"
     f"globals:array<{GLOBAL_TYPE}>>"
 )
-_strings = pa.list_(pa.string())
-_ARROW_FACTS = pa.struct([
-    ("functions", pa.list_(pa.struct([
-        ("name", pa.string()), ("class_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
-        ("body_start_line", pa.int32()), ("parameters", _strings), ("return_type", pa.string()),
-        ("decorators", _strings), ("is_async", pa.bool_()), ("docstring", pa.string()),
-        ("complexity", pa.int32()), ("calls", _strings)]))),
-    ("classes", pa.list_(pa.struct([
-        ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("bases", _strings),
-        ("decorators", _strings), ("docstring", pa.string())]))),
-    ("imports", pa.list_(pa.struct([
-        ("module", pa.string()), ("names", _strings), ("alias", pa.string()), ("line", pa.int32()),
-        ("is_from_import", pa.bool_())]))),
-    ("globals", pa.list_(pa.struct([("name", pa.string()), ("line", pa.int32())]))),
-])
-
-
-@F.arrow_udf(FACTS_TYPE)
-def _python_facts(content: pa.Array) -> pa.Array:
-    from pullscan.operators.pyfacts import facts_or_none
-
-    return pa.array([facts_or_none(c) for c in content.to_pylist()], type=_ARROW_FACTS)
+SYNTAX_TYPE = "struct<ok:boolean,line:int,offset:int,message:string,text:string>"
 
+# The helper travels with the task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(pyfacts)
 
-SYNTAX_TYPE = "struct<ok:boolean,line:int,offset:int,message:string,text:string>"
-_ARROW_SYNTAX = pa.struct([
-    ("ok", pa.bool_()), ("line", pa.int32()), ("offset", pa.int32()), ("message", pa.string()), ("text", pa.string()),
-])
 
+def python_facts(content: Column) -> Column:
+    """Facts of a text that parses as Python, else null."""
+    return F.arrow_udf(pyfacts.facts_batch, FACTS_TYPE)(content)
 
-@F.arrow_udf(SYNTAX_TYPE)
-def python_syntax(content: pa.Array) -> pa.Array:
-    """Whether a text compiles as Python. It is never executed."""
-    from pullscan.operators.pyfacts import syntax_of
 
-    return pa.array([syntax_of(c) for c in content.to_pylist()], type=_ARROW_SYNTAX)
+def python_syntax(content: Column) -> Column:
+    """Whether a text compiles as Python. It is never executed."""
+    return F.arrow_udf(pyfacts.syntax_batch, SYNTAX_TYPE)(content)
 
 
 # ---------------------------------------------------------------------------------------------------------
@@ -156,7 +135,7 @@ def facts_regex(files: DataFrame, keys: list[str], content: str = "content") ->
 
 def with_facts(files: DataFrame, content: str, name: str, filename: str = "filename") -> DataFrame:
     """Add ``<name>`` (the facts) and ``<name>_source``: ``ast`` for a ``.py`` file that parses, else ``regex``."""
-    parsed = _python_facts(F.when(tx.path_suffix(F.col(filename)) == ".py", F.col(content)))
+    parsed = python_facts(F.when(tx.path_suffix(F.col(filename)) == ".py", F.col(content)))
     ast, lines = f"{name}_ast", f"{name}_lines"
     return (
         files.withColumn(ast, parsed)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import ast
 import warnings
 
+import pyarrow as pa
+
 # Node kinds that add one to the complexity. Boolean operators count once per operator.
 _COMPLEX = (
     ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Assert, ast.IfExp, ast.ListComp,
@@ -137,3 +139,31 @@ def syntax_of(code: str | None) -> dict | None:
         return {"ok": False, "line": e.lineno, "offset": e.offset, "message": e.msg, "text": e.text}
     except (ValueError, RecursionError, MemoryError) as e:
         return {"ok": False, "line": None, "offset": None, "message": str(e), "text": None}
+
+
+_strings = pa.list_(pa.string())
+_FACTS = pa.struct([
+    ("functions", pa.list_(pa.struct([
+        ("name", pa.string()), ("class_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
+        ("body_start_line", pa.int32()), ("parameters", _strings), ("return_type", pa.string()),
+        ("decorators", _strings), ("is_async", pa.bool_()), ("docstring", pa.string()),
+        ("complexity", pa.int32()), ("calls", _strings)]))),
+    ("classes", pa.list_(pa.struct([
+        ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("bases", _strings),
+        ("decorators", _strings), ("docstring", pa.string())]))),
+    ("imports", pa.list_(pa.struct([
+        ("module", pa.string()), ("names", _strings), ("alias", pa.string()), ("line", pa.int32()),
+        ("is_from_import", pa.bool_())]))),
+    ("globals", pa.list_(pa.struct([("name", pa.string()), ("line", pa.int32())]))),
+])
+_SYNTAX = pa.struct([
+    ("ok", pa.bool_()), ("line", pa.int32()), ("offset", pa.int32()), ("message", pa.string()), ("text", pa.string()),
+])
+
+
+def facts_batch(content: pa.Array) -> pa.Array:
+    return pa.array((facts_or_none(c) for c in content.to_pylist()), type=_FACTS)
+
+
+def syntax_batch(content: pa.Array) -> pa.Array:
+    return pa.array((syntax_of(c) for c in content.to_pylist()), type=_SYNTAX)

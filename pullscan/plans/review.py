@@ -178,7 +178,7 @@ def review_events(r: Review, inputs: ReviewInputs, at: Column | None = None) ->
     if inputs.tests is not None:
         tested = tested.join(inputs.tests.select(*PR_KEY, "passed", "total_tests"), PR_KEY)
     else:
-        tested = tested.withColumn("passed", none.cast("int")).withColumn("total_tests", none.cast("int")).limit(0)
+        tested = tested.withColumn("passed", none.cast("int")).withColumn("total_tests", none.cast("int")).filter(F.lit(False))
     rolled = r.route.filter("rollback_performed")
     with_sha = r.route.filter(c("sha").isNotNull())
     parts = [

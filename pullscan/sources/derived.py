@@ -248,6 +248,20 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Severities a chunk answer reports; two of them are outside the vocabulary.
+CHUNK_SEVERITY = "CASE {k} % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'Critical' WHEN 2 THEN 'info' WHEN 3 THEN 'click' ELSE 'high' END"
+CHUNK_KEY = "({f} * 31 + {start})"
+
+
+def chunk_answers(chunks: DataFrame) -> DataFrame:
+    """One raw model response per added chunk."""
+    k = CHUNK_KEY.format(f="file_ord", start="start_line")
+    json = ANSWER_JSON.format(k=k, t=CHUNK_SEVERITY.format(k=k).join(("(", ")")))
+    return chunks.select(
+        "repo", "pr_number", "filename", "start_line", F.expr(ANSWER.format(k=k, json=json)).alias("response")
+    )
+
+
 EQUIVALENCE = """CASE WHEN {k} % 5 = 4 THEN 'cannot tell' ELSE
  '{{"equivalent": ' || CASE WHEN {k} % 3 = 0 THEN 'false' ELSE 'true' END || ', "confidence": 0.'
  || ({k} % 10) || ', "differences": [], "assessment": "a' || {k} || '"}}' END"""
