@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullscan.functions import text as tx
+from pullscan.functions.once import compute_once
 from pullscan.operators import pyfacts
 from pullscan.rules.checks import CLASS, DEF
 
@@ -159,7 +160,10 @@ def complexity_score(facts: Column, source: Column) -> Column:
 def code_facts(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """One row per file: facts, their source, line counts and complexity score. Routes each file by extension."""
     loc, sloc = code_metrics(tx.split_lines(F.col(content)))
-    return with_facts(files, content, "facts").select(
+    facts = compute_once(
+        with_facts(files, content, "facts"), [*keys, content, "facts_source"], {"facts": F.col("facts")}
+    )
+    return facts.select(
         *keys,
         F.col("facts_source").alias("source"),
         "facts",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullscan.functions import text as tx
+from pullscan.functions.once import compute_once, let
 from pullscan.model import PR_KEY
 from pullscan.operators.review import fixable_files
 from pullscan.rules.checks import BARE_EXCEPT, CLASS, DEF
@@ -18,11 +19,6 @@ SECRETS = tuple(
 )
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def new_name_of(suggestion: Column) -> Column:
     return F.regexp_extract(suggestion, rf"(?U)Rename to '({tx.WORD}+)'", 1)
 
@@ -52,21 +48,27 @@ def secret_fix(line: Column) -> Column:
     for pattern, suffix in reversed(SECRETS):
         name = F.regexp_extract(line, tx.FLAGS_NOCASE + pattern, 1)
 
-        def build(n, suffix=suffix):
-            env = F.when(F.upper(n).endswith(suffix), F.upper(n)).otherwise(F.concat(F.upper(n), F.lit("_" + suffix)))
-            call = F.concat(F.lit("os.environ.get('"), env, F.lit("')"))
-            return F.when(
-                n != "",
-                F.struct(
-                    F.concat(F.repeat(F.lit(" "), tx.indent_of(line)), n, F.lit(" = "), call).alias("line"),
-                    F.concat(F.lit("Replaced hardcoded "), n, F.lit(" with "), call).alias("change"),
-                ),
-            )
-
-        out = F.coalesce(let(name, build), out)
+        out = F.coalesce(let(name, _lookup(line, suffix)), out)
     return out
 
 
+def _lookup(line: Column, suffix: str):
+    """The replacement for a secret held in the variable ``n``; null for no variable."""
+
+    def build(n):
+        env = F.when(F.upper(n).endswith(suffix), F.upper(n)).otherwise(F.concat(F.upper(n), F.lit("_" + suffix)))
+        call = F.concat(F.lit("os.environ.get('"), env, F.lit("')"))
+        return F.when(
+            n != "",
+            F.struct(
+                F.concat(F.repeat(F.lit(" "), tx.indent_of(line)), n, F.lit(" = "), call).alias("line"),
+                F.concat(F.lit("Replaced hardcoded "), n, F.lit(" with "), call).alias("change"),
+            ),
+        )
+
+    return build
+
+
 def ensure_import(code: Column) -> Column:
     """Insert ``import os`` after the leading import block when the text uses ``os.environ`` without it."""
 
@@ -213,16 +215,18 @@ def apply_fixes(files: DataFrame, violations: DataFrame) -> DataFrame:
     joined = files.select(*PR_KEY, "file_ord", "filename", "content").join(
         fix_lists(violations), [*PR_KEY, "filename"]
     )
-    folded = joined.withColumn(
-        "fold", F.when(F.col("content").isNotNull(), fold_fixes(F.col("content"), F.col("fixes")))
+    keep = [*PR_KEY, "file_ord", "filename", "content"]
+    folded = compute_once(
+        joined, keep, {"fold": F.when(F.col("content").isNotNull(), fold_fixes(F.col("content"), F.col("fixes")))}
     )
     raw = folded.select(
-        *PR_KEY, "file_ord", "filename", "content", "fold.fixed", "fold.changes",
-        F.array_join("fold.lines", "\n").alias("raw_code"),
+        *keep, "fold.fixed", "fold.changes", F.array_join("fold.lines", "\n").alias("raw_code"),
     )
-    changed = F.col("content").isNotNull() & (F.col("raw_code") != F.col("content"))
-    ready = raw.withColumn("changed", changed).withColumn(
-        "refactored", F.when(F.col("changed"), ensure_import(F.col("raw_code")))
+    changed = F.coalesce(F.col("content").isNotNull() & (F.col("raw_code") != F.col("content")), F.lit(False))
+    ready = compute_once(
+        raw,
+        [*keep, "fixed", "changes", "raw_code"],
+        {"changed": changed, "refactored": F.when(changed, ensure_import(F.col("raw_code")))},
     )
     missing = F.col("content").isNull()
     ok = F.col("changed")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullscan.functions import text as tx
+from pullscan.functions.once import compute_once
 from pullscan.model import FILE_KEY, PR_KEY
 from pullscan.operators.facts import complexity_score, python_syntax, with_facts
 
@@ -50,13 +51,19 @@ def names(facts: Column, kind: str) -> Column:
     return F.array_sort(F.array_distinct(items))
 
 
-def with_pair_facts(pairs: DataFrame) -> DataFrame:
-    """Add facts of both versions; each text is parsed once and shared by all checks."""
-    return with_facts(with_facts(pairs, "original", "of"), "refactored", "rf").select(
-        "*",
-        *[names(F.col(v), k).alias(f"{v}_{k}") for v in ("of", "rf") for k in ("functions", "classes", "imports")],
-        complexity_score(F.col("of"), F.col("of_source")).alias("of_score"),
-        complexity_score(F.col("rf"), F.col("rf_source")).alias("rf_score"),
+def with_pair_facts(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Names and scores of both versions; each text is parsed once and shared by all checks."""
+    keep = [c for c in pairs.columns if c in (*keys, "original", "refactored", "syntax", "parsed")]
+    facts = with_facts(with_facts(pairs, "original", "of"), "refactored", "rf")
+    facts = compute_once(facts, [*keep, "of_source", "rf_source"], {"of": F.col("of"), "rf": F.col("rf")})
+    return compute_once(
+        facts,
+        keep,
+        {
+            **{f"{v}_{k}": names(F.col(v), k) for v in ("of", "rf") for k in ("functions", "classes", "imports")},
+            "of_score": complexity_score(F.col("of"), F.col("of_source")),
+            "rf_score": complexity_score(F.col("rf"), F.col("rf_source")),
+        },
     )
 
 
@@ -69,7 +76,9 @@ def changed_names(pairs: DataFrame, removed: bool, keys: list[str] = FILE_KEY) -
             for k in ("functions", "classes", "imports")
         ]
     )
-    return with_pair_facts(pairs).select(*keys, F.inline(kinds)).select(*keys, "kind", F.explode("names").alias("name"))
+    return with_pair_facts(pairs, keys).select(*keys, F.inline(kinds)).select(
+        *keys, "kind", F.explode("names").alias("name")
+    )
 
 
 def syntax_check(syntax: Column) -> Column:
@@ -214,13 +223,17 @@ def verify(pairs: DataFrame, answers: DataFrame | None = None, keys: list[str] =
     """
     p = pairs if answers is None else pairs.join(answers, keys, "left")
     p = p.withColumn("syntax", python_syntax(F.col("refactored")))
-    p = with_pair_facts(p).withColumn("critical", critical_issues(F.col("original"), F.col("refactored")))
+    p = with_pair_facts(p, keys)
+    p = compute_once(
+        p, [c for c in p.columns if c not in ("original", "refactored")],
+        {"critical": critical_issues(F.col("original"), F.col("refactored"))},
+    )
     rest = [structure_check(), imports_check(), critical_check(F.col("critical"))]
     if answers is not None:
         rest.append(semantic_check(F.col("parsed")))
     first = syntax_check(F.col("syntax"))
-    return p.select(
-        *keys, F.when(F.col("syntax.ok"), F.array(first, *rest)).otherwise(F.array(first)).alias("checks")
+    return compute_once(
+        p, keys, {"checks": F.when(F.col("syntax.ok"), F.array(first, *rest)).otherwise(F.array(first))}
     )
 
 

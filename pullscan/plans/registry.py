@@ -59,8 +59,13 @@ def last_tests(spark, sf):
     ).select(*PR_KEY, "s.passed", "s.total_tests")
 
 
+def static_inputs(spark, sf) -> plan.ReviewInputs:
+    """Only what static analysis reads."""
+    return plan.ReviewInputs(d.pull_requests(spark, sf), d.file_changes(spark, sf), d.file_contents(spark, sf))
+
+
 def violations(spark, sf, answers: bool = False) -> DataFrame:
-    i = inputs(spark, sf, answers)
+    i = inputs(spark, sf, answers) if answers else static_inputs(spark, sf)
     return plan.all_violations(plan.reviewed_files(i), i, load_rules())
 
 
@@ -69,7 +74,7 @@ def decisions(spark, sf) -> DataFrame:
 
 
 def results(spark, sf) -> DataFrame:
-    i = inputs(spark, sf)
+    i = static_inputs(spark, sf)
     files = plan.reviewed_files(i)
     return rewrite.apply_fixes(files, plan.all_violations(files, i, load_rules()))
 
@@ -165,9 +170,9 @@ def violations_json(spark, sf):
     return rv.violations_json(violations(spark, sf)).select("file_ord", "violation_json")
 
 
-def _review(spark, sf) -> tuple[plan.Review, plan.ReviewInputs]:
+def _review(spark, sf, rollback: bool = True) -> tuple[plan.Review, plan.ReviewInputs]:
     i = inputs(spark, sf)
-    return plan.review(spark, i, plan.ReviewOptions(materialize=True)), i
+    return plan.review(spark, i, plan.ReviewOptions(materialize=True, enable_rollback=rollback)), i
 
 
 @query
@@ -765,12 +770,12 @@ def verification_all(spark, sf):
 
 @query
 def removed_names(spark, sf):
-    return verify.changed_names(d.code_pairs(spark, sf), True, ["file_ord"])
+    return verify.changed_names(d.code_pairs(spark, sf), True)
 
 
 @query
 def added_names(spark, sf):
-    return verify.changed_names(d.code_pairs(spark, sf), False, ["file_ord"])
+    return verify.changed_names(d.code_pairs(spark, sf), False)
 
 
 # ------------------------------------------------------------------------------------------- test logs
@@ -836,7 +841,7 @@ def review_route(spark, sf):
 
 @query
 def mark_refactored(spark, sf):
-    r, _ = _review(spark, sf)
+    r, _ = _review(spark, sf, rollback=False)
     return plan.mark_refactored(r.route, r.results)
 
 

@@ -20,6 +20,8 @@ def local_session(cpus: int | str = "*", app: str = "pullscan", partitions: int
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("PULLSCAN_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
+        # Column call-site tracking costs several calls per expression while a plan is built.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
