@@ -106,10 +106,10 @@ def any_of(patterns, t="t"):
 
 
 REDACT = "regexp_replace({t}, '(\")[^''\"]+\"|('')[^''\"]+''', '\\1\\2[REDACTED]\\1\\2', 'g')"
-WORDS = "list_filter(string_split(regexp_replace(regexp_replace({n}, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[_\\s]+', '_', 'g'), '_'), w -> w <> '')"
-SNAKE = "array_to_string(list_transform(" + WORDS + ", w -> lower(w)), '_')"
-UPPER = "array_to_string(list_transform(" + WORDS + ", w -> upper(w)), '_')"
-PASCAL = "array_to_string(list_transform(" + WORDS + ", w -> upper(w[1]) || lower(w[2:])), '')"
+WORDS = "string_split(regexp_replace(regexp_replace({n}, '([a-z])([A-Z])', '\\1_\\2', 'g'), '[_\\s]+', '_', 'g'), '_')"
+SNAKE = "array_to_string([lower(w) for w in " + WORDS + " if w <> ''], '_')"
+UPPER = "array_to_string([upper(w) for w in " + WORDS + " if w <> ''], '_')"
+PASCAL = "array_to_string([upper(w[1]) || lower(w[2:]) for w in " + WORDS + " if w <> ''], '')"
 
 # Rule order, id, name, category, severity, confidence.
 RULES = {
@@ -332,17 +332,17 @@ cte("fixedlines", "SELECT s.f, s.n, coalesce(l.fixed, s.t) AS t FROM src s LEFT
 def import_ctes(prefix, source):
     cte(prefix + "need", f"SELECT f FROM {source} GROUP BY f HAVING bool_or(contains(t, 'os.environ')) AND NOT bool_or(contains(t, 'import os'))", source)
     cte(prefix + "stop", f"SELECT f, min(n) AS stop FROM {source} WHERE NOT (t LIKE 'import %' OR t LIKE 'from %') AND trim(t) <> '' AND t NOT LIKE '#%' GROUP BY f", source)
-    cte(prefix + "at", f"""SELECT f, coalesce(max(CASE WHEN (t LIKE 'import %' OR t LIKE 'from %') AND (stop IS NULL OR n < stop) THEN n END), 0) AS at
+    cte(prefix + "at", f"""SELECT f, coalesce(max(CASE WHEN (t LIKE 'import %' OR t LIKE 'from %') AND (stop IS NULL OR n < stop) THEN n END), 0) AS ins
  FROM {source} JOIN {prefix}need USING (f) LEFT JOIN {prefix}stop USING (f) GROUP BY f""", source, prefix + "need", prefix + "stop")
     cte(prefix + "final", f"""SELECT f, string_agg(t, {NL} ORDER BY n) AS code FROM (SELECT f, CAST(n AS DOUBLE) AS n, t FROM {source}
- UNION ALL SELECT f, at + 0.5, 'import os' FROM {prefix}at) GROUP BY f""", source, prefix + "at")
+ UNION ALL SELECT f, ins + 0.5, 'import os' FROM {prefix}at) GROUP BY f""", source, prefix + "at")
 
 
 import_ctes("s_", "src")
 import_ctes("r_", "fixedlines")
 oracle("ensure_import", "SELECT f AS file_ord, md5(code) AS code FROM s_final", "s_final")
 cte("result", f"""SELECT fl.repo, fl.pr_number, f AS file_ord, fl.filename, c.content AS original_code, coalesce(r.code, c.content) AS refactored_code,
- CASE WHEN r.code IS NULL THEN 'No automatic fixes available' ELSE ch.changes || CASE WHEN a.at IS NOT NULL THEN {NL} || 'Added: import os' ELSE '' END END AS changes_description,
+ CASE WHEN r.code IS NULL THEN 'No automatic fixes available' ELSE ch.changes || CASE WHEN a.ins IS NOT NULL THEN {NL} || 'Added: import os' ELSE '' END END AS changes_description,
  coalesce(ch.fixed_rules, '') AS violations_fixed, r.code IS NOT NULL AS success, CAST(NULL AS VARCHAR) AS error_message, ch.three
  FROM vf JOIN files fl ON fl.repo = vf.repo AND fl.pr_number = vf.pr_number AND fl.filename = vf.file JOIN content c USING (f) LEFT JOIN r_final r USING (f) LEFT JOIN r_at a USING (f)
  LEFT JOIN (SELECT f, string_agg(change, {NL} ORDER BY n DESC, rule_ord, seq) AS changes, string_agg(rule_id, ',' ORDER BY n DESC, rule_ord, seq) AS fixed_rules,
@@ -358,7 +358,7 @@ oracle("commit_plan", """SELECT repo, pr_number, filename, 'feature/' || pr_numb
 oracle("rollback_plan", """SELECT r.repo, r.pr_number, r.filename, 'feature/' || r.pr_number AS branch, md5('h' || file_ord) AS current_sha, c.content,
  'Rollback: Revert ' || r.filename || ' to ' || substr(l.sha, 1, 7) AS message FROM result r JOIN last_commit l USING (repo, pr_number)
  JOIN contents c ON c.f = r.file_ord AND c.ref = 'base/' || r.pr_number WHERE success""", "result", "last_commit", "contents")
-oracle("fix_naming", f"""SELECT x.f AS file_ord, x.line, md5(replace(c.content, {OLD.replace('s.t', 'w.t')}, regexp_extract(x.suggestion, 'Rename to ''(\\w+)''', 1))) AS renamed
+oracle("fix_naming", f"""SELECT x.f AS file_ord, x.line, md5(regexp_replace(c.content, '\\b' || {OLD.replace('s.t', 'w.t')} || '\\b', regexp_extract(x.suggestion, 'Rename to ''(\\w+)''', 1), 'g')) AS renamed
  FROM ({' UNION ALL '.join(rule_selects('wl', 'fns')['S002'])}) x JOIN wl w ON w.f = x.f AND w.n = x.line JOIN content c ON c.f = x.f""", "wl", "content")
 oracle("handoff_snapshot", """SELECT a.repo, a.pr_number, a.ref AS branch, a.filename, CASE WHEN status <> 'removed' AND length(content) > 0 THEN content END AS original_code,
  CASE WHEN r.success THEN r.refactored_code END AS refactored_code, 0 AS n_violations, 0 AS n_commits, 'orchestrator@2026-01-01T00:00:00.000000+00:00' AS chain,
@@ -384,3 +384,141 @@ oracle("first_five_messages", f"""SELECT m.file_ord, 'Analyze these two code ver
 _trig = """CAST(to_json({'timestamp': '2026-01-01T00:00:00.000000+00:00', 'event': 'rule_triggered', 'rule_id': rule_id, 'file': file, 'line': line, 'severity': severity}) AS VARCHAR)"""
 oracle("review_log_write", f"SELECT DATE '2026-01-01' AS event_date, {_trig} AS value FROM v", "v")
 oracle("review_log_scan", "SELECT TIMESTAMP '2026-01-01 00:00:00' AS timestamp, 'rule_triggered' AS event, rule_id, file, line, severity FROM v", "v")
+
+# ------------------------------------------------------------------------------------- syntax-tree facts
+# The modules are built from a four-line head and eight-line blocks, so every fact is known from the block number.
+
+cte("blk", "SELECT f, n, (f + n) % 6 AS kind, 4 + (n - 1) * 8 AS b FROM raw", "raw")
+cte("pyfiles", "SELECT *, filename LIKE '%.py' AND f % 9 <> 4 AS is_ast FROM files", "files")
+cte("astblk", "SELECT * FROM blk JOIN pyfiles USING (f) WHERE is_ast", "blk", "pyfiles")
+_ast_fn = [
+    # kind, offset of def, offset of last line, name, class, params, returns, decorators, async, doc offset?, complexity, calls, body offset
+    (0, 1, 7, "'fn_' || n", "NULL", "a,b,*args,**kwargs", "NULL", "", "false", "'\"\"\"Doc ' || n || '.\"\"\"'", 5, "helper", 2),
+    (1, 2, 7, "'co_' || n", "NULL", "x,y", "'int'", "@cached", "true", "NULL", 5, "c.push,ctx,range", 3),
+    (2, 4, 6, "'run'", "'Thing' || n", "self,k", "NULL", "", "false", "NULL", 3, "self.go", 5),
+    (2, 8, 8, "'size'", "'Thing' || n", "self", "NULL", "@property", "false", "NULL", 1, "len", 8),
+    (4, 1, 7, "'outer_' || n", "NULL", "q", "NULL", "", "false", "NULL", 5, "inner,logger.info,sum", 2),
+    (4, 2, 3, "'inner'", "NULL", "z", "NULL", "", "false", "NULL", 1, "", 3),
+    (5, 3, 3, "'say_' || n", "NULL", "", "NULL", "", "false", "NULL", 1, "print", 3),
+]
+cte("astfn", " UNION ALL ".join(
+    f"SELECT f, filename, n, {name} AS name, CAST({cls} AS VARCHAR) AS class_name, CAST(b + {o} AS INT) AS start_line, CAST(b + {e} AS INT) AS end_line, CAST(b + {body} AS INT) AS body_start_line, "
+    f"'{params}' AS parameters, CAST({ret} AS VARCHAR) AS return_type, '{dec}' AS decorators, {is_async} AS is_async, CAST({doc} AS VARCHAR) AS docstring, {cx} AS complexity, '{calls}' AS calls FROM astblk WHERE kind = {kind}"
+    for kind, o, e, name, cls, params, ret, dec, is_async, doc, cx, calls, body in _ast_fn), "astblk")
+cte("mline", """SELECT f, filename, CAST(4 + i AS INT) AS line, kind, n, i - (n - 1) * 8 AS o FROM (SELECT *, (n - 1) * 8 + unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS i FROM blk) JOIN pyfiles USING (f) WHERE NOT is_ast""", "blk", "pyfiles")
+cte("rxfn", """SELECT f, filename, n, CASE WHEN kind = 0 THEN 'fn_' || n WHEN kind = 1 THEN 'co_' || n WHEN kind = 2 AND o = 4 THEN 'run' WHEN kind = 2 THEN 'size'
+ WHEN kind = 4 AND o = 1 THEN 'outer_' || n WHEN kind = 4 THEN 'inner' ELSE 'say_' || n END AS name, CAST(NULL AS VARCHAR) AS class_name, line AS start_line, line AS end_line, 0 AS body_start_line,
+ '' AS parameters, CAST(NULL AS VARCHAR) AS return_type, '' AS decorators, kind = 1 AS is_async, CAST(NULL AS VARCHAR) AS docstring, 1 AS complexity, '' AS calls
+ FROM mline WHERE (kind, o) IN ((0, 1), (1, 2), (2, 4), (2, 8), (4, 1), (4, 2), (5, 3))
+ UNION ALL SELECT f, filename, 0, 'broken', NULL, l, l, 0, '', NULL, '', false, NULL, 1, '' FROM (SELECT f, filename, CAST(5 + max(n) * 8 AS INT) AS l FROM blk JOIN pyfiles USING (f) WHERE f % 9 = 4 GROUP BY 1, 2)""", "mline", "blk", "pyfiles")
+cte("pyfn", "SELECT * FROM astfn UNION ALL SELECT * FROM rxfn", "astfn", "rxfn")
+oracle("facts_functions", "SELECT f AS file_ord, * EXCLUDE (f, n) FROM pyfn", "pyfn")
+oracle("ast_complexity", "SELECT f AS file_ord, filename, name, start_line, complexity FROM pyfn", "pyfn")
+oracle("complex_functions", "SELECT f AS file_ord, filename, name, complexity FROM pyfn WHERE complexity > 4", "pyfn")
+oracle("long_functions", "SELECT f AS file_ord, filename, name, start_line, end_line FROM pyfn WHERE end_line - start_line + 1 > 6", "pyfn")
+oracle("facts_calls", "SELECT f AS file_ord, filename, name AS caller, start_line AS line, unnest(string_split(calls, ',')) AS callee FROM pyfn WHERE calls <> ''", "pyfn")
+cte("pycls", """SELECT f, filename, n, 'Thing' || n AS name, CAST(b + 1 AS INT) AS start_line, CAST(b + CASE WHEN is_ast THEN 8 ELSE 1 END AS INT) AS end_line, CASE WHEN is_ast THEN '\"\"\"Thing ' || n || '.\"\"\"' END AS docstring,
+ CASE WHEN is_ast THEN 'Base' ELSE '' END AS bases, CASE WHEN is_ast THEN 'run,size' ELSE '' END AS methods, '' AS decorators FROM blk JOIN pyfiles USING (f) WHERE kind = 2""", "blk", "pyfiles")
+oracle("facts_classes", "SELECT f AS file_ord, * EXCLUDE (f, n) FROM pycls", "pycls")
+cte("pyimp", """SELECT f, filename, 'os' AS module, '' AS names, CAST(NULL AS VARCHAR) AS alias, 2 AS line, false AS is_from_import FROM pyfiles
+ UNION ALL SELECT f, filename, 'json', '', CASE WHEN is_ast THEN 'js' END, 3, false FROM pyfiles
+ UNION ALL SELECT f, filename, 'pkg.mod' || (f % 7), CASE WHEN is_ast THEN 'alpha,beta' ELSE '' END, NULL, 4, true FROM pyfiles
+ UNION ALL SELECT f, filename, 'fast_' || n, '', NULL, CAST(b + 7 AS INT), false FROM astblk WHERE kind = 3""", "pyfiles", "astblk")
+oracle("facts_imports", "SELECT f AS file_ord, * EXCLUDE (f) FROM pyimp", "pyimp")
+oracle("facts_globals", """SELECT f AS file_ord, filename, name, CAST(b + o AS INT) AS line FROM (
+ SELECT *, 'LIMIT_' || n AS name, 1 AS o FROM astblk WHERE kind = 3 UNION ALL SELECT *, 'typed_' || n, 3 FROM astblk WHERE kind = 3 UNION ALL SELECT *, 'a_' || n, 4 FROM astblk WHERE kind = 3
+ UNION ALL SELECT *, 'fast_' || n, 8 FROM astblk WHERE kind = 3 UNION ALL SELECT *, 'TEXT_' || n, 1 FROM astblk WHERE kind = 5)""", "astblk")
+oracle("file_complexity_score", "SELECT p.f AS file_ord, p.filename, CAST(coalesce(sum(a.complexity), 0) AS INT) AS complexity_score FROM pyfiles p LEFT JOIN astfn a USING (f) GROUP BY 1, 2", "pyfiles", "astfn")
+# Lines that are neither blank nor comments per block kind: 0..5.
+oracle("facts_route", """SELECT f AS file_ord, filename, CASE WHEN is_ast THEN 'ast' ELSE 'regex' END AS source, CAST(4 + 8 * count(*) + CASE WHEN f % 9 = 4 THEN 1 ELSE 0 END AS INT) AS loc,
+ CAST(4 + sum(CASE kind WHEN 0 THEN 7 WHEN 1 THEN 7 WHEN 2 THEN 8 WHEN 3 THEN 7 WHEN 4 THEN 7 ELSE 4 END) + CASE WHEN f % 9 = 4 THEN 1 ELSE 0 END AS INT) AS sloc FROM blk JOIN pyfiles USING (f) GROUP BY f, filename, is_ast""", "blk", "pyfiles")
+cte("pylines", "SELECT f, filename, CAST(unnest(range(1, 5 + k)) AS INT) AS line FROM (SELECT f, filename, 8 * count(*) + CASE WHEN f % 9 = 4 THEN 1 ELSE 0 END AS k FROM blk JOIN pyfiles USING (f) GROUP BY 1, 2)", "blk", "pyfiles")
+oracle("function_at_line", """SELECT l.f AS file_ord, l.filename, l.line, arg_min(p.name, (p.class_name IS NOT NULL, p.start_line)) AS function_name FROM pylines l
+ LEFT JOIN pyfn p ON p.f = l.f AND l.line BETWEEN p.start_line AND p.end_line GROUP BY 1, 2, 3""", "pylines", "pyfn")
+oracle("class_at_line", """SELECT l.f AS file_ord, l.filename, l.line, arg_min(p.name, p.start_line) AS class_name FROM pylines l
+ LEFT JOIN pycls p ON p.f = l.f AND l.line BETWEEN p.start_line AND p.end_line GROUP BY 1, 2, 3""", "pylines", "pycls")
+
+# -------------------------------------------------------------------------------------------- verification
+# What each rewrite did to the blocks: f % 4 = 0 drops every fifth block, 1 drops an import, 2 adds a heavy function,
+# 3 renames words and calls; f % 8 = 6 also breaks the syntax.
+
+cte("py", "SELECT *, filename LIKE '%.py' AS is_py, f % 8 = 6 AS is_broken FROM files", "files")
+cte("names_o", """SELECT DISTINCT f, 'functions' AS kind, name FROM (
+  SELECT f, n, unnest(CASE kind WHEN 0 THEN ['fn_' || n] WHEN 1 THEN ['co_' || n] WHEN 4 THEN ['outer_' || n, 'inner'] WHEN 5 THEN ['say_' || n] WHEN 2 THEN CASE WHEN is_py THEN [] ELSE ['run', 'size'] END ELSE [] END) AS name
+  FROM blk JOIN py USING (f))
+ UNION ALL SELECT f, 'classes', 'Thing' || n FROM blk WHERE kind = 2
+ UNION ALL SELECT f, 'imports', unnest(['os', 'json', 'pkg.mod' || (f % 7)]) FROM py UNION ALL SELECT f, 'imports', 'fast_' || n FROM blk JOIN py USING (f) WHERE kind = 3 AND is_py""", "blk", "py")
+# The rewritten text of a broken .py file is read by pattern.
+cte("names_r", """SELECT DISTINCT f, 'functions' AS kind, name FROM (
+  SELECT f, n, unnest(CASE kind WHEN 0 THEN ['fn_' || n] WHEN 1 THEN ['co_' || n] WHEN 4 THEN ['outer_' || n, 'inner'] WHEN 5 THEN ['say_' || n] WHEN 2 THEN CASE WHEN is_py AND NOT is_broken THEN [] ELSE ['run', 'size'] END ELSE [] END) AS name
+  FROM blk JOIN py USING (f) WHERE f % 4 <> 0 OR n % 5 <> 0
+  UNION ALL SELECT f, 0, 'heavy' FROM py WHERE f % 4 = 2 UNION ALL SELECT f, 0, 'bad' FROM py WHERE is_broken)
+ UNION ALL SELECT f, 'classes', 'Thing' || n FROM blk WHERE kind = 2 AND (f % 4 <> 0 OR n % 5 <> 0)
+ UNION ALL SELECT f, 'imports', unnest(CASE WHEN f % 4 = 1 THEN ['json', 'pkg.mod' || (f % 7)] ELSE ['os', 'json', 'pkg.mod' || (f % 7)] END) FROM py
+ UNION ALL SELECT f, 'imports', 'fast_' || n FROM blk JOIN py USING (f) WHERE kind = 3 AND is_py AND NOT is_broken AND (f % 4 <> 0 OR n % 5 <> 0)""", "blk", "py")
+cte("removed", "SELECT * FROM names_o EXCEPT SELECT * FROM names_r", "names_o", "names_r")
+cte("added", "SELECT * FROM names_r EXCEPT SELECT * FROM names_o", "names_o", "names_r")
+for _k, _t in (("removed_names", "removed"), ("added_names", "added")):
+    oracle(_k, f"SELECT repo, pr_number, f AS file_ord, filename, kind, name FROM {_t} JOIN files USING (f)", _t, "files")
+_score = "CASE kind WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 4 THEN 6 WHEN 5 THEN 1 ELSE 0 END"
+cte("pair", f"""SELECT py.*, CAST(CASE WHEN is_py THEN so ELSE 0 END AS INT) AS of_score, CAST(CASE WHEN is_py AND NOT is_broken THEN sr + CASE WHEN f % 4 = 2 THEN 31 ELSE 0 END ELSE 0 END AS INT) AS rf_score FROM py JOIN (SELECT f, sum({_score}) AS so, sum(CASE WHEN f % 4 <> 0 OR n % 5 <> 0 THEN {_score} ELSE 0 END) AS sr FROM blk GROUP BY f) USING (f)""", "py", "blk")
+cte("pairtext_raw", """SELECT f, n, kind, regexp_replace(q, '[^A-Za-z0-9 ,]', '', 'g') AS q FROM blk JOIN raw USING (f, n)""", "blk", "raw")
+_stems = ("auth", "authentication"), ("verify", "verification"), ("encrypt", "encryption"), ("decrypt", "decryption"), ("hash", "hashing"), ("sanitize", "sanitization"), ("validate", "validation")
+_kept = "(f % 4 <> 0 OR n % 5 <> 0)"
+_text = "CASE WHEN kind = 5 THEN q WHEN kind = 3 THEN 'validate' ELSE '' END"
+_after = "CASE WHEN f % 4 = 3 THEN replace(" + _text + ", 'validate', 'check') ELSE " + _text + " END"
+cte("crit", "SELECT f, array_to_string([x for x in ["
+       + ", ".join(f"CASE WHEN bool_or(regexp_matches({_text}, '\\b{w}', 'i')) AND NOT bool_or({_kept} AND regexp_matches({_after}, '\\b{w}', 'i')) THEN 'All {label} code was removed' END" for w, label in _stems)
+       + f", CASE WHEN bool_or(kind = 3) AND NOT bool_or(kind = 3 AND {_kept}) THEN 'All try/except blocks were removed' END"
+       + f", CASE WHEN bool_or(kind = 4) AND NOT bool_or(kind = 4 AND {_kept} AND f % 4 <> 3) THEN 'All logging statements were removed' END"
+       + "] if x IS NOT NULL], '; ') AS issues FROM pairtext_raw GROUP BY f", "pairtext_raw")
+oracle("verify_critical", "SELECT f AS file_ord, issues, CASE WHEN issues = '' THEN 'passed' ELSE 'failed' END AS status FROM crit", "crit")
+
+_rm = "(SELECT f, kind, '{{' || string_agg('''' || name || '''', ', ' ORDER BY name) || '}}' AS s, to_json(list(name ORDER BY name)) AS j FROM {t} GROUP BY 1, 2)"
+cte("struct", f"""SELECT p.*, rf.s AS rm_f, rc.s AS rm_c, ri.s AS rm_i, ri.j AS rm_ij, rf_score > of_score * 1.5 AS grew FROM pair p
+ LEFT JOIN {_rm.format(t='removed')} rf ON rf.f = p.f AND rf.kind = 'functions' LEFT JOIN {_rm.format(t='removed')} rc ON rc.f = p.f AND rc.kind = 'classes'
+ LEFT JOIN {_rm.format(t='removed')} ri ON ri.f = p.f AND ri.kind = 'imports'""", "pair", "removed")
+cte("checks3", """SELECT *, CASE WHEN rm_f IS NOT NULL OR rm_c IS NOT NULL OR grew THEN 'warning' ELSE 'passed' END AS st, CASE WHEN rm_i IS NOT NULL THEN 'warning' ELSE 'passed' END AS im,
+ CASE WHEN issues <> '' THEN 'failed' ELSE 'passed' END AS cr FROM struct JOIN crit USING (f)""", "struct", "crit")
+oracle("verify_syntax", "SELECT f AS file_ord, 'syntax_validation' AS name, CASE WHEN is_broken THEN 'failed' ELSE 'passed' END AS status FROM py", "py")
+oracle("verify_structure", """SELECT f AS file_ord, st AS status, CASE st WHEN 'warning' THEN 'AST structure changed significantly' ELSE 'AST structure is reasonably preserved' END AS message,
+ CASE WHEN st = 'warning' THEN CAST(to_json([x for x in ['Functions removed/renamed: ' || rm_f, 'Classes removed/renamed: ' || rm_c, CASE WHEN grew THEN 'Complexity increased significantly: ' || of_score || ' -> ' || rf_score END] if x IS NOT NULL]) AS VARCHAR) END AS issues,
+ CASE WHEN st = 'passed' THEN CAST(of_score AS VARCHAR) END AS original_complexity, CASE WHEN st = 'passed' THEN CAST(coalesce(nf, 0) AS VARCHAR) END AS refactored_functions
+ FROM checks3 LEFT JOIN (SELECT f, count(*) AS nf FROM names_r WHERE kind = 'functions' GROUP BY 1) USING (f) WHERE NOT is_broken""", "checks3", "names_r")
+oracle("verify_imports", """SELECT f AS file_ord, im AS status, CASE im WHEN 'warning' THEN 'Some imports were removed: ' || rm_i ELSE 'Import integrity maintained' END AS message,
+ CASE im WHEN 'warning' THEN CAST(rm_ij AS VARCHAR) END AS removed FROM checks3 WHERE NOT is_broken""", "checks3")
+oracle("verification_checks", """SELECT f AS file_ord, 0 AS check_no, 'syntax_validation' AS name, CASE WHEN is_broken THEN 'failed' ELSE 'passed' END AS status FROM checks3
+ UNION ALL SELECT f, 1, 'ast_structure', st FROM checks3 WHERE NOT is_broken UNION ALL SELECT f, 2, 'import_integrity', im FROM checks3 WHERE NOT is_broken
+ UNION ALL SELECT f, 3, 'critical_changes', cr FROM checks3 WHERE NOT is_broken""", "checks3")
+cte("vr", """SELECT *, NOT is_broken AND cr = 'passed' AS passed, CASE WHEN st = 'warning' THEN 1 ELSE 0 END + CASE WHEN im = 'warning' THEN 1 ELSE 0 END AS warns FROM checks3""", "checks3")
+oracle("verification_rollup", """SELECT f AS file_ord, passed, passed AS safe_to_commit, passed AND warns > 0 AS requires_human_review,
+ CASE WHEN is_broken THEN 'Refactored code has syntax errors' WHEN NOT passed THEN 'Verification failed: 1 checks failed' WHEN warns > 0 THEN 'Verification passed with ' || warns || ' warnings' ELSE 'All verification checks passed' END AS overall_message FROM vr""", "vr")
+oracle("verification_all", "SELECT p.repo, p.pr_number, coalesce(bool_and(passed), true) AS verification_passed FROM prs p LEFT JOIN vr USING (repo, pr_number) GROUP BY 1, 2", "prs", "vr")
+# ----------------------------------------------------------------------------------------------- test logs
+
+cte("runs_ci", """SELECT o_orderkey AS run_id, o_custkey AS pr_number, o_orderkey % 6 AS k, CAST(o_orderkey % 17 AS INT) AS a, CAST(o_orderkey % 5 AS INT) AS b, CAST(o_orderkey % 3 AS INT) AS c FROM orders""")
+cte("suite", """SELECT run_id, pr_number, k, CASE WHEN k = 3 THEN 'error' WHEN k IN (1, 5) THEN 'passed' ELSE 'failed' END AS status,
+ CASE WHEN k IN (0, 1, 2, 5) THEN a ELSE 0 END AS passed, CASE WHEN k IN (0, 2, 4) THEN b ELSE 0 END AS failed, CASE WHEN k = 0 THEN c ELSE 0 END AS errors, 0 AS skipped,
+ CASE k WHEN 0 THEN (b + 0.5) * 1000 WHEN 1 THEN (c + 0.25) * 1000 WHEN 2 THEN a * 1000.0 ELSE 0 END::DOUBLE AS duration_ms,
+ CASE WHEN k = 0 THEN run_id % 101 END::DOUBLE AS coverage_percent FROM runs_ci""", "runs_ci")
+cte("suites2", "SELECT *, passed + failed + errors AS total_tests, CASE WHEN passed + failed + errors = 0 THEN 1.0 ELSE passed::DOUBLE / (passed + failed + errors) END AS success_rate FROM suite", "suite")
+oracle("pytest_suites", "SELECT * EXCLUDE (k, pr_number) FROM suites2 WHERE k < 4", "suites2")
+oracle("unittest_suites", "SELECT * EXCLUDE (k, pr_number) FROM suites2 WHERE k >= 4", "suites2")
+oracle("success_rate", "SELECT run_id, success_rate FROM suites2", "suites2")
+oracle("tests_passed", "SELECT run_id, status, passed, total_tests, passed = total_tests AS tests_passed FROM suites2", "suites2")
+oracle("pytest_results", """SELECT run_id, 0 AS test_no, 'tests/test_a.py::test_' || run_id AS name, 'passed' AS status FROM runs_ci WHERE k = 0
+ UNION ALL SELECT run_id, 1, 'TestB::test_x', 'failed' FROM runs_ci WHERE k = 0
+ UNION ALL SELECT run_id, 0, 'tests/test_c.py::test_y', 'passed' FROM runs_ci WHERE k = 1
+ UNION ALL SELECT run_id, 0, 'tests/test_d.py::test_z', 'error' FROM runs_ci WHERE k = 2 UNION ALL SELECT run_id, 1, 'tests/test_e.py::test_w', 'skipped' FROM runs_ci WHERE k = 2""", "runs_ci")
+cte("tree", """SELECT repo, unnest(list_filter_null) AS path FROM (SELECT repo, [x for x in [filename, CASE WHEN f % 3 = 0 THEN 'tests/test_s' || f || '.py' END, CASE WHEN f % 5 = 0 THEN 's' || f || '_test.py' END,
+ CASE WHEN f % 5 = 2 THEN 'tests/lib/core/test_m' || f || '.py' END, CASE WHEN f % 7 = 0 THEN '.venv/test_x' || f || '.py' END, CASE WHEN f % 100 = 0 THEN 'requirements.txt' END] if x IS NOT NULL] AS list_filter_null FROM files)""", "files")
+cte("found", "SELECT repo, path, CASE WHEN path LIKE '%\\_test.py' ESCAPE '\\' THEN '*_test.py' ELSE 'test_*.py' END AS pattern FROM tree WHERE path NOT LIKE '.venv%' AND regexp_matches(path, '(^|/)(test_[^/]*|[^/]*_test)\\.py$')", "tree")
+oracle("discover_tests", "SELECT * FROM found", "found")
+cte("wide", "SELECT DISTINCT repo, path FROM tree WHERE path LIKE 'tests/%' AND regexp_matches(path, '/test_[^/]*\\.py$')", "tree")
+cte("own", """SELECT DISTINCT repo, pr_number, path FROM (SELECT repo, pr_number, regexp_extract(filename, '([^/]*?)(\\.[^./]*)?$', 1) || '_test.py' AS path FROM files WHERE status <> 'removed') JOIN (SELECT DISTINCT repo, path FROM tree) USING (repo, path)""", "files", "tree")
+oracle("related_tests", "SELECT repo, pr_number, path FROM own UNION ALL SELECT repo, NULL, path FROM wide", "own", "wide")
+oracle("detect_framework", "SELECT repo, bool_or(path IN ('pytest', 'conftest.py', 'pytest.ini', 'pyproject.toml')) AS has_marker_file, bool_or(path = 'requirements.txt') AS has_requirements, 'pytest' AS framework FROM tree GROUP BY 1", "tree")
+oracle("tests_to_run", """SELECT repo, pr_number, CASE WHEN r > 0 THEN 'related' WHEN d > 0 THEN 'discovered' ELSE 'none' END AS source, CASE WHEN r > 0 THEN r ELSE d END AS n_tests, CASE WHEN r = 0 AND d = 0 THEN 'no_tests' END AS status FROM (
+ SELECT p.repo, p.pr_number, CASE WHEN c.pr_number IS NULL THEN 0 ELSE coalesce(o.k, 0) + coalesce(w.k, 0) END AS r, coalesce(f.k, 0) AS d FROM prs p
+ LEFT JOIN (SELECT DISTINCT repo, pr_number FROM files WHERE status <> 'removed') c USING (repo, pr_number) LEFT JOIN (SELECT repo, pr_number, count(*) AS k FROM own GROUP BY 1, 2) o USING (repo, pr_number)
+ LEFT JOIN (SELECT repo, count(*) AS k FROM wide GROUP BY 1) w ON w.repo = p.repo LEFT JOIN (SELECT repo, count(*) AS k FROM found GROUP BY 1) f ON f.repo = p.repo)""", "prs", "files", "own", "wide", "found")
