@@ -180,7 +180,7 @@ oracle("analyze", "SELECT repo, pr_number, file_ord, rule_ord, seq, rule_id, rul
 _few = " UNION ALL ".join(s for r in ("S002", "SEC001", "BP001") for s in rule_selects("wl", "fns")[r])
 oracle("rules_enabled", f"SELECT rule_id, count(*) AS n FROM ({_few}) GROUP BY 1", "wl")
 _table = " UNION ALL ".join(f"SELECT {o} AS rule_ord, '{r}' AS rule_id, '{n}' AS rule_name, '{c}' AS category, '{s}' AS severity" for r, (o, n, c, s, _) in RULES.items())
-oracle("load_rules_usage", f"SELECT t.*, count(v.rule_id) AS n FROM ({_table}) t LEFT JOIN v USING (rule_id) GROUP BY ALL", "v")
+oracle("load_rules", f"SELECT t.*, count(v.rule_id) AS n FROM ({_table}) t LEFT JOIN v USING (rule_id) GROUP BY ALL", "v")
 cte("docl", """SELECT f, n, t, CAST(NULL AS VARCHAR) AS nxt FROM (SELECT doc_id AS f, unnest(l) AS t, CAST(generate_subscripts(l, 1) AS INT) AS n
  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''))""")
 _docs = " UNION ALL ".join(rule_selects("docl", "fns")["S001"] + rule_selects("docl", "fns")["SEC001"])
@@ -361,8 +361,9 @@ oracle("rollback_plan", """SELECT r.repo, r.pr_number, r.filename, 'feature/' ||
 oracle("fix_naming", f"""SELECT x.f AS file_ord, x.line, md5(regexp_replace(c.content, '\\b' || {OLD.replace('s.t', 'w.t')} || '\\b', regexp_extract(x.suggestion, 'Rename to ''(\\w+)''', 1), 'g')) AS renamed
  FROM ({' UNION ALL '.join(rule_selects('wl', 'fns')['S002'])}) x JOIN wl w ON w.f = x.f AND w.n = x.line JOIN content c ON c.f = x.f""", "wl", "content")
 oracle("handoff_snapshot", """SELECT a.repo, a.pr_number, a.ref AS branch, a.filename, CASE WHEN status <> 'removed' AND length(content) > 0 THEN content END AS original_code,
- CASE WHEN r.success THEN r.refactored_code END AS refactored_code, 0 AS n_violations, 0 AS n_commits, 'orchestrator@2026-01-01T00:00:00.000000+00:00' AS chain,
- '2026-01-01T00:00:00.000000+00:00' AS started_at FROM at_head a LEFT JOIN result r ON r.file_ord = a.f""", "at_head", "result")
+ CASE WHEN r.success THEN r.refactored_code END AS refactored_code, CAST(coalesce(vf.n_violations, 0) AS INT) AS n_violations, 0 AS n_commits, 'orchestrator@2026-01-01T00:00:00.000000+00:00' AS chain,
+ '2026-01-01T00:00:00.000000+00:00' AS started_at FROM at_head a LEFT JOIN result r ON r.file_ord = a.f
+ LEFT JOIN vf ON vf.repo = a.repo AND vf.pr_number = a.pr_number AND vf.file = a.filename""", "at_head", "result", "vf")
 
 # ------------------------------------------------------------------------------------------------ prompts
 

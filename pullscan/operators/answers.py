@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullscan.functions import text as tx
+from pullscan.functions.once import compute_once
 from pullscan.model import FILE_KEY, PR_KEY
 
 # Prompt texts.
@@ -150,10 +151,10 @@ def _is_object(json: Column) -> Column:
 
 def parse_model_json(answers: DataFrame, keys: list[str], response: str = "response") -> DataFrame:
     """Issues and summary; an unreadable answer has no issues and its first 500 characters as the summary."""
-    parsed = answers.select(*keys, response, json_text(F.col(response)).alias("json"))
+    parsed = compute_once(answers, [*keys, response], {"json": json_text(F.col(response))})
     # Reading null JSON gives null fields, so one projection serves both cases.
-    answer = F.from_json("json", REVIEW_ANSWER)
-    return parsed.select(*keys, response, "json", answer.alias("a")).select(
+    read = compute_once(parsed, [*keys, response, "json"], {"a": F.from_json("json", REVIEW_ANSWER)})
+    return read.select(
         *keys,
         F.col("json").isNotNull().alias("is_json"),
         F.coalesce("a.issues", F.array().cast(f"array<{ISSUE_TYPE}>")).alias("issues"),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullscan.functions import text as tx
+from pullscan.functions.once import compute_once
 from pullscan.operators.diff import added_line_numbers
 from pullscan.rules.checks import DEF
 
@@ -130,7 +131,8 @@ def with_functions(files: DataFrame, content: str = "content") -> DataFrame:
 
 def function_spans(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """One row per ``def`` with name, first and last line and indent."""
-    return with_functions(files, content).select(*keys, F.explode("functions").alias("f")).select(
+    found = compute_once(with_functions(files, content), keys, {"functions": F.col("functions")})
+    return found.select(*keys, F.explode("functions").alias("f")).select(
         *keys,
         F.col("f.name").alias("name"),
         F.col("f.start").alias("start_line"),

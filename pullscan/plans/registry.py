@@ -81,7 +81,7 @@ def results(spark, sf) -> DataFrame:
 
 def whole(spark, sf, *rule_ids: str) -> DataFrame:
     """Rules over whole files, without a diff."""
-    files = d.source_files(spark, sf).drop("patch")
+    files = d.source_files(spark, sf, patch=False)
     return rv.analyze(files, load_rules().only(*rule_ids)).select(*V_KEY)
 
 
@@ -109,8 +109,7 @@ def _rule_counts(spark, sf):
     return violations(spark, sf).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def load_rules_usage(spark, sf):
+def _rule_usage(spark, sf):
     """The loaded rule table with the number of findings of each rule."""
     table = rules_table(spark, load_rules())
     return table.join(_rule_counts(spark, sf), "rule_id", "left").select(
@@ -118,11 +117,14 @@ def load_rules_usage(spark, sf):
     )
 
 
+QUERIES["load_rules"] = _rule_usage
+
+
 @query
 def rules_enabled(spark, sf):
     """Findings after switching two rules off: only enabled rules with a known name count."""
     return (
-        rv.analyze(d.source_files(spark, sf).drop("patch"), load_rules().only("S002", "SEC001", "BP001"))
+        rv.analyze(d.source_files(spark, sf, patch=False), load_rules().only("S002", "SEC001", "BP001"))
         .groupBy("rule_id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -202,9 +204,10 @@ def review_log_scan(spark, sf):
 
 @query
 def handoff_snapshot(spark, sf):
-    i = inputs(spark, sf)
+    i = static_inputs(spark, sf)
     files = rv.file_at_ref(i.file_changes, i.pull_requests, i.file_contents)
-    snap = tables.handoff_snapshot(files, i.pull_requests, results(spark, sf), reviewlog.iso_utc(at()))
+    v = violations(spark, sf)
+    snap = tables.handoff_snapshot(files, i.pull_requests, results(spark, sf), v, reviewlog.iso_utc(at()))
     return tables.restore_snapshot(snap, F.lit("")).select(
         "repo", "pr_number", "branch", "filename", "original_code", "refactored_code",
         F.size("violations").alias("n_violations"), F.size("commits_made").alias("n_commits"),
@@ -247,7 +250,7 @@ def is_added(spark, sf):
 
 @query
 def source_lines(spark, sf):
-    return lines.source_lines(d.source_files(spark, sf), FK)
+    return lines.source_lines(d.source_files(spark, sf, patch=False), FK)
 
 
 @query
@@ -382,18 +385,18 @@ def name_convert(spark, sf):
 
 @query
 def function_spans(spark, sf):
-    return lines.function_spans(d.source_files(spark, sf), FK)
+    return lines.function_spans(d.source_files(spark, sf, patch=False), FK)
 
 
 @query
 def line_complexity(spark, sf):
-    ln = lines.source_lines(d.source_files(spark, sf), FK)
+    ln = lines.source_lines(d.source_files(spark, sf, patch=False), FK)
     return ln.select(*FK, "line", tx.line_complexity(F.col("text")).alias("hits"))
 
 
 @query
 def redact_quotes(spark, sf):
-    ln = lines.source_lines(d.source_files(spark, sf), FK)
+    ln = lines.source_lines(d.source_files(spark, sf, patch=False), FK)
     return ln.select(*FK, "line", tx.redact_quotes(F.col("text")).alias("redacted"))
 
 
@@ -427,7 +430,7 @@ def _todo_comments(rule: RuleSpec) -> list[Check]:
 @query
 def custom_rule(spark, sf):
     spec = RuleSpec("X001", "todo_comments", "style", "info", config={"word": "note"})
-    return rv.analyze(d.source_files(spark, sf).drop("patch"), RuleSet((spec,))).select(*V_KEY)
+    return rv.analyze(d.source_files(spark, sf, patch=False), RuleSet((spec,))).select(*V_KEY)
 
 
 # ----------------------------------------------------------------------------------------------- facts
@@ -435,7 +438,7 @@ def custom_rule(spark, sf):
 
 @query
 def facts_regex(spark, sf):
-    f = facts.facts_regex(d.source_files(spark, sf), FK)
+    f = facts.facts_regex(d.source_files(spark, sf, patch=False), FK)
     entry = lambda kind, a, name, line: F.transform(
         F.col(f"facts.{a}"),
         lambda x: F.struct(F.lit(kind).alias("kind"), x[name].alias("name"), x[line].alias("line"),
@@ -450,7 +453,7 @@ def facts_regex(spark, sf):
 
 @query
 def loc_sloc(spark, sf):
-    return facts.loc_sloc(d.source_files(spark, sf), FK)
+    return facts.loc_sloc(d.source_files(spark, sf, patch=False), FK)
 
 
 @query
@@ -680,8 +683,8 @@ def first_three_rules(spark, sf):
 @query
 def fix_naming(spark, sf):
     """The whole-word rename of every naming violation, on the whole text of its file."""
-    v = rv.analyze(d.source_files(spark, sf).drop("patch"), load_rules().only("S002"))
-    files = d.source_files(spark, sf)
+    v = rv.analyze(d.source_files(spark, sf, patch=False), load_rules().only("S002"))
+    files = d.source_files(spark, sf, patch=False)
     old = rewrite.defined_name(F.col("code_snippet"))
     new = rewrite.new_name_of(F.col("suggestion"))
     return v.join(files.select("file_ord", "content"), "file_ord").select(
@@ -691,13 +694,13 @@ def fix_naming(spark, sf):
 
 @query
 def fix_bare_except(spark, sf):
-    ln = lines.source_lines(d.source_files(spark, sf), FK)
+    ln = lines.source_lines(d.source_files(spark, sf, patch=False), FK)
     return ln.select("file_ord", "line", rewrite.bare_except_fix(F.col("text")).alias("fixed")).filter("fixed IS NOT NULL")
 
 
 @query
 def fix_secret(spark, sf):
-    ln = lines.source_lines(d.source_files(spark, sf), FK)
+    ln = lines.source_lines(d.source_files(spark, sf, patch=False), FK)
     return (
         ln.select("file_ord", "line", rewrite.secret_fix(F.col("text")).alias("x"))
         .filter("x IS NOT NULL")
@@ -707,7 +710,7 @@ def fix_secret(spark, sf):
 
 @query
 def ensure_import(spark, sf):
-    f = d.source_files(spark, sf)
+    f = d.source_files(spark, sf, patch=False)
     return f.select("file_ord", F.md5(rewrite.ensure_import(F.col("content"))).alias("code"))
 
 

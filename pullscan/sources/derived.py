@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pullscan.functions.once import compute_once
+
 # Line text by residue. Placeholders: {q} sentence, {n} line number, {s} residue.
 LINE_RECIPE = """CASE
  WHEN {s} < 4 THEN 'def get_item_' || {n} || '(x):'
@@ -94,25 +96,31 @@ def _patch(lines: Column) -> Column:
     return marked, F.concat(F.array_join(hunks, "\n"), F.lit("\n\\ No newline at end of file"))
 
 
-def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_files(spark: SparkSession, sf_dir: str, patch: bool = True, content: bool = True) -> DataFrame:
     """``repo, pr_number, file_ord, filename, status, additions, deletions, patch, content`` with the text of every
-    file, before any gate or join. ``file_ord`` is the document id."""
-    base = _sentences(spark, sf_dir).withColumn("src", _lines())
-    marked, patch = _patch(F.col("src"))
-    base = base.withColumn("marked", marked)
+    file, before any gate or join. ``file_ord`` is the document id. Leave out ``patch`` (with its counts) or
+    ``content`` where only the other is read."""
+    base = compute_once(_sentences(spark, sf_dir), ["f"], {"src": _lines()})
+    made = {}
+    if patch:
+        marked, text = _patch(F.col("src"))
+        base = base.withColumn("marked", marked)
+        count = lambda m: F.size(F.filter("marked", lambda r: r["p"] == m))
+        made = {"additions": count("+"), "deletions": count("-"), "patch": F.when(F.col("f") % 23 != 0, text)}
+    if content:
+        made["content"] = F.array_join("src", "\n")
+    return compute_once(base, ["f"], made).select(*_keys(), *made)
+
+
+def _keys() -> list[Column]:
     pr = F.expr(PR_NUMBER.format(f="f"))
-    count = lambda m: F.size(F.filter("marked", lambda r: r["p"] == m))
-    return base.select(
+    return [
         repo_of(pr).alias("repo"),
         pr.alias("pr_number"),
         F.col("f").alias("file_ord"),
         F.expr(FILENAME.format(f="f")).alias("filename"),
         F.expr(STATUS.format(f="f")).alias("status"),
-        count("+").alias("additions"),
-        count("-").alias("deletions"),
-        F.when(F.col("f") % 23 != 0, patch).alias("patch"),
-        F.array_join("src", "\n").alias("content"),
-    )
+    ]
 
 
 def repo_of(pr: Column) -> Column:
@@ -139,13 +147,13 @@ def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_files(spark, sf_dir).drop("content")
+    return source_files(spark, sf_dir, content=False)
 
 
 def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File texts at the head branch (missing for every 31st) and at the last commit, where the first line is gone
     (missing for every 37th)."""
-    src = source_files(spark, sf_dir).select("repo", "pr_number", "file_ord", F.col("filename").alias("path"), "content")
+    src = source_files(spark, sf_dir, patch=False).select("repo", "pr_number", "file_ord", F.col("filename").alias("path"), "content")
     f, pr = F.col("file_ord"), F.col("pr_number")
     newline = F.locate("\n", F.col("content"))
     older = F.when(newline > 0, F.substring(F.col("content"), newline + 1, F.length("content"))).otherwise("")
@@ -195,12 +203,7 @@ def repo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_files_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys and status only; the scan reads nothing but the document ids."""
-    d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("f"))
-    pr = F.expr(PR_NUMBER.format(f="f"))
-    return d.select(
-        repo_of(pr).alias("repo"), pr.alias("pr_number"), F.col("f").alias("file_ord"),
-        F.expr(FILENAME.format(f="f")).alias("filename"), F.expr(STATUS.format(f="f")).alias("status"),
-    )
+    return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("f")).select(*_keys())
 
 
 # Test log layouts by order key. {k} order key, {a} {b} {c} small numbers from it.

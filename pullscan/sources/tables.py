@@ -149,15 +149,24 @@ SNAPSHOT_FILE = (
 )
 
 
-def handoff_snapshot(files: DataFrame, pull_requests: DataFrame, results: DataFrame, at: Column) -> DataFrame:
-    """The context as JSON, one record per file of a pull request."""
+def handoff_snapshot(
+    files: DataFrame, pull_requests: DataFrame, results: DataFrame, violations: DataFrame, at: Column
+) -> DataFrame:
+    """The context as JSON, one record per file of a pull request with that file's violations and texts."""
     rewritten = results.filter("success").select(*PR_KEY, "filename", "refactored_code")
     heads = pull_requests.select(*PR_KEY, F.col("head_branch").alias("branch"))
+    item = F.struct("rule_ord", "line", "seq", F.to_json(F.struct(*model.VIOLATION_COLUMNS)).alias("json"))
+    found = (
+        violations.groupBy(*PR_KEY, F.col("file").alias("filename"))
+        .agg(F.sort_array(F.collect_list(item)).alias("items"))
+        .select(*PR_KEY, "filename", F.transform("items", lambda x: x["json"]).alias("violations"))
+    )
     record = F.struct(
         F.col("pr_number"),
         F.col("repo").alias("repository"),
         F.col("branch"),
         F.col("filename").alias("file"),
+        F.col("violations"),
         F.when((F.col("status") != "removed") & (F.length("content") > 0), F.col("content")).alias("original_code"),
         F.col("refactored_code"),
         at.alias("started_at"),
@@ -165,6 +174,7 @@ def handoff_snapshot(files: DataFrame, pull_requests: DataFrame, results: DataFr
     )
     return (
         files.join(heads, PR_KEY)
+        .join(found, [*PR_KEY, "filename"], "left")
         .join(rewritten, [*PR_KEY, "filename"], "left")
         .select(*PR_KEY, "file_ord", F.to_json(record).alias("value"))
     )
