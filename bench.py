@@ -1,4 +1,8 @@
-"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line."""
+"""Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
+
+Each query is timed once over the whole tables, building the plan included. Before that it runs untimed on the smallest
+data set next to the measured one, so that compiling the generated code and starting Python workers is not measured.
+"""
 
 from __future__ import annotations
 
@@ -25,8 +29,11 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     # One small query first, so that starting the session is not part of a result.
     spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("sum(length(text))").collect()
+    small = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     seconds = {}
     for name in HEADLINE:
+        if os.path.isdir(small):
+            QUERIES[name](spark, small).write.format("noop").mode("overwrite").save()
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)

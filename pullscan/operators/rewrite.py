@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pullscan.functions import text as tx
 from pullscan.functions.once import compute_once, let
 from pullscan.model import PR_KEY
-from pullscan.operators.review import fixable_files
 from pullscan.rules.checks import BARE_EXCEPT, CLASS, DEF
 
 # Which rules have a fix, and the assignments recognised as secrets, in order.
@@ -251,5 +250,3 @@ def apply_fixes(files: DataFrame, violations: DataFrame) -> DataFrame:
 def commit_message(violations_fixed: Column) -> Column:
     return F.concat(F.lit("Auto-fix: "), F.array_join(F.slice(violations_fixed, 1, 3), ", "))
 
-
-__all__ = ["apply_fixes", "fix_order", "fixable_files", "ensure_import", "secret_fix", "bare_except_fix", "rename"]
