@@ -117,18 +117,35 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1000) -> tuple[froz
     return lexicon, model, train([r[0] for r in rows], posterior, np.ones(len(rows)))
 
 
+def judged(texts: list[bytes], lexicon: frozenset[bytes], model: LabelModel, scorer: Model | None) -> tuple[list[int], list[float], list[float]]:
+    """Votes, posterior and score of each text; the score of a text without words is 0."""
+    codes = [votes(t, lexicon) for t in texts]
+    posterior = [model.good.get(c, 0.5) for c in codes]
+    score = [0.0 if not t.strip() else p if scorer is None else scorer.probability(t) for t, p in zip(texts, posterior, strict=True)]
+    return codes, posterior, score
+
+
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = 1000, threshold: float = 0.5) -> DataFrame:
     """``doc_id, votes, posterior, score, kept``: what the labellers say, and what the scorer trained on it decides."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class))  # of fixed size
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, labels_model, scorer = sent.value
         for b in batches:
-            texts = byte_texts(b.column("text"))
-            codes = [votes(t, lexicon) for t in texts]
-            posterior = [labels_model.good.get(c, 0.5) for c in codes]
-            score = [p if scorer is None else scorer.probability(t) for t, p in zip(texts, posterior, strict=True)]
-            kept = [bool(t.strip()) and s >= threshold for t, s in zip(texts, score, strict=True)]
+            codes, posterior, score = judged(byte_texts(b.column("text")), *sent.value)
+            kept = [s >= threshold for s in score]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(codes, pa.int64()), pa.array(posterior, pa.float64()), pa.array(score, pa.float64()), pa.array(kept, pa.bool_())], ["doc_id", "votes", "posterior", "score", "kept"])
 
     return id_and_text(docs).mapInArrow(judge, SCHEMA)
+
+
+def accepted_documents(docs: DataFrame, labels: DataFrame, per_class: int = 1000, threshold: float = 0.5) -> DataFrame:
+    """The rows that ``classify`` keeps, with all their columns: the whole row passes the scorer, nothing is joined."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class))
+    schema = docs.schema
+
+    def accept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            score = judged(byte_texts(b.column(b.schema.get_field_index("text"))), *sent.value)[2]
+            yield b.filter(pa.array([s >= threshold for s in score], pa.bool_()))
+
+    return docs.mapInArrow(accept, schema)
