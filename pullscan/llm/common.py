@@ -33,6 +33,18 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes together (one text at least), so that memory does not grow with a batch."""
+    begin = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > most:
+            yield begin, i
+            begin, held = i, 0
+        held += len(t)
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads every bit of 64-bit numbers over all bits, one to one."""
     x = x.astype(np.uint64)

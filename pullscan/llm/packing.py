@@ -21,20 +21,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pullscan.llm.common import byte_texts, id_and_text
+from pullscan.llm.common import byte_texts, id_and_text, slices
 from pullscan.session import shared_path
 
 STREAM = "part int, first long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long"
 #: Distinct words whose ids a worker remembers; a full memory is emptied.
-MEMORY = 600_000
+MEMORY = 700_000
+#: Marks that form one piece of the word tokenizer wherever letters stand before them.
+PLAIN_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class Table:
+    """Id lists one after another."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these lists in a row, and the lists' lengths."""
+        n = self.lengths[at]
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(int(ends[-1]) if len(n) else 0)], n
 
 
 class Encoder:
     """Ids of whole texts by a tokenizer whose pieces never cross white space, each distinct word being encoded once.
 
-    The new words of a batch are encoded together, parted by a special token, so that the tokenizer itself decides about
-    each word. A text that spells a special token is left to the tokenizer as a whole.
+    A word of letters below U+0250 with ASCII marks behind is two pieces, lower-cased letters and marks, and each distinct piece
+    is encoded once, many at a time: a piece ends with the id of a word's end. Any other word is encoded by itself, parted from
+    the next by a special token. A text that spells a special token is left to the tokenizer as a whole.
     """
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
@@ -44,22 +65,52 @@ class Encoder:
         special = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special]
         self.special = [s.encode() for s, _ in special]
         self.part, self.part_id = special[-1]
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.memory = memory
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.words = Table(self.kind)
+        self.piece: dict[str, int] = {"": 0}
+        self.pieces = Table(self.kind)
+        self.pieces.add(np.zeros(0, np.int64), np.zeros(1, np.int64))
+
+    def parted(self, word: bytes) -> tuple[str, str] | None:
+        """The word's letters and marks, if these are its pieces for sure."""
+        s = word.decode()
+        letters = s.rstrip(PLAIN_MARKS)
+        low = letters.lower()
+        if not letters:
+            return "", s
+        return (low, s[len(letters) :]) if letters.isalpha() and low.isalpha() and max(letters) < "\u0250" else None
 
     def learn(self, words: list[bytes]) -> None:
-        ids = np.array(self.tokenizer.encode(self.part.join([w.decode() for w in words]) + self.part, add_special_tokens=False).ids, np.int64)
-        ends = np.flatnonzero(ids == self.part_id)
-        lengths = np.diff(ends, prepend=-1) - 1
-        kept = ids[ids != self.part_id].astype(self.kind)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, kept])
+        """Adds the words, in their order."""
+        parted = [self.parted(w) for w in words]
+        new = list(dict.fromkeys(p for x in parted if x for p in x if p not in self.piece))
+        if new:
+            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.int64)
+            lengths = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(lengths) != len(new):
+                raise ValueError("a piece without an end")
+            self.piece.update(zip(new, range(len(self.piece), len(self.piece) + len(new)), strict=True))
+            self.pieces.add(ids, lengths)
+        odd = [w for w, x in zip(words, parted, strict=True) if x is None]
+        if odd:
+            ids = np.array(self.tokenizer.encode(self.part.join([w.decode() for w in odd]) + self.part, add_special_tokens=False).ids, np.int64)
+            lengths = np.diff(np.flatnonzero(ids == self.part_id), prepend=-1) - 1
+            first = len(self.pieces.lengths)
+            self.pieces.add(ids[ids != self.part_id], lengths)
+            # Numbers of pieces go on beyond the named ones, so that later pieces keep theirs.
+            self.piece.update({f" {first + i}": first + i for i in range(len(odd))})
+            at = iter(range(first, first + len(odd)))
+        pairs = np.array([(self.piece[x[0]], self.piece[x[1]]) if x else (next(at), 0) for x in parted], np.int64)
+        ids, lengths = self.pieces.take(pairs.ravel())
+        self.words.add(ids, lengths.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
@@ -78,12 +129,8 @@ class Encoder:
                 at.append(k)
         if new:
             self.learn(new)
-        at = np.array(at, np.int64)
-        n = self.lengths[at]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(n) else 0
-        ids = self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(total)]
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
+        ids, n = self.words.take(np.array(at, np.int64))
+        upto = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, words)])]
         counts = np.diff(upto)
         if odd:
             own = {i: np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, self.kind) for i in odd}
@@ -110,13 +157,15 @@ def token_stream(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         coder = _encoder(public_tokenizers.path(tokenizer))
         part, first = TaskContext.get().partitionId(), 0
         for b in batches:
-            ids, counts = coder.encode(byte_texts(b.column("text")))
-            ends = np.cumsum(counts)
-            rows = [np.append(ids[e - c : e], coder.kind.type(end_id)).tobytes() for e, c in zip(ends, counts, strict=True)]
-            n = counts + 1
-            begins = first + np.cumsum(n) - n
-            first += int(n.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(begins.astype(np.int64)), b.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(rows, pa.binary())], ["part", "first", "doc_id", "n", "ids"])
+            texts = byte_texts(b.column("text"))
+            for i, j in slices(texts):
+                ids, counts = coder.encode(texts[i:j])
+                ends = np.cumsum(counts)
+                rows = [np.append(ids[e - c : e], coder.kind.type(end_id)).tobytes() for e, c in zip(ends, counts, strict=True)]
+                n = counts + 1
+                begins = first + np.cumsum(n) - n
+                first += int(n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(begins.astype(np.int64)), b.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(rows, pa.binary())], ["part", "first", "doc_id", "n", "ids"])
 
     spark = docs.sparkSession
     path = shared_path(spark, "tokens")

@@ -74,15 +74,18 @@ def _pairs(tokens: DataFrame) -> dict[tuple[int, int], int]:
 def log_ratios(random: dict[tuple[int, int], int], plain: dict[tuple[int, int], int], size: int = 64) -> list[float]:
     """log P(next | this, random) - log P(next | this, ordinary) at ``this * 128 + next``.
 
-    Each chain has one imagined occurrence of each of ``size`` characters; the random chain, which must also know strings
-    over other alphabets than the sample's, has a tenth of its own occurrences spread evenly as well.
+    The random chain has one imagined occurrence of each of ``size`` characters, and a tenth of it is spread evenly, since it must
+    also know strings over other alphabets than the sample's. The ordinary chain falls back to how often a character occurs in
+    ordinary words at all, so what hardly occurs there stays unlikely after any character.
     """
-    out = []
+    out, least, weight = [], 0.1, 4
+    ordinary = [sum(c for (_, y), c in plain.items() if y == b) + least for b in range(128)]
+    total = sum(plain.values()) + least * size
     for a in range(128):
         n1, n0 = (sum(c for (x, _), c in t.items() if x == a) for t in (random, plain))
         for b in range(128):
             p1 = 0.9 * (random.get((a, b), 0) + 1) / (n1 + size) + 0.1 / size
-            p0 = (plain.get((a, b), 0) + 1) / (n0 + size)
+            p0 = (plain.get((a, b), 0) + weight * ordinary[b] / total) / (n0 + weight)
             out.append(round(math.log(p1 / p0), 4))
     return out
 
@@ -94,6 +97,8 @@ def train(scanned: DataFrame, text: str, train_rows: int, seed: int = 7) -> list
     n = scanned.count()
     chance = F.pmod(F.xxhash64("doc_id", F.length(text), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = scanned.where((chance * n < train_rows) & (F.size("__base") == 0)).select(F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("token"))
+    # What is to be scored does not teach what is ordinary.
+    sample = sample.where(~F.col("token").rlike(TOKEN))
     return log_ratios(random, _pairs(sample))
 
 
