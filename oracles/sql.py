@@ -181,9 +181,10 @@ _few = " UNION ALL ".join(s for r in ("S002", "SEC001", "BP001") for s in rule_s
 oracle("rules_enabled", f"SELECT rule_id, count(*) AS n FROM ({_few}) GROUP BY 1", "wl")
 _table = " UNION ALL ".join(f"SELECT {o} AS rule_ord, '{r}' AS rule_id, '{n}' AS rule_name, '{c}' AS category, '{s}' AS severity" for r, (o, n, c, s, _) in RULES.items())
 oracle("load_rules", f"SELECT t.*, count(v.rule_id) AS n FROM ({_table}) t LEFT JOIN v USING (rule_id) GROUP BY ALL", "v")
-cte("docl", """SELECT f, n, t, CAST(NULL AS VARCHAR) AS nxt FROM (SELECT doc_id AS f, unnest(l) AS t, CAST(generate_subscripts(l, 1) AS INT) AS n
+cte("docl", """SELECT *, lead(t) OVER (PARTITION BY f ORDER BY n) AS nxt FROM (SELECT doc_id AS f, unnest(l) AS t, CAST(generate_subscripts(l, 1) AS INT) AS n
  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> ''))""")
-_docs = " UNION ALL ".join(rule_selects("docl", "fns")["S001"] + rule_selects("docl", "fns")["SEC001"])
+# No line of the documents defines a function, so the two rules about functions find nothing there.
+_docs = " UNION ALL ".join(s for r in ("S001", "S002", "SEC001", "SEC002", "BP001") for s in rule_selects("docl", "fns")[r])
 for _k in ("analyze_documents", "stream_review"):
     oracle(_k, f"SELECT f AS file_ord, rule_id, line, message, suggestion, code_snippet, confidence FROM ({_docs})", "docl")
 oracle("custom_rule", """SELECT f AS file_ord, 'X001' AS rule_id, n AS line, 'Comment contains ''note''' AS message, '' AS suggestion,
@@ -272,12 +273,6 @@ oracle("review_payload", f"""SELECT d.repo, d.pr_number, d.event, c.file_ord, co
  SELECT repo, pr_number, file_ord, CAST(to_json(list({{'path': file, 'line': line, 'body': {BODY}}} ORDER BY rule_ord, line, seq)) AS VARCHAR) AS comments FROM comments GROUP BY 1, 2, 3) c USING (repo, pr_number)""", "dece", "comments")
 oracle("violations_json", """SELECT file_ord, CAST(to_json({'rule_id': rule_id, 'rule_name': rule_name, 'category': category, 'severity': severity, 'file': file, 'line': line, 'column': "column",
  'message': message, 'suggestion': suggestion, 'code_snippet': code_snippet, 'confidence': confidence}) AS VARCHAR) AS violation_json FROM v""", "v")
-oracle("summary_markdown", f"""SELECT d.repo, d.pr_number, 0 AS part, '## 🔍 AI Code Review Summary' || {NL} || {NL} || '| Metric | Count |' || {NL} || '|--------|-------|' || {NL}
- || '| Files Reviewed | ' || total_files || ' |' || {NL} || '| Total Issues | ' || total_violations || ' |' || {NL} || '| 🚨 Critical | ' || critical_count || ' |' || {NL}
- || '| ❌ Errors | ' || error_count || ' |' || {NL} || '| ⚠️ Warnings | ' || warning_count || ' |' || {NL} || '| ℹ️ Info | ' || info_count || ' |'
- || coalesce({NL} || {NL} || '### Files with Issues' || {NL} || {NL} || fl, '')
- || CASE WHEN total_violations = 0 THEN {NL} || {NL} || '✅ **No issues found! Great job!**' ELSE '' END AS markdown
- FROM dec d LEFT JOIN (SELECT repo, pr_number, string_agg('- `' || file || '`', {NL} ORDER BY file COLLATE "C") AS fl FROM vf GROUP BY 1, 2) USING (repo, pr_number)""".replace(' COLLATE "C"', ""), "dec", "vf")
 _cat = """CASE WHEN regexp_matches(lower(t), 'security|vulnerability|injection|xss|secret') THEN 'security' WHEN regexp_matches(lower(t), 'style|naming|format|indent') THEN 'style'
  WHEN regexp_matches(lower(t), 'complexity|performance|memory|efficiency') THEN 'quality' ELSE 'best_practices' END"""
 oracle("infer_category", f"SELECT doc_id, n AS line, {_cat} AS category FROM (SELECT doc_id, unnest(l) AS t, CAST(generate_subscripts(l, 1) AS INT) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))")
@@ -349,6 +344,15 @@ cte("result", f"""SELECT fl.repo, fl.pr_number, f AS file_ord, fl.filename, c.co
   array_to_string(list(rule_id ORDER BY n DESC, rule_ord, seq)[1:3], ', ') AS three FROM linefix GROUP BY f) ch USING (f)
  WHERE vf.n_violations >= 2""", "vf", "files", "content", "r_final", "r_at", "linefix")
 oracle("apply_fixes", "SELECT * EXCLUDE (three) FROM result", "result")
+_SECTIONS = {1: ("vf", "file", "### Files with Issues"), 2: ("result", "filename", "### 🔧 Automatic Refactoring Applied")}
+_rows = " UNION ALL ".join(f"""SELECT DISTINCT repo, pr_number, {k} AS section, CAST(NULL AS VARCHAR) AS file, {NL} || '{h}' || {NL} AS markdown FROM {t} WHERE {w}
+ UNION ALL SELECT DISTINCT repo, pr_number, {k} AS section, {c} AS file, '- `' || {c} || '`' AS markdown FROM {t} WHERE {w}"""
+ for k, (t, c, h) in _SECTIONS.items() for w in ["true" if k == 1 else "success"])
+oracle("summary_markdown", f"""SELECT repo, pr_number, 0 AS section, CAST(NULL AS VARCHAR) AS file, '## 🔍 AI Code Review Summary' || {NL} || {NL} || '| Metric | Count |' || {NL} || '|--------|-------|' || {NL}
+ || '| Files Reviewed | ' || total_files || ' |' || {NL} || '| Total Issues | ' || total_violations || ' |' || {NL} || '| 🚨 Critical | ' || critical_count || ' |' || {NL}
+ || '| ❌ Errors | ' || error_count || ' |' || {NL} || '| ⚠️ Warnings | ' || warning_count || ' |' || {NL} || '| ℹ️ Info | ' || info_count || ' |'
+ || CASE WHEN total_violations = 0 THEN {NL} || {NL} || '✅ **No issues found! Great job!**' ELSE '' END AS markdown FROM dec
+ UNION ALL {_rows}""", "dec", "vf", "result")
 oracle("first_three_rules", "SELECT file_ord, 'Auto-fix: ' || three AS message FROM result WHERE success", "result")
 oracle("refactor_results", """SELECT file_ord, CASE WHEN file_ord % 7 = 0 THEN 'Failed to fetch file' ELSE changes_description END AS changes_description, success AND file_ord % 7 <> 0 AS success,
  CASE WHEN file_ord % 7 = 0 THEN 'Could not fetch file contents' END AS error_message FROM result""", "result")

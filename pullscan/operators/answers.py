@@ -49,25 +49,25 @@ def refactor_prompt(code: Column, issues: Column) -> Column:
     return F.concat(F.lit("Refactor this code to fix:\n\n"), listed, F.lit("\n\nOriginal code:\n```\n"), code, F.lit("\n```"))
 
 
-def equivalence_prompt(original: Column, refactored: Column, messages: Column) -> Column:
-    """Names the first five messages and shows the first 2000 characters of each version, as the prompt format has it."""
+def equivalence_prompt(
+    original: Column, refactored: Column, messages: Column, max_chars: int | None = None, max_messages: int | None = None
+) -> Column:
+    """Names the messages and shows both versions, whole unless a limit is given."""
+    if max_chars is not None:
+        original, refactored = tx.prefix(original, max_chars), tx.prefix(refactored, max_chars)
     return F.concat(
         F.lit(
             "Analyze these two code versions and determine if they are semantically equivalent\n"
             "(produce the same behavior), accounting for the fact that the refactored version was modified to fix "
             "these issues:\n"
         ),
-        F.array_join(first_five_messages(messages), ", "),
-        F.lit("\n\nORIGINAL CODE:\n```python\n"), tx.prefix(original, 2000),
-        F.lit("\n```\n\nREFACTORED CODE:\n```python\n"), tx.prefix(refactored, 2000),
+        F.array_join(messages if max_messages is None else F.slice(messages, 1, max_messages), ", "),
+        F.lit("\n\nORIGINAL CODE:\n```python\n"), original,
+        F.lit("\n```\n\nREFACTORED CODE:\n```python\n"), refactored,
         F.lit(EQUIVALENCE_TAIL),
     )
 
 
-def first_five_messages(messages: Column) -> Column:
-    return F.slice(messages, 1, 5)
-
-
 def review_prompts(chunks: DataFrame) -> DataFrame:
     """One prompt per added chunk of at least three lines."""
     return chunks.filter(F.col("n_lines") >= 3).select(
@@ -78,8 +78,9 @@ def review_prompts(chunks: DataFrame) -> DataFrame:
 
 def comment_prompts(violations: DataFrame) -> DataFrame:
     """One prompt per critical or error violation."""
+    order = [c for c in ("rule_ord", "seq") if c in violations.columns]
     return violations.filter(F.col("severity").isin("critical", "error")).select(
-        *PR_KEY, "file_ord", F.col("file").alias("filename"), F.col("line").alias("start_line"),
+        *PR_KEY, "file_ord", "rule_id", *order, F.col("file").alias("filename"), F.col("line").alias("start_line"),
         F.lit("comment").alias("kind"), F.lit(COMMENT_SYSTEM).alias("system"),
         comment_prompt(F.col("code_snippet"), F.col("rule_name"), F.col("message")).alias("prompt"),
     )
@@ -104,8 +105,10 @@ def refactor_prompts(files: DataFrame, violations: DataFrame) -> DataFrame:
     )
 
 
-def equivalence_prompts(results: DataFrame, violations: DataFrame) -> DataFrame:
-    """One prompt per successful rewrite."""
+def equivalence_prompts(
+    results: DataFrame, violations: DataFrame, max_chars: int | None = None, max_messages: int | None = None
+) -> DataFrame:
+    """One prompt per successful rewrite; ``max_chars`` and ``max_messages`` shorten it, by default nothing is cut."""
     messages = F.transform("items", lambda v: v["message"])
     return (
         results.filter("success")
@@ -113,7 +116,7 @@ def equivalence_prompts(results: DataFrame, violations: DataFrame) -> DataFrame:
         .select(
             *FILE_KEY, F.lit(0).alias("start_line"), F.lit("equivalence").alias("kind"),
             F.lit(None).cast("string").alias("system"),
-            equivalence_prompt(F.col("original_code"), F.col("refactored_code"), messages).alias("prompt"),
+            equivalence_prompt(F.col("original_code"), F.col("refactored_code"), messages, max_chars, max_messages).alias("prompt"),
         )
     )
 

@@ -178,10 +178,20 @@ def facts_functions(facts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def facts_classes(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Classes with the names of their methods."""
-    methods = F.transform(
-        F.filter("facts.functions", lambda f: f["class_name"] == F.col("c.name")), lambda f: f["name"]
-    )
+    """Classes with the names of their methods. Of classes with one name, a method belongs to the innermost around it."""
+    c = F.col("c")
+
+    def inside(f: Column, k: Column) -> Column:
+        return (f["start_line"] > k["start_line"]) & (f["start_line"] <= k["end_line"])
+
+    def nearer(f: Column) -> Column:
+        return F.exists(
+            "facts.classes",
+            lambda k: (k["name"] == c["name"]) & (k["start_line"] > c["start_line"]) & inside(f, k),
+        )
+
+    own = F.filter("facts.functions", lambda f: (f["class_name"] == c["name"]) & F.coalesce(inside(f, c) & ~nearer(f), F.lit(True)))
+    methods = F.transform(own, lambda f: f["name"])
     return facts.select(*keys, "facts", F.explode("facts.classes").alias("c")).select(
         *keys, "c.*", methods.alias("methods")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import re
 import warnings
 
 import pyarrow as pa
@@ -15,11 +16,15 @@ _COMPLEX = (
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
+# Where the parser counts a new line: other characters that splitlines() breaks at are ordinary ones to it.
+_LINE_END = re.compile(r"(?<=\n)|(?<=\r)(?!\n)")
+
+
 class _Source:
     """Cuts node text out of the source; columns in the tree are UTF-8 byte offsets."""
 
     def __init__(self, code: str):
-        self.lines = [line.encode() for line in code.splitlines(keepends=True)]
+        self.lines = [line.encode() for line in _LINE_END.split(code)]
 
     def text(self, node) -> str:
         a, b = node.lineno - 1, node.end_lineno - 1

@@ -228,11 +228,13 @@ def review_summary(decisions: DataFrame) -> DataFrame:
 
 def review_comments(violations: DataFrame, generated: DataFrame | None = None) -> DataFrame:
     """One comment per violation. ``generated`` may hold a text per critical or error violation
-    (``repo, pr_number, file, line, rule_id, generated_body``), which replaces the message."""
+    (``repo, pr_number, file, line, rule_id, generated_body`` and the ``rule_ord, seq`` its prompt carried, without which
+    two findings of a rule on one line cannot be told apart), which replaces the message."""
     v = violations
     message = F.col("message")
     if generated is not None:
-        v = v.join(generated, [*PR_KEY, "file", "line", "rule_id"], "left")
+        key = [*PR_KEY, "file", "line", "rule_id", *(c for c in ("rule_ord", "seq") if c in generated.columns)]
+        v = v.join(generated.dropDuplicates(key), key, "left")
         message = F.when(F.col("severity").isin("critical", "error"), F.coalesce("generated_body", "message")).otherwise(
             message
         )
@@ -288,7 +290,8 @@ def review_payload(comments: DataFrame, decisions: DataFrame) -> DataFrame:
     """Review payload in parts: one row per file with its comments in order, plus the event of the pull request.
 
     A part holds the comments of one file, so its size is bounded by the file's text however many files the pull
-    request has; a pull request without comments has one part with an empty list.
+    request has; a pull request without comments has one part with an empty list. Parts and decisions meet in an inner
+    join, of which adaptive execution can split either side, so a pull request with most of the comments is no bottleneck.
     """
     item = F.struct("rule_ord", "line", "seq", "path", "body")
     parts = (
@@ -299,65 +302,29 @@ def review_payload(comments: DataFrame, decisions: DataFrame) -> DataFrame:
     out = F.transform(
         "items", lambda x: F.struct(x["path"].alias("path"), x["line"].alias("line"), x["body"].alias("body"))
     )
-    return (
-        decisions.select(*PR_KEY, "event")
-        .join(parts, PR_KEY, "left")
-        .select(
-            *PR_KEY,
-            "event",
-            "file_ord",
-            F.coalesce(out, F.array().cast("array<struct<path:string,line:int,body:string>>")).alias("comments"),
-        )
+    none = F.array().cast("array<struct<path:string,line:int,body:string>>")
+    full = parts.join(decisions.select(*PR_KEY, "event"), PR_KEY).select(
+        *PR_KEY, "event", "file_ord", out.alias("comments")
     )
-
-
-def _bullets(files: Column) -> Column:
-    return F.array_join(F.transform(files, lambda f: F.concat(F.lit("- `"), f, F.lit("`"))), "\n")
-
-
-FILES_PER_PART = 1000
-
-
-def _file_parts(files: DataFrame, name: str) -> DataFrame:
-    """Sorted file lists in parts of about ``FILES_PER_PART``: a pull request up to that size has one part, a huge
-    one is split by a hash of the file name. No group grows with the pull request and no file is dropped."""
-    counts = files.groupBy(*PR_KEY).agg(
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(FILES_PER_PART))).cast("int").alias("parts")
-    )
-    return (
-        files.join(counts, PR_KEY)
-        .withColumn("part", F.pmod(F.xxhash64("file"), F.col("parts")).cast("int"))
-        .groupBy(*PR_KEY, "part")
-        .agg(F.sort_array(F.collect_set("file")).alias(name))
+    empty = decisions.filter(F.col("total_violations") == 0).select(
+        *PR_KEY, "event", F.lit(None).cast(parts.schema["file_ord"].dataType).alias("file_ord"), none.alias("comments")
     )
+    return full.unionByName(empty)
 
 
 def summary_markdown(
     decisions: DataFrame, issues: DataFrame, refactored: DataFrame | None = None
 ) -> DataFrame:
-    """The markdown report. ``issues`` and ``refactored`` are ``(repo, pr_number, file)`` tables.
+    """The markdown report as rows ``section, file, markdown``; ordered by section and file (nulls first) they are its text.
 
-    Part 0 carries the header and the counts; further parts exist only for pull requests with more than
-    ``FILES_PER_PART`` files in a list, and continue the lists.
+    Section 0 has one row per pull request with the counts; sections 1 and 2 (files with issues, rewritten files) have a
+    heading row without a file and one row per file. ``issues`` and ``refactored`` are ``(repo, pr_number, file)`` tables.
     """
-    lists = _file_parts(issues, "issue_files")
-    if refactored is not None:
-        lists = lists.join(_file_parts(refactored, "refactored_files"), [*PR_KEY, "part"], "full")
-    else:
-        lists = lists.withColumn("refactored_files", F.lit(None).cast("array<string>"))
-    d = decisions.withColumn("part", F.lit(0))
-    later = lists.filter(F.col("part") > 0).select(*PR_KEY, "part", "issue_files", "refactored_files")
     count_line = lambda label, c: F.concat(F.lit(f"| {label} | "), F.col(c).cast("string"), F.lit(" |"))
-    issue_block = F.when(
-        F.size("issue_files") > 0, F.concat(F.lit("\n### Files with Issues\n\n"), _bullets(F.col("issue_files")))
-    )
-    refactor_block = F.when(
-        F.size("refactored_files") > 0,
-        F.concat(F.lit("\n### 🔧 Automatic Refactoring Applied\n\n"), _bullets(F.col("refactored_files"))),
-    )
-    head = d.join(lists, [*PR_KEY, "part"], "left").select(
+    head = decisions.select(
         *PR_KEY,
-        "part",
+        F.lit(0).alias("section"),
+        F.lit(None).cast("string").alias("file"),
         F.concat_ws(
             "\n",
             F.lit("## 🔍 AI Code Review Summary\n"),
@@ -369,10 +336,19 @@ def summary_markdown(
             count_line("❌ Errors", "error_count"),
             count_line("⚠️ Warnings", "warning_count"),
             count_line("ℹ️ Info", "info_count"),
-            issue_block,
-            refactor_block,
             F.when(F.col("total_violations") == 0, F.lit("\n✅ **No issues found! Great job!**")),
         ).alias("markdown"),
     )
-    rest = later.select(*PR_KEY, "part", F.concat_ws("\n", issue_block, refactor_block).alias("markdown"))
-    return head.unionByName(rest)
+    out = head.unionByName(_section(issues, 1, "\n### Files with Issues\n"))
+    if refactored is not None:
+        out = out.unionByName(_section(refactored, 2, "\n### 🔧 Automatic Refactoring Applied\n"))
+    return out
+
+
+def _section(files: DataFrame, number: int, heading: str) -> DataFrame:
+    """A heading for each pull request with files, and a bullet for each file."""
+    keyed = files.select(*PR_KEY, F.lit(number).alias("section"), "file").distinct()
+    top = keyed.select(*PR_KEY, "section", F.lit(None).cast("string").alias("file"), F.lit(heading).alias("markdown"))
+    return top.distinct().unionByName(
+        keyed.withColumn("markdown", F.concat(F.lit("- `"), F.col("file"), F.lit("`")))
+    )

@@ -36,6 +36,12 @@ def success_rate(passed: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(1.0)).otherwise(passed / total)
 
 
+def _heard(logs: DataFrame, tool: str) -> DataFrame:
+    """The runs of a tool. What a timed-out run printed before is not read."""
+    late = F.coalesce(F.col("timed_out"), F.lit(False))
+    return logs.filter(F.col("tool") == tool).withColumns({c: F.when(~late, F.col(c)) for c in ("stdout", "stderr") if c in logs.columns})
+
+
 def _suite(logs: DataFrame, keys: list[str], passed, failed, errors, duration, coverage) -> DataFrame:
     counted = logs.select(
         *keys,
@@ -64,7 +70,7 @@ def pytest_suites(logs: DataFrame, keys: list[str]) -> DataFrame:
     three = out.rlike(_THREE)
     pick = lambda i, single: _int(F.when(three, _group(out, _THREE, i)).otherwise(single))
     return _suite(
-        logs.filter(F.col("tool") == "pytest"),
+        _heard(logs, "pytest"),
         keys,
         pick(1, _group(out, _PASSED)),
         pick(2, _group(out, _FAILED)),
@@ -80,7 +86,7 @@ def pytest_results(logs: DataFrame, keys: list[str]) -> DataFrame:
     statuses = F.regexp_extract_all("stdout", F.lit(_ONE_TEST), F.lit(2))
     zipped = F.arrays_zip(names.alias("name"), statuses.alias("status"))
     return (
-        logs.filter(F.col("tool") == "pytest")
+        _heard(logs, "pytest")
         .select(*keys, F.posexplode(zipped).alias("test_no", "t"))
         .select(*keys, "test_no", F.col("t.name").alias("name"), F.lower("t.status").alias("status"))
     )
@@ -89,7 +95,7 @@ def pytest_results(logs: DataFrame, keys: list[str]) -> DataFrame:
 def unittest_suites(logs: DataFrame, keys: list[str]) -> DataFrame:
     err = F.col("stderr")
     return _suite(
-        logs.filter(F.col("tool") == "unittest"),
+        _heard(logs, "unittest"),
         keys,
         _int(_group(err, _UNITTEST_OK)),
         _int(_group(err, _UNITTEST_FAILED)),

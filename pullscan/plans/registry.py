@@ -413,7 +413,7 @@ def analyze_documents(spark, sf):
         F.col("doc_id").alias("file_ord"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"),
         F.col("text").alias("content"),
     )
-    return rv.analyze(docs, load_rules().only("S001", "SEC001")).select(*V_KEY)
+    return rv.analyze(docs, load_rules()).select(*V_KEY)
 
 
 @register_rule("todo_comments")
@@ -589,7 +589,8 @@ def comment_body(spark, sf):
 def summary_markdown(spark, sf):
     v = violations(spark, sf)
     dec = rv.pr_decisions(scan_prs(spark, sf), d.file_changes(spark, sf), v)
-    return rv.summary_markdown(dec, rv.files_with_issues(v))
+    rewritten = results(spark, sf).filter("success").select("repo", "pr_number", F.col("filename").alias("file"))
+    return rv.summary_markdown(dec, rv.files_with_issues(v), rewritten)
 
 
 @query
@@ -615,8 +616,8 @@ def prompt_rows(spark, sf):
     v = plan.all_violations(files, i, load_rules())
     return (
         ans.review_prompts(diff.added_chunks(files, FILE_KEY, 3))
-        .unionByName(ans.comment_prompts(v))
-        .unionByName(ans.refactor_prompts(files, v))
+        .unionByName(ans.comment_prompts(v), allowMissingColumns=True)
+        .unionByName(ans.refactor_prompts(files, v), allowMissingColumns=True)
         .select("file_ord", "start_line", "kind", "prompt")
     )
 
@@ -624,7 +625,7 @@ def prompt_rows(spark, sf):
 @query
 def first_five_messages(spark, sf):
     done = results(spark, sf)
-    return ans.equivalence_prompts(done, violations(spark, sf)).select("file_ord", "prompt")
+    return ans.equivalence_prompts(done, violations(spark, sf), 2000, 5).select("file_ord", "prompt")
 
 
 @query
@@ -858,6 +859,6 @@ def stream_review(spark, sf):
         F.md5("text").alias("head_sha"), F.col("text").alias("content"), "arrived",
     )
     out, state = shared_path(spark, "stream-out"), shared_path(spark, "stream-state")
-    q = streaming.start_review(arriving, load_rules().only("S001", "SEC001"), out, state, once=True)
+    q = streaming.start_review(arriving, load_rules(), out, state, once=True)
     q.awaitTermination()
     return spark.read.parquet(out).select(*V_KEY)

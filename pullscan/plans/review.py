@@ -159,7 +159,9 @@ def review(spark: SparkSession, inputs: ReviewInputs, options: ReviewOptions | N
     return Review(files, violations, comments, decisions, results, verified, route)
 
 
-def review_events(r: Review, inputs: ReviewInputs, at: Column | None = None) -> DataFrame:
+def review_events(
+    r: Review, inputs: ReviewInputs, at: Column | None = None, enable_rollback: bool = True
+) -> DataFrame:
     """Every event of every review as JSON rows, ordered within a pull request by ``step`` and the order columns."""
     at = F.current_timestamp() if at is None else at
     prs = inputs.pull_requests
@@ -179,12 +181,13 @@ def review_events(r: Review, inputs: ReviewInputs, at: Column | None = None) ->
         tested = tested.join(inputs.tests.select(*PR_KEY, "passed", "total_tests"), PR_KEY)
     else:
         tested = tested.withColumn("passed", none.cast("int")).withColumn("total_tests", none.cast("int")).filter(F.lit(False))
-    rolled = r.route.filter("rollback_performed")
-    with_sha = r.route.filter(c("sha").isNotNull())
+    # A row per file: the list of a pull request's files has no bound.
+    rolled = results.filter("success").join(r.route.filter("rollback_performed").select(*PR_KEY), PR_KEY, "left_semi")
+    with_sha = r.route.filter(c("sha").isNotNull() & F.lit(enable_rollback))
     parts = [
         event_rows(prs, 1, "review_started", at, {"pr": c("pr_number")}),
         event_rows(r.decisions, 2, "pr_fetched", at, {"files_count": c("total_files")}),
-        event_rows(with_sha, 3, "rollback_point_created", at, {"sha": F.substring("sha", 1, 7)}),
+        event_rows(with_sha, 3, "rollback_point_created", at, {"sha": F.substring("sha", 1, 7), "full_sha": c("sha")}),
         event_rows(r.violations, 4, "rule_triggered", at, {
             "rule_id": c("rule_id"), "file": c("file"), "line": c("line"), "severity": c("severity")}),
         event_rows(r.comments, 5, "comment_generated", at, comment_fields(c("body"))),
@@ -192,7 +195,7 @@ def review_events(r: Review, inputs: ReviewInputs, at: Column | None = None) ->
         event_rows(results.filter("success"), 7, "refactor_applied", at, {"file": c("filename")}),
         event_rows(verification, 8, "verification", at, {"file": c("filename"), "passed": c("passed")}),
         event_rows(tested, 9, "tests", at, {"passed": c("passed"), "total": c("total_tests")}),
-        event_rows(rolled, 10, "rollback", at, {"success": F.lit(True)}),
+        event_rows(rolled, 10, "rollback", at, {"success": F.lit(True), "file": c("filename")}),
         event_rows(r.comments, 11, "comment_post_attempt", at, comment_fields(c("body"))),
         event_rows(r.decisions, 12, "comments_posted", at, {"count": c("total_violations"), "success": F.lit(True)}),
         event_rows(r.decisions, 13, "review_completed", at, {

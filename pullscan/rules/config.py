@@ -98,6 +98,26 @@ def _bad_pattern(config: dict) -> str | None:
             re.compile(p)
         except re.error as e:
             return f"{p!r}: {e}"
+        if bad := _refused(p):
+            return f"{p!r}: {bad}"
+    return None
+
+
+def _refused(pattern: str) -> str | None:
+    """Why the engine that runs the patterns refuses one; tried on the driver where a session exists."""
+    from pyspark.errors import PySparkException
+    from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
+
+    from pullscan.functions.text import python_regex
+
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return None
+    try:
+        spark.range(1).select(F.lit("").rlike(python_regex(pattern))).collect()
+    except (PySparkException, Exception) as e:  # noqa: BLE001  any failure of the engine speaks against the pattern
+        return str(e).splitlines()[0][:200]
     return None
 
 

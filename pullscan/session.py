@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -37,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
         master = spark.sparkContext.master
-        if not master.startswith("local"):
+        # Only plain local sessions share a folder with their executors.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         path = tempfile.mkdtemp(prefix="pullscan-")
         spark.conf.set("spark.checkpoint.dir", path)

@@ -55,9 +55,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core work when a scan has fewer splits than cores; a scan with enough splits stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    """Test tables of a single file are one split whatever its size; they are dealt to all cores. Others stay as they are."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,12 @@ from pullscan.model import PR_KEY, REVIEW_LOG
 
 
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 text with microseconds and offset."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    """ISO-8601 text in UTC with microseconds and offset, whatever the session's zone."""
+    return F.concat(F.date_format(_utc(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
+
+
+def _utc(ts: Column) -> Column:
+    return F.to_utc_timestamp(ts, F.current_timezone())
 
 
 def event_rows(source: DataFrame, step: int, event: str, at: Column, fields: dict[str, Column]) -> DataFrame:
@@ -29,7 +33,7 @@ def event_rows(source: DataFrame, step: int, event: str, at: Column, fields: dic
         order("line", "int"),
         order("seq", "int"),
         F.lit(event).alias("event"),
-        F.to_date(at).alias("event_date"),
+        F.to_date(_utc(at)).alias("event_date"),
         F.to_json(
             F.struct(
                 iso_utc(at).alias("timestamp"),

@@ -15,20 +15,99 @@ def test_markdown(spark):
     dec = spark.createDataFrame([("r", 1, 5, 3, 1, 1, 1, 0, 2)], "repo string, pr_number bigint, total_files bigint, total_violations bigint, "
                                 "critical_count bigint, error_count bigint, warning_count bigint, info_count bigint, files_with_issues bigint")
     files = spark.createDataFrame([("r", 1, "test.py"), ("r", 1, "main.py")], "repo string, pr_number bigint, file string")
-    md = rv.summary_markdown(dec, files, files).first().markdown
+    rows = rv.summary_markdown(dec, files, files).orderBy("section", F.col("file").asc_nulls_first()).collect()
+    md = "\n".join(r.markdown for r in rows)
     assert "AI Code Review Summary" in md and "| Files Reviewed | 5 |" in md and "| Total Issues | 3 |" in md
     assert "\n### Files with Issues\n\n- `main.py`\n- `test.py`\n\n### 🔧 Automatic Refactoring Applied\n\n- `main.py`" in md
+    assert [(r.section, r.file) for r in rows][:3] == [(0, None), (1, None), (1, "main.py")]
 
 
-def test_markdown_parts_lose_no_file(spark, monkeypatch):
-    monkeypatch.setattr(rv, "FILES_PER_PART", 10)
-    dec = spark.createDataFrame([("r", 1, 95, 95, 0, 0, 95, 0, 95)], "repo string, pr_number bigint, total_files bigint, total_violations bigint, "
-                                "critical_count bigint, error_count bigint, warning_count bigint, info_count bigint, files_with_issues bigint")
-    files = spark.createDataFrame([("r", 1, f"f{i}.py") for i in range(95)], "repo string, pr_number bigint, file string")
-    parts = rv.summary_markdown(dec, files).orderBy("part").collect()
-    assert len(parts) > 5 and [p.part for p in parts][0] == 0
-    listed = [x for p in parts for x in p.markdown.split("\n") if x.startswith("- `")]
-    assert sorted(listed) == sorted(f"- `f{i}.py`" for i in range(95))
+def test_payload_splits_a_hot_pull_request(spark):
+    """Comments never stand on the side of an outer join that cannot be split."""
+    dec = spark.createDataFrame([("r", 1, "COMMENT", 2), ("r", 2, "APPROVE", 0)], "repo string, pr_number bigint, event string, total_violations bigint")
+    c = spark.createDataFrame([("r", 1, 0, 1, 0, "a.py", 3, "x", "error", "Q1", None), ("r", 1, 1, 1, 0, "b.py", 4, "y", "info", "Q1", None)],
+                              "repo string, pr_number bigint, file_ord bigint, rule_ord int, seq int, file string, line int, body string, severity string, rule_id string, suggestion_code string")
+    out = rv.review_payload(c, dec)
+    assert "Outer" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.pr_number, r.event, r.file_ord, len(r.comments)) for r in out.collect()}
+    assert got == {(1, "COMMENT", 0, 1), (1, "COMMENT", 1, 1), (2, "APPROVE", None, 0)}
+
+
+def test_two_findings_on_one_line_get_their_own_texts(spark):
+    cols = "repo string, pr_number bigint, file_ord bigint, rule_ord int, seq int, file string, line int, message string, suggestion string, severity string, rule_id string"
+    v = spark.createDataFrame([("r", 1, 0, 8, i, "a.py", 3, f"m{i}", "", "error", "AI") for i in (0, 1)], cols)
+    g = spark.createDataFrame([("r", 1, "a.py", 3, "AI", 8, i, f"g{i}") for i in (0, 1)], "repo string, pr_number bigint, file string, line int, rule_id string, rule_ord int, seq int, generated_body string")
+    assert sorted(r.body for r in rv.review_comments(v, g).collect()) == ["g0", "g1"]
+
+
+def test_prompts_are_whole(spark):
+    prompt = lambda *a: spark.range(1).select(ans.equivalence_prompt(F.lit("a" * 5000), F.lit("b" * 5000), F.array(*[F.lit(f"m{i}") for i in range(9)]), *a)).first()[0]
+    assert "a" * 5000 in prompt() and "b" * 5000 in prompt() and "m8" in prompt()
+    assert "a" * 2001 not in prompt(2000, 5) and "m5" not in prompt(2000, 5)
+
+
+def test_classes_of_one_name(make_files):
+    code = "class A:\n    class Meta:\n        def one(self): pass\n\nclass B:\n    class Meta:\n        def two(self): pass\n"
+    f = facts.code_facts(make_files(("a.py", code)), ["filename"])
+    got = {(r.name, r.start_line): r.methods for r in facts.facts_classes(f, ["filename"]).collect()}
+    assert got["Meta", 2] == ["one"] and got["Meta", 6] == ["two"]
+
+
+def test_form_feed_is_no_line_end():
+    from pullscan.operators.pyfacts import facts_or_none
+
+    f = facts_or_none("x = 1\n\x0c\nLIMIT = 2\r\ndef f(a) -> int:\n    return g(a)\n")
+    assert [g["name"] for g in f["globals"]] == ["x", "LIMIT"]
+    assert f["functions"][0]["return_type"] == "int" and f["functions"][0]["calls"] == ["g"]
+
+
+def test_timed_out_runs_have_no_counts(spark):
+    logs = spark.createDataFrame([(1, "pytest", 1, "3 passed in 1.0s\ntests/a.py::t PASSED", "", True)], "id int, tool string, returncode int, stdout string, stderr string, timed_out boolean")
+    r = testlogs.pytest_suites(logs, ["id"]).first()
+    assert (r.status, r.passed, r.total_tests) == ("error", 0, 0)
+    assert testlogs.pytest_results(logs, ["id"]).count() == 0
+
+
+def test_a_pattern_the_engine_refuses_drops_one_rule(spark):
+    from pullscan.rules.config import rules_from_dict
+
+    rule = lambda i, p: {"id": i, "name": "hardcoded_secrets", "category": "security", "severity": "critical", "config": {"patterns": [p]}}
+    rs = rules_from_dict({"rules": [rule("A", 'f"{x}"'), rule("B", "secret"), {**rule("C", "x"), "enabled": False}, {**rule("D", "x"), "name": "nobody"}]})
+    assert [r.rule_id for r in rs.rules] == ["B"] and len(rs.warnings) == 2
+
+
+def test_log_times_are_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        t = F.timestamp_micros(F.lit(0))
+        assert spark.range(1).select(reviewlog.iso_utc(t)).first()[0] == "1970-01-01T00:00:00.000000+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from pullscan.session import shared_dir
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "local-cluster[2,1,1024]"
+
+            @staticmethod
+            def getConf():
+                return Conf()
+
+    try:
+        shared_dir(Session)
+    except ValueError:
+        return
+    raise AssertionError("a folder of one machine was taken for a shared one")
 
 
 def body(spark, **kw):
