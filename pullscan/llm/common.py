@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,16 +34,18 @@ def byte_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes together (one text at least), so that memory does not grow with a batch."""
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts of a column in runs of about ``most`` bytes (one text at least) with the row each run begins at, so that the
+    memory of a task does not grow with the batch."""
     begin = held = 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > most:
-            yield begin, i
+    sizes = pc.binary_length(column).fill_null(0).to_pylist()
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield begin, byte_texts(column.slice(begin, i - begin))
             begin, held = i, 0
-        held += len(t)
-    if begin < len(texts):
-        yield begin, len(texts)
+        held += n
+    if begin < len(sizes):
+        yield begin, byte_texts(column.slice(begin))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -21,13 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pullscan.llm.common import byte_texts, id_and_text, slices
+from pullscan.llm.common import id_and_text, slices
 from pullscan.session import shared_path
 
 STREAM = "part int, first long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long"
 #: Distinct words whose ids a worker remembers; a full memory is emptied.
-MEMORY = 700_000
+MEMORY = 300_000
 #: Marks that form one piece of the word tokenizer wherever letters stand before them.
 PLAIN_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -157,15 +157,14 @@ def token_stream(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         coder = _encoder(public_tokenizers.path(tokenizer))
         part, first = TaskContext.get().partitionId(), 0
         for b in batches:
-            texts = byte_texts(b.column("text"))
-            for i, j in slices(texts):
-                ids, counts = coder.encode(texts[i:j])
+            for i, texts in slices(b.column("text")):
+                ids, counts = coder.encode(texts)
                 ends = np.cumsum(counts)
                 rows = [np.append(ids[e - c : e], coder.kind.type(end_id)).tobytes() for e, c in zip(ends, counts, strict=True)]
                 n = counts + 1
                 begins = first + np.cumsum(n) - n
                 first += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(begins.astype(np.int64)), b.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(rows, pa.binary())], ["part", "first", "doc_id", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part, np.int32)), pa.array(begins.astype(np.int64)), b.column("doc_id").slice(i, len(n)), pa.array(n.astype(np.int64)), pa.array(rows, pa.binary())], ["part", "first", "doc_id", "n", "ids"])
 
     spark = docs.sparkSession
     path = shared_path(spark, "tokens")
