@@ -199,6 +199,7 @@ cte("at_head", """SELECT fl.*, p.head_branch AS ref, c.content FROM files fl JOI
 oracle("file_at_ref", "SELECT repo, pr_number, f AS file_ord, filename, ref, content FROM at_head", "at_head")
 oracle("handoff_maps", "SELECT repo, pr_number, filename AS path, content FROM at_head WHERE status <> 'removed' AND length(content) > 0", "at_head")
 oracle("latest_commit", "SELECT * FROM last_commit", "last_commit")
+oracle("rollback_point_rows", "SELECT repo, pr_number, commit_ord AS saved_ord, sha, commit_ord = max(commit_ord) OVER (PARTITION BY repo, pr_number) AS is_last FROM commits", "commits")
 oracle("rollback_points", "SELECT repo, pr_number, count(*) AS n_points, max(commit_ord) AS last_ord, arg_max(sha, commit_ord) AS last_sha FROM commits GROUP BY 1, 2", "commits")
 oracle("source_lines", "SELECT f AS file_ord, filename, n AS line, t AS text, CAST(length(t) - length(ltrim(t)) AS INT) AS indent, trim(t) = '' AS is_blank FROM src JOIN files USING (f)", "src", "files")
 oracle("source_lines_documents", """SELECT doc_id, n AS line, t AS text, CAST(length(t) - length(ltrim(t)) AS INT) AS indent, trim(t) = '' AS is_blank FROM
@@ -356,6 +357,11 @@ oracle("summary_markdown", f"""SELECT repo, pr_number, 0 AS section, CAST(NULL A
 oracle("first_three_rules", "SELECT file_ord, 'Auto-fix: ' || three AS message FROM result WHERE success", "result")
 oracle("refactor_results", """SELECT file_ord, CASE WHEN file_ord % 7 = 0 THEN 'Failed to fetch file' ELSE changes_description END AS changes_description, success AND file_ord % 7 <> 0 AS success,
  CASE WHEN file_ord % 7 = 0 THEN 'Could not fetch file contents' END AS error_message FROM result""", "result")
+oracle("model_rewrites", f"""SELECT r.file_ord, md5(CASE WHEN use THEN plain_code ELSE refactored_code END) AS code,
+ CASE WHEN NOT use THEN changes_description WHEN r.file_ord % 3 = 0 THEN 'e' || r.file_ord ELSE 'LLM refactoring applied' || {NL} || 'Added: import os' END AS changes_description,
+ CASE WHEN use THEN ids ELSE violations_fixed END AS violations_fixed, success OR use AS success
+ FROM (SELECT *, NOT success AND file_ord % 3 <> 2 AS use, CASE WHEN file_ord % 3 = 0 THEN 'value_' || file_ord || ' = 1' ELSE 'import os' || {NL} || 'value_' || file_ord || ' = os.environ' END AS plain_code FROM result) r
+ JOIN (SELECT file_ord, string_agg(rule_id, ',' ORDER BY rule_ord, line, seq) AS ids FROM v GROUP BY 1) i ON i.file_ord = r.file_ord""", "result", "v")
 oracle("violations_of_file", "SELECT v.file, v.rule_id, v.line FROM v WHERE file_ord IN (SELECT file_ord FROM result WHERE success)", "v", "result")
 oracle("commit_plan", """SELECT repo, pr_number, filename, 'feature/' || pr_number AS branch, 'update' AS action, md5('h' || file_ord) AS existing_sha, 'Auto-fix: ' || three AS message, refactored_code AS content
  FROM result WHERE success""", "result")
@@ -498,6 +504,10 @@ oracle("verification_checks", """SELECT f AS file_ord, 0 AS check_no, 'syntax_va
 cte("vr", """SELECT *, NOT is_broken AND cr = 'passed' AS passed, CASE WHEN st = 'warning' THEN 1 ELSE 0 END + CASE WHEN im = 'warning' THEN 1 ELSE 0 END AS warns FROM checks3""", "checks3")
 oracle("verification_rollup", """SELECT f AS file_ord, passed, passed AS safe_to_commit, passed AND warns > 0 AS requires_human_review,
  CASE WHEN is_broken THEN 'Refactored code has syntax errors' WHEN NOT passed THEN 'Verification failed: 1 checks failed' WHEN warns > 0 THEN 'Verification passed with ' || warns || ' warnings' ELSE 'All verification checks passed' END AS overall_message FROM vr""", "vr")
+cte("vs", """SELECT *, is_broken IS FALSE AND cr = 'passed' AND sem <> 'failed' AS fine, CASE WHEN cr = 'passed' THEN 0 ELSE 1 END + CASE WHEN sem = 'failed' THEN 1 ELSE 0 END AS bad, warns + CASE WHEN sem = 'warning' THEN 1 ELSE 0 END AS w
+ FROM (SELECT *, CASE WHEN f % 7 = 0 THEN 'warning' WHEN good AND f % 10 >= 8 THEN 'passed' WHEN good AND f % 10 >= 5 THEN 'warning' ELSE 'failed' END AS sem FROM (SELECT *, f % 5 <> 4 AND f % 3 <> 0 AS good FROM vr))""", "vr")
+oracle("verification_answers", """SELECT f AS file_ord, fine AS passed, fine AS safe_to_commit, NOT is_broken AND (sem = 'warning' OR (fine AND w > 0)) AS requires_human_review,
+ CASE WHEN is_broken THEN 'Refactored code has syntax errors' WHEN NOT fine THEN 'Verification failed: ' || bad || ' checks failed' WHEN w > 0 THEN 'Verification passed with ' || w || ' warnings' ELSE 'All verification checks passed' END AS overall_message FROM vs""", "vs")
 oracle("verification_all", "SELECT p.repo, p.pr_number, coalesce(bool_and(passed), true) AS verification_passed FROM prs p LEFT JOIN vr USING (repo, pr_number) GROUP BY 1, 2", "prs", "vr")
 # ----------------------------------------------------------------------------------------------- test logs
 
@@ -523,7 +533,11 @@ cte("wide", "SELECT DISTINCT repo, path FROM tree WHERE path LIKE 'tests/%' AND
 cte("own", """SELECT DISTINCT repo, pr_number, path FROM (SELECT repo, pr_number, regexp_extract(filename, '([^/]*?)(\\.[^./]*)?$', 1) || '_test.py' AS path FROM files WHERE status <> 'removed') JOIN (SELECT DISTINCT repo, path FROM tree) USING (repo, path)""", "files", "tree")
 oracle("related_tests", "SELECT repo, pr_number, path FROM own UNION ALL SELECT repo, NULL, path FROM wide", "own", "wide")
 oracle("detect_framework", "SELECT repo, bool_or(path IN ('pytest', 'conftest.py', 'pytest.ini', 'pyproject.toml')) AS has_marker_file, bool_or(path = 'requirements.txt') AS has_requirements, 'pytest' AS framework FROM tree GROUP BY 1", "tree")
-oracle("tests_to_run", """SELECT repo, pr_number, CASE WHEN r > 0 THEN 'related' WHEN d > 0 THEN 'discovered' ELSE 'none' END AS source, CASE WHEN r > 0 THEN r ELSE d END AS n_tests, CASE WHEN r = 0 AND d = 0 THEN 'no_tests' END AS status FROM (
+cte("torun", """SELECT repo, pr_number, CASE WHEN r > 0 THEN 'related' WHEN d > 0 THEN 'discovered' ELSE 'none' END AS source, CASE WHEN r > 0 THEN r ELSE d END AS n_tests, CASE WHEN r = 0 AND d = 0 THEN 'no_tests' END AS status FROM (
  SELECT p.repo, p.pr_number, CASE WHEN c.pr_number IS NULL THEN 0 ELSE coalesce(o.k, 0) + coalesce(w.k, 0) END AS r, coalesce(f.k, 0) AS d FROM prs p
  LEFT JOIN (SELECT DISTINCT repo, pr_number FROM files WHERE status <> 'removed') c USING (repo, pr_number) LEFT JOIN (SELECT repo, pr_number, count(*) AS k FROM own GROUP BY 1, 2) o USING (repo, pr_number)
  LEFT JOIN (SELECT repo, count(*) AS k FROM wide GROUP BY 1) w ON w.repo = p.repo LEFT JOIN (SELECT repo, count(*) AS k FROM found GROUP BY 1) f ON f.repo = p.repo)""", "prs", "files", "own", "wide", "found")
+oracle("tests_to_run", "SELECT * FROM torun", "torun")
+oracle("test_list", """SELECT repo, pr_number, source, path FROM own JOIN (SELECT repo, pr_number, source FROM torun WHERE source = 'related') USING (repo, pr_number)
+ UNION ALL SELECT repo, NULL, source, path FROM wide JOIN (SELECT DISTINCT repo, source FROM torun WHERE source = 'related') USING (repo)
+ UNION ALL SELECT repo, NULL, source, path FROM found JOIN (SELECT DISTINCT repo, source FROM torun WHERE source = 'discovered') USING (repo)""", "own", "wide", "found", "torun")

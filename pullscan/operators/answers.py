@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pullscan.functions import text as tx
@@ -136,9 +136,17 @@ def _valid(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), text)
 
 
+def _last_key_wins() -> None:
+    """Of a repeated key the last one counts, where Spark's default is to refuse the text."""
+    session = SparkSession.getActiveSession()
+    if session is not None:
+        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def json_text(response: Column) -> Column:
     """The JSON in a response: the whole text, else a fenced block, else from the first ``{`` to the last ``}``;
-    null when none of them parses."""
+    null when none of them parses. Sets ``spark.sql.variant.allowDuplicateKeys`` on the session."""
+    _last_key_wins()
     fenced = F.when(response.rlike(_FENCE), F.regexp_extract(response, _FENCE, 1))
     start = F.locate("{", response)
     last = F.length(response) - F.locate("}", F.reverse(response)) + 1
@@ -153,12 +161,14 @@ def _is_object(json: Column) -> Column:
 
 
 def parse_model_json(answers: DataFrame, keys: list[str], response: str = "response") -> DataFrame:
-    """Issues and summary; an unreadable answer has no issues and its first 500 characters as the summary."""
+    """Issues and summary; an unreadable answer has no issues and its first 500 characters as the summary, beside the whole
+    ``response``."""
     parsed = compute_once(answers, [*keys, response], {"json": json_text(F.col(response))})
     # Reading null JSON gives null fields, so one projection serves both cases.
     read = compute_once(parsed, [*keys, response, "json"], {"a": F.from_json("json", REVIEW_ANSWER)})
     return read.select(
         *keys,
+        F.col(response).alias("response"),
         F.col("json").isNotNull().alias("is_json"),
         F.coalesce("a.issues", F.array().cast(f"array<{ISSUE_TYPE}>")).alias("issues"),
         F.when(F.col("json").isNull(), tx.prefix(F.col(response), 500)).otherwise(F.col("a.summary")).alias("summary"),
@@ -207,3 +217,10 @@ def parse_equivalence(response: Column) -> Column:
     json = json_text(response)
     text = F.when(response.isNull(), F.lit(None)).when(json.isNull(), F.lit("{}")).when(_is_object(json), json)
     return F.from_json(text, EQUIVALENCE_ANSWER)
+
+
+def parse_refactoring(response: Column) -> Column:
+    """``struct<refactored_code, explanation>``; null unless the answer is a JSON object with a text that is not empty."""
+    json = json_text(response)
+    answer = F.from_json(F.when(_is_object(json), json), REFACTOR_ANSWER)
+    return F.when(F.length(answer["refactored_code"]) > 0, answer)

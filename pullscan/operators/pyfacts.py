@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ast
+import gc
 import re
 import warnings
+from contextlib import contextmanager
 
 import pyarrow as pa
 
@@ -146,6 +148,68 @@ def syntax_of(code: str | None) -> dict | None:
         return {"ok": False, "line": None, "offset": None, "message": str(e), "text": None}
 
 
+def _weights(tree: ast.Module) -> dict:
+    """Names and the complexity of all functions and methods, in one walk from the leaves up: what ``_facts`` says of them."""
+    functions, classes, imports, score = set(), set(), set(), 0
+
+    def walk(node, in_class: bool, method: bool, starred: bool) -> int:
+        """What the node and all below it add to the complexity of a function around it."""
+        nonlocal score
+        below = in_body = 0
+        is_class, is_def = isinstance(node, ast.ClassDef), isinstance(node, _DEFS)
+        star = isinstance(node, ast.TryStar)
+        body = set(map(id, node.body)) if is_class or is_def else ()
+        for child in ast.iter_child_nodes(node):
+            w = walk(child, in_class or is_class, is_class and id(child) in body, star)
+            below += w
+            if is_def and id(child) in body:
+                in_body += w
+        if is_def:
+            if not in_class:
+                functions.add(node.name)
+            if method or not in_class:
+                score += 1 + in_body
+        elif is_class:
+            classes.add(node.name)
+        elif isinstance(node, ast.Import):
+            imports.update(a.name for a in node.names)
+        elif isinstance(node, ast.ImportFrom):
+            imports.add("." * node.level + (node.module or ""))
+        elif isinstance(node, _COMPLEX):
+            below += 1
+        elif isinstance(node, ast.ExceptHandler):
+            below += not starred
+        elif isinstance(node, ast.BoolOp):
+            below += len(node.values) - 1
+        return below
+
+    walk(tree, False, False, False)
+    return {"functions": sorted(functions), "classes": sorted(classes), "imports": sorted(imports), "score": score}
+
+
+def outline_or_none(code: str | None) -> dict | None:
+    if code is None:
+        return None
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return _weights(ast.parse(code))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+
+
+@contextmanager
+def _no_collection():
+    """Trees are many small objects in use: looking for garbage among them again and again costs more than parsing."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _strings = pa.list_(pa.string())
 _FACTS = pa.struct([
     ("functions", pa.list_(pa.struct([
@@ -167,8 +231,29 @@ _SYNTAX = pa.struct([
 
 
 def facts_batch(content: pa.Array) -> pa.Array:
-    return pa.array((facts_or_none(c) for c in content.to_pylist()), type=_FACTS)
+    def each(code: str | None) -> dict | None:
+        with _no_collection():
+            return facts_or_none(code)
+
+    return pa.array((each(c) for c in content.to_pylist()), type=_FACTS)
 
 
 def syntax_batch(content: pa.Array) -> pa.Array:
     return pa.array((syntax_of(c) for c in content.to_pylist()), type=_SYNTAX)
+
+
+_OUTLINE = pa.struct([("functions", _strings), ("classes", _strings), ("imports", _strings), ("score", pa.int32())])
+_PAIR = pa.struct([("syntax", _SYNTAX), ("before", _OUTLINE), ("after", _OUTLINE)])
+
+
+def pair_batch(original: pa.Array, refactored: pa.Array, is_python: pa.Array) -> pa.Array:
+    """Syntax of the second text, and the outlines of both where the file is a Python one."""
+
+    def both(a: str | None, b: str | None, python: bool | None) -> dict:
+        with _no_collection():
+            # A text that does not compile may still parse.
+            before, after = (outline_or_none(x) if python else None for x in (a, b))
+            return {"syntax": syntax_of(b), "before": before, "after": after}
+
+    rows = zip(original.to_pylist(), refactored.to_pylist(), is_python.to_pylist(), strict=True)
+    return pa.array((both(*r) for r in rows), type=_PAIR)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pullscan.functions import text as tx
 from pullscan.functions.once import compute_once, let
 from pullscan.model import PR_KEY
+from pullscan.operators.answers import parse_refactoring
 from pullscan.rules.checks import BARE_EXCEPT, CLASS, DEF
 
 # Which rules have a fix, and the assignments recognised as secrets, in order.
@@ -247,6 +248,37 @@ def apply_fixes(files: DataFrame, violations: DataFrame) -> DataFrame:
     )
 
 
+def with_model_rewrites(results: DataFrame, violations: DataFrame, answers: DataFrame) -> DataFrame:
+    """Results where a model's rewrite stands in for a file without any automatic fix; all its rule ids count as fixed.
+
+    ``answers``: ``repo, pr_number, filename, response``, one a file. An answer without a text, or with the original one, changes nothing.
+    """
+    key = [*PR_KEY, "filename"]
+    free = results.filter(~F.col("success") & F.col("error_message").isNull()).select(*key)
+    told = answers.join(free, key, "left_semi").select(*key, "response")
+    told = compute_once(told, key, {"answer": parse_refactoring(F.col("response"))}).filter("answer is not null")
+    item = F.struct("rule_ord", "line", "seq", "rule_id")
+    ids = (
+        violations.withColumnRenamed("file", "filename")
+        .join(told.select(*key), key, "left_semi")
+        .groupBy(*key)
+        .agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["rule_id"]).alias("ids"))  # of one file
+    )
+    j = results.join(told.join(ids, key), key, "left")
+    code = ensure_import(F.col("answer.refactored_code"))
+    plain = F.col("answer.refactored_code")
+    use = F.coalesce(~F.col("success") & F.col("error_message").isNull() & (plain != F.col("original_code")), F.lit(False))
+    note = F.coalesce(F.col("answer.explanation"), F.lit("LLM refactoring applied"))
+    note = F.when(code != plain, F.concat(note, F.lit("\nAdded: import os"))).otherwise(note)
+    new = {
+        "refactored_code": F.when(use, code).otherwise(F.col("refactored_code")),
+        "changes_description": F.when(use, note).otherwise(F.col("changes_description")),
+        "violations_fixed": F.when(use, F.col("ids")).otherwise(F.col("violations_fixed")),
+        "success": F.col("success") | use,
+    }
+    return j.select(*(new[c].alias(c) if c in new else F.col(c) for c in results.columns))
+
+
 def commit_message(violations_fixed: Column) -> Column:
     return F.concat(F.lit("Auto-fix: "), F.array_join(F.slice(violations_fixed, 1, 3), ", "))
 

@@ -216,3 +216,25 @@ def tests_to_run(pull_requests: DataFrame, changed: DataFrame, tree: DataFrame,
         pick(F.col("g"), F.col("r"), F.col("d"), zero).alias("n_tests"),
         F.when(pick(F.col("g"), F.col("r"), F.col("d"), zero) == 0, "no_tests").alias("status"),
     )
+
+
+def test_list(pull_requests: DataFrame, changed: DataFrame, tree: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """The tests to run as rows: ``repo, pr_number, source, path``.
+
+    A row without a ``pr_number`` holds for every pull request of its repository that ``tests_to_run`` gives this ``source``,
+    so that a repository's tests are listed once and not for each pull request.
+    """
+    key = [*PR_KEY, "source"]
+    chosen = tests_to_run(pull_requests, changed, tree, given).select(*key)
+    related = related_tests(changed, tree).withColumn("source", F.lit("related"))
+    own = related.filter(F.col("pr_number").isNotNull())
+    if given is not None:
+        own = own.unionByName(given.select(*PR_KEY, "path").withColumn("source", F.lit("given")))
+    wide = related.filter(F.col("pr_number").isNull())
+    wide = wide.unionByName(
+        discover_tests(tree).select("repo", F.lit(None).cast("bigint").alias("pr_number"), "path", F.lit("discovered").alias("source"))
+    )
+    used = chosen.select("repo", "source").distinct()
+    return own.join(chosen, key, "left_semi").select(*key, "path").unionByName(
+        wide.join(used, ["repo", "source"], "left_semi").select(*key, "path")
+    )

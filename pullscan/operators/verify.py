@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullscan.functions import text as tx
-from pullscan.functions.once import compute_once
+from pullscan.functions.once import compute_once, let
 from pullscan.model import FILE_KEY, PR_KEY
-from pullscan.operators.facts import complexity_score, python_syntax, with_facts
+from pullscan.operators.facts import OUTLINE_TYPE, python_pair, regex_facts
 
 CHECK_TYPE = "struct<name:string,status:string,message:string,details:map<string,string>>"
 
@@ -40,30 +40,42 @@ def _set_text(names: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(quoted, ", "), F.lit("}"))
 
 
-def names(facts: Column, kind: str) -> Column:
-    """Distinct sorted names. Methods are not functions here."""
-    if kind == "functions":
-        items = F.transform(F.filter(facts["functions"], lambda f: f["class_name"].isNull()), lambda f: f["name"])
-    elif kind == "classes":
-        items = F.transform(facts["classes"], lambda c: c["name"])
-    else:
-        items = F.transform(facts["imports"], lambda i: i["module"])
-    return F.array_sort(F.array_distinct(items))
+def _outline(parsed: Column, content: Column) -> Column:
+    """Distinct sorted names and the score of one version; by pattern, and without a score, where the text was not parsed.
+    Methods are not functions here."""
 
+    def named(items: Column) -> Column:
+        return F.array_sort(F.array_distinct(items))
 
-def with_pair_facts(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Names and scores of both versions; each text is parsed once and shared by all checks."""
-    keep = [c for c in pairs.columns if c in (*keys, "original", "refactored", "syntax", "parsed")]
-    facts = with_facts(with_facts(pairs, "original", "of"), "refactored", "rf")
-    facts = compute_once(facts, [*keep, "of_source", "rf_source"], {"of": F.col("of"), "rf": F.col("rf")})
-    return compute_once(
-        facts,
-        keep,
-        {
-            **{f"{v}_{k}": names(F.col(v), k) for v in ("of", "rf") for k in ("functions", "classes", "imports")},
-            "of_score": complexity_score(F.col("of"), F.col("of_source")),
-            "rf_score": complexity_score(F.col("rf"), F.col("rf_source")),
-        },
+    by_pattern = let(
+        regex_facts(tx.split_lines(content)),
+        lambda f: F.struct(
+            named(F.transform(f["functions"], lambda x: x["name"])).alias("functions"),
+            named(F.transform(f["classes"], lambda x: x["name"])).alias("classes"),
+            named(F.transform(f["imports"], lambda x: x["module"])).alias("imports"),
+            F.lit(0).alias("score"),
+        ),
+    )
+    nothing = F.struct(*(F.lit(None).alias(k) for k in ("functions", "classes", "imports")), F.lit(0).alias("score"))
+    return F.coalesce(parsed, F.when(content.isNotNull(), by_pattern), nothing.cast(OUTLINE_TYPE))
+
+
+def with_pair_facts(pairs: DataFrame, keys: list[str], filename: str = "filename") -> DataFrame:
+    """``syntax`` of the rewritten text, and names and scores of both versions, from one pass over each pair.
+
+    Texts leave for Python once; what comes back are names and numbers, not whole facts.
+    """
+    keep = [c for c in pairs.columns if c in (*keys, "original", "refactored", "parsed")]
+    is_python = F.coalesce(tx.path_suffix(F.col(filename)) == ".py", F.lit(False))
+    pair = pairs.withColumn("pair", python_pair(F.col("original"), F.col("refactored"), is_python))
+    both = compute_once(
+        pair,
+        [*keep, F.col("pair.syntax").alias("syntax")],
+        {"of": _outline(F.col("pair.before"), F.col("original")), "rf": _outline(F.col("pair.after"), F.col("refactored"))},
+    )
+    return both.select(
+        *keep, "syntax",
+        *(F.col(f"{v}.{k}").alias(f"{v}_{k}") for v in ("of", "rf") for k in ("functions", "classes", "imports", "score")),
     )
 
 
@@ -222,7 +234,6 @@ def verify(pairs: DataFrame, answers: DataFrame | None = None, keys: list[str] =
     ``answers`` optionally holds ``keys + parsed`` semantic answers; without it there is no semantic check.
     """
     p = pairs if answers is None else pairs.join(answers, keys, "left")
-    p = p.withColumn("syntax", python_syntax(F.col("refactored")))
     p = with_pair_facts(p, keys)
     p = compute_once(
         p, [c for c in p.columns if c not in ("original", "refactored")],

@@ -141,6 +141,12 @@ def rollback_points(spark, sf):
     return tables.rollback_points(saved)
 
 
+@query
+def rollback_point_rows(spark, sf):
+    saved = d.pr_commits(spark, sf).withColumnRenamed("commit_ord", "saved_ord")
+    return tables.numbered_rollback_points(saved)
+
+
 @query
 def commit_plan(spark, sf):
     return tables.commit_plan(results(spark, sf), scan_prs(spark, sf), d.file_contents(spark, sf))
@@ -674,6 +680,19 @@ def refactor_results(spark, sf):
     return rewrite.apply_fixes(unreadable, v).select("file_ord", "changes_description", "success", "error_message")
 
 
+@query
+def model_rewrites(spark, sf):
+    """Results with a model's rewrite where no automatic fix applied."""
+    i = static_inputs(spark, sf)
+    files = plan.reviewed_files(i)
+    v = plan.all_violations(files, i, load_rules())
+    done = rewrite.with_model_rewrites(rewrite.apply_fixes(files, v), v, d.rewrite_answers(spark, sf))
+    return done.select(
+        "file_ord", F.md5("refactored_code").alias("code"), "changes_description",
+        F.array_join("violations_fixed", ",").alias("violations_fixed"), "success",
+    )
+
+
 @query
 def first_three_rules(spark, sf):
     return results(spark, sf).filter("success").select(
@@ -767,6 +786,13 @@ def verification_rollup(spark, sf):
     return verify.verification_results(_verified(spark, sf), ["file_ord"])
 
 
+@query
+def verification_answers(spark, sf):
+    """The roll-up with the model's semantic answers among the checks."""
+    told = d.pair_answers(spark, sf).select(*FILE_KEY, ans.parse_equivalence(F.col("response")).alias("parsed"))
+    return verify.verification_results(verify.verify(d.code_pairs(spark, sf), told), ["file_ord"])
+
+
 @query
 def verification_all(spark, sf):
     return verify.verification_all(scan_prs(spark, sf), verify.verification_results(_verified(spark, sf)))
@@ -834,6 +860,11 @@ def tests_to_run(spark, sf):
     return testlogs.tests_to_run(scan_prs(spark, sf), _changed(spark, sf), d.repo_tree(spark, sf))
 
 
+@query
+def test_list(spark, sf):
+    return testlogs.test_list(scan_prs(spark, sf), _changed(spark, sf), d.repo_tree(spark, sf))
+
+
 # -------------------------------------------------------------------------------------------- routing
 
 

@@ -12,7 +12,7 @@ from pullscan.model import FILE_KEY, PR_KEY
 from pullscan.operators import answers as ans
 from pullscan.operators import review as rv
 from pullscan.operators.diff import added_chunks
-from pullscan.operators.rewrite import apply_fixes
+from pullscan.operators.rewrite import apply_fixes, with_model_rewrites
 from pullscan.operators.verify import verification_all, verification_results, verify
 from pullscan.rules.config import RuleSet, load_rules
 from pullscan.session import shared_path
@@ -28,6 +28,8 @@ class ReviewInputs:
     commits: DataFrame | None = None
     model_answers: DataFrame | None = None
     generated_comments: DataFrame | None = None
+    refactor_answers: DataFrame | None = None  # repo, pr_number, filename, response
+    equivalence_answers: DataFrame | None = None  # repo, pr_number, filename, response
     tests: DataFrame | None = None  # repo, pr_number, passed, total_tests of the run on the rewritten files
 
 
@@ -146,13 +148,20 @@ def review(spark: SparkSession, inputs: ReviewInputs, options: ReviewOptions | N
         decisions = materialized(decisions, spark, "decisions")
     comments = rv.review_comments(violations, inputs.generated_comments)
     wanted = decisions.filter("should_delegate").select(*PR_KEY)
-    results = apply_fixes(files, violations.join(wanted, PR_KEY, "left_semi"))
+    delegated = violations.join(wanted, PR_KEY, "left_semi")
+    results = apply_fixes(files, delegated)
+    if inputs.refactor_answers is not None:
+        results = with_model_rewrites(results, delegated, inputs.refactor_answers)
     if options.materialize:
         results = materialized(results, spark, "results")
     pairs = results.filter("success").select(
         *FILE_KEY, F.col("original_code").alias("original"), F.col("refactored_code").alias("refactored")
     )
-    verified = verify(pairs)
+    told = inputs.equivalence_answers
+    if told is not None:
+        told = told.select(*PR_KEY, "filename", ans.parse_equivalence(F.col("response")).alias("parsed"))
+        told = pairs.select(*FILE_KEY).join(told, [*PR_KEY, "filename"], "left").select(*FILE_KEY, "parsed")
+    verified = verify(pairs, told)
     if options.materialize:
         verified = materialized(verified, spark, "verified")
     route = review_route(decisions, results, verified, options, inputs.tests, inputs.commits)

@@ -237,8 +237,8 @@ def ci_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Model answers by event id. {k} event id, {t} event type.
-ANSWER_JSON = """'{{"issues": [{{"severity": "' || {t} || '", "line": ' || ({k} % 9) || ', "description": "Possible '
+# Model answers by event id. {k} event id, {t} event type. Some have a key twice.
+ANSWER_JSON = """'{{' || CASE WHEN {k} % 7 = 0 THEN '"summary": "first", ' ELSE '' END || '"issues": [{{"severity": "' || {t} || '", "line": ' || ({k} % 9) || ', "description": "Possible '
  || CASE WHEN {k} % 3 = 0 THEN 'SQL injection' WHEN {k} % 3 = 1 THEN 'naming problem' ELSE 'memory use' END
  || '", "suggestion": "fix ' || {k} || '"}}], "summary": "s' || {k} || '"}}'"""
 ANSWER = """CASE {k} % 4 WHEN 0 THEN {json}
@@ -283,6 +283,29 @@ def equivalence_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pair_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One semantic-comparison answer per rewritten module, but for every seventh; ``repo, pr_number, file_ord, filename, response``."""
+    pr = F.expr(PR_NUMBER.format(f="doc_id"))
+    return read_table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").select(
+        repo_of(pr).alias("repo"), pr.alias("pr_number"), F.col("doc_id").alias("file_ord"),
+        F.expr(FILENAME.format(f="doc_id")).alias("filename"), F.expr(EQUIVALENCE.format(k="doc_id")).alias("response"),
+    )
+
+
+# A model's rewrite of a file, by document id.
+REWRITE = """CASE {k} % 3 WHEN 0 THEN '{{"refactored_code": "value_' || {k} || ' = 1", "explanation": "e' || {k} || '"}}'
+ WHEN 1 THEN '{{"refactored_code": "value_' || {k} || ' = os.environ"}}' ELSE 'sorry' END"""
+
+
+def rewrite_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw rewrite answer per changed file."""
+    pr = F.expr(PR_NUMBER.format(f="doc_id"))
+    return read_table(spark, sf_dir, "documents").select(
+        repo_of(pr).alias("repo"), pr.alias("pr_number"), F.expr(FILENAME.format(f="doc_id")).alias("filename"),
+        F.expr(REWRITE.format(k="doc_id")).alias("response"),
+    )
+
+
 # ---------------------------------------------------------------------------------------------------------
 # valid Python modules for the syntax-tree facts
 

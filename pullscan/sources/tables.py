@@ -126,6 +126,15 @@ def rollback_points(saved: DataFrame) -> DataFrame:
     return last.select(*PR_KEY, "n_points", "last_ord", "last_sha")
 
 
+def numbered_rollback_points(saved: DataFrame) -> DataFrame:
+    """Every saved commit as a row in its order, the last one marked: ``repo, pr_number, saved_ord, sha, is_last``.
+
+    ``saved_ord`` is the number; no list or window gathers a pull request.
+    """
+    last = saved.groupBy(*PR_KEY).agg(F.max("saved_ord").alias("last_ord"))
+    return saved.join(last, PR_KEY).select(*PR_KEY, "saved_ord", "sha", (F.col("saved_ord") == F.col("last_ord")).alias("is_last"))
+
+
 # ---------------------------------------------------------------------------------------------------------
 # handoff context
 

@@ -208,6 +208,44 @@ def test_verification(spark):
     assert result(spark, same, same, parsed="[1]").requires_human_review
 
 
+def test_outlines_agree_with_facts():
+    from pullscan.operators import pyfacts
+
+    texts = [
+        "import os, a.b\nfrom .. import q\nfrom m import x\n@d(i for i in y)\nclass A(B):\n  @p\n  def m(self, k=[z for z in w]):\n    if a and b or c: return [i for i in a]\n"
+        "  if x:\n    def hidden(self):\n      while a: pass\n  class N:\n    async def n(self):\n      async with a: pass\n",
+        "def f(a, b=1 if x else 2) -> (y and z):\n  try: pass\n  except* E: pass\n  try: pass\n  except E: pass\n  def g():\n    for i in a: assert i\n    class L:\n      def lm(self):\n        with q: pass\n"
+        "  match a:\n    case 1: pass\n    case _: g()\nif u:\n  def f(): return {k: v for k, v in w}\n",
+        "return 1", "x = 1\n", "", "def f(:",
+    ]
+    for t in texts:
+        facts_, lean = pyfacts.facts_or_none(t), pyfacts.outline_or_none(t)
+        assert (facts_ is None) == (lean is None)
+        if lean:
+            assert lean == {
+                "functions": sorted({x["name"] for x in facts_["functions"] if x["class_name"] is None}),
+                "classes": sorted({x["name"] for x in facts_["classes"]}),
+                "imports": sorted({x["module"] for x in facts_["imports"]}),
+                "score": sum(x["complexity"] for x in facts_["functions"]),
+            }
+
+
+def test_model_rewrites(spark):
+    from pullscan.operators.rewrite import with_model_rewrites
+
+    shape = "repo string, pr_number bigint, file_ord bigint, filename string, original_code string, refactored_code string, changes_description string, violations_fixed array<string>, success boolean, error_message string"
+    none = "No automatic fixes available"
+    done = spark.createDataFrame([
+        ("r", 1, 0, "a", "x", "x", none, [], False, None), ("r", 1, 1, "b", "x", "y", "z", ["S002"], True, None),
+        ("r", 1, 2, "c", "", "", "Failed to fetch file", [], False, "e"), ("r", 1, 3, "d", "x", "x", none, [], False, None)], shape)
+    v = spark.createDataFrame([("r", 1, f, o, 1, 0, i) for f in "abcd" for o, i in ((0, "S001"), (1, "SEC002"))], "repo string, pr_number bigint, file string, rule_ord int, line int, seq int, rule_id string")
+    told = spark.createDataFrame([("r", 1, f, '{"refactored_code": "os.environ", "explanation": "why"}') for f in "abc"] + [("r", 1, "d", "{}")], "repo string, pr_number bigint, filename string, response string")
+    got = {r.filename: r for r in with_model_rewrites(done, v, told).collect()}
+    assert (got["a"].refactored_code, got["a"].changes_description) == ("import os\nos.environ", "why\nAdded: import os")
+    assert (got["a"].violations_fixed, got["a"].success) == (["S001", "SEC002"], True)
+    assert [got[k].success for k in "bcd"] == [True, False, False] and got["b"].refactored_code == "y"
+
+
 def test_facts(spark):
     code = (
         "import os, sys as s\nfrom . import q\nfrom m import *\nX = 1\n_y = 2\n@dec(1)\nclass A(B, c.D):\n    '''doc'''\n"
@@ -231,7 +269,7 @@ def test_facts(spark):
 
 def test_model_json(spark):
     cases = [('{"issues": [], "summary": "a"}', True, "a"), ('x ```json\n{"summary": "b"}\n``` y', True, "b"),
-             ('so {"summary": "c"} end', True, "c"), ("z" * 600, False, "z" * 500), ("} {", False, "} {"), ("", False, "")]
+             ('so {"summary": "c"} end', True, "c"), ('{"summary": "first", "issues": [], "summary": "d"}', True, "d"), ("z" * 600, False, "z" * 500), ("} {", False, "} {"), ("", False, "")]
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "k int, response string")
     got = ans.parse_model_json(df, ["k"]).orderBy("k").collect()
     assert [(r.is_json, r.summary) for r in got] == [(c[1], c[2]) for c in cases]
