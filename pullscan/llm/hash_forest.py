@@ -118,8 +118,9 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, vector: str =
         x = np.array([r.v for r in part if len(r.v) == dim])
         x = x / np.abs(x).max(axis=1, keepdims=True)
         centers[dim] = (x / np.linalg.norm(x, axis=1, keepdims=True)).mean(axis=0)
-    parts = max(1, -(-n * trees // range_rows))
     wanted = int(trees * max(4 * (k + 1), round(n ** (2 / 3))))
+    # A range holds four times what a query wants of a tree at least, so that few matches lie beyond its borders at any size.
+    parts = max(1, -(-n * trees // max(range_rows, 4 * wanted // trees)))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [b for b in batches if b.num_rows]
