@@ -46,17 +46,12 @@ def python_facts(content: Column) -> Column:
     return F.arrow_udf(pyfacts.facts_batch, FACTS_TYPE)(content)
 
 
-def python_syntax(content: Column) -> Column:
-    """Whether a text compiles as Python. It is never executed."""
-    return F.arrow_udf(pyfacts.syntax_batch, SYNTAX_TYPE)(content)
-
-
 OUTLINE_TYPE = "struct<functions:array<string>,classes:array<string>,imports:array<string>,score:int>"
 PAIR_TYPE = f"struct<syntax:{SYNTAX_TYPE},before:{OUTLINE_TYPE},after:{OUTLINE_TYPE}>"
 
 
 def python_pair(original: Column, refactored: Column, is_python: Column) -> Column:
-    """Syntax of the second text and the outlines (names, complexity) of both, in one pass over the pair."""
+    """Syntax of the second text and the outlines (names, complexity) of both, in one pass over the pair. No text is executed."""
     return F.arrow_udf(pyfacts.pair_batch, PAIR_TYPE)(original, refactored, is_python)
 
 

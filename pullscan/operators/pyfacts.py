@@ -238,10 +238,6 @@ def facts_batch(content: pa.Array) -> pa.Array:
     return pa.array((each(c) for c in content.to_pylist()), type=_FACTS)
 
 
-def syntax_batch(content: pa.Array) -> pa.Array:
-    return pa.array((syntax_of(c) for c in content.to_pylist()), type=_SYNTAX)
-
-
 _OUTLINE = pa.struct([("functions", _strings), ("classes", _strings), ("imports", _strings), ("score", pa.int32())])
 _PAIR = pa.struct([("syntax", _SYNTAX), ("before", _OUTLINE), ("after", _OUTLINE)])
 
