@@ -107,12 +107,14 @@ def draw(rows: DataFrame, repeats: float | None, entropy: float | None, budget:
 
 
 def mixed_documents(docs: DataFrame, repeats: float | None = 2.0, entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 10) -> DataFrame:
-    """The documents themselves as drawn, all their columns, a row for each time one is drawn.
+    """The documents themselves as drawn, all their columns, a row for each draw, in the order of the mixture.
 
-    How often a row is drawn is joined back by its own number, so the texts are read from where they are written once.
+    Draws are joined back by the row's own number, so the texts are read from where they are written once. Each partition is one
+    stretch of positions in order, so files written of them have the wanted weights all along, and the passes over a document lie apart.
     """
     kept = table_written(docs.withColumn("__row", F.monotonically_increasing_id()), "mixing")
     rows = table_written(counted(kept, F.col("__row")), "mixing")
-    times = draw(rows, repeats, entropy, budget, block_tokens, seed).groupBy(F.col("row_id").alias("__drawn")).agg(F.count("*").cast("int").alias("__times"))
-    joined = kept.join(times, F.col("__row") == F.col("__drawn"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    # Written, as placing the ranges reads the draws once more.
+    drawn = table_written(draw(rows, repeats, entropy, budget, block_tokens, seed).select(F.col("row_id").alias("__drawn"), F.col("position").alias("__position")), "mixing")
+    joined = kept.join(drawn, F.col("__row") == F.col("__drawn"))
+    return joined.repartitionByRange("__position").sortWithinPartitions("__position", "__row").select(*docs.columns)

@@ -322,6 +322,20 @@ def test_mixing(spark, docs, texts):
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
+def test_mixed_documents_leave_in_the_order_of_the_mixture(spark, tmp_path):
+    rows = [(i, f"text {i} of ten words a b c d e f", "en", "a" if i < 400 else "b", 0, "", "", "", "") for i in range(500)]  # grouped by source
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    mixing.mixed_documents(docs).write.parquet(f"{tmp_path}/mixed")
+    total = Counter()
+    for path in sorted(tmp_path.glob("mixed/*.parquet")):
+        part = [(r.doc_id, r.source) for r in spark.read.parquet(str(path)).collect()]
+        total.update(i for i, _ in part)
+        assert all(x[0] != y[0] for x, y in zip(part, part[1:]))
+        for a in range(0, len(part) - 50, 10):  # any stretch has the weights, 2 : 1
+            assert 8 <= sum(s == "b" for _, s in part[a : a + 50]) <= 26
+    assert len(total) == 500 and Counter(total.values())[2] == 100
+
+
 def test_pipeline(spark, tmp_path):
     d, y, good = junk_corpus(spark)
     extra = [(1000, d.first().text, "en", "s", 0, "", "", "", ""), (1001, "note " + prose(np.random.default_rng(2), 80) + " password=abcdef123456", "en", "t", 0, "", "", "", "")]
