@@ -1,10 +1,12 @@
 """Secret scans with character Markov models, with DataFrame operations only.
 
-Three base patterns find assignments, access keys and long hexadecimal strings. Beyond them, every token of sixteen or more letters,
-digits and joining marks that holds a letter and a digit is scored: the logarithm of its probability under a Markov chain over the characters of random strings,
+Three base patterns find assignments, access keys and long hexadecimal strings. Beyond them, every token of letters, digits and
+joining marks is scored: the logarithm of its probability under a Markov chain over the characters of random strings,
 less that under the chain of ordinary identifiers. The chains are trained from labelled samples: what the base patterns found in all
 documents is random, the words of a bounded sample of documents without findings (``train_rows``, a documented parameter) are
-ordinary. A token whose ratio per character reaches ``threshold`` and that no base span touches is a span of kind ``markov``.
+ordinary. A token whose ratio reaches the bar of its length and that no base span touches is a span of kind ``markov``. The bar is
+``threshold`` per pair of characters from sixteen characters on. Shorter tokens need more, the shorter the more (``least_ratio``), since a few
+rare characters say little. No fixed length or kind of character is required.
 
 Positions are in code points, the end exclusive. Work is done per row, without a shuffle of texts.
 
@@ -26,13 +28,15 @@ from pullscan.llm.common import table_written
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = (("assign", ASSIGN, 2, 6), ("access", r"AKIA[A-Z0-9]{16,}", 0, 20), ("hex", r"[0-9a-f]{24,}", 0, 24))
 KINDS = ("assign", "access", "hex", "markov")
-TOKEN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}"
+JOINED = "[A-Za-z0-9+/_-]"
+#: Tokens that teach nothing about ordinary words: long ones with a digit and a letter.
+MIXED = r"^(?=[A-Za-z+/_-]*[0-9])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}$"
 WORD = r"[A-Za-z0-9+/_-]{6,}"
 MASK = "[secret]"
 SPAN = "array<struct<start:int,ord:int,end:int,value:string>>"
 
 
-def _placed(text: Column, order: int, pattern: str, matches: Column, values: Column, least: int) -> Column:
+def _placed(text: Column, order: int, pattern: str | Column, matches: Column, values: Column, least: int) -> Column:
     """The spans of all matches, from the lengths of the texts between them and of the matches themselves."""
     between = F.split(text, pattern, -1)
     zipped = F.arrays_zip(F.transform(between, F.length).alias("gap"), matches.alias("match"), values.alias("value"))
@@ -49,26 +53,24 @@ def _placed(text: Column, order: int, pattern: str, matches: Column, values: Col
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``__base`` (base spans in order) and ``__tokens`` (tokens to score, with places) to the rows."""
+    """Adds ``__base`` (base spans in order) to the rows."""
     rows = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
     found = {}
     for kind, pattern, group, _ in BASE:
         found[f"__{kind}"] = F.regexp_extract_all("__t", F.lit(pattern), F.lit(0))
         if group:
             found[f"__{kind}_value"] = F.regexp_extract_all("__t", F.lit(pattern), F.lit(group))
-    found["__token"] = F.regexp_extract_all("__t", F.lit(TOKEN), F.lit(0))
     rows = rows.withColumns(found)
     each = [_placed(F.col("__t"), i, pattern, F.col(f"__{kind}"), F.col(f"__{kind}_value" if group else f"__{kind}"), least) for i, (kind, pattern, group, least) in enumerate(BASE)]
-    tokens = _placed(F.col("__t"), len(BASE), TOKEN, F.col("__token"), F.col("__token"), 16)
-    rows = rows.withColumns({"__base": F.sort_array(F.concat(*each)), "__tokens": tokens})
+    rows = rows.withColumn("__base", F.sort_array(F.concat(*each)))
     return rows.drop("__t", *found)
 
 
 def _pairs(tokens: DataFrame) -> dict[tuple[int, int], int]:
-    """How often each pair of neighbouring ASCII characters occurs in ``token``: at most 128 x 128 rows."""
-    pairs = tokens.where(F.length("token") > 1).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substr("token", i, F.lit(2)))).alias("p"))
-    rows = pairs.groupBy("p").count().collect()
-    return {(ord(r.p[0]), ord(r.p[1])): r["count"] for r in rows if max(map(ord, r.p)) < 128}
+    """How often each pair of neighbouring ASCII characters occurs in the ``n`` times each ``token`` does: at most 128 x 128 rows."""
+    pairs = tokens.where(F.length("token") > 1).select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substr("token", i, F.lit(2)))).alias("p"))
+    rows = pairs.groupBy("p").agg(F.sum("n").alias("n")).collect()
+    return {(ord(r.p[0]), ord(r.p[1])): r.n for r in rows if max(map(ord, r.p)) < 128}
 
 
 def log_ratios(random: dict[tuple[int, int], int], plain: dict[tuple[int, int], int], size: int = 64) -> list[float]:
@@ -91,36 +93,57 @@ def log_ratios(random: dict[tuple[int, int], int], plain: dict[tuple[int, int],
 
 
 def train(scanned: DataFrame, text: str, train_rows: int, seed: int = 7) -> list[float] | None:
-    random = _pairs(scanned.select(F.explode("__base").alias("b")).select(F.col("b.value").alias("token")))
+    random = _pairs(scanned.select(F.explode("__base").alias("b")).select(F.col("b.value").alias("token"), F.lit(1).alias("n")))
     if not random:
         return None
     n = scanned.count()
     chance = F.pmod(F.xxhash64("doc_id", F.length(text), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = scanned.where((chance * n < train_rows) & (F.size("__base") == 0)).select(F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("token"))
-    # What is to be scored does not teach what is ordinary.
-    sample = sample.where(~F.col("token").rlike(TOKEN))
-    return log_ratios(random, _pairs(sample))
+    sample = scanned.where((chance * n < train_rows) & (F.size("__base") == 0)).withColumn("row", F.monotonically_increasing_id())
+    words = sample.select("row", F.explode(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("token"))
+    # What is to be found does not teach what is ordinary: random strings of both cases hardly recur in another document.
+    words = words.where(~F.col("token").rlike(MIXED)).groupBy("token").agg(F.count("*").alias("n"), (F.min("row") != F.max("row")).alias("recurs"))
+    return log_ratios(random, _pairs(words.where(F.col("recurs") | ~F.col("token").rlike("[a-z][A-Z]"))))
 
 
-def _markov(tokens: Column, base: Column, ratios: list[float] | None, threshold: float) -> Column:
-    """The tokens that are random, less those that a base span touches."""
-    if ratios is None:
-        return F.array().cast(SPAN)
+def least_ratio(length: int, threshold: float) -> float:
+    """The bar of a token: ``threshold`` for each pair of its characters, from sixteen characters on; below, the sum itself rises the
+    shorter the token is."""
+    n = max(length - 1, 1)
+    return threshold * (n if n >= 15 else 15 * (15 / n) ** 2.5)
+
+
+def _random(text: Column, ratios: list[float], threshold: float) -> Column:
+    """The different tokens of a text whose ratio reaches the bar."""
     # One literal; constant folding turns it into an array.
     held = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
+    # A token too short for its bar even if all its pairs had the largest ratio cannot reach it.
+    top = max(ratios)
+    least = next((n for n in range(2, 17) if (n - 1) * top >= least_ratio(n, threshold)), 17)
+    bars = F.split(F.lit(",".join(str(least_ratio(n, threshold)) for n in range(17))), ",").cast("array<double>")
 
-    def ratio(token: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            at = F.ascii(F.substr(token, i, F.lit(1))) * 128 + F.ascii(F.substr(token, i + 1, F.lit(1)))
-            return acc + F.get(held, at)
+    def step(acc: Column, c: Column) -> Column:
+        return F.struct(F.ascii(c).alias("at"), (acc["sum"] + F.coalesce(F.get(held, acc["at"] * 128 + F.ascii(c)), F.lit(0.0))).alias("sum"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), step) / (F.length(token) - 1)
+    def reaches(token: Column) -> Column:
+        start = F.struct(F.lit(-128).alias("at"), F.lit(0.0).alias("sum"))
+        return F.aggregate(F.split(token, ""), start, step, lambda x: x["sum"]) >= F.coalesce(F.get(bars, F.length(token)), threshold * (F.length(token) - 1))
 
-    def random(x: Column) -> Column:
-        free = ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return free & (ratio(x["value"]) >= threshold)
+    return F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(f"{JOINED}{{{least},}}"), F.lit(0))), reaches)
 
-    return F.filter(tokens, random)
+
+def with_markov(rows: DataFrame, text: str, ratios: list[float] | None, threshold: float) -> DataFrame:
+    """Adds ``__markov``: the spans of tokens that are random, less those that a base span touches."""
+    if ratios is None:
+        return rows.withColumn("__markov", F.array().cast(SPAN))
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = rows.withColumn("__random", _random(t, ratios, threshold))
+    each = F.array_join(F.transform("__random", lambda v: F.concat(F.lit("\\Q"), v, F.lit("\\E"))), "|")
+    rows = rows.withColumn("__pattern", F.concat(F.lit(f"(?<!{JOINED})(?:"), each, F.lit(f")(?!{JOINED})")))
+    matches = F.regexp_extract_all(t, F.col("__pattern"), F.lit(0))
+    placed = F.when(F.size("__random") > 0, _placed(t, len(BASE), F.col("__pattern"), matches, matches, 0)).otherwise(F.array().cast(SPAN))
+    rows = rows.withColumn("__markov", placed)
+    free = F.filter("__markov", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    return rows.withColumn("__markov", free).drop("__random", "__pattern")
 
 
 def written(spans: Column) -> Column:
@@ -134,8 +157,8 @@ def with_spans(docs: DataFrame, train_rows: int = 2000, threshold: float = 1.0)
     scoring need what the scan found."""
     scanned = table_written(scan(docs), "secrets")
     ratios = train(scanned, "text", train_rows)
-    every = F.sort_array(F.concat("__base", _markov(F.col("__tokens"), F.col("__base"), ratios, threshold)))
-    return scanned.withColumn("__all", every).drop("__tokens")
+    found = with_markov(scanned, "text", ratios, threshold)
+    return found.withColumn("__all", F.sort_array(F.concat("__base", "__markov"))).drop("__markov")
 
 
 def find_secrets(docs: DataFrame, train_rows: int = 2000, threshold: float = 1.0) -> DataFrame:

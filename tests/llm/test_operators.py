@@ -275,6 +275,27 @@ def test_secrets(spark):
     assert secrets.find_secrets(empty(spark)).count() == 0
 
 
+def test_random_strings_without_digits_are_secrets(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    letters, digits = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    syllables = ["ver", "ein", "ung", "lich", "keit", "con", "sti", "tu", "tion", "al", "re", "men", "ta", "ri", "ous"]
+    word = lambda n: "".join(rng.choice(syllables, n))
+    plain = [" ".join(word(int(n)) for n in rng.integers(2, 9, 150)) for _ in range(60)]
+    known = [f"{p} password={draw(letters + digits, 24)}" for p in plain[:40]]
+    keys = [draw(letters, 40), draw(letters, 20), draw(letters, 16), draw(letters + digits, 12), draw(letters, 14), draw(letters, 24) + "+x"]
+    held = [f"é {plain[50 + i]} {k} and {k}x, {k}." for i, k in enumerate(keys)]  # each twice as a token of its own, once as a part of a longer one
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(plain + known + held)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert all(got[i].n_markov == 0 for i in range(100))
+    for i, k in enumerate(keys):
+        t, spans = held[i], got[100 + i].spans.split(",")
+        places = [m.start() for m in re.finditer(re.escape(k), t)]
+        assert spans == [f"markov:{a}:{a + len(k) + (j == 1)}" for j, a in enumerate(places)], (k, spans)
+    masked = {r.doc_id: r.text for r in secrets.masked_documents(docs).collect()}
+    assert all(k not in masked[100 + i] and masked[100 + i].endswith("[secret] and [secret], [secret].") for i, k in enumerate(keys))
+
+
 def test_sharding(spark, docs, texts):
     got = sharding.shard_records(docs, shards=5, range_rows=7).collect()
     sizes = sorted(len((t or "").encode()) + 8 for t in [*texts, texts[5]])
