@@ -186,18 +186,24 @@ def join_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
+def text_key(text: Column) -> Column:
+    """Stands for the text as it is written, by two independent hashes."""
+    return F.concat_ws(":", F.xxhash64(text), F.xxhash64(F.lit(77), text))
+
+
 def sketched(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, jid, k, sketch`` of each document; ``k`` stands for the sequence of its words, and texts without words have no sketch."""
+    """``doc_id, jid, raw, k, sketch`` of each document; ``raw`` stands for its text, ``k`` for the sequence of its words, and texts without
+    words have no sketch."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = [normal_words(t) for t in byte_texts(b.column("text"))]
             k = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
             s = [sketch(shingles(w, size)).tobytes() if w else None for w in words]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("jid"), pa.array(k, pa.binary()), pa.array(s, pa.binary())], ["doc_id", "jid", "k", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("jid"), b.column("raw"), pa.array(k, pa.binary()), pa.array(s, pa.binary())], ["doc_id", "jid", "raw", "k", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return rows.withColumn("jid", join_id()).select("doc_id", "jid", "text").mapInArrow(each, "doc_id long, jid long, k binary, sketch binary")
+    return rows.withColumns({"jid": join_id(), "raw": text_key(F.col("text"))}).select("doc_id", "jid", "raw", "text").mapInArrow(each, "doc_id long, jid long, raw string, k binary, sketch binary")
 
 
 def _blocks(texts: DataFrame, block: int) -> DataFrame:
@@ -320,27 +326,34 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def jaccard_classes(docs: DataFrame, **options: object) -> DataFrame:
-    """``doc_id, class_id, n_links, n_copies`` of each document, with ``jid`` and ``first_of_class``.
-
-    ``class_id``: the least id among the documents connected by links or equal texts. ``n_links``: documents with other texts
-    and a similarity of the threshold or more. ``n_copies``: further documents with the same words.
-    """
+def _classes(docs: DataFrame, **options: object) -> DataFrame:
+    """``doc_id, jid, raw, root, class_id, n_links, n_copies`` of each document; ``root`` stands for the class."""
     rows, texts, found = links(docs, **options)
     roots = components(found)
     n = found.groupBy("k").agg(F.sum("n").alias("n_links"))
     joined = texts.join(n, "k", "left").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = joined.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = joined.join(least, "root").select("k", F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("copies") - 1).alias("n_copies"), "class_id")
-    return rows.select("doc_id", "jid", "k").join(classes, "k").select("doc_id", "class_id", "n_links", "n_copies", "jid")
+    classes = joined.join(least, "root").select("k", "root", F.coalesce("n_links", F.lit(0)).alias("links"), "copies", "class_id")
+    classes = classes.select("k", "root", "class_id", F.col("links").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
+    return rows.select("doc_id", "jid", "raw", "k").join(classes, "k").select("doc_id", "jid", "raw", "root", "class_id", "n_links", "n_copies")
+
+
+def jaccard_classes(docs: DataFrame, **options: object) -> DataFrame:
+    """``doc_id, class_id, n_links, n_copies`` of each document, with ``jid``.
+
+    ``class_id``: the least id among the documents connected by links or equal texts. ``n_links``: documents with other texts
+    and a similarity of the threshold or more. ``n_copies``: further documents with the same words.
+    """
+    return _classes(docs, **options).select("doc_id", "class_id", "n_links", "n_copies", "jid")
 
 
 def without_near_copies(docs: DataFrame, **options: object) -> DataFrame:
-    """One document of each class stays: the one with the least id. Rows without an id stay if no other of their class has one.
+    """One document of each class stays: the one with the least id, of several texts with it the one with the least key. Rows without an
+    id stay if no other of their class has one, one of them.
 
     Repeated rows of one id and text count as one document.
     """
-    classes = jaccard_classes(docs, **options)
-    keep = classes.where(F.col("doc_id").isNull() & F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select(F.col("jid").alias("__jid")).distinct()
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
-    return rows.join(keep, F.col("__id") == F.col("__jid"), "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("x")
+    keep = _classes(docs, **options).groupBy("root").agg(first).select(F.col("x.doc_id").alias("__first"), F.col("x.raw").alias("__text"))
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__raw": text_key(F.coalesce(F.col("text"), F.lit("")))})
+    return rows.join(keep, F.col("__id").eqNullSafe(F.col("__first")) & (F.col("__raw") == F.col("__text")), "left_semi").dropDuplicates(["__id", "__raw"]).select(*docs.columns)

@@ -155,6 +155,18 @@ def test_jaccard_join(spark, docs, texts):
     assert jaccard_join.jaccard_classes(empty(spark)).count() == 0
 
 
+def test_near_copies_by_id_and_text(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = lambda t: " ".join(w if i != 30 else "changed" for i, w in enumerate(t.split()))
+    rows = [(1, a), (2, near(a)), (2, b), (2, b), (None, c), (None, near(c)), (None, c + "!"), (7, "x y"), (None, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r.doc_id, r.text) for r in jaccard_join.without_near_copies(docs).collect()]
+    lost = [x for x in left if x[1] in (c, near(c), c + "!")]
+    assert len(lost) == 1 and lost[0][0] is None
+    assert sorted(x for x in left if x not in lost) == [(1, a), (2, b), (7, "x y")]
+
+
 def test_pruning_keeps_likely_pairs():
     need = jaccard_join.least_matches(0.8, 1e-9)
     tail = lambda n, m: sum(math.comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m + 1))
