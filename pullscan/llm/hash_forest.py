@@ -11,7 +11,8 @@ second scores the matches of that length, inside the sorted ranges, and only the
 Equal vectors are indexed once, with their ``k + 1`` smallest ids: as ties go to smaller ids, no further one can be among the best.
 
 Vectors that are null, zero, or hold a null or non-finite component take no part. Vectors of another length are only compared with
-their like. A query with no other vector has no rows; rows without an id take no part. Repeated ids are each an entry of their own and are told apart from a query by id.
+their like. A query with no other vector has no rows; rows without an id take no part. Repeated rows are one entry; other vectors of
+a repeated id are compared too, and the id has the best of their scores.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """Each different vector once, with its ``k + 1`` smallest ids: first within shares of its rows, then overall."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    """Each different vector once, with its ``k + 1`` smallest different ids: first within shares of its rows, then overall."""
+    salted = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     few = Window.partitionBy("v", "salt").orderBy("vec_id")
     least = salted.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
     last = Window.partitionBy("v").orderBy("vec_id")
@@ -104,7 +105,7 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, vector: str =
     rows = usable(vectors, vector)
     index = distinct_vectors(rows, k).withColumns({"query": F.exists("ids", lambda i: i % query_every == 0)})
     # Ids of queries beyond the smallest k + 1 of an equal group are asked by their group as well.
-    asked = rows.where(F.col("vec_id") % query_every == 0).select("v", "vec_id")
+    asked = rows.where(F.col("vec_id") % query_every == 0).select("v", "vec_id").distinct()
     grouped = index.join(asked.select("v").distinct().withColumn("asked", F.lit(True)), "v", "left").select("v", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
     from pullscan.llm.common import table_written
 
@@ -170,6 +171,6 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, vector: str =
     queries = asked.join(held.select("v", F.array_min("ids").alias("q")), "v").select("q", F.col("vec_id").alias("query_id"))
     best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     few = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    own = few.join(queries, "q").where("vec_id != query_id")
+    own = few.join(queries, "q").where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return own.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -198,6 +198,13 @@ def test_nearest(spark):
     assert hash_forest.nearest(t.limit(0)).count() == 0
 
 
+def test_nearest_of_repeated_rows(spark):
+    rows = [(50, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in (51, 52, 53)] + [(i, [1.0, i / 10]) for i in range(60, 70)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.rank, r.vec_id, round(r.score, 6)) for r in hash_forest.nearest(t).collect() if r.query_id == 50)
+    assert got[:3] == [(1, 51, 1.0), (2, 52, 1.0), (3, 53, 1.0)] and len(got) == 5
+
+
 def test_quality_rules(spark, docs, labels, texts):
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels, 20).collect()}
     for i, t in enumerate(texts):
