@@ -185,9 +185,9 @@ def probe(rows: DataFrame, cascade: DataFrame, segments: int, limit: int = ROUND
 
 def listed_hosts(pages: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Domains of the pages that start with one of the given labels, as a list of hosts to block."""
-    host = pages.select(host_of(F.col("url")).alias("host"))
-    each = host.select(F.explode(suffixes(F.col("host"), 32)).alias("host"))
-    return each.where(F.split("host", r"\.")[0].isin(*labels)).distinct()
+    host = pages.select(F.split(host_of(F.col("url")), r"\.").alias("labels")).where(F.arrays_overlap("labels", F.array(*map(F.lit, labels))))
+    at = F.filter(F.sequence(F.lit(1), F.size("labels")), lambda i: F.get("labels", i - 1).isin(*labels))
+    return host.select(F.explode(F.transform(at, lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))).alias("host")).distinct()
 
 
 def filter_urls(pages: DataFrame, block: Sequence[str], allow: Sequence[str], listed: DataFrame, segment_keys: int = SEGMENT_KEYS, limit: int = ROUND_BYTES) -> DataFrame:

@@ -73,6 +73,17 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), block, allow, listed).count() == 0
 
 
+def test_listed_labels_far_left(spark):
+    deep = "ads-track." + ".".join(f"l{i}" for i in range(60)) + ".com"
+    urls = [f"http://{deep}/x", f"http://a.{deep}/x", f"http://spam.{deep[10:]}/", "http://ads-track.ads-track.org/y", "http://xads-track.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = url_filter.listed_hosts(pages, ("ads-track", "other"))
+    assert sorted(r.host for r in listed.collect()) == sorted([deep, "ads-track.ads-track.org", "ads-track.org"])
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, (), (), listed).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "block", 4: "allow"}
+    assert url_filter.listed_hosts(pages, ()).count() == 0
+
+
 def test_cascade_is_exact():
     rng = np.random.default_rng(1)
     h1, h2 = (rng.integers(0, 1 << 63, 20_000).astype(np.uint64) for _ in range(2))
