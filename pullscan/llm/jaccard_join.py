@@ -6,7 +6,7 @@ of 7e-10. A pair is looked at in the first band it shares only. Its MinHash valu
 dropped when the posterior probability that its similarity reaches the threshold (uniform prior) is below ``tolerance``. The
 rest is verified exactly on the 5-grams themselves.
 
-Copies are one text throughout. A band value that many texts share is parted into blocks, and each pair of blocks is a piece of work
+Texts of the same words are one text throughout, and links among their documents are counted, not expanded. A band value that many texts share is parted into blocks, and each pair of blocks is a piece of work
 of its own, of bounded size; what leaves it is one row per text (its number of links, and a root), never pairs. Texts go to
 the verifying tasks only if a candidate of theirs outlived the pruning.
 
@@ -334,15 +334,18 @@ def _classes(docs: DataFrame, **options: object) -> DataFrame:
     joined = texts.join(n, "k", "left").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     least = joined.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = joined.join(least, "root").select("k", "root", F.coalesce("n_links", F.lit(0)).alias("links"), "copies", "class_id")
-    classes = classes.select("k", "root", "class_id", F.col("links").alias("n_links"), (F.col("copies") - 1).alias("n_copies"))
-    return rows.select("doc_id", "jid", "raw", "k").join(classes, "k").select("doc_id", "jid", "raw", "root", "class_id", "n_links", "n_copies")
+    # Documents of the same words but other texts are links, of similarity 1; without words there are no n-grams to share.
+    written = rows.groupBy("k", "raw").agg(F.count("*").alias("same"), F.max(F.col("sketch").isNotNull()).alias("worded"))
+    alike = F.when(F.col("worded"), F.col("copies") - F.col("same")).otherwise(0)
+    each = written.join(classes, "k").select("k", "raw", "root", "class_id", (F.col("links") + alike).alias("n_links"), (F.col("same") - 1).alias("n_copies"))
+    return rows.select("doc_id", "jid", "raw", "k").join(each, ["k", "raw"]).select("doc_id", "jid", "raw", "root", "class_id", "n_links", "n_copies")
 
 
 def jaccard_classes(docs: DataFrame, **options: object) -> DataFrame:
     """``doc_id, class_id, n_links, n_copies`` of each document, with ``jid``.
 
     ``class_id``: the least id among the documents connected by links or equal texts. ``n_links``: documents with other texts
-    and a similarity of the threshold or more. ``n_copies``: further documents with the same words.
+    and a similarity of the threshold or more, those of the same words included. ``n_copies``: further documents with the same text.
     """
     return _classes(docs, **options).select("doc_id", "class_id", "n_links", "n_copies", "jid")
 

@@ -178,6 +178,15 @@ def test_near_copies_by_id_and_text(spark):
     assert sorted(x for x in left if x not in lost) == [(1, a), (2, b), (7, "x y")]
 
 
+def test_links_of_texts_with_the_same_words(spark):
+    rng = np.random.default_rng(9)
+    a = prose(rng, 60)
+    texts = [a, a, a.upper(), a + "!", a.replace(" ", "  "), " ".join(a.split()[:-1]), "", None, "  "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in jaccard_join.jaccard_classes(docs).collect()}
+    assert got == {0: (0, 4, 1), 1: (0, 4, 1), 2: (0, 5, 0), 3: (0, 5, 0), 4: (0, 5, 0), 5: (0, 5, 0), 6: (6, 0, 1), 7: (6, 0, 1), 8: (6, 0, 0)}
+
+
 def test_pruning_keeps_likely_pairs():
     need = jaccard_join.least_matches(0.8, 1e-9)
     tail = lambda n, m: sum(math.comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m + 1))
