@@ -45,4 +45,51 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - len(k) AS BIGINT
 FROM kept
 """
 
-ORACLES = {"op1_url_filter": OP1, "op6_substring_dedup": OP6}
+OP11 = """
+WITH rows AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS s
+  FROM rows a JOIN rows b ON a.id % 50 = 0 AND a.id <> b.id AND len(a.v) = len(b.v)
+), positives AS (
+  SELECT a, b, s FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5
+), picked AS (
+  SELECT p.a AS anchor_id, p.b AS positive_id, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS "rank"
+  FROM positives p JOIN scored n ON n.a = p.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+)
+SELECT anchor_id, positive_id, "rank", negative_id, positive_score, negative_score FROM picked WHERE "rank" <= 3
+"""
+
+OP13 = r"""
+WITH hashed AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+    sha256('42:' || CAST(doc_id AS VARCHAR)) AS h
+  FROM documents
+), drawn AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n,
+    CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS one, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS two,
+    CAST('0x' || h[17:24] AS BIGINT) % 100 AS three, CAST('0x' || h[25:32] AS BIGINT) % 100 AS four
+  FROM hashed
+), parted AS (
+  SELECT doc_id, text, n,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR three >= 50 THEN 'plain'
+         WHEN four < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(one, two)], '') AS p, array_to_string(u[least(one, two) + 1:greatest(one, two)], '') AS m,
+    array_to_string(u[greatest(one, two) + 1:n], '') AS s
+  FROM drawn
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parted
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op6_substring_dedup": OP6, "op11_hard_negatives": OP11, "op13_fill_in_middle": OP13}
