@@ -187,6 +187,13 @@ cte("docl", """SELECT *, lead(t) OVER (PARTITION BY f ORDER BY n) AS nxt FROM (S
 _docs = " UNION ALL ".join(s for r in ("S001", "S002", "SEC001", "SEC002", "BP001") for s in rule_selects("docl", "fns")[r])
 for _k in ("analyze_documents", "stream_review"):
     oracle(_k, f"SELECT f AS file_ord, rule_id, line, message, suggestion, code_snippet, confidence FROM ({_docs})", "docl")
+cte("docv", f"""SELECT 'doc' || f AS file, *, CASE WHEN suggestion <> '' THEN message || {NL} || {NL} || '**Suggestion:** ' || suggestion ELSE message END AS body FROM ({_docs})""", "docl")
+oracle("stream_events", """SELECT 'review_started' AS event, CAST(0 AS BIGINT) AS pr, CAST(NULL AS INT) AS files_count, CAST(NULL AS VARCHAR) AS rule_id, CAST(NULL AS VARCHAR) AS file,
+  CAST(NULL AS INT) AS line, CAST(NULL AS VARCHAR) AS severity, CAST(NULL AS VARCHAR) AS body, CAST(NULL AS BIGINT) AS total_violations, CAST(NULL AS BIGINT) AS comments_posted
+ UNION ALL SELECT 'pr_fetched', NULL, CAST(count(*) AS INT), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM documents
+ UNION ALL SELECT 'rule_triggered', NULL, NULL, rule_id, file, line, severity, NULL, NULL, NULL FROM docv
+ UNION ALL SELECT 'comment_generated', NULL, NULL, rule_id, file, line, severity, body, NULL, NULL FROM docv
+ UNION ALL SELECT 'review_completed', NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*), count(*) FROM docv""", "docv")
 oracle("custom_rule", """SELECT f AS file_ord, 'X001' AS rule_id, n AS line, 'Comment contains ''note''' AS message, '' AS suggestion,
  trim(t) AS code_snippet, CAST(0.5 AS DOUBLE) AS confidence FROM src WHERE ltrim(t) LIKE '#%' AND contains(t, 'note')""", "src")
 

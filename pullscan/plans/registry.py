@@ -205,7 +205,9 @@ def review_log_write(spark, sf):
 def review_log_scan(spark, sf):
     path = shared_path(spark, "review-log")
     reviewlog.write_review_log(_static_events(spark, sf), path)
-    return reviewlog.read_review_log(spark, path).select("timestamp", "event", "rule_id", "file", "line", "severity")
+    # A range of days reads only their folders.
+    log = reviewlog.read_review_log(spark, path, since="2026-01-01", until="2026-01-31")
+    return log.select("timestamp", "event", "rule_id", "file", "line", "severity")
 
 
 @query
@@ -880,16 +882,26 @@ def mark_refactored(spark, sf):
     return plan.mark_refactored(r.route, r.results)
 
 
-@query
-def stream_review(spark, sf):
-    """The documents as a stream of arriving files, reviewed until all input is read."""
+def _streamed(spark, sf) -> str:
+    """The documents as a stream of arriving files, reviewed until all input is read; the root of the written tables."""
     schema = spark.read.parquet(f"{sf}/documents.parquet").schema
     arriving = streaming.read_file_stream(spark, sf, schema, glob="documents.parquet").select(
         F.lit("documents").alias("repo"), F.lit(0).cast("bigint").alias("pr_number"),
         F.col("doc_id").alias("file_ord"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("filename"),
-        F.md5("text").alias("head_sha"), F.col("text").alias("content"), "arrived",
+        F.md5("text").alias("head_sha"), F.col("text").alias("content"), "arrived", *streaming.DELIVERY,
     )
-    out, state = shared_path(spark, "stream-out"), shared_path(spark, "stream-state")
-    q = streaming.start_review(arriving, load_rules(), out, state, once=True)
-    q.awaitTermination()
-    return spark.read.parquet(out).select(*V_KEY)
+    root = shared_path(spark, "stream")
+    streaming.start_review(arriving, load_rules(), f"{root}/out", f"{root}/state", once=True).awaitTermination()
+    return f"{root}/out"
+
+
+@query
+def stream_review(spark, sf):
+    return streaming.read_violations(spark, _streamed(spark, sf)).select(*V_KEY)
+
+
+@query
+def stream_events(spark, sf):
+    """The log the stream wrote, without its times."""
+    log = streaming.read_events(spark, _streamed(spark, sf))
+    return log.select("event", "pr", "files_count", "rule_id", "file", "line", "severity", "body", "total_violations", "comments_posted")

@@ -168,6 +168,29 @@ def review(spark: SparkSession, inputs: ReviewInputs, options: ReviewOptions | N
     return Review(files, violations, comments, decisions, results, verified, route)
 
 
+def comment_fields(body: Column) -> dict[str, Column]:
+    c = F.col
+    return {"file": c("file"), "line": c("line"), "severity": c("severity"), "rule_id": c("rule_id"),
+            "body": body, "suggestion_code": c("suggestion_code")}
+
+
+def static_events(
+    headers: DataFrame, decisions: DataFrame, violations: DataFrame, comments: DataFrame, at: Column
+) -> DataFrame:
+    """The events of a review without rewrites: started, files fetched, each finding, each comment, completed."""
+    c = F.col
+    parts = [
+        event_rows(headers, 1, "review_started", at, {"pr": c("pr_number")}),
+        event_rows(decisions, 2, "pr_fetched", at, {"files_count": c("total_files")}),
+        event_rows(violations, 4, "rule_triggered", at, {
+            "rule_id": c("rule_id"), "file": c("file"), "line": c("line"), "severity": c("severity")}),
+        event_rows(comments, 5, "comment_generated", at, comment_fields(c("body"))),
+        event_rows(decisions, 13, "review_completed", at, {
+            "total_violations": c("total_violations"), "comments_posted": c("total_violations")}),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def review_events(
     r: Review, inputs: ReviewInputs, at: Column | None = None, enable_rollback: bool = True
 ) -> DataFrame:
@@ -176,11 +199,6 @@ def review_events(
     prs = inputs.pull_requests
     none = F.lit(None)
     c = F.col
-
-    def comment_fields(body):
-        return {"file": c("file"), "line": c("line"), "severity": c("severity"), "rule_id": c("rule_id"),
-                "body": body, "suggestion_code": c("suggestion_code")}
-
     results = r.results
     verification = verification_results(r.verified).join(
         r.route.filter("verify").select(*PR_KEY), PR_KEY, "left_semi"
@@ -194,12 +212,8 @@ def review_events(
     rolled = results.filter("success").join(r.route.filter("rollback_performed").select(*PR_KEY), PR_KEY, "left_semi")
     with_sha = r.route.filter(c("sha").isNotNull() & F.lit(enable_rollback))
     parts = [
-        event_rows(prs, 1, "review_started", at, {"pr": c("pr_number")}),
-        event_rows(r.decisions, 2, "pr_fetched", at, {"files_count": c("total_files")}),
+        static_events(prs, r.decisions, r.violations, r.comments, at),
         event_rows(with_sha, 3, "rollback_point_created", at, {"sha": F.substring("sha", 1, 7), "full_sha": c("sha")}),
-        event_rows(r.violations, 4, "rule_triggered", at, {
-            "rule_id": c("rule_id"), "file": c("file"), "line": c("line"), "severity": c("severity")}),
-        event_rows(r.comments, 5, "comment_generated", at, comment_fields(c("body"))),
         event_rows(r.route.filter("refactor"), 6, "delegation", at, {"target": F.lit("refactor_agent")}),
         event_rows(results.filter("success"), 7, "refactor_applied", at, {"file": c("filename")}),
         event_rows(verification, 8, "verification", at, {"file": c("filename"), "passed": c("passed")}),
@@ -207,8 +221,6 @@ def review_events(
         event_rows(rolled, 10, "rollback", at, {"success": F.lit(True), "file": c("filename")}),
         event_rows(r.comments, 11, "comment_post_attempt", at, comment_fields(c("body"))),
         event_rows(r.decisions, 12, "comments_posted", at, {"count": c("total_violations"), "success": F.lit(True)}),
-        event_rows(r.decisions, 13, "review_completed", at, {
-            "total_violations": c("total_violations"), "comments_posted": c("total_violations")}),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -49,10 +49,17 @@ def write_review_log(events: DataFrame, path: str) -> None:
     events.select("event_date", "value").write.mode("append").partitionBy("event_date").text(path)
 
 
-def parse_review_log(lines: DataFrame) -> DataFrame:
+def parse_review_log(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed log rows from JSON lines in a ``value`` column; fields an event lacks are null."""
-    return lines.select(F.from_json("value", REVIEW_LOG).alias("e")).select("e.*")
-
-
-def read_review_log(spark: SparkSession, path: str) -> DataFrame:
-    return parse_review_log(spark.read.text(path))
+    return lines.select(*keep, F.from_json("value", REVIEW_LOG).alias("e")).select(*keep, "e.*")
+
+
+def read_review_log(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """The log with ``event_date``. A range of days (both included, as ``yyyy-MM-dd``) reads only the folders of these days."""
+    lines = spark.read.text(path)
+    day = F.col("event_date").cast("date")
+    if since is not None:
+        lines = lines.where(day >= F.lit(since).cast("date"))
+    if until is not None:
+        lines = lines.where(day <= F.lit(until).cast("date"))
+    return parse_review_log(lines, ("event_date",))

@@ -337,17 +337,3 @@ def test_log_round_trip(spark, tmp_path):
     sample = '{"timestamp": "2026-02-13T10:30:03.500Z", "event": "refactor_applied", "file": "src/config.py", "violations_fixed": 1}'
     got = reviewlog.parse_review_log(spark.createDataFrame([(sample,)], "value string")).first()
     assert (got.file, got.violations_fixed, got.timestamp.microsecond) == ("src/config.py", 1, 500000)
-
-
-def test_stream_equals_batch(spark, tmp_path, make_files):
-    from pullscan.streaming.review import read_file_stream, start_review
-
-    f = make_files(*[(f"f{i}.py", "def F(x):\n    except:\npassword = 'x'") for i in range(8)]).withColumn("head_sha", F.lit("s"))
-    for _ in range(2):  # the same versions delivered twice
-        f.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    s = read_file_stream(spark, str(tmp_path / "in"), f.schema, files_per_trigger=1)
-    q = start_review(s, load_rules(), str(tmp_path / "out"), str(tmp_path / "state"), once=True)
-    q.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out"))
-    want = rv.analyze(f, load_rules())
-    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
