@@ -26,28 +26,33 @@ from pullscan.session import shared_path
 
 STREAM = "part int, first long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long"
-#: Distinct words whose ids a worker remembers; a full memory is emptied.
-MEMORY = 300_000
+#: Distinct words, and pieces of words, whose ids a worker holds in the newer half of its memory. A full half becomes the older
+#: one, from which what is met again comes back; so rare words are forgotten, and frequent ones stay.
+WORDS, PIECE_WORDS = 400_000, 250_000
 #: Marks that form one piece of the word tokenizer wherever letters stand before them.
 PLAIN_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class Table:
-    """Id lists one after another."""
+class Memory:
+    """Ids by text, in a newer and an older half."""
 
-    def __init__(self, kind: np.dtype) -> None:
-        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, kind)
+    def __init__(self, limit: int) -> None:
+        self.limit, self.newer, self.older = limit, {}, {}
 
-    def add(self, ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
-
-    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of these lists in a row, and the lists' lengths."""
-        n = self.lengths[at]
-        ends = np.cumsum(n)
-        return self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(int(ends[-1]) if len(n) else 0)], n
+    def recall(self, texts: Iterable) -> list:
+        """Makes sure of these texts what can be; those never met, or forgotten, in their order. The halves change only here,
+        so that all of them are in the newer one together once they are learned."""
+        if len(self.newer) >= self.limit:
+            self.older, self.newer = self.newer, {}
+        newer, older, unknown = self.newer, self.older, []
+        for t in texts:
+            if t not in newer:
+                known = older.get(t)
+                if known is None:
+                    unknown.append(t)
+                else:
+                    newer[t] = known
+        return unknown
 
 
 class Encoder:
@@ -58,7 +63,7 @@ class Encoder:
     the next by a special token. A text that spells a special token is left to the tokenizer as a whole.
     """
 
-    def __init__(self, path: str, memory: int = MEMORY) -> None:
+    def __init__(self, path: str, memory: int = WORDS, pieces: int = PIECE_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -69,15 +74,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.memory = memory
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.words = Table(self.kind)
-        self.piece: dict[str, int] = {"": 0}
-        self.pieces = Table(self.kind)
-        self.pieces.add(np.zeros(0, np.int64), np.zeros(1, np.int64))
+        self.words, self.pieces = Memory(memory), Memory(pieces)
 
     def parted(self, word: bytes) -> tuple[str, str] | None:
         """The word's letters and marks, if these are its pieces for sure."""
@@ -88,56 +85,43 @@ class Encoder:
             return "", s
         return (low, s[len(letters) :]) if letters.isalpha() and low.isalpha() and max(letters) < "\u0250" else None
 
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _cut(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The ids in runs up to each end, as bytes."""
+        data, width = ids.tobytes(), self.kind.itemsize
+        places = [0, *((ends + 1) * width).tolist()]
+        return [data[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+
     def learn(self, words: list[bytes]) -> None:
-        """Adds the words, in their order."""
         parted = [self.parted(w) for w in words]
-        new = list(dict.fromkeys(p for x in parted if x for p in x if p not in self.piece))
+        new = self.pieces.recall(dict.fromkeys(p for x in parted if x for p in x if p))
         if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, np.int64)
-            lengths = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
-            if len(lengths) != len(new):
+            ids = self._ids(" ".join(new))
+            runs = self._cut(ids, np.flatnonzero(self.ends[ids]))
+            if len(runs) != len(new):
                 raise ValueError("a piece without an end")
-            self.piece.update(zip(new, range(len(self.piece), len(self.piece) + len(new)), strict=True))
-            self.pieces.add(ids, lengths)
+            self.pieces.newer.update(zip(new, runs, strict=True))
         odd = [w for w, x in zip(words, parted, strict=True) if x is None]
         if odd:
-            ids = np.array(self.tokenizer.encode(self.part.join([w.decode() for w in odd]) + self.part, add_special_tokens=False).ids, np.int64)
-            lengths = np.diff(np.flatnonzero(ids == self.part_id), prepend=-1) - 1
-            first = len(self.pieces.lengths)
-            self.pieces.add(ids[ids != self.part_id], lengths)
-            # Numbers of pieces go on beyond the named ones, so that later pieces keep theirs.
-            self.piece.update({f" {first + i}": first + i for i in range(len(odd))})
-            at = iter(range(first, first + len(odd)))
-        pairs = np.array([(self.piece[x[0]], self.piece[x[1]]) if x else (next(at), 0) for x in parted], np.int64)
-        ids, lengths = self.pieces.take(pairs.ravel())
-        self.words.add(ids, lengths.reshape(-1, 2).sum(axis=1))
+            ids = self._ids(self.part.join([w.decode() for w in odd]) + self.part)
+            runs = self._cut(ids, np.flatnonzero(ids == self.part_id))
+            self.words.newer.update((w, r[: -self.kind.itemsize]) for w, r in zip(odd, runs, strict=True))
+        piece = self.pieces.newer
+        self.words.newer.update((w, (piece[x[0]] if x[0] else b"") + (piece[x[1]] if x[1] else b"")) for w, x in zip(words, parted, strict=True) if x)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
-        if len(self.place) > self.memory:
-            self.clear()
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]
-        split = [b"" if i in odd else t for i, t in enumerate(texts)] if odd else texts
-        words = [t.split() for t in split]
-        place, new, at = self.place, [], []
-        for ws in words:
-            for w in ws:
-                k = place.get(w)
-                if k is None:
-                    k = place[w] = len(place)
-                    new.append(w)
-                at.append(k)
-        if new:
-            self.learn(new)
-        ids, n = self.words.take(np.array(at, np.int64))
-        upto = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, words)])]
-        counts = np.diff(upto)
-        if odd:
-            own = {i: np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, self.kind) for i in odd}
-            ids = np.concatenate([own.get(i, ids[upto[i] : upto[i + 1]]) for i in range(len(texts))])
-            for i, x in own.items():
-                counts[i] = len(x)
-        return ids, counts
+        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
+        # Each different word of the run is met once here.
+        unknown = self.words.recall(set().union(*words))
+        if unknown:
+            self.learn(unknown)
+        known = self.words.newer
+        parts = [self._ids(texts[i].decode()).tobytes() if i in odd else b"".join(map(known.__getitem__, ws)) for i, ws in enumerate(words)]
+        return np.frombuffer(b"".join(parts), self.kind), np.array([len(p) for p in parts], np.int64) // self.kind.itemsize
 
 
 @lru_cache(maxsize=2)
