@@ -203,7 +203,9 @@ oracle("scan_pull_requests", "SELECT * FROM prs", "prs")
 oracle("scan_file_changes", "SELECT repo, pr_number, f AS file_ord, filename, status, additions, deletions, patch, status = 'removed' AS is_deleted FROM changes", "changes")
 cte("at_head", """SELECT fl.*, p.head_branch AS ref, c.content FROM files fl JOIN prs p USING (repo, pr_number)
  LEFT JOIN contents c ON c.repo = fl.repo AND c.path = fl.filename AND c.ref = p.head_branch""", "files", "prs", "contents")
-oracle("file_at_ref", "SELECT repo, pr_number, f AS file_ord, filename, ref, content FROM at_head", "at_head")
+for _k in ("file_at_ref", "file_at_ref_bucketed"):
+    oracle(_k, "SELECT repo, pr_number, f AS file_ord, filename, ref, content FROM at_head", "at_head")
+oracle("checked_out_files", "SELECT 'org/docs' AS repo, 'd' || doc_id AS path, 'main' AS ref, sha1(text || chr(10)) AS sha, text || chr(10) AS content FROM documents")
 oracle("handoff_maps", "SELECT repo, pr_number, filename AS path, content FROM at_head WHERE status <> 'removed' AND length(content) > 0", "at_head")
 oracle("latest_commit", "SELECT * FROM last_commit", "last_commit")
 oracle("rollback_point_rows", "SELECT repo, pr_number, commit_ord AS saved_ord, sha, commit_ord = max(commit_ord) OVER (PARTITION BY repo, pr_number) AS is_last FROM commits", "commits")

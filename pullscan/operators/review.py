@@ -42,15 +42,22 @@ def analyzable_files(file_changes: DataFrame) -> DataFrame:
     return file_changes.filter(should_analyze(F.col("filename"), F.col("status"), F.col("patch")))
 
 
+def with_head(file_changes: DataFrame, pull_requests: DataFrame) -> DataFrame:
+    """Changed files with ``ref``, the branch their text is read from: their own ``head_branch`` where they carry it, so
+    that no patch is moved to find it, else that of their pull request."""
+    if "head_branch" in file_changes.columns:
+        return file_changes.withColumnRenamed("head_branch", "ref")
+    return file_changes.join(pull_requests.select(*PR_KEY, F.col("head_branch").alias("ref")), PR_KEY)
+
+
 def file_at_ref(file_changes: DataFrame, pull_requests: DataFrame, file_contents: DataFrame) -> DataFrame:
     """Each changed file with its text on the head branch; a missing file has null content.
 
-    Both joins are equi joins. The content table is by far the largest, so it is the one to bucket on
-    ``(repo, path, ref)`` when the same contents are reviewed again.
+    An equi join with the content table, by far the largest; bucketed on ``(repo, path, ref)`` (``sources.contents``) it
+    stays where it is.
     """
-    heads = pull_requests.select(*PR_KEY, F.col("head_branch").alias("ref"))
     contents = file_contents.select("repo", F.col("path").alias("filename"), "ref", "content")
-    return file_changes.join(heads, PR_KEY).join(contents, ["repo", "filename", "ref"], "left")
+    return with_head(file_changes, pull_requests).join(contents, ["repo", "filename", "ref"], "left")
 
 
 # ---------------------------------------------------------------------------------------------------------

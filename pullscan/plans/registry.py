@@ -17,7 +17,7 @@ from pullscan.rules.checks import Check, register_rule
 from pullscan.rules.config import RuleSet, RuleSpec, load_rules, rules_table
 from pullscan.session import shared_path
 from pullscan.sources import derived as d
-from pullscan.sources import reviewlog, tables
+from pullscan.sources import contents, reviewlog, tables
 from pullscan.streaming import review as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,7 +95,7 @@ def scan_pull_requests(spark, sf):
 
 @query
 def scan_file_changes(spark, sf):
-    return tables.scan_file_changes(d.file_changes(spark, sf))
+    return tables.scan_file_changes(d.file_changes(spark, sf)).drop("head_branch")
 
 
 @query
@@ -105,6 +105,26 @@ def file_at_ref(spark, sf):
     )
 
 
+@query
+def file_at_ref_bucketed(spark, sf):
+    """The same from contents written in buckets of their key, read back by another definition of the table."""
+    path = shared_path(spark, "contents")
+    contents.write_contents(d.file_contents(spark, sf), path, 16)
+    return rv.file_at_ref(d.file_changes(spark, sf), scan_prs(spark, sf), contents.read_contents(spark, path)).select(
+        *FILE_KEY, "ref", "content"
+    )
+
+
+@query
+def checked_out_files(spark, sf):
+    """Texts read back from one file each, as after a checkout."""
+    path = shared_path(spark, "checkout")
+    docs = d.read_table(spark, sf, "documents")
+    tables.write_files(docs.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), "text"), path)
+    got = tables.file_contents_from_files(spark, path, "org/docs", "main", "*.txt")
+    return got.select("repo", F.regexp_extract("path", "^name=([^/]+)/", 1).alias("path"), "ref", "sha", "content")
+
+
 def _rule_counts(spark, sf):
     return violations(spark, sf).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 

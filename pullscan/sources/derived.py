@@ -146,7 +146,8 @@ def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_files(spark, sf_dir, content=False)
+    """One per document, with the head branch of its pull request."""
+    return source_files(spark, sf_dir, content=False).withColumn("head_branch", head_of(F.col("pr_number")))
 
 
 def file_contents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,14 +45,24 @@ def files_of_pull_requests(nested: DataFrame) -> DataFrame:
     )
 
 
-def file_contents_from_files(spark: SparkSession, path: str, repo: str, ref: str) -> DataFrame:
-    """File texts below a checked-out folder, decoded as UTF-8. ``path`` is relative to the folder."""
+def write_files(texts: DataFrame, path: str) -> None:
+    """One file per row of ``name, text`` in a folder ``name=<name>`` below ``path``; a line feed ends the file."""
+    texts.select("name", F.col("text").alias("value")).write.partitionBy("name").text(path)
+
+
+def file_contents_from_files(spark: SparkSession, path: str, repo: str, ref: str, glob: str | None = None) -> DataFrame:
+    """File texts below a checked-out folder. ``path`` is relative to the folder; ``glob`` picks files by their names.
+
+    The text is UTF-8 with U+FFFD for what is none; ``sha`` is of the bytes as they are.
+    """
     root = path.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     relative = F.substring_index(F.col("path"), root, -1)
-    return files.select(
+    return reader.load(path).select(
         F.lit(repo).alias("repo"), relative.alias("path"), F.lit(ref).alias("ref"),
-        F.sha1("content").alias("sha"), F.decode("content", "UTF-8").alias("content"),
+        F.sha1("content").alias("sha"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
