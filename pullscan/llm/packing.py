@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,38 +30,41 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Distinct words, and pieces of words, whose ids a worker holds in the newer half of its memory. A full half becomes the older
 #: one, from which what is met again comes back; so rare words are forgotten, and frequent ones stay.
 WORDS, PIECE_WORDS = 400_000, 250_000
-#: Marks that form one piece of the word tokenizer wherever letters stand before them.
-PLAIN_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of texts in a run, whose different words are met once.
+RUN = 8 << 20
+#: Letters below U+0250, which lower-casing leaves one letter each, with ASCII marks behind them: two pieces of the word tokenizer.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PLAIN = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]*[!-/:-@\[-`{-~]*$"
+
+
+def strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 class Memory:
-    """Ids by text, in a newer and an older half."""
+    """Ids by word, in a newer and an older half."""
 
     def __init__(self, limit: int) -> None:
         self.limit, self.newer, self.older = limit, {}, {}
 
-    def recall(self, texts: Iterable) -> list:
-        """Makes sure of these texts what can be; those never met, or forgotten, in their order. The halves change only here,
-        so that all of them are in the newer one together once they are learned."""
+    def recall(self, words: list[str]) -> list[bytes | None]:
+        """The ids of these words; none for one never met, or forgotten."""
         if len(self.newer) >= self.limit:
             self.older, self.newer = self.newer, {}
-        newer, older, unknown = self.newer, self.older, []
-        for t in texts:
-            if t not in newer:
-                known = older.get(t)
-                if known is None:
-                    unknown.append(t)
-                else:
-                    newer[t] = known
-        return unknown
+        found = list(map(self.newer.get, words))
+        for i, ids in enumerate(found):
+            if ids is None and (ids := self.older.get(words[i])) is not None:
+                found[i] = self.newer[words[i]] = ids
+        return found
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer whose pieces never cross white space, each distinct word being encoded once.
+    """Ids of whole texts by a tokenizer whose pieces never cross white space.
 
-    A word of letters below U+0250 with ASCII marks behind is two pieces, lower-cased letters and marks, and each distinct piece
-    is encoded once, many at a time: a piece ends with the id of a word's end. Any other word is encoded by itself, parted from
-    the next by a special token. A text that spells a special token is left to the tokenizer as a whole.
+    Arrow parts a run of texts at white space and numbers its different words, each of which is looked up once a run and encoded
+    where it is not remembered, many at a time. Plain words are two pieces, letters and marks, remembered as well and
+    encoded with spaces between, where an id that ends a piece parts them again. Any other word is parted from the next by a special
+    token. A text that spells a special token is left to the tokenizer as a whole.
     """
 
     def __init__(self, path: str, memory: int = WORDS, pieces: int = PIECE_WORDS) -> None:
@@ -76,52 +80,62 @@ class Encoder:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words, self.pieces = Memory(memory), Memory(pieces)
 
-    def parted(self, word: bytes) -> tuple[str, str] | None:
-        """The word's letters and marks, if these are its pieces for sure."""
-        s = word.decode()
-        letters = s.rstrip(PLAIN_MARKS)
-        low = letters.lower()
-        if not letters:
-            return "", s
-        return (low, s[len(letters) :]) if letters.isalpha() and low.isalpha() and max(letters) < "\u0250" else None
-
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
-    def _cut(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """The ids in runs up to each end, as bytes."""
-        data, width = ids.tobytes(), self.kind.itemsize
-        places = [0, *((ends + 1) * width).tolist()]
-        return [data[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
-
-    def learn(self, words: list[bytes]) -> None:
-        parted = [self.parted(w) for w in words]
-        new = self.pieces.recall(dict.fromkeys(p for x in parted if x for p in x if p))
-        if new:
-            ids = self._ids(" ".join(new))
-            runs = self._cut(ids, np.flatnonzero(self.ends[ids]))
-            if len(runs) != len(new):
-                raise ValueError("a piece without an end")
-            self.pieces.newer.update(zip(new, runs, strict=True))
-        odd = [w for w, x in zip(words, parted, strict=True) if x is None]
+    def _runs(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The ids up to each end, as bytes."""
+        data, places = ids.tobytes(), (ends * self.kind.itemsize).tolist()
+        return [data[a:b] for a, b in zip([0, *places[:-1]], places, strict=True)]
+
+    def learn(self, words: pa.Array) -> list[bytes]:
+        """The ids of words that hold no ASCII white space."""
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.not_equal(pc.binary_length(words), 0)).to_numpy(zero_copy_only=False)
+        out = np.full(len(words), b"", object)
+        some = words.filter(pa.array(plain))
+        if len(some):
+            bare = pc.utf8_rtrim(some, characters=MARKS)
+            letters = strings(pc.utf8_lower(bare))
+            marks = [w[n:] for w, n in zip(strings(some), pc.utf8_length(bare).to_numpy().tolist(), strict=True)]
+            named = list({*letters, *marks} - {""})
+            known = dict(zip(named, self.pieces.recall(named), strict=True))
+            known[""] = b""
+            new = [p for p, ids in known.items() if ids is None]
+            if new:
+                ids = self._ids(" ".join(new))
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) != len(new):
+                    raise ValueError("a piece without an end")
+                learned = dict(zip(new, self._runs(ids, ends), strict=True))
+                known.update(learned)
+                self.pieces.newer.update(learned)
+            out[plain] = [known[x] + known[m] for x, m in zip(letters, marks, strict=True)]
+        odd = strings(words.filter(pa.array(~plain)))
         if odd:
-            ids = self._ids(self.part.join([w.decode() for w in odd]) + self.part)
-            runs = self._cut(ids, np.flatnonzero(ids == self.part_id))
-            self.words.newer.update((w, r[: -self.kind.itemsize]) for w, r in zip(odd, runs, strict=True))
-        piece = self.pieces.newer
-        self.words.newer.update((w, (piece[x[0]] if x[0] else b"") + (piece[x[1]] if x[1] else b"")) for w, x in zip(words, parted, strict=True) if x)
+            ids = self._ids(self.part.join(odd) + self.part)
+            out[~plain] = [r[: -self.kind.itemsize] for r in self._runs(ids, np.flatnonzero(ids == self.part_id) + 1)]
+        return out.tolist()
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and the number of ids of each text."""
-        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        words = [[] if i in odd else t.split() for i, t in enumerate(texts)]
-        # Each different word of the run is met once here.
-        unknown = self.words.recall(set().union(*words))
-        if unknown:
-            self.learn(unknown)
-        known = self.words.newer
-        parts = [self._ids(texts[i].decode()).tobytes() if i in odd else b"".join(map(known.__getitem__, ws)) for i, ws in enumerate(words)]
-        return np.frombuffer(b"".join(parts), self.kind), np.array([len(p) for p in parts], np.int64) // self.kind.itemsize
+        width = self.kind.itemsize
+        odd = {i: self._ids(t.decode()).tobytes() for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        lists = pc.ascii_split_whitespace(pa.array([b"" if i in odd else t for i, t in enumerate(texts)], pa.large_binary()).cast(pa.large_string()))
+        flat = lists.flatten().dictionary_encode()
+        words = flat.dictionary
+        known = self.words.recall(named := strings(words))
+        unknown = [i for i, x in enumerate(known) if x is None]
+        for i, ids in zip(unknown, self.learn(words.take(pa.array(unknown, pa.int64()))), strict=True):
+            known[i] = self.words.newer[named[i]] = ids
+        # Taken in the order of the words, the ids lie one behind the other.
+        lengths = np.array([len(x) for x in known], np.int64)[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        data = b"".join(pa.array(known, pa.large_binary()).take(flat.indices).buffers()[2:] if len(flat) else [])
+        counts = np.diff(ends)
+        if odd:
+            parts = [odd.get(i, data[ends[i] : ends[i + 1]]) for i in range(len(texts))]
+            data, counts = b"".join(parts), np.array([len(p) for p in parts], np.int64)
+        return np.frombuffer(data, self.kind, count=int(counts.sum()) // width), counts // width
 
 
 @lru_cache(maxsize=2)
@@ -141,7 +155,7 @@ def token_stream(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         coder = _encoder(public_tokenizers.path(tokenizer))
         part, first = TaskContext.get().partitionId(), 0
         for b in batches:
-            for i, texts in slices(b.column("text")):
+            for i, texts in slices(b.column("text"), RUN):
                 ids, counts = coder.encode(texts)
                 ends = np.cumsum(counts)
                 rows = [np.append(ids[e - c : e], coder.kind.type(end_id)).tobytes() for e, c in zip(ends, counts, strict=True)]
