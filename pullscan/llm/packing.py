@@ -29,9 +29,9 @@ STREAM = "part int, first long, doc_id long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_to long"
 #: Distinct words, and pieces of words, whose ids a worker holds in the newer half of its memory. A full half becomes the older
 #: one, from which what is met again comes back; so rare words are forgotten, and frequent ones stay.
-WORDS, PIECE_WORDS = 400_000, 250_000
+WORDS, PIECE_WORDS = 300_000, 200_000
 #: Bytes of texts in a run, whose different words are met once.
-RUN = 8 << 20
+RUN = 3 << 20
 #: Letters below U+0250, which lower-casing leaves one letter each, with ASCII marks behind them: two pieces of the word tokenizer.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PLAIN = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]*[!-/:-@\[-`{-~]*$"
