@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +100,38 @@ def batches_of_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) ->
         yield pa.concat_tables(held)
 
 
+def dealt(rows: DataFrame, asked: DataFrame, shards: int, number: str = "r") -> DataFrame:
+    """Every row in one of ``shards`` partitions, by a hash of ``id`` and ``number`` (which tells repeated rows apart), and a copy of
+    everything ``asked`` in each of them: first the rows of the shard by id, then what is asked, marked ``is_asked``.
+
+    What is asked is a stated query set; a shard's own rows are bounded by the number of shards, however often a row is repeated.
+    """
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in asked.schema.fields if f.name not in rows.columns]
+    left = rows.select(F.pmod(F.xxhash64("id", number), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_asked"), *[c for c in rows.columns if c != number], *none)
+    right = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_asked"), *asked.columns)
+    return left.unionByName(right).repartitionById(shards, "shard").sortWithinPartitions("shard", "is_asked", "id")
+
+
+def shards_of(batches: Iterator[pa.RecordBatch], index: Callable[[pa.Table], Callable]) -> Iterator[pa.RecordBatch]:
+    """Answers over partitions of ``dealt``: ``index`` is made once of a shard's rows and gives the function that what is asked of
+    the shard streams through, one batch at a time."""
+    held: list[pa.RecordBatch] = []
+    answer, shard = None, None
+    for b in batches:
+        of, asked = b.column("shard").to_numpy(), b.column("is_asked").to_numpy(zero_copy_only=False).astype(bool)
+        change = np.append(True, (of[1:] != of[:-1]) | (asked[1:] != asked[:-1])) if len(of) else np.zeros(0, bool)
+        cuts = [*np.flatnonzero(change).tolist(), len(of)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if of[s] != shard:
+                held, answer, shard = [], None, of[s]
+            if not asked[s]:
+                held.append(b.slice(s, e - s))
+                continue
+            if answer is None:
+                answer, held = index(pa.Table.from_batches(held, b.schema)), []
+            yield from answer(b.slice(s, e - s))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, salt: int = 0) -> list[tuple[bytes, int, int]]:
     """(text, quality, toxic) of at most ``per_class`` labelled documents of each of the four classes, twice that of the good ones.
 

@@ -21,7 +21,7 @@ their names, take no part. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -29,13 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pullscan.llm.common import table_written
+from pullscan.llm.common import dealt, shards_of, table_written
 
 SHARD_ROWS, SHARD_BYTES = 1 << 18, 64 << 20
 CHUNK, ANCHORS = 8192, 128
 #: Scores lie above the one and up to the other.
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
-SIDE = "shard int, is_anchor boolean, a long, id long, label long, x binary, tops array<long>, floor long"
 FOUND = "a long, slot int, score long, id long"
 
 
@@ -131,12 +130,13 @@ def _floor_of(tops: np.ndarray, floor: np.ndarray) -> np.ndarray:
     return np.where(floor > LEAST, floor - 1, LEAST)
 
 
-def best_of_shard(rows: pa.Table, anchors: Iterable[pa.RecordBatch], k: int, same_label: bool) -> Iterator[pa.RecordBatch]:
-    """``FOUND`` of the anchors against the rows of one shard."""
+def index_of(rows: pa.Table, k: int, same_label: bool) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """A shard's rows as matrices, and the function from anchors to ``FOUND`` among them."""
     ids, labels = (rows.column(c).to_numpy() for c in ("id", "label"))
     # Rows are sorted by id, so places in these groups are too.
     groups = {n: (ids[at], labels[at], x) for n, at, x in by_length(rows.column("x"))}
-    for b in anchors:
+
+    def answer(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for n, at_all, vectors in by_length(b.column("x")):
             if n not in groups:
                 continue
@@ -162,35 +162,12 @@ def best_of_shard(rows: pa.Table, anchors: Iterable[pa.RecordBatch], k: int, sam
                 key = part.column("a").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(slot.astype(np.int32)), pa.array(best.score[i, slot, rank]), pa.array(row_id[best.place[i, slot, rank]])], ["a", "slot", "score", "id"])
 
-
-def _shards(batches: Iterator[pa.RecordBatch], k: int, same_label: bool) -> Iterator[pa.RecordBatch]:
-    """A sorted partition: of each shard first the rows, then the anchors, which stream past them."""
-    held: list[pa.RecordBatch] = []
-    rows, shard = None, None
-    for b in batches:
-        of, anchor = b.column("shard").to_numpy(), b.column("is_anchor").to_numpy(zero_copy_only=False).astype(bool)
-        change = np.append(True, (of[1:] != of[:-1]) | (anchor[1:] != anchor[:-1])) if len(of) else np.zeros(0, bool)
-        cuts = [*np.flatnonzero(change).tolist(), len(of)]
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if of[s] != shard:
-                held, rows, shard = [], None, of[s]
-            if not anchor[s]:
-                held.append(b.slice(s, e - s))
-                continue
-            if rows is None:
-                rows = pa.Table.from_batches(held, b.schema)
-                held = []
-            yield from best_of_shard(rows, [b.slice(s, e - s)], k, same_label)
+    return answer
 
 
 def selected(rows: DataFrame, anchors: DataFrame, shards: int, k: int, same_label: bool) -> DataFrame:
     """``FOUND``: the best ``k`` rows of each slot of each anchor over all shards."""
-    null = F.lit(None)
-    left = rows.select(F.pmod(F.xxhash64("id", "r"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("is_anchor"), F.lit(0).cast("long").alias("a"), "id", "label", "x", null.cast("array<long>").alias("tops"), null.cast("long").alias("floor"))
-    right = anchors.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("is_anchor"), "a", "id", "label", "x", "tops", "floor")
-    # A partition holds one shard.
-    dealt = left.unionByName(right).repartitionById(shards, "shard").sortWithinPartitions("shard", "is_anchor", "id")
-    found = dealt.mapInArrow(lambda batches: _shards(batches, k, same_label), FOUND)
+    found = dealt(rows, anchors, shards).mapInArrow(lambda batches: shards_of(batches, lambda t: index_of(t, k, same_label)), FOUND)
     order = Window.partitionBy("a", "slot").orderBy(F.desc("score"), "id")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 

@@ -1,32 +1,41 @@
 """Approximate nearest neighbours by cosine with a hash-prefix forest.
 
-Each of ``trees`` trees gives every vector a long bit string (signs of random projections, around the mean of a bounded sample). A tree
-is the sorted array of these strings, parted into ranges over the cluster. A query descends to its place in each array, where its
-longest-prefix matches are its neighbours. All trees are then ascended at once: the prefix length is shortened, by the same bit in every tree,
-until the matches of all trees together are ``wanted`` ones. All of these are scored, in double precision.
-
-Two passes: the first counts, per query and tree, the matches of each prefix length, from which the length to stop at follows; the
-second scores the matches of that length, inside the sorted ranges, and only the best few per query and tree leave them.
-
-Equal vectors are indexed once, with their ``k + 1`` smallest ids: as ties go to smaller ids, no further one can be among the best.
-
-Vectors that are null, zero, or hold a null or non-finite component take no part. Vectors of another length are only compared with
-their like. A query with no other vector has no rows; rows without an id take no part. Repeated rows are one entry; other vectors of
-a repeated id are compared too, and the id has the best of their scores.
+The index is dealt to shards of bounded size. Each shard has ``trees`` trees: sorted arrays of long bit strings (signs of random
+projections, around the mean of a bounded sample), held as codes and places; a vector is there once. Every query visits every
+shard. It descends to its longest-prefix matches in each array, and all trees are then ascended at once: the
+prefix is shortened, by the same bit in every tree, until the matches of all trees together are the shard's part of ``wanted``. These are scored,
+each row once, and the best ``k`` leave the shard.
+
+A shard is a sample of all rows, so no match lies behind a border, and rows of one code, or one direction, are spread over all shards. Inside a
+shard equal vectors are scored once, with their ``k + 1`` smallest ids, of which no query can want another.
+
+Candidates near the last place are scored again by one formula on the original vectors in double precision, with one order of
+addition, which alone decides: ``sum(a * b) / sqrt(sum(a * a) * sum(b * b))``. Components are first scaled by a power of two, which
+changes no digit of the result, where squares would overflow or vanish.
+
+Defined results: vectors that are null, zero, or hold a null or non-finite component take no part. Vectors of another length are only
+compared with their like. A query with no other vector has no rows; rows without an id take no part. Repeated rows are one
+entry; other vectors of a repeated id are compared too, and the id has the best of their scores. Other columns, whatever their names, take no
+part. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TREES, BITS = 32, 62
-RANGE_ROWS = 40_000
-RANKED = "query_id long, vec_id long, score double"
+from pullscan.llm.common import dealt, shards_of, table_written
+
+TREES, BITS = 64, 62
+SHARD_ROWS, SHARD_BYTES = 1 << 17, 64 << 20
+#: Matches asked for in all trees together, as a part of all rows: ``REACH / n ** (1/3)`` of them. Signs of projections of weakly alike
+#: vectors need a part that shrinks no faster.
+REACH = 15.0
+FOUND = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -36,141 +45,167 @@ def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(ok)
 
 
-def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """Each different vector once, with its ``k + 1`` smallest different ids: first within shares of its rows, then overall."""
-    salted = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    few = Window.partitionBy("v", "salt").orderBy("vec_id")
-    least = salted.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
-    last = Window.partitionBy("v").orderBy("vec_id")
-    least = least.withColumn("n", F.row_number().over(last)).where(F.col("n") <= k + 1)
-    return least.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))  # k + 1 at most
-
-
-def planes(dim: int, trees: int, seed: int) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).standard_normal((dim, trees * BITS))
-
-
-def _codes(x: np.ndarray, center: np.ndarray, trees: int, seed: int) -> np.ndarray:
-    """(vectors, trees) bit strings, the first bit highest."""
-    bits = ((x - center) @ planes(x.shape[1], trees, seed) > 0).reshape(len(x), trees, BITS)
-    return bits.astype(np.int64) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-
-
-def encoded(vectors: DataFrame, centers: dict[int, np.ndarray], trees: int, seed: int) -> DataFrame:
-    """A row per vector and tree: ``dim, tree, code``, the vector's bytes, its ids, and for queries what is known of them."""
+def packed(rows: DataFrame) -> DataFrame:
+    """``id, r, x``: the vectors as bytes behind a tag, ``f`` for components that single precision holds exactly, else ``d``, with the
+    row's number in its task."""
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for b in batches:
             lists = b.column("v")
-            dims = lists.value_lengths().to_numpy()
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                x = np.array(lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
-                codes = _codes(x / np.abs(x).max(axis=1, keepdims=True) / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True), centers.get(int(dim), np.zeros(dim)), trees, seed)
-                n = len(at)
-                row = pa.array(np.repeat(at, trees))
-                data = pa.array([v.tobytes() for v in x], pa.binary()).take(pa.array(np.repeat(np.arange(n), trees)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n * trees, dim, np.int32)), pa.array(np.tile(np.arange(trees, dtype=np.int32), n)), pa.array(codes.ravel()), data, b.column("ids").take(row), b.column("depth").take(row)], ["dim", "tree", "code", "data", "ids", "depth"])
+            flat, n = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), lists.value_lengths().to_numpy()
+            with np.errstate(over="ignore"):
+                small = flat.astype(np.float32)
+            same = np.concatenate([[0], np.cumsum(small.astype(np.float64) != flat)])
+            ends = np.cumsum(n)
+            x = [b"d" + flat[e - k : e].tobytes() if same[e] > same[e - k] else b"f" + small[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+            r = pa.array(np.arange(seen, seen + len(x)))
+            seen += len(x)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), r, pa.array(x, pa.binary())], ["id", "r", "x"])
 
-    return vectors.mapInArrow(each, "dim int, tree int, code long, data binary, ids array<long>, depth int")
+    return rows.mapInArrow(each, "id long, r long, x binary")
 
 
-def _shared_bits(codes: np.ndarray, code: int) -> np.ndarray:
-    """How many leading bits each code shares with one."""
-    x = (codes ^ np.int64(code)).astype(np.float64)  # exact enough for the highest bit but when rounding up to a power of two
-    e = np.where(x > 0, np.frexp(x)[1], 0)
-    over = (e > 0) & ((codes ^ np.int64(code)) >> np.maximum(e - 1, 0) == 0)
-    return BITS - np.where(over, e - 1, e)
+def by_length(values: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Packed vectors by their number of components: that number, their places in order, and the matrix."""
+    single = np.array([v[:1] == b"f" for v in values], bool)
+    size = np.array([len(v) - 1 for v in values], np.int64) // np.where(single, 4, 8)
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        x = np.empty((len(at), n))
+        for kind, mask in (("<f4", single[at]), ("<f8", ~single[at])):
+            x[mask] = np.frombuffer(b"".join(values[i][1:] for i in at[mask]), kind).reshape(-1, n)
+        yield int(n), at, x
 
 
-def _trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """The sorted array of each tree, as far as it lies in this range."""
-    t = pa.Table.from_batches(list(batches)) if not isinstance(batches, list) else pa.Table.from_batches(batches)
-    dim, tree = t.column("dim").to_numpy(), t.column("tree").to_numpy()
-    cuts = np.flatnonzero(np.append(True, (dim[1:] != dim[:-1]) | (tree[1:] != tree[:-1]))).tolist() + [len(dim)]
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield t.slice(a, b - a).combine_chunks()
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows multiplied by a power of two, so that the largest component is near 1; their cosines keep every digit."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
 
 
-def _sorted(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.repartitionByRange(parts, "dim", "tree", "code").sortWithinPartitions("dim", "tree", "code")
+def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The scores of rows against one vector; each depends on its own two vectors alone."""
+    return (x * q).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (q * q).sum())
+
+
+def planes(dim: int, trees: int, seed: int) -> np.ndarray:
+    return np.random.default_rng([seed, dim]).standard_normal((dim, trees * BITS))
 
 
-def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, vector: str = "embedding", trees: int = TREES, seed: int = 4, sample_rows: int = 20_000, range_rows: int = RANGE_ROWS) -> DataFrame:
+def codes(unit: np.ndarray, center: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """(trees, vectors) bit strings, the first bit highest."""
+    out, p = np.empty((trees, len(unit)), np.int64), planes(unit.shape[1], trees, seed).reshape(unit.shape[1], trees, BITS)
+    weight = np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+    for t in range(trees):
+        out[t] = ((unit - center) @ p[:, t] > 0).astype(np.int64) @ weight
+    return out
+
+
+class Forest:
+    """The trees of one shard, for vectors of one length."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, center: np.ndarray, trees: int, seed: int, k: int) -> None:
+        # Rows are sorted by id: of equal vectors the first k + 1 different ids stay, under the first one's place.
+        x = scaled(x)
+        _, first, group = np.unique(x.view(np.dtype((np.void, x.strides[0]))).ravel(), return_index=True, return_inverse=True)
+        order = np.lexsort((ids, group))
+        new = np.append(True, (group[order][1:] != group[order][:-1]) | (ids[order][1:] != ids[order][:-1]))
+        order = order[new]
+        begins = np.searchsorted(group[order], np.arange(len(first)))
+        rank = np.arange(len(order)) - begins[group[order]]
+        self.member_of, self.members = group[order][rank <= k], ids[order][rank <= k]
+        self.begin = np.searchsorted(self.member_of, np.arange(len(first) + 1))
+        self.x = x[first]
+        self.unit = self.x / np.sqrt((self.x * self.x).sum(axis=1, keepdims=True))
+        self.center, self.trees, self.seed, self.k = center, trees, seed, k
+        codes_ = codes(self.unit, center, trees, seed)
+        self.place = np.argsort(codes_, axis=1, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(codes_, self.place.astype(np.int64), axis=1)
+
+    def ranges(self, wanted: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(trees, queries) first and last place of the rows that share ``depth`` bits with each query's codes."""
+        free = BITS - depth
+        low = wanted >> free << free
+        high = low + (np.int64(1) << free) - 1
+        first = np.stack([np.searchsorted(s, a, "left") for s, a in zip(self.sorted, low, strict=True)])
+        return first, np.stack([np.searchsorted(s, b, "right") for s, b in zip(self.sorted, high, strict=True)])
+
+    def ascend(self, wanted: np.ndarray, matches: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges at the longest prefix, of one length in all trees, that has so many matches together. Matches only grow as the
+        prefix is shortened, so its length is found by halving."""
+        n = wanted.shape[1]
+        low, high = np.zeros(n, np.int64), np.full(n, BITS, np.int64)
+        while (low < high).any():
+            half = (low + high + 1) >> 1
+            a, b = self.ranges(wanted, half)
+            enough = (b - a).sum(axis=0) >= matches
+            low, high = np.where(enough, half, low), np.where(enough, high, half - 1)
+        return self.ranges(wanted, low)
+
+    def nearest(self, ids: np.ndarray, q: np.ndarray, share: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each query its id, repeated, the ids found and their scores: the best ``k`` of the candidates, ties by smaller id."""
+        q = scaled(q)
+        unit = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
+        matches = max(4 * (self.k + 1), int(share * len(self.x) * self.trees / TREES))
+        first, last = self.ascend(codes(unit, self.center, self.trees, self.seed), matches)
+        seen = np.zeros(len(self.x), bool)
+        for j in range(len(q)):
+            seen[:] = False
+            for t in range(self.trees):
+                seen[self.place[t, first[t, j] : last[t, j]]] = True
+            at = np.flatnonzero(seen)
+            near = self.unit[at] @ unit[j]
+            # The query's own row may be among them, so one more than k counts for the border; rounding is far below the margin.
+            if len(at) > self.k + 1:
+                kept = near >= np.partition(near, len(near) - self.k - 1)[len(near) - self.k - 1] - 1e-9
+                at = at[kept]
+            score = cosines(self.x[at], q[j])
+            counts = self.begin[at + 1] - self.begin[at]
+            member = np.repeat(self.begin[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            found, score = self.members[member], np.repeat(score, counts)
+            other = found != ids[j]
+            found, score = found[other], score[other]
+            order = np.lexsort((found, -score))
+            found, score = found[order], score[order]
+            once = np.sort(np.unique(found, return_index=True)[1])[: self.k]
+            yield np.full(len(once), ids[j]), found[once], score[once]
+
+
+def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, vector: str = "embedding", trees: int = TREES, seed: int = 4, sample_rows: int = 20_000, shard_rows: int = SHARD_ROWS, reach: float = REACH) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row whose id is divisible by ``query_every``.
 
-    ``wanted`` is ``trees * n ** (2/3)`` matches: signs of projections of weakly alike vectors need a share of the
-    index that shrinks no faster. ``sample_rows`` bounds the sample of which the mean is taken; every row is indexed.
+    ``sample_rows`` bounds the sample of which the mean is taken; every row is indexed.
     """
-    rows = usable(vectors, vector)
-    index = distinct_vectors(rows, k).withColumns({"query": F.exists("ids", lambda i: i % query_every == 0)})
-    # Ids of queries beyond the smallest k + 1 of an equal group are asked by their group as well.
-    asked = rows.where(F.col("vec_id") % query_every == 0).select("v", "vec_id").distinct()
-    grouped = index.join(asked.select("v").distinct().withColumn("asked", F.lit(True)), "v", "left").select("v", "ids", F.coalesce("asked", F.lit(False)).alias("asked"))
-    from pullscan.llm.common import table_written
-
-    held = table_written(grouped.withColumn("g", F.xxhash64("v", F.array_min("ids"))), "forest")
-    n = held.count()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    spark = vectors.sparkSession
+    rows = table_written(packed(usable(vectors, vector)), "forest")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("x") + 64), F.lit(0)).alias("bytes")).first()
+    part = min(1.0, sample_rows / max(size.n, 1))
+    chosen = rows.where(F.pmod(F.xxhash64("id", "r", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))).select("x").limit(2 * sample_rows).collect()
     centers = {}
-    part = held.where(F.pmod(F.xxhash64("g"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample_rows / n) * (1 << 30)))).select("v").limit(2 * sample_rows).collect()
-    for dim in {len(r.v) for r in part}:
-        x = np.array([r.v for r in part if len(r.v) == dim])
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        centers[dim] = (x / np.linalg.norm(x, axis=1, keepdims=True)).mean(axis=0)
-    wanted = int(trees * max(4 * (k + 1), round(n ** (2 / 3))))
-    # A range holds four times what a query wants of a tree at least, so that few matches lie beyond its borders at any size.
-    parts = max(1, -(-n * trees // max(range_rows, 4 * wanted // trees)))
-
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [b for b in batches if b.num_rows]
-        for t in _trees(kept) if kept else ():
-            codes, depth = t.column("code").to_numpy(), t.column("depth")
-            at = np.flatnonzero(depth.is_valid().to_numpy(zero_copy_only=False))
-            first = [i[0] for i in t.column("ids").take(pa.array(at)).to_pylist()]
-            out = [np.bincount(_shared_bits(codes, codes[i]), minlength=BITS + 1)[::-1].cumsum()[::-1] for i in at]
-            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(np.full(len(at), t.column("dim")[0].as_py(), np.int32)), pa.array([o.tolist() for o in out], pa.list_(pa.int64()))], ["q", "dim", "n"])
-
-    probe = encoded(held.select("v", "ids", F.when(F.col("asked"), F.lit(0)).alias("depth")), centers, trees, seed).drop("data")
-    counts = _sorted(probe, parts).mapInArrow(count, "q long, dim int, n array<long>")
-    total = counts.groupBy("q", "dim").agg(*(F.sum(F.get("n", F.lit(i))).alias(f"n{i}") for i in range(BITS + 1)))
-    deep = F.lit(0)
-    for i in range(1, BITS + 1):
-        deep = F.when(F.col(f"n{i}") >= wanted, F.lit(i)).otherwise(deep)
-    depths = total.select("q", F.col("dim").alias("d_"), deep.alias("depth"))
-    known = held.withColumns({"q": F.array_min("ids"), "dim": F.size("v")}).join(depths.withColumnRenamed("q", "q_"), (F.col("q") == F.col("q_")) & (F.col("dim") == F.col("d_")) & F.col("asked"), "left")
-
-    def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [b for b in batches if b.num_rows]
-        for t in _trees(kept) if kept else ():
-            codes, depth = t.column("code").to_numpy(), t.column("depth").to_numpy(zero_copy_only=False)
-            dim = t.column("dim")[0].as_py()
-            x = np.frombuffer(b"".join(t.column("data").to_pylist()), np.float64).reshape(-1, dim)
-            scale = np.abs(x).max(axis=1)
-            unit = x / scale[:, None]
-            norms = np.sqrt((unit * unit).sum(axis=1))
-            out: list[tuple[int, int, float]] = []
-            ids = t.column("ids").to_pylist()
-            for i in np.flatnonzero(~np.isnan(depth.astype(float))):
-                free = BITS - int(depth[i])
-                low = codes[i] >> free << free
-                a, b = np.searchsorted(codes, [low, low + (np.int64(1) << free) - 1], side="left")
-                b = int(np.searchsorted(codes, low + (np.int64(1) << free) - 1, side="right"))
-                s = unit[a:b] @ unit[i] / (norms[a:b] * norms[i])
-                best = np.argpartition(-s, min(k + 1, len(s) - 1))[: k + 2]
-                # Ties at the border stay: all with the score of the last one.
-                best = np.flatnonzero(s >= s[best].min())
-                best = best[np.argsort(-s[best], kind="stable")]
-                out += [(ids[i][0], j, float(s[m])) for m in best for j in ids[a + int(m)]]
-            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    scored = _sorted(encoded(known.select("v", "ids", "depth"), centers, trees, seed), parts).mapInArrow(score, RANKED)
-    found = scored.groupBy(F.col("query_id").alias("q"), "vec_id").agg(F.max("score").alias("score"))
-    # Every query of a group of equal vectors has the group's answers, but itself.
-    queries = asked.join(held.select("v", F.array_min("ids").alias("q")), "v").select("q", F.col("vec_id").alias("query_id"))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    few = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
-    own = few.join(queries, "q").where("vec_id != query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    for dim, _, x in by_length([bytes(r.x) for r in chosen]) if chosen else ():
+        x = scaled(x)
+        centers[dim] = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).mean(axis=0)
+    # Shards of bounded rows and bytes, and enough of them for all cores.
+    shards = max(-(-size.n // shard_rows), -(-size.bytes // SHARD_BYTES), 4 * spark.sparkContext.defaultParallelism)
+    share = reach / max(size.n, 1) ** (1 / 3)
+    asked = rows.where(F.pmod("id", F.lit(query_every)) == 0).select("id", "x").distinct()
+
+    def index(t: pa.Table) -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        ids = t.column("id").to_numpy()
+        forests = {n: Forest(ids[at], x, centers.get(n, np.zeros(n)), trees, seed, k) for n, at, x in by_length(t.column("x").to_pylist())}
+
+        def answer(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            own = b.column("id").to_numpy()
+            for n, at, q in by_length(b.column("x").to_pylist()):
+                for begin in range(0, len(at) if n in forests else 0, 256):
+                    c = slice(begin, begin + 256)
+                    found = list(forests[n].nearest(own[at[c]], q[c], share))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+
+        return answer
+
+    found = dealt(rows, asked, shards).mapInArrow(lambda batches: shards_of(batches, index), FOUND)
+    # Repeated ids, and ids asked with several vectors, count with their best score.
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return own.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -201,7 +201,7 @@ def test_nearest(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(400, None, 0), (450, [0.0] * 8, 0), (500, [float("nan")] * 8, 0), (550, [1.0, None] + [1.0] * 6, 0), (600, [1e30, 2e30, 1.0], 0), (601, [1.0, 2.0, 0.5], 1), (None, [1.0] * 8, 0)]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
     got = defaultdict(list)
-    for r in sorted(hash_forest.nearest(t, trees=16, range_rows=2000).collect(), key=lambda r: (r.query_id, r.rank)):
+    for r in sorted(hash_forest.nearest(t, trees=16).collect(), key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append((r.vec_id, r.score))
     y = x.astype(np.float64)
     y /= np.linalg.norm(y, axis=1)[:, None]
@@ -218,6 +218,63 @@ def test_nearest(spark):
     assert hash_forest.nearest(t.limit(0)).count() == 0
 
 
+def best_by_formula(rows, every, k=5):
+    """The nearest by the score's own formula, over all pairs."""
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], np.float64)
+    out = {}
+    for q in sorted({i for i in ids.tolist() if i % every == 0}):
+        best = {}
+        for a in np.flatnonzero(ids == q):
+            s = (x * x[a]).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (x[a] * x[a]).sum())
+            for i, v in zip(ids.tolist(), s.tolist(), strict=True):
+                if i != q:
+                    best[i] = max(best.get(i, -2), v)
+        out[q] = sorted(((-v, i) for i, v in best.items()))[:k]
+    return out
+
+
+def by_query(df):
+    got = defaultdict(list)
+    for r in sorted(df.collect(), key=lambda r: (r.query_id, r.rank)):
+        got[r.query_id].append((-r.score, r.vec_id))
+    return dict(got)
+
+
+def test_nearest_of_many_multiples(spark):
+    """One direction in 1,000 lengths: last digits of the formula decide, whatever shard or batch a pair is scored in."""
+    rng = np.random.default_rng(15)
+    one = rng.standard_normal(16)
+    rows = [(i, (one * (i + 1) / 7).tolist()) for i in range(1000)] + [(1000 + i, rng.standard_normal(16).tolist()) for i in range(300)]
+    t = spark.createDataFrame([(i, v, "x", 1, 2) for i, v in rows], "vec_id long, embedding array<double>, x string, r int, id int").repartition(7)
+    want = best_by_formula(rows, 50)
+    for shard_rows in (1 << 17, 40):
+        got = by_query(hash_forest.nearest(t, shard_rows=shard_rows))
+        assert {q: x for q, x in got.items() if q < 1000} == {q: x for q, x in want.items() if q < 1000}
+        assert set(got) == set(want)
+
+
+def test_nearest_over_many_shards(spark):
+    """Recall and scores when the trees are parted into many shards, with a reach that leaves most rows out."""
+    rng = np.random.default_rng(16)
+    x = rng.standard_normal((6000, 32)).astype(np.float32)
+    x[:2000] = x[0]  # a third of all rows is one vector
+    rows = [(i, v.astype(np.float64).tolist()) for i, v in enumerate(x)]
+    t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(5)
+    want = best_by_formula(rows, 50)
+    got = by_query(hash_forest.nearest(t, shard_rows=100))
+    assert set(got) == set(want) and all(got[q] == want[q] for q in want if q < 2000)
+    hit = sum(len(set(got[q]) & set(want[q])) for q in want)
+    assert hit >= 0.95 * sum(map(len, want.values()))
+
+
+def test_scores_of_extreme_lengths(spark):
+    rows = [(0, [3e200, 4e200]), (1, [3e-200, 4e-200]), (2, [4.0, 3.0]), (3, [-3e307, -4e307]), (4, [5e-324, 0.0])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in sorted(hash_forest.nearest(t).collect(), key=lambda r: r.rank)]
+    assert [i for i, _ in got] == [1, 2, 4, 3] and all(abs(a - b) < 1e-15 for (_, a), b in zip(got, [1, 0.96, 0.6, -1], strict=True))
+
+
 def test_nearest_of_repeated_rows(spark):
     rows = [(50, [1.0, 2.0])] * 9 + [(i, [1.0, 2.0]) for i in (51, 52, 53)] + [(i, [1.0, i / 10]) for i in range(60, 70)]
     t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
