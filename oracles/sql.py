@@ -455,6 +455,11 @@ oracle("facts_route", """SELECT f AS file_ord, filename, CASE WHEN is_ast THEN '
 cte("pylines", "SELECT f, filename, CAST(unnest(range(1, 5 + k)) AS INT) AS line FROM (SELECT f, filename, 8 * count(*) + CASE WHEN f % 9 = 4 THEN 1 ELSE 0 END AS k FROM blk JOIN pyfiles USING (f) GROUP BY 1, 2)", "blk", "pyfiles")
 oracle("function_at_line", """SELECT l.f AS file_ord, l.filename, l.line, arg_min(p.name, (p.class_name IS NOT NULL, p.start_line)) AS function_name FROM pylines l
  LEFT JOIN pyfn p ON p.f = l.f AND l.line BETWEEN p.start_line AND p.end_line GROUP BY 1, 2, 3""", "pylines", "pyfn")
+cte("pyasked", "SELECT * FROM pylines WHERE line % 3 = 0 UNION ALL SELECT f, filename, 1048576 FROM pyfiles", "pylines", "pyfiles")
+oracle("function_at_position", """SELECT l.f AS file_ord, l.filename, l.line, arg_min(p.name, (p.class_name IS NOT NULL, p.start_line)) AS function_name FROM pyasked l
+ LEFT JOIN pyfn p ON p.f = l.f AND l.line BETWEEN p.start_line AND p.end_line GROUP BY 1, 2, 3""", "pyasked", "pyfn")
+oracle("class_at_position", """SELECT l.f AS file_ord, l.filename, l.line, arg_min(p.name, p.start_line) AS class_name FROM pyasked l
+ LEFT JOIN pycls p ON p.f = l.f AND l.line BETWEEN p.start_line AND p.end_line GROUP BY 1, 2, 3""", "pyasked", "pycls")
 oracle("class_at_line", """SELECT l.f AS file_ord, l.filename, l.line, arg_min(p.name, p.start_line) AS class_name FROM pylines l
  LEFT JOIN pycls p ON p.f = l.f AND l.line BETWEEN p.start_line AND p.end_line GROUP BY 1, 2, 3""", "pylines", "pycls")
 

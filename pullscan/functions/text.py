@@ -6,11 +6,11 @@ either passes the full whitespace set to the built-in trim or switches the Java
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pullscan.functions.pattern import translate
+
 # The characters for which Python's str.isspace() is true.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -151,9 +151,8 @@ def infer_category(description: Column) -> Column:
 
 
 def python_regex(pattern: str, ignore_case: bool = False) -> str:
-    """A Python pattern as a Java pattern with Python's Unicode and newline rules."""
-    java = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern).replace("(?P<", "(?<")
-    return (FLAGS_NOCASE if ignore_case else FLAGS) + java
+    """A Python pattern as the Java pattern that finds the same."""
+    return translate(pattern, ignore_case).java
 
 
 def rlike_any(col: Column, patterns: list[str], ignore_case: bool = True) -> Column:

@@ -225,13 +225,49 @@ def long_functions(facts: DataFrame, keys: list[str], threshold: int = 50) -> Da
     return facts_functions(facts, keys).filter(F.col("end_line") - F.col("start_line") + 1 > threshold)
 
 
+def _segments(facts: DataFrame, keys: list[str], array: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``starts, names``: the lines at which the covering entry changes, in order, and its name from there on (null: none).
+
+    The first entry of the array that covers a line counts. Made once for each file; nothing but two short arrays goes on from here.
+    """
+    spans = F.transform(array, lambda s: F.struct(s["name"].alias("name"), s["start_line"].alias("a"), s["end_line"].alias("b")))
+    slim = compute_once(facts, [*keys, *extra], {"spans": spans})
+    starts = F.array_sort(F.array_distinct(F.concat(F.transform("spans", lambda s: s["a"]), F.transform("spans", lambda s: s["b"] + 1))))
+    cut = compute_once(slim, [*keys, *extra, "spans"], {"starts": starts})
+    cover = lambda at: F.get(F.filter("spans", lambda s: (s["a"] <= at) & (at <= s["b"])), F.lit(0))["name"]
+    return compute_once(cut, [*keys, *extra, "starts"], {"names": F.transform("starts", cover)})
+
+
+#: Steps of a search by halving: enough for arrays of fewer than 64, and of some millions of entries.
+FEW, MANY = [1 << i for i in range(5, -1, -1)], [1 << i for i in range(21, -1, -1)]
+
+
+def _last_at_or_before(starts: Column, line: Column) -> Column:
+    """How many of the sorted starts are at or before a line, by halving."""
+    steps = F.when(F.size(starts) < 64, F.array(*map(F.lit, FEW))).otherwise(F.array(*map(F.lit, MANY)))
+    reach = lambda n, step: F.coalesce((n + step <= F.size(starts)) & (F.get(starts, n + step - 1) <= line), F.lit(False))
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(reach(n, step), n + step).otherwise(n))
+
+
 def _at_line(positions: DataFrame, facts: DataFrame, keys: list[str], array: str, name: str) -> DataFrame:
-    """First entry of the file's array that covers the line. An equi join on the file, then a look inside the row:
-    no interval join, and no pairs of positions and spans are ever produced."""
-    arrays = facts.select(*keys, F.col(array).alias("spans"))
-    line = F.col("line")
-    hit = F.get(F.filter("spans", lambda s: (s["start_line"] <= line) & (line <= s["end_line"])), F.lit(0))
-    return positions.join(arrays, keys, "left").select(*positions.columns, hit["name"].alias(name))
+    """First entry of the file's array that covers the line, for any positions. An equi join on the file with its segments: no
+    interval join, and no pairs of positions and spans are ever produced."""
+    segments = _segments(facts, keys, array)
+    hit = F.get("names", _last_at_or_before(F.col("starts"), F.col("line")) - 1)
+    return positions.join(segments, keys, "left").select(*positions.columns, hit.alias(name))
+
+
+def _of_lines(facts: DataFrame, keys: list[str], array: str, name: str) -> DataFrame:
+    """The same for every line of the files themselves, from the row of the file: its segments written out, without a join."""
+    segments = _segments(facts, keys, array, ("loc",))
+    n, none = F.size("starts"), F.lit(None).cast("string")
+    after = F.transform(
+        "starts",
+        lambda a, k: F.struct(a.alias("first"), (F.coalesce(F.get("starts", k + 1), F.col("loc") + 1) - 1).alias("last"), F.get("names", k).alias("name")),
+    )
+    before = F.struct(F.lit(1).alias("first"), F.when(n > 0, F.get("starts", F.lit(0)) - 1).otherwise(F.col("loc")).alias("last"), none.alias("name"))
+    runs = segments.select(*keys, F.inline(F.filter(F.concat(F.array(before), after), lambda r: r["first"] <= r["last"])))
+    return runs.select(*keys, F.explode(F.sequence("first", "last")).alias("line"), F.col("name").alias(name))
 
 
 def function_at_line(positions: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -241,3 +277,12 @@ def function_at_line(positions: DataFrame, facts: DataFrame, keys: list[str]) ->
 
 def class_at_line(positions: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     return _at_line(positions, facts, keys, "facts.classes", "class_name")
+
+
+def function_of_lines(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Every line of every file with the function around it."""
+    return _of_lines(facts, keys, "facts.functions", "function_name")
+
+
+def class_of_lines(facts: DataFrame, keys: list[str]) -> DataFrame:
+    return _of_lines(facts, keys, "facts.classes", "class_name")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullscan.functions import text as tx
-from pullscan.functions.once import compute_once
+from pullscan.functions.once import compute_once, let
 from pullscan.operators.diff import added_line_numbers
 from pullscan.rules.checks import DEF
 
@@ -84,10 +84,47 @@ def _spans(non_blank: Column, n_lines: Column) -> Column:
     return F.sort_array(F.flatten(F.transform(levels, of_level)))
 
 
+def _running(values: Column) -> Column:
+    """struct<values, block, upto>: numbers of the lines, and their sum before each block of ``block`` lines.
+
+    Blocks grow with the square root of the number of lines, so the sums before them take no longer than reading the lines.
+    """
+    block = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(values)) / 2).cast("int"))
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+    def sums(b):
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(values) - 1) / b).cast("int")), lambda k: total(F.slice(values, k * b + 1, b))
+        )
+        upto = let(blocks, lambda each: F.transform(F.sequence(F.lit(0), F.size(each)), lambda k: total(F.slice(each, F.lit(1), k))))
+        return F.struct(values.alias("values"), b.alias("block"), upto.alias("upto"))
+
+    return let(block, sums)
+
+
+def _sum_between(running: Column, after: Column, last: Column) -> Column:
+    """Sum over the lines behind line ``after`` up to line ``last``: a difference of two running sums."""
+
+    def upto(line):
+        block = F.floor(line / running["block"]).cast("int")
+        rest = F.slice(running["values"], block * running["block"] + 1, line % running["block"])
+        return F.get(running["upto"], block) + F.aggregate(rest, F.lit(0), lambda a, x: a + x)
+
+    return upto(last) - upto(after)
+
+
+FUNCTIONS = (
+    "array<struct<start:int,stop:int,end:int,indent:int,name:string,complexity:int,fn_lines:int,fn_blank:int,fn_comment:int>>"
+)
+
+
 def with_functions(files: DataFrame, content: str = "content") -> DataFrame:
     """Add ``lines`` and ``functions``: array<struct<start, stop, end, indent, name, complexity, fn_lines, fn_blank,
     fn_comment>>. The span ends at the last non-blank line before the stop line; ``fn_*`` count the lines after the
-    start and before the stop."""
+    start and before the stop.
+
+    Each line is matched once, however deep the functions around it are nested: a function is a difference of running sums.
+    """
     with_lines = files.withColumn("lines", tx.split_lines(F.col(content)))
     with_nb = with_lines.withColumn(
         "non_blank",
@@ -97,36 +134,35 @@ def with_functions(files: DataFrame, content: str = "content") -> DataFrame:
         "spans",
         F.when(F.col("non_blank").isNotNull(), _spans(F.col("non_blank"), F.size("lines"))),
     )
+    counted = F.size("spans") > 0
+
+    def running(of):
+        return F.when(counted, let(F.transform("lines", of), _running))
+
+    with_sums = with_spans.withColumns(
+        {
+            "hits": running(tx.line_complexity),
+            "blanks": running(lambda t: tx.is_blank(t).cast("int")),
+            "comments": running(lambda t: tx.lstrip(t).startswith("#").cast("int")),
+        }
+    )
 
     def describe(s):
-        body = F.slice(F.col("lines"), s["start"] + 1, s["stop"] - s["start"] - 1)
         return F.struct(
             s["start"].alias("start"),
             s["stop"].alias("stop"),
             s["end"].alias("end"),
             s["indent"].alias("indent"),
             s["name"].alias("name"),
-            (
-                F.lit(1)
-                + tx.line_complexity(
-                    F.array_join(F.slice(F.col("lines"), s["start"], s["end"] - s["start"] + 1), "\n")
-                )
-            ).alias("complexity"),
+            (F.lit(1) + _sum_between(F.col("hits"), s["start"] - 1, s["end"])).alias("complexity"),
             (s["stop"] - s["start"] - 1).alias("fn_lines"),
-            F.size(F.filter(body, tx.is_blank)).alias("fn_blank"),
-            F.size(F.filter(body, lambda t: tx.lstrip(t).startswith("#"))).alias("fn_comment"),
+            _sum_between(F.col("blanks"), s["start"], s["stop"] - 1).alias("fn_blank"),
+            _sum_between(F.col("comments"), s["start"], s["stop"] - 1).alias("fn_comment"),
         )
 
-    return with_spans.withColumn(
-        "functions",
-        F.coalesce(
-            F.transform("spans", describe),
-            F.array().cast(
-                "array<struct<start:int,stop:int,end:int,indent:int,name:string,complexity:int,"
-                "fn_lines:int,fn_blank:int,fn_comment:int>>"
-            ),
-        ),
-    ).drop("non_blank", "spans")
+    return with_sums.withColumn(
+        "functions", F.coalesce(F.when(counted, F.transform("spans", describe)), F.array().cast(FUNCTIONS))
+    ).drop("non_blank", "spans", "hits", "blanks", "comments")
 
 
 def function_spans(files: DataFrame, keys: list[str], content: str = "content") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Deterministic rewrites: ordered fixes folded over the lines of one file."""
+"""Deterministic rewrites: ordered fixes of one file, folded into what changes, and written once."""
 
 from __future__ import annotations
 
@@ -99,89 +99,124 @@ def ensure_import(code: Column) -> Column:
     ).otherwise(code)
 
 
-def _replace_line(lines: Column, line_no: Column, new: Column) -> Column:
-    return F.concat(
-        F.slice(lines, F.lit(1), line_no - 1), F.array(new), F.slice(lines, line_no + 1, F.size(lines))
-    )
+#: The places where a word begins or ends: a text parted there has whole words and what lies between them.
+_EDGE = "(?U)" + f"(?<={tx.WORD})(?!{tx.WORD})|(?<!{tx.WORD})(?={tx.WORD})"
 
 
-def fold_fixes(content: Column, fixes: Column) -> Column:
-    """struct<lines, fixed, changes> after all fixes. ``fixes``: array<struct<line, rule_id, suggestion, ...>> in
-    the order of application; each fix sees the text the previous one left."""
-    strings = "array<string>"
-    start = F.struct(
-        tx.split_lines(content).cast(strings).alias("lines"),
-        F.array().cast(strings).alias("fixed"),
-        F.array().cast(strings).alias("changes"),
-    )
+def _renamed(text: Column, word) -> Column:
+    """A text with each of its words (and what lies between them) replaced by ``word`` of it."""
+    return F.array_join(F.transform(F.split(text, _EDGE, -1), word), "")
 
-    def step(acc, v):
-        lines = acc["lines"]
 
-        def done(new_lines, change):
-            return F.struct(
-                new_lines.cast(strings).alias("lines"),
-                F.concat(acc["fixed"], F.array(v["rule_id"])).alias("fixed"),
-                F.concat(acc["changes"], F.array(change)).alias("changes"),
-            )
+def _mapped(text: Column, names: Column) -> Column:
+    """All renames so far at once: ``names`` has the present word for each word of the original text that changed."""
+    return F.when(F.size(names) == 0, text).otherwise(_renamed(text, lambda t: F.coalesce(names[t], t)))
+
+
+def _renamed_since(text: Column, renames: Column, since: Column) -> Column:
+    """The renames behind the first ``since`` ones, in order, on a line that was written then."""
+    later = F.slice(renames, since + 1, F.size(renames))
+    follow = lambda w, r: F.when(w == r["old"], r["new"]).otherwise(w)
+    return F.when(F.size(renames) == since, text).otherwise(_renamed(text, lambda t: F.aggregate(later, t, follow)))
+
+
+def _with_rename(names: Column, old: Column, new: Column) -> Column:
+    """The map after one more rename: words that had become ``old`` become ``new``, and so does ``old`` itself if it still stood."""
+    moved = F.transform_values(names, lambda _, now: F.when(now == old, new).otherwise(now))
+    none = F.create_map().cast("map<string,string>")
+    return F.map_concat(moved, F.when(F.map_contains_key(names, old), none).otherwise(F.create_map(old, new)))
+
+
+_STATE = {
+    "names": "map<string,string>", "renames": "array<struct<old:string,new:string>>",
+    "placed": "array<struct<line:int,text:string,since:int>>", "fixed": "array<string>", "changes": "array<string>",
+}
 
-        def renamed(old_new):
-            old, new = old_new["old"], old_new["new"]
-            return F.when(
-                (old != "") & (new != ""),
-                done(
-                    tx.split_lines(rename(F.array_join(lines, "\n"), old, new)),
-                    F.concat(F.lit("Renamed '"), old, F.lit("' to '"), new, F.lit("'")),
-                ),
-            )
 
-        def on_line(line):
-            return (
-                F.when(line.isNull(), acc)
-                .when(
-                    v["rule_id"] == "S002",
-                    F.coalesce(
-                        let(
-                            F.struct(defined_name(line).alias("old"), new_name_of(v["suggestion"]).alias("new")),
-                            renamed,
-                        ),
-                        acc,
+def fold_fixes(content: Column, fixes: Column) -> Column:
+    """struct<code, fixed, changes> after all fixes. ``fixes``: array<struct<line, rule_id, suggestion, ...>> in the order of
+    application, by line descending; each fix sees the text the previous one left.
+
+    The text itself is written once, at the end: renames are composed into one map of words, and a replaced line is held with
+    the number of renames made before it, so that only later ones reach it.
+    """
+    start = F.struct(
+        F.create_map().cast(_STATE["names"]).alias("names"), *[F.array().cast(t).alias(k) for k, t in _STATE.items() if k != "names"]
+    )
+
+    def fold(lines):
+        def step(acc, v):
+            n = F.size(acc["renames"])
+            last = F.try_element_at(acc["placed"], F.lit(-1))
+            again = F.coalesce(last["line"] == v["line"], F.lit(False))
+            base = F.when(v["line"] >= 1, F.get(lines, v["line"] - 1))
+            now = F.when(again, _renamed_since(last["text"], acc["renames"], last["since"])).otherwise(_mapped(base, acc["names"]))
+
+            def done(change, **new):
+                held = {
+                    **{k: acc[k] for k in ("names", "renames", "placed")}, **new,
+                    "fixed": F.concat(acc["fixed"], F.array(v["rule_id"])), "changes": F.concat(acc["changes"], F.array(change)),
+                }
+                return F.struct(*[held[k].cast(t).alias(k) for k, t in _STATE.items()])
+
+            def placed(text):
+                # Fixes go upwards, so a line that is replaced again is the last one that was.
+                before = F.when(again, F.slice(acc["placed"], F.lit(1), F.size(acc["placed"]) - 1)).otherwise(acc["placed"])
+                entry = F.struct(v["line"].cast("int").alias("line"), text.alias("text"), n.alias("since"))
+                return F.concat(before, F.array(entry)).cast(_STATE["placed"])
+
+            def renamed(names):
+                old, new = names["old"], names["new"]
+                return F.when(
+                    (old != "") & (new != ""),
+                    done(
+                        F.concat(F.lit("Renamed '"), old, F.lit("' to '"), new, F.lit("'")),
+                        names=_with_rename(acc["names"], old, new),
+                        renames=F.concat(acc["renames"], F.array(F.struct(old.alias("old"), new.alias("new")))),
                     ),
                 )
-                .when(
-                    v["rule_id"] == "BP001",
-                    F.coalesce(
-                        let(
-                            bare_except_fix(line),
-                            lambda new: F.when(
-                                new.isNotNull(),
-                                done(
-                                    _replace_line(lines, v["line"], new),
-                                    F.lit("Changed bare 'except:' to 'except Exception as e:'"),
-                                ),
-                            ),
-                        ),
-                        acc,
-                    ),
+
+            def on_line(line):
+                rename_of = F.struct(defined_name(line).alias("old"), new_name_of(v["suggestion"]).alias("new"))
+                clause = lambda new: F.when(
+                    new.isNotNull(), done(F.lit("Changed bare 'except:' to 'except Exception as e:'"), placed=placed(new))
+                )
+                secret = lambda new: F.when(new.isNotNull(), done(new["change"], placed=placed(new["line"])))
+                return (
+                    F.when(line.isNull(), acc)
+                    .when(v["rule_id"] == "S002", F.coalesce(let(rename_of, renamed), acc))
+                    .when(v["rule_id"] == "BP001", F.coalesce(let(bare_except_fix(line), clause), acc))
+                    .when(v["rule_id"] == "SEC001", F.coalesce(let(secret_fix(line), secret), acc))
+                    .otherwise(acc)
                 )
-                .when(
-                    v["rule_id"] == "SEC001",
-                    F.coalesce(
-                        let(
-                            secret_fix(line),
-                            lambda new: F.when(
-                                new.isNotNull(), done(_replace_line(lines, v["line"], new["line"]), new["change"])
-                            ),
-                        ),
-                        acc,
+
+            return let(now, on_line)
+
+        def written(acc):
+            at = F.reverse(acc["placed"])
+
+            def gap(above, below):
+                """The lines between two replaced ones as one text."""
+                some = F.slice(lines, above + 1, below - above - 1)
+                return F.when(
+                    below - above > 1, F.array(_mapped(F.array_join(some, "\n"), acc["names"]))
+                ).otherwise(F.array().cast("array<string>"))
+
+            parts = F.flatten(
+                F.transform(
+                    at,
+                    lambda p, i: F.concat(
+                        gap(F.coalesce(F.get(at, i - 1)["line"], F.lit(0)), p["line"]),
+                        F.array(_renamed_since(p["text"], acc["renames"], p["since"])),
                     ),
                 )
-                .otherwise(acc)
             )
+            rest = gap(F.coalesce(F.try_element_at(at, F.lit(-1))["line"], F.lit(0)), F.size(lines) + 1)
+            return F.struct(F.array_join(F.concat(parts, rest), "\n").alias("code"), acc["fixed"].alias("fixed"), acc["changes"].alias("changes"))
 
-        return let(F.when(v["line"] >= 1, F.get(lines, v["line"] - 1)), on_line)
+        return F.aggregate(fixes, start, step, written)
 
-    return F.aggregate(fixes, start, step)
+    return let(tx.split_lines(content), fold)
 
 
 def fix_lists(violations: DataFrame, min_violations: int = 2) -> DataFrame:
@@ -220,7 +255,7 @@ def apply_fixes(files: DataFrame, violations: DataFrame) -> DataFrame:
         joined, keep, {"fold": F.when(F.col("content").isNotNull(), fold_fixes(F.col("content"), F.col("fixes")))}
     )
     raw = folded.select(
-        *keep, "fold.fixed", "fold.changes", F.array_join("fold.lines", "\n").alias("raw_code"),
+        *keep, "fold.fixed", "fold.changes", F.col("fold.code").alias("raw_code"),
     )
     changed = F.coalesce(F.col("content").isNotNull() & (F.col("raw_code") != F.col("content")), F.lit(False))
     ready = compute_once(

@@ -14,7 +14,7 @@ from pullscan.operators import diff, facts, lines, rewrite, testlogs, verify
 from pullscan.operators import review as rv
 from pullscan.plans import review as plan
 from pullscan.rules.checks import Check, register_rule
-from pullscan.rules.config import RuleSet, RuleSpec, load_rules, rules_table
+from pullscan.rules.config import RuleSet, RuleSpec, load_rules, rules_from_dict, rules_table, standard_config
 from pullscan.session import shared_path
 from pullscan.sources import derived as d
 from pullscan.sources import contents, reviewlog, tables
@@ -142,12 +142,14 @@ QUERIES["load_rules"] = _rule_usage
 
 @query
 def rules_enabled(spark, sf):
-    """Findings after switching two rules off: only enabled rules with a known name count."""
-    return (
-        rv.analyze(d.source_files(spark, sf, patch=False), load_rules().only("S002", "SEC001", "BP001"))
-        .groupBy("rule_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Findings of a rule file with a rule switched off, one of an unknown name, and one whose pattern is none: the others count."""
+    with_state = [{**r, "enabled": r["id"] in ("S002", "SEC001", "BP001", "X001", "X002")} for r in standard_config()["rules"]]
+    odd = [
+        {"id": "X001", "name": "no_such_rule", "category": "style", "severity": "info"},
+        {"id": "X002", "name": "sql_injection", "category": "security", "severity": "critical", "config": {"patterns": ["SELECT("]}},
+    ]
+    rules = rules_from_dict({"rules": [*with_state, *odd]})
+    return rv.analyze(d.source_files(spark, sf, patch=False), rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -531,18 +533,30 @@ def facts_route(spark, sf):
     return _facts(spark, sf).select(*FK, "source", "loc", "sloc")
 
 
+@query
+def function_at_line(spark, sf):
+    return facts.function_of_lines(_facts(spark, sf), FK)
+
+
+@query
+def class_at_line(spark, sf):
+    return facts.class_of_lines(_facts(spark, sf), FK)
+
+
 def _positions(spark, sf):
-    ln = lines.source_lines(d.python_modules(spark, sf), FK)
-    return ln.select(*FK, "line")
+    """Lines asked for from outside: every third line of each module, and one behind its end."""
+    ln = lines.source_lines(d.python_modules(spark, sf), FK).select(*FK, "line")
+    end = d.python_modules(spark, sf).select(*FK, F.lit(1 << 20).alias("line"))
+    return ln.where("line % 3 = 0").unionByName(end)
 
 
 @query
-def function_at_line(spark, sf):
+def function_at_position(spark, sf):
     return facts.function_at_line(_positions(spark, sf), _facts(spark, sf), FK)
 
 
 @query
-def class_at_line(spark, sf):
+def class_at_position(spark, sf):
     return facts.class_at_line(_positions(spark, sf), _facts(spark, sf), FK)
 
 

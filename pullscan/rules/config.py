@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pullscan.functions.pattern import Untranslatable, translate
 from pullscan.model import CATEGORIES, SEVERITIES
 
 log = logging.getLogger(__name__)
@@ -92,32 +93,13 @@ def _read(path: str) -> dict:
 
 
 def _bad_pattern(config: dict) -> str | None:
+    """The first pattern that is none, or has no form the engine runs, and why. Nothing is run for that."""
     patterns = config.get("patterns", [])
     for p in [*(patterns if isinstance(patterns, list) else []), *config.get("exclude_patterns", [])]:
         try:
-            re.compile(p)
-        except re.error as e:
-            return f"{p!r}: {e}"
-        if bad := _refused(p):
-            return f"{p!r}: {bad}"
-    return None
-
-
-def _refused(pattern: str) -> str | None:
-    """Why the engine that runs the patterns refuses one; tried on the driver where a session exists."""
-    from pyspark.errors import PySparkException
-    from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
-
-    from pullscan.functions.text import python_regex
-
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return None
-    try:
-        spark.range(1).select(F.lit("").rlike(python_regex(pattern))).collect()
-    except (PySparkException, Exception) as e:  # noqa: BLE001  any failure of the engine speaks against the pattern
-        return str(e).splitlines()[0][:200]
+            translate(p, ignore_case=True)
+        except (re.error, Untranslatable, RecursionError, OverflowError, TypeError) as e:
+            return f"{p!r}: {type(e).__name__} {e}"
     return None
 
 
@@ -151,6 +133,11 @@ def rules_from_dict(config: dict) -> RuleSet:
     return RuleSet(tuple(rules), delegation, tuple(warnings))
 
 
+def standard_config() -> dict:
+    """The shipped rule file as it is."""
+    return _read(STANDARD_CONFIG)
+
+
 def load_rules(path: str | None = None) -> RuleSet:
     """Read a rule file (JSON or YAML); a missing file gives the defaults."""
     path = path or STANDARD_CONFIG
