@@ -148,22 +148,51 @@ def syntax_of(code: str | None) -> dict | None:
         return {"ok": False, "line": None, "offset": None, "message": str(e), "text": None}
 
 
+# Nodes that are no complexity and hold none; they are most of a tree.
+_LEAVES = (
+    ast.Name, ast.Constant, ast.Pass, ast.Break, ast.Continue, ast.Global, ast.Nonlocal, ast.alias, ast.arg,
+    ast.expr_context, ast.boolop, ast.operator, ast.unaryop, ast.cmpop, ast.type_ignore,
+)
+# Fields that hold texts and numbers, or only leaves.
+_PLAIN_FIELDS = {"ctx", "op", "ops", "id", "attr", "name", "names", "module", "level", "kind", "type_comment", "rest", "is_async", "simple", "conversion", "type_ignores"}
+
+
+def _node_types(base: type) -> list[type]:
+    return [base, *(t for sub in base.__subclasses__() for t in _node_types(sub))]
+
+
+def _node_fields(t: type) -> tuple[str, ...]:
+    return tuple(f for f in t._fields if f not in _PLAIN_FIELDS)
+
+
+#: The fields to look into, by type of node; leaves are not in it. An argument is no leaf: its annotation may hold anything.
+_INSIDE = {t: _node_fields(t) for t in _node_types(ast.AST) if not issubclass(t, _LEAVES) or t is ast.arg}
+
+
 def _weights(tree: ast.Module) -> dict:
     """Names and the complexity of all functions and methods, in one walk from the leaves up: what ``_facts`` says of them."""
     functions, classes, imports, score = set(), set(), set(), 0
+    inside, weight = _INSIDE, frozenset(_COMPLEX)
 
     def walk(node, in_class: bool, method: bool, starred: bool) -> int:
         """What the node and all below it add to the complexity of a function around it."""
         nonlocal score
+        kind = node.__class__
         below = in_body = 0
-        is_class, is_def = isinstance(node, ast.ClassDef), isinstance(node, _DEFS)
-        star = isinstance(node, ast.TryStar)
-        body = set(map(id, node.body)) if is_class or is_def else ()
-        for child in ast.iter_child_nodes(node):
-            w = walk(child, in_class or is_class, is_class and id(child) in body, star)
-            below += w
-            if is_def and id(child) in body:
-                in_body += w
+        is_class, is_def = kind is ast.ClassDef, kind in _DEFS
+        star, deeper = kind is ast.TryStar, in_class or is_class
+        for field in inside[kind]:
+            value = getattr(node, field, None)
+            own = field == "body" and (is_class or is_def)
+            if value.__class__ is list:
+                for child in value:
+                    if child.__class__ in inside:
+                        w = walk(child, deeper, own and is_class, star)
+                        below += w
+                        if own:
+                            in_body += w
+            elif value.__class__ in inside:
+                below += walk(value, deeper, False, star)
         if is_def:
             if not in_class:
                 functions.add(node.name)
@@ -171,15 +200,15 @@ def _weights(tree: ast.Module) -> dict:
                 score += 1 + in_body
         elif is_class:
             classes.add(node.name)
-        elif isinstance(node, ast.Import):
+        elif kind is ast.Import:
             imports.update(a.name for a in node.names)
-        elif isinstance(node, ast.ImportFrom):
+        elif kind is ast.ImportFrom:
             imports.add("." * node.level + (node.module or ""))
-        elif isinstance(node, _COMPLEX):
+        elif kind in weight:
             below += 1
-        elif isinstance(node, ast.ExceptHandler):
+        elif kind is ast.ExceptHandler:
             below += not starred
-        elif isinstance(node, ast.BoolOp):
+        elif kind is ast.BoolOp:
             below += len(node.values) - 1
         return below
 
@@ -187,17 +216,42 @@ def _weights(tree: ast.Module) -> dict:
     return {"functions": sorted(functions), "classes": sorted(classes), "imports": sorted(imports), "score": score}
 
 
-def outline_or_none(code: str | None) -> dict | None:
+def tree_or_none(code: str | None) -> ast.Module | None:
     if code is None:
         return None
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            return _weights(ast.parse(code))
+            return ast.parse(code)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
 
 
+def outline_or_none(code: str | None) -> dict | None:
+    return outline_of(tree_or_none(code))
+
+
+def outline_of(tree: ast.Module | None) -> dict | None:
+    try:
+        return None if tree is None else _weights(tree)
+    except (RecursionError, MemoryError):
+        return None
+
+
+def syntax_of_tree(tree: ast.Module | None, code: str | None) -> dict | None:
+    """The syntax of a text whose tree is at hand: only the rest of the compilation is done. What fails there is compiled
+    from the text, which alone knows the place of the error."""
+    if tree is not None:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                compile(tree, "<file>", "exec", dont_inherit=True)
+            return {"ok": True, "line": None, "offset": None, "message": None, "text": None}
+        except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError):
+            pass
+    return syntax_of(code)
+
+
 @contextmanager
 def _no_collection():
     """Trees are many small objects in use: looking for garbage among them again and again costs more than parsing."""
@@ -247,9 +301,12 @@ def pair_batch(original: pa.Array, refactored: pa.Array, is_python: pa.Array) ->
 
     def both(a: str | None, b: str | None, python: bool | None) -> dict:
         with _no_collection():
-            # A text that does not compile may still parse.
-            before, after = (outline_or_none(x) if python else None for x in (a, b))
-            return {"syntax": syntax_of(b), "before": before, "after": after}
+            if not python:
+                return {"syntax": syntax_of(b), "before": None, "after": None}
+            # A text that does not compile may still parse; its tree is read before it is compiled.
+            tree = tree_or_none(b)
+            after = outline_of(tree)
+            return {"syntax": syntax_of_tree(tree, b), "before": outline_or_none(a), "after": after}
 
     rows = zip(original.to_pylist(), refactored.to_pylist(), is_python.to_pylist(), strict=True)
     return pa.array((both(*r) for r in rows), type=_PAIR)

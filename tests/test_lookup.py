@@ -61,3 +61,35 @@ def test_running_sums(spark):
         df = spark.createDataFrame([(values, pairs)], "v array<int>, p array<array<int>>")
         sums = df.withColumn("r", lines._running(F.col("v"))).select(F.transform("p", lambda p: lines._sum_between(F.col("r"), p[0], p[1])).alias("s")).first().s
         assert list(sums) == [sum(values[a:b]) for a, b in pairs]
+
+
+def test_outlines_against_a_plain_walk():
+    """Names and scores from the quick walk are those of the facts, over this library's and Python's own sources."""
+    import ast
+    import glob
+    import os
+    import sysconfig
+
+    from pullscan.operators import pyfacts
+
+    std = sysconfig.get_paths()["stdlib"]
+    files = sorted(glob.glob(os.path.join(std, "*.py")))[:120] + glob.glob(os.path.join(os.path.dirname(facts.__file__), "*.py"))
+    for path in files:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            code = f.read()
+        tree = pyfacts.tree_or_none(code)
+        if tree is None:
+            continue
+        want = pyfacts.facts_or_none(code)
+        got = pyfacts.outline_of(tree)
+        assert got["score"] == sum(x["complexity"] for x in want["functions"]), path
+        assert got["functions"] == sorted({x["name"] for x in want["functions"] if x["class_name"] is None}), path
+        assert got["classes"] == sorted({x["name"] for x in want["classes"]}) and got["imports"] == sorted({x["module"] for x in want["imports"]})
+    assert all(f in {"arg", "args"} or not issubclass(t, ast.keyword) or f == "value" for t, fs in pyfacts._INSIDE.items() for f in fs)
+
+
+def test_syntax_of_a_tree_is_that_of_its_text():
+    from pullscan.operators import pyfacts
+
+    for code in ("x = 1", "return 1", "def f(:", "def f():\n  yield\nawait x", "x = 1\n  y", "nonlocal a", "a\x00b", "from __future__ import nothing", "def f(a, a): pass", "(" * 300 + ")" * 300, "f'{x!z}'", ""):
+        assert pyfacts.syntax_of_tree(pyfacts.tree_or_none(code), code) == pyfacts.syntax_of(code), code
