@@ -555,3 +555,48 @@ oracle("tests_to_run", "SELECT * FROM torun", "torun")
 oracle("test_list", """SELECT repo, pr_number, source, path FROM own JOIN (SELECT repo, pr_number, source FROM torun WHERE source = 'related') USING (repo, pr_number)
  UNION ALL SELECT repo, NULL, source, path FROM wide JOIN (SELECT DISTINCT repo, source FROM torun WHERE source = 'related') USING (repo)
  UNION ALL SELECT repo, NULL, source, path FROM found JOIN (SELECT DISTINCT repo, source FROM torun WHERE source = 'discovered') USING (repo)""", "own", "wide", "found", "torun")
+
+# ------------------------------------------------------------------------------------------------- routing
+# Rewrites are the derived pairs of the delegated pull requests, so whether they verify follows from the document id.
+
+cte("lasttest", "SELECT repo, pr_number, arg_max({'passed': passed, 'total': total_tests}, run_id) AS t FROM (SELECT *, " + REPO.format(pr="pr_number") + " AS repo FROM suites2) GROUP BY 1, 2", "suites2")
+cte("rewritten", "SELECT fl.* FROM files fl JOIN dec USING (repo, pr_number) WHERE should_delegate", "files", "dec")
+cte("perpr", "SELECT r.repo, r.pr_number, count(*) AS n, bool_and(vr.passed) AS fine FROM rewritten r JOIN vr USING (f) GROUP BY 1, 2", "rewritten", "vr")
+_route = """SELECT repo, pr_number, refactor, n_rewritten, verify, verification_passed, test, tests_passed, rollback, rollback AND sha IS NOT NULL AS rollback_performed,
+ refactor AND n_rewritten > 0 AND NOT (rollback AND sha IS NOT NULL) AS refactoring_performed, sha
+ FROM (SELECT *, verify AND {rollback} AND NOT (verification_passed AND tests_passed) AS rollback
+ FROM (SELECT *, CASE WHEN test AND n_rewritten > 0 THEN coalesce(t.passed = t.total, true) ELSE true END AS tests_passed
+ FROM (SELECT *, verify AND verification_passed AS test
+ FROM (SELECT p.repo, p.pr_number, should_delegate AS refactor, should_delegate AS verify, coalesce(n, 0) AS n_rewritten, CASE WHEN should_delegate THEN coalesce(fine, true) ELSE true END AS verification_passed, t, sha
+  FROM dec p LEFT JOIN perpr USING (repo, pr_number) LEFT JOIN lasttest USING (repo, pr_number) LEFT JOIN last_commit USING (repo, pr_number)))))"""
+for _name, _on in (("route", "true"), ("routekept", "false")):
+    cte(_name, _route.format(rollback=_on), "dec", "perpr", "lasttest", "last_commit")
+oracle("review_route", "SELECT * FROM route", "route")
+oracle("review_route_kept", "SELECT * FROM routekept", "routekept")
+for _k, _t in (("mark_refactored", "route"), ("mark_refactored_kept", "routekept")):
+    oracle(_k, f"SELECT r.repo, r.pr_number, r.filename AS file FROM rewritten r JOIN {_t} USING (repo, pr_number) WHERE refactoring_performed", "rewritten", _t)
+
+
+def _event(step, event, source, fields="", where="true", file_ord="0", rule_ord="0", line="0", seq="0"):
+    rest = f", {fields}" if fields else ""
+    return (f"SELECT repo, pr_number, {step} AS step, CAST({file_ord} AS BIGINT) AS file_ord, CAST({rule_ord} AS INT) AS rule_ord, CAST({line} AS INT) AS line, CAST({seq} AS INT) AS seq, '{event}' AS event, "
+            f"CAST(to_json({{'timestamp': '2026-01-01T00:00:00.000000+00:00', 'event': '{event}'{rest}}}) AS VARCHAR) AS value FROM {source} WHERE {where}")
+
+
+_found = {"file_ord": "file_ord", "rule_ord": "rule_ord", "line": "line", "seq": "seq"}
+_comment = "'file': file, 'line': line, 'severity': severity, 'rule_id': rule_id, 'body': body"
+oracle("review_events", " UNION ALL ".join([
+    _event(1, "review_started", "prs", "'pr': pr_number"),
+    _event(2, "pr_fetched", "dec", "'files_count': total_files"),
+    _event(3, "rollback_point_created", "route", "'sha': substr(sha, 1, 7), 'full_sha': sha", "sha IS NOT NULL"),
+    _event(4, "rule_triggered", "v", "'rule_id': rule_id, 'file': file, 'line': line, 'severity': severity", **_found),
+    _event(5, "comment_generated", "comments", _comment, **_found),
+    _event(6, "delegation", "route", "'target': 'refactor_agent'", "refactor"),
+    _event(7, "refactor_applied", "rewritten", "'file': filename", file_ord="f"),
+    _event(8, "verification", "(SELECT r.*, vr.passed FROM rewritten r JOIN vr USING (f))", "'file': filename, 'passed': passed", file_ord="f"),
+    _event(9, "tests", "(SELECT * FROM route JOIN lasttest USING (repo, pr_number))", "'passed': t.passed, 'total': t.total", "test AND n_rewritten > 0"),
+    _event(10, "rollback", "(SELECT r.* FROM rewritten r JOIN route USING (repo, pr_number) WHERE rollback_performed)", "'success': true, 'file': filename", file_ord="f"),
+    _event(11, "comment_post_attempt", "comments", _comment, **_found),
+    _event(12, "comments_posted", "dec", "'count': total_violations, 'success': true"),
+    _event(13, "review_completed", "dec", "'total_violations': total_violations, 'comments_posted': total_violations"),
+]), "prs", "dec", "route", "v", "comments", "rewritten", "vr", "lasttest")

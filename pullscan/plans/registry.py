@@ -206,9 +206,31 @@ def _review(spark, sf, rollback: bool = True) -> tuple[plan.Review, plan.ReviewI
 
 
 @query
-def review_events(spark, sf):
+def review_events_whole(spark, sf):
+    """The log of whole reviews, whose rewrites are those of the fixes."""
     r, i = _review(spark, sf)
-    return plan.review_events(r, i, at()).select("repo", "pr_number", "step", "file_ord", "rule_ord", "line", "seq", "event", "value")
+    return plan.review_events(r, i, at()).select(*EVENT_COLUMNS)
+
+
+EVENT_COLUMNS = ["repo", "pr_number", "step", "file_ord", "rule_ord", "line", "seq", "event", "value"]
+
+
+def _pair_review(spark, sf, rollback: bool = True) -> tuple[plan.Review, plan.ReviewInputs]:
+    """A review whose rewrites are the derived pairs of the delegated pull requests."""
+    i = inputs(spark, sf)
+    v = plan.materialized(violations(spark, sf), spark, "violations")
+    dec = plan.materialized(rv.pr_decisions(i.pull_requests, i.file_changes, v), spark, "decisions")
+    pairs = d.code_pairs(spark, sf).join(dec.filter("should_delegate").select(*PR_KEY), PR_KEY, "left_semi")
+    done = pairs.select(*FILE_KEY, F.lit(True).alias("success"))
+    verified = plan.materialized(verify.verify(pairs), spark, "verified")
+    route = plan.review_route(dec, done, verified, plan.ReviewOptions(enable_rollback=rollback), i.tests, i.commits)
+    return plan.Review(None, v, rv.review_comments(v), dec, done, verified, route), i
+
+
+@query
+def review_events(spark, sf):
+    r, i = _pair_review(spark, sf)
+    return plan.review_events(r, i, at()).select(*EVENT_COLUMNS)
 
 
 def _static_events(spark, sf):
@@ -905,13 +927,36 @@ def test_list(spark, sf):
 
 
 @query
-def review_route(spark, sf):
+def review_route_whole(spark, sf):
     r, _ = _review(spark, sf)
     return r.route
 
 
+@query
+def review_route(spark, sf):
+    return _pair_review(spark, sf)[0].route
+
+
+@query
+def review_route_kept(spark, sf):
+    """The same where nothing is ever rolled back."""
+    return _pair_review(spark, sf, rollback=False)[0].route
+
+
 @query
 def mark_refactored(spark, sf):
+    r, _ = _pair_review(spark, sf)
+    return plan.mark_refactored(r.route, r.results)
+
+
+@query
+def mark_refactored_kept(spark, sf):
+    r, _ = _pair_review(spark, sf, rollback=False)
+    return plan.mark_refactored(r.route, r.results)
+
+
+@query
+def mark_refactored_whole(spark, sf):
     r, _ = _review(spark, sf, rollback=False)
     return plan.mark_refactored(r.route, r.results)
 
