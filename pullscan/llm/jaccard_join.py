@@ -12,7 +12,8 @@ the verifying tasks only if a candidate of theirs outlived the pruning.
 
 Defined results: a text of fewer than five words is one n-gram of all its words; text without letters and digits uses what stands between white
 space; a null or empty text has no n-grams, no links, and is a class of its own row's copies. A null ``doc_id`` stays null. Repeated rows are
-copies of each other.
+copies of each other. Texts of any length count with all their n-grams. Other columns, whatever their names, take no part. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pullscan.llm.common import byte_texts, mix, table_written, window_hashes, word_hashes
+from pullscan.llm.common import mix, slices, table_written, window_hashes, word_hashes
 
 WORD = re.compile(r"\w+")
 HASHES, ROWS, STEP = 160, 4, 32
@@ -197,10 +198,14 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [normal_words(t) for t in byte_texts(b.column("text"))]
-            k = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-            s = [sketch(shingles(w, size)).tobytes() if w else None for w in words]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("jid"), b.column("raw"), pa.array(k, pa.binary()), pa.array(s, pa.binary())], ["doc_id", "jid", "raw", "k", "sketch"])
+            for at, texts in slices(b.column("text")):
+                k, s = [], []
+                for t in texts:  # the words of one text at a time
+                    w = normal_words(t)
+                    k.append(xxhash.xxh3_128_digest(b" ".join(w)))
+                    s.append(sketch(shingles(w, size)).tobytes() if w else None)
+                own = [b.column(c).slice(at, len(texts)) for c in ("doc_id", "jid", "raw")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(k, pa.binary()), pa.array(s, pa.binary())], ["doc_id", "jid", "raw", "k", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.withColumns({"jid": join_id(), "raw": text_key(F.col("text"))}).select("doc_id", "jid", "raw", "text").mapInArrow(each, "doc_id long, jid long, raw string, k binary, sketch binary")
@@ -253,11 +258,11 @@ def _held_texts(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
 
     def same(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [b" ".join(normal_words(t)) for t in byte_texts(b.column("text"))]
-            k = [xxhash.xxh3_128_digest(w) for w in words]
-            ok = [x == y for x, y in zip(k, b.column("k_").to_pylist(), strict=True)]
-            pick = [i for i, x in enumerate(ok) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for i in pick], pa.binary()), pa.array([words[i] for i in pick], pa.binary())], ["k", "words"])
+            for at, texts in slices(b.column("text")):
+                words = [b" ".join(normal_words(t)) for t in texts]
+                k = [xxhash.xxh3_128_digest(w) for w in words]
+                pick = [i for i, (x, y) in enumerate(zip(k, b.column("k_").slice(at, len(texts)).to_pylist(), strict=True)) if x == y]
+                yield pa.RecordBatch.from_arrays([pa.array([k[i] for i in pick], pa.binary()), pa.array([words[i] for i in pick], pa.binary())], ["k", "words"])
 
     return found.select("k_", "text").mapInArrow(same, "k binary, words binary").groupBy("k").agg(F.min("words").alias("words"))
 
