@@ -175,7 +175,8 @@ V_COLS = "file_ord, rule_id, line, message, suggestion, code_snippet, confidence
 for _rid, _key in [("S001", "rule_line_length"), ("S002", "rule_naming"), ("Q001", "rule_complexity"), ("Q002", "rule_function_length"),
                    ("SEC001", "rule_secrets"), ("SEC002", "rule_sql_injection"), ("BP001", "rule_error_handling")]:
     _u = " UNION ALL ".join(rule_selects("wl", "fns")[_rid])
-    oracle(_key, f"SELECT f AS file_ord, rule_id, line, message, suggestion, code_snippet, confidence FROM ({_u})", *(("fns",) if _rid[0] == "Q" else ("wl",)))
+    _whole = ", (SELECT any_value(s.t) FROM wl s WHERE s.f = u.f AND s.n = u.line) AS line_text" if _rid == "S001" else ""
+    oracle(_key, f"SELECT f AS file_ord, rule_id, line, message, suggestion, code_snippet, confidence{_whole} FROM ({_u}) u", *(("fns",) if _rid[0] == "Q" else ("wl",)))
 oracle("analyze", "SELECT repo, pr_number, file_ord, rule_ord, seq, rule_id, rule_name, category, severity, file, line, \"column\", message, suggestion, code_snippet, confidence FROM v", "v")
 _few = " UNION ALL ".join(s for r in ("S002", "SEC001", "BP001") for s in rule_selects("wl", "fns")[r])
 oracle("rules_enabled", f"SELECT rule_id, count(*) AS n FROM ({_few}) GROUP BY 1", "wl")
@@ -277,6 +278,8 @@ oracle("exit_status", "SELECT repo, pr_number, CAST(blocking AS INT) AS exit_sta
 cte("comments", f"SELECT *, CASE WHEN suggestion <> '' THEN message || {NL} || {NL} || '**Suggestion:** ' || suggestion ELSE message END AS body FROM v", "v")
 oracle("review_comments", "SELECT file_ord, file, line, body, severity, rule_id, CAST(NULL AS VARCHAR) AS suggestion_code FROM comments", "comments")
 BODY = f"CASE severity WHEN 'critical' THEN '🚨' WHEN 'error' THEN '❌' WHEN 'warning' THEN '⚠️' ELSE 'ℹ️' END || ' **' || upper(severity) || '** [' || rule_id || ']' || {NL} || {NL} || body"
+oracle("review_comments_generated", f"""SELECT file_ord, rule_ord, seq, file, line, CASE WHEN severity IN ('critical', 'error') AND line % 2 = 0 THEN 'Please see ' || rule_id || ' in line ' || line || ', finding ' || seq
+  || CASE WHEN suggestion <> '' THEN {NL} || {NL} || '**Suggestion:** ' || suggestion ELSE '' END ELSE body END AS body, severity, rule_id FROM comments""", "comments")
 oracle("comment_body", f"""SELECT file_ord, line, rule_id, {BODY} || CASE WHEN rule_id = 'BP001' THEN {NL} || {NL} || '**Suggested fix:**' || {NL} || '```suggestion' || {NL} || 'except Exception as e:' || {NL} || '```' ELSE '' END AS formatted FROM comments""", "comments")
 oracle("review_payload_rows", f"SELECT file_ord, file AS path, line, {BODY} AS body FROM comments", "comments")
 oracle("review_payload", f"""SELECT d.repo, d.pr_number, d.event, c.file_ord, coalesce(c.comments, '[]') AS comments FROM dece d LEFT JOIN (
@@ -300,7 +303,7 @@ oracle("model_issues", f"""SELECT repo, pr_number, f AS file_ord, 1000 + chunk_n
  CASE WHEN k % 3 = 0 THEN 'security' WHEN k % 3 = 1 THEN 'style' ELSE 'quality' END AS category,
  CASE k % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'critical' WHEN 2 THEN 'info' ELSE 'warning' END AS severity, filename AS file,
  CAST(CASE WHEN k % 9 <> 0 THEN start_line + k % 9 - 1 ELSE start_line END AS INT) AS line, 0 AS "column", {_desc.format(k='k')} AS message, 'fix ' || k AS suggestion,
- substr(code, 1, 200) AS code_snippet, CAST(0.8 AS DOUBLE) AS confidence FROM ca JOIN files USING (f) WHERE k % 4 <> 3""", "ca", "files")
+ substr(code, 1, 200) AS code_snippet, CAST(0.8 AS DOUBLE) AS confidence, code FROM ca JOIN files USING (f) WHERE k % 4 <> 3""", "ca", "files")
 oracle("equivalence_check", """SELECT event_id AS answer_id, CASE WHEN good AND c >= 8 THEN 'passed' WHEN good AND c >= 5 THEN 'warning' ELSE 'failed' END AS status,
  CASE WHEN good AND c >= 8 THEN 'Code appears semantically equivalent' WHEN good AND c >= 5 THEN 'Code may be semantically equivalent (low confidence)' ELSE 'Code may not be semantically equivalent' END AS message
  FROM (SELECT event_id, event_id % 10 AS c, event_id % 5 <> 4 AND event_id % 3 <> 0 AS good FROM events)""")
@@ -372,17 +375,21 @@ oracle("model_rewrites", f"""SELECT r.file_ord, md5(CASE WHEN use THEN plain_cod
  FROM (SELECT *, NOT success AND file_ord % 3 <> 2 AS use, CASE WHEN file_ord % 3 = 0 THEN 'value_' || file_ord || ' = 1' ELSE 'import os' || {NL} || 'value_' || file_ord || ' = os.environ' END AS plain_code FROM result) r
  JOIN (SELECT file_ord, string_agg(rule_id, ',' ORDER BY rule_ord, line, seq) AS ids FROM v GROUP BY 1) i ON i.file_ord = r.file_ord""", "result", "v")
 oracle("violations_of_file", "SELECT v.file, v.rule_id, v.line FROM v WHERE file_ord IN (SELECT file_ord FROM result WHERE success)", "v", "result")
-oracle("commit_plan", """SELECT repo, pr_number, filename, 'feature/' || pr_number AS branch, 'update' AS action, md5('h' || file_ord) AS existing_sha, 'Auto-fix: ' || three AS message, refactored_code AS content
+oracle("commit_plan", """SELECT repo, pr_number, filename, 'feature/' || pr_number AS branch, 'update' AS action, md5('h' || file_ord) AS existing_sha, 'Auto-fix: ' || three AS message, violations_fixed, refactored_code AS content
  FROM result WHERE success""", "result")
-oracle("rollback_plan", """SELECT r.repo, r.pr_number, r.filename, 'feature/' || r.pr_number AS branch, md5('h' || file_ord) AS current_sha, c.content,
+oracle("rollback_plan", """SELECT r.repo, r.pr_number, r.filename, 'feature/' || r.pr_number AS branch, md5('h' || file_ord) AS current_sha, c.content, l.sha AS rollback_sha,
  'Rollback: Revert ' || r.filename || ' to ' || substr(l.sha, 1, 7) AS message FROM result r JOIN last_commit l USING (repo, pr_number)
  JOIN contents c ON c.f = r.file_ord AND c.ref = 'base/' || r.pr_number WHERE success""", "result", "last_commit", "contents")
 oracle("fix_naming", f"""SELECT x.f AS file_ord, x.line, md5(regexp_replace(c.content, '\\b' || {OLD.replace('s.t', 'w.t')} || '\\b', regexp_extract(x.suggestion, 'Rename to ''(\\w+)''', 1), 'g')) AS renamed
  FROM ({' UNION ALL '.join(rule_selects('wl', 'fns')['S002'])}) x JOIN wl w ON w.f = x.f AND w.n = x.line JOIN content c ON c.f = x.f""", "wl", "content")
 oracle("handoff_snapshot", """SELECT a.repo, a.pr_number, a.ref AS branch, a.filename, CASE WHEN status <> 'removed' AND length(content) > 0 THEN content END AS original_code,
- CASE WHEN r.success THEN r.refactored_code END AS refactored_code, CAST(coalesce(vf.n_violations, 0) AS INT) AS n_violations, 0 AS n_commits, 'orchestrator@2026-01-01T00:00:00.000000+00:00' AS chain,
+ CASE WHEN r.success THEN r.refactored_code END AS refactored_code, CAST(coalesce(vf.n_violations, 0) AS INT) AS n_violations, coalesce(k.n, 0) AS n_commits, coalesce(k.p, 0) AS n_rollback_points, k.last_point, 2 AS version, 'orchestrator@2026-01-01T00:00:00.000000+00:00' AS chain,
  '2026-01-01T00:00:00.000000+00:00' AS started_at FROM at_head a LEFT JOIN result r ON r.file_ord = a.f
- LEFT JOIN vf ON vf.repo = a.repo AND vf.pr_number = a.pr_number AND vf.file = a.filename""", "at_head", "result", "vf")
+ LEFT JOIN vf ON vf.repo = a.repo AND vf.pr_number = a.pr_number AND vf.file = a.filename
+ LEFT JOIN (SELECT repo, pr_number, count(*) AS n, count(*) FILTER (commit_ord % 4 = 0) AS p, arg_max(sha, commit_ord) FILTER (commit_ord % 4 = 0) AS last_point FROM commits GROUP BY 1, 2) k
+  ON k.repo = a.repo AND k.pr_number = a.pr_number""", "at_head", "result", "vf", "commits")
+oracle("handoff_commits", """SELECT repo, pr_number, 'commits_made' AS kind, commit_ord AS ord, sha, 2 AS version FROM commits
+ UNION ALL SELECT repo, pr_number, 'rollback_points', commit_ord, sha, 2 FROM commits WHERE commit_ord % 4 = 0""", "commits")
 
 # ------------------------------------------------------------------------------------------------ prompts
 
@@ -546,7 +553,7 @@ oracle("discover_tests", "SELECT * FROM found", "found")
 cte("wide", "SELECT DISTINCT repo, path FROM tree WHERE path LIKE 'tests/%' AND regexp_matches(path, '/test_[^/]*\\.py$')", "tree")
 cte("own", """SELECT DISTINCT repo, pr_number, path FROM (SELECT repo, pr_number, regexp_extract(filename, '([^/]*?)(\\.[^./]*)?$', 1) || '_test.py' AS path FROM files WHERE status <> 'removed') JOIN (SELECT DISTINCT repo, path FROM tree) USING (repo, path)""", "files", "tree")
 oracle("related_tests", "SELECT repo, pr_number, path FROM own UNION ALL SELECT repo, NULL, path FROM wide", "own", "wide")
-oracle("detect_framework", "SELECT repo, bool_or(path IN ('pytest', 'conftest.py', 'pytest.ini', 'pyproject.toml')) AS has_marker_file, bool_or(path = 'requirements.txt') AS has_requirements, 'pytest' AS framework FROM tree GROUP BY 1", "tree")
+oracle("detect_framework", "SELECT repo, bool_or(path IN ('pytest', 'conftest.py', 'pytest.ini', 'pyproject.toml')) AS has_marker_file, bool_or(path = 'requirements.txt') AS has_requirements, 'pytest' AS framework, any_value(named) AS requirements_name_pytest FROM tree LEFT JOIN (SELECT repo, bool_or(f % 200 = 0) AS named FROM files WHERE f % 100 = 0 GROUP BY 1) USING (repo) GROUP BY 1", "tree", "files")
 cte("torun", """SELECT repo, pr_number, CASE WHEN r > 0 THEN 'related' WHEN d > 0 THEN 'discovered' ELSE 'none' END AS source, CASE WHEN r > 0 THEN r ELSE d END AS n_tests, CASE WHEN r = 0 AND d = 0 THEN 'no_tests' END AS status FROM (
  SELECT p.repo, p.pr_number, CASE WHEN c.pr_number IS NULL THEN 0 ELSE coalesce(o.k, 0) + coalesce(w.k, 0) END AS r, coalesce(f.k, 0) AS d FROM prs p
  LEFT JOIN (SELECT DISTINCT repo, pr_number FROM files WHERE status <> 'removed') c USING (repo, pr_number) LEFT JOIN (SELECT repo, pr_number, count(*) AS k FROM own GROUP BY 1, 2) o USING (repo, pr_number)

@@ -175,11 +175,12 @@ def parse_model_json(answers: DataFrame, keys: list[str], response: str = "respo
     )
 
 
-def model_issues(chunks: DataFrame, answers: DataFrame) -> DataFrame:
+def model_issues(chunks: DataFrame, answers: DataFrame, with_code: bool = False) -> DataFrame:
     """Answers as LLM001 violations of their chunk.
 
     ``answers``: ``repo, pr_number, filename, start_line, response``. Only chunks of at least three lines are asked
-    about. A severity outside the vocabulary becomes a warning; a reported line counts from the chunk's start.
+    about. A severity outside the vocabulary becomes a warning; a reported line counts from the chunk's start. The snippet
+    has the first 200 characters; ``with_code`` adds the whole chunk.
     """
     parsed = parse_model_json(answers, [*PR_KEY, "filename", "start_line"])
     asked = chunks.filter(F.col("n_lines") >= 3).select(*FILE_KEY, "chunk_no", "start_line", "code")
@@ -207,6 +208,7 @@ def model_issues(chunks: DataFrame, answers: DataFrame) -> DataFrame:
             F.coalesce(i["suggestion"], F.lit("")).alias("suggestion"),
             tx.prefix(F.col("code"), 200).alias("code_snippet"),
             F.lit(0.8).alias("confidence"),
+            *(["code"] if with_code else []),
         )
     )
 

@@ -64,10 +64,11 @@ def file_at_ref(file_changes: DataFrame, pull_requests: DataFrame, file_contents
 # rules
 
 
-def analyze(files: DataFrame, rules: RuleSet, keys: list[str] = FILE_KEY) -> DataFrame:
+def analyze(files: DataFrame, rules: RuleSet, keys: list[str] = FILE_KEY, with_text: bool = False) -> DataFrame:
     """All enabled rules over all files: scan to violations without a shuffle.
 
-    ``files`` has the key columns, ``content`` and optionally ``patch``. Works on batch and streaming frames.
+    ``files`` has the key columns, ``content`` and optionally ``patch``. Works on batch and streaming frames. ``with_text`` adds
+    ``line_text``, the whole line of a finding, where a snippet may be shortened (null for findings about functions).
     """
     checks = [(i, r, c) for i, r in enumerate(rules.rules) for c in CHECKS[r.name](r)]
     kinds = {c.unit for _, _, c in checks}
@@ -104,7 +105,8 @@ def analyze(files: DataFrame, rules: RuleSet, keys: list[str] = FILE_KEY) -> Dat
     # Few units violate anything: test the conditions in a compiled filter first, build rows only for hits.
     any_hit = reduce(lambda a, b: a | b, [hit(c) for _, _, c in checks])
     carried = [k for k in keys if k != "filename"]
-    return units.filter(any_hit).select(*carried, F.inline(found))
+    text = [F.col("text").alias("line_text")] if with_text else []
+    return units.filter(any_hit).select(*carried, *text, F.inline(found))
 
 
 def violation_order() -> list[Column]:

@@ -79,10 +79,11 @@ def results(spark, sf) -> DataFrame:
     return rewrite.apply_fixes(files, plan.all_violations(files, i, load_rules()))
 
 
-def whole(spark, sf, *rule_ids: str) -> DataFrame:
+def whole(spark, sf, *rule_ids: str, with_text: bool = False) -> DataFrame:
     """Rules over whole files, without a diff."""
     files = d.source_files(spark, sf, patch=False)
-    return rv.analyze(files, load_rules().only(*rule_ids)).select(*V_KEY)
+    found = rv.analyze(files, load_rules().only(*rule_ids), with_text=with_text)
+    return found.select(*V_KEY, *(["line_text"] if with_text else []))
 
 
 # --------------------------------------------------------------------------------------------- sources
@@ -171,7 +172,8 @@ def rollback_point_rows(spark, sf):
 
 @query
 def commit_plan(spark, sf):
-    return tables.commit_plan(results(spark, sf), scan_prs(spark, sf), d.file_contents(spark, sf))
+    plans = tables.commit_plan(results(spark, sf), scan_prs(spark, sf), d.file_contents(spark, sf))
+    return plans.withColumn("violations_fixed", F.array_join("violations_fixed", ","))
 
 
 @query
@@ -260,13 +262,27 @@ def handoff_snapshot(spark, sf):
     files = rv.file_at_ref(i.file_changes, i.pull_requests, i.file_contents)
     v = violations(spark, sf)
     snap = tables.handoff_snapshot(files, i.pull_requests, results(spark, sf), v, reviewlog.iso_utc(at()))
-    return tables.restore_snapshot(snap, F.lit("")).select(
+    restored = tables.with_commit_counts(tables.restore_snapshot(snap, F.lit("")), _restored_commits(spark, sf))
+    return restored.select(
         "repo", "pr_number", "branch", "filename", "original_code", "refactored_code",
-        F.size("violations").alias("n_violations"), F.size("commits_made").alias("n_commits"),
-        F.array_join("handoff_chain", ",").alias("chain"), "started_at",
+        F.size("violations").alias("n_violations"), "n_commits", "n_rollback_points", "last_point",
+        F.array_join("handoff_chain", ",").alias("chain"), "started_at", "version",
     )
 
 
+def _restored_commits(spark, sf):
+    """All commits, and every fourth one as a point to return to, written as records and read back."""
+    made = d.pr_commits(spark, sf)
+    path = shared_path(spark, "snapshot")
+    tables.snapshot_commits(made, made.filter("commit_ord % 4 = 0")).select("value").write.text(path)
+    return tables.restore_snapshot_commits(spark.read.text(path))
+
+
+@query
+def handoff_commits(spark, sf):
+    return _restored_commits(spark, sf)
+
+
 @query
 def handoff_maps(spark, sf):
     return tables.handoff_maps(
@@ -383,7 +399,7 @@ def added_chunks_min3(spark, sf):
 
 @query
 def rule_line_length(spark, sf):
-    return whole(spark, sf, "S001")
+    return whole(spark, sf, "S001", with_text=True)
 
 
 @query
@@ -639,6 +655,14 @@ def review_comments(spark, sf):
     return rv.review_comments(violations(spark, sf)).select("file_ord", "file", "line", "body", "severity", "rule_id", "suggestion_code")
 
 
+@query
+def review_comments_generated(spark, sf):
+    """Comments in which written texts stand in for the messages of the findings they were written for."""
+    v = plan.materialized(violations(spark, sf), spark, "violations")
+    comments = rv.review_comments(v, d.generated_comments(v))
+    return comments.select("file_ord", "rule_ord", "seq", "file", "line", "body", "severity", "rule_id")
+
+
 @query
 def comment_body(spark, sf):
     c = rv.review_comments(violations(spark, sf))
@@ -705,7 +729,7 @@ def parse_model_json(spark, sf):
 @query
 def model_issues(spark, sf):
     chunks = diff.added_chunks(rv.analyzable_files(d.file_changes(spark, sf)), FILE_KEY, 3)
-    return ans.model_issues(chunks, d.chunk_answers(chunks))
+    return ans.model_issues(chunks, d.chunk_answers(chunks), with_code=True)
 
 
 @query
@@ -910,7 +934,7 @@ def related_tests(spark, sf):
 
 @query
 def detect_framework(spark, sf):
-    return testlogs.detect_framework(d.repo_tree(spark, sf))
+    return testlogs.detect_framework(d.repo_tree(spark, sf), d.requirements(spark, sf))
 
 
 @query

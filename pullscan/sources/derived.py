@@ -55,8 +55,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Test tables of a single file are one split whatever its size; they are dealt to all cores. Others stay as they are."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if len(df.inputFiles()) == 1 else df
+    """Rows dealt to all cores, at every size alike: the given tables can be one split each, the tables they stand for are not."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +201,20 @@ def repo_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("repo", F.explode(F.array_compact(paths)).alias("path"))
 
 
+def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every ``requirements.txt`` of the trees; every other one names the test framework."""
+    s = source_files_keys(spark, sf_dir).filter("file_ord % 100 = 0")
+    text = F.when(F.col("file_ord") % 200 == 0, "numpy\nPyTest>=8\n").otherwise("requests==2\n")
+    return s.select("repo", text.alias("content"))
+
+
+def generated_comments(violations: DataFrame) -> DataFrame:
+    """A written comment for every second critical or error finding, by the key its prompt carried."""
+    some = violations.filter(F.col("severity").isin("critical", "error") & (F.col("line") % 2 == 0))
+    body = F.concat(F.lit("Please see "), F.col("rule_id"), F.lit(" in line "), F.col("line").cast("string"), F.lit(", finding "), F.col("seq").cast("string"))
+    return some.select("repo", "pr_number", "file", "line", "rule_id", "rule_ord", "seq", body.alias("generated_body"))
+
+
 def source_files_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys and status only; the scan reads nothing but the document ids."""
     return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("f")).select(*_keys())

@@ -75,7 +75,8 @@ def latest_commit(commits: DataFrame) -> DataFrame:
 
 
 def commit_plan(results: DataFrame, pull_requests: DataFrame, file_contents: DataFrame) -> DataFrame:
-    """Per successful rewrite: update the file where the branch has it, else create it."""
+    """Per successful rewrite: update the file where the branch has it, else create it. The message names three rules, as a
+    title does; ``violations_fixed`` has all of them."""
     heads = pull_requests.select(*PR_KEY, F.col("head_branch").alias("ref"))
     existing = file_contents.select("repo", F.col("path").alias("filename"), "ref", F.col("sha").alias("existing_sha"))
     return (
@@ -86,7 +87,7 @@ def commit_plan(results: DataFrame, pull_requests: DataFrame, file_contents: Dat
             *PR_KEY, "filename", F.col("ref").alias("branch"),
             F.when(F.col("existing_sha").isNotNull(), "update").otherwise("create").alias("action"),
             "existing_sha", commit_message(F.col("violations_fixed")).alias("message"),
-            F.col("refactored_code").alias("content"),
+            "violations_fixed", F.col("refactored_code").alias("content"),
         )
     )
 
@@ -96,7 +97,8 @@ def rollback_plan(
 ) -> DataFrame:
     """Per rewritten file: its text at the rollback commit. Files missing at either side are left out.
 
-    ``rollback_refs``: ``repo, pr_number, sha, ref`` where ``ref`` names the commit in ``file_contents``.
+    ``rollback_refs``: ``repo, pr_number, sha, ref`` where ``ref`` names the commit in ``file_contents``. The message has
+    the short form of the commit, ``rollback_sha`` the whole one.
     """
     text = file_contents.select("repo", F.col("path").alias("filename"), "ref", "content")
     now = file_contents.select(
@@ -110,7 +112,7 @@ def rollback_plan(
         .join(text, ["repo", "filename", "ref"])
         .join(now, ["repo", "filename", "branch"])
         .select(
-            *PR_KEY, "filename", "branch", "current_sha", "content",
+            *PR_KEY, "filename", "branch", "current_sha", "content", F.col("sha").alias("rollback_sha"),
             F.concat(F.lit("Rollback: Revert "), F.col("filename"), F.lit(" to "), F.substring("sha", 1, 7)).alias(
                 "message"
             ),
@@ -161,11 +163,15 @@ def handoff_maps(files: DataFrame) -> DataFrame:
     )
 
 
+#: Written into every record; records of an earlier version lack the key.
+SNAPSHOT_VERSION = 2
 SNAPSHOT_FILE = (
-    "pr_number BIGINT, repository STRING, branch STRING, file STRING, violations ARRAY<STRING>, original_code STRING, "
-    "refactored_code STRING, commits_made ARRAY<STRING>, rollback_points ARRAY<STRING>, started_at STRING, "
-    "handoff_chain ARRAY<STRING>"
+    "version INT, pr_number BIGINT, repository STRING, branch STRING, file STRING, violations ARRAY<STRING>, "
+    "original_code STRING, refactored_code STRING, started_at STRING, handoff_chain ARRAY<STRING>"
 )
+SNAPSHOT_COMMIT = "version INT, pr_number BIGINT, repository STRING, kind STRING, ord BIGINT, sha STRING"
+#: Kinds of commit records: what the context lists as made, and as points to return to.
+COMMITS_MADE, ROLLBACK_POINTS = "commits_made", "rollback_points"
 
 
 def handoff_snapshot(
@@ -181,6 +187,7 @@ def handoff_snapshot(
         .select(*PR_KEY, "filename", F.transform("items", lambda x: x["json"]).alias("violations"))
     )
     record = F.struct(
+        F.lit(SNAPSHOT_VERSION).alias("version"),
         F.col("pr_number"),
         F.col("repo").alias("repository"),
         F.col("branch"),
@@ -200,11 +207,44 @@ def handoff_snapshot(
 
 
 def restore_snapshot(snapshot: DataFrame, now: Column) -> DataFrame:
-    """Read snapshot records back; missing keys get their defaults."""
+    """Read snapshot records back; missing keys get their defaults, a missing version is the first one."""
     strings = F.array().cast("array<string>")
     return snapshot.select(F.from_json("value", SNAPSHOT_FILE).alias("c")).select(
         F.col("c.repository").alias("repo"), "c.pr_number", "c.branch", F.col("c.file").alias("filename"),
         "c.original_code", "c.refactored_code",
-        *[F.coalesce(f"c.{k}", strings).alias(k) for k in ("violations", "commits_made", "rollback_points", "handoff_chain")],
-        F.coalesce("c.started_at", now).alias("started_at"),
+        *[F.coalesce(f"c.{k}", strings).alias(k) for k in ("violations", "handoff_chain")],
+        F.coalesce("c.started_at", now).alias("started_at"), F.coalesce("c.version", F.lit(1)).alias("version"),
     )
+
+
+def snapshot_commits(made: DataFrame, points: DataFrame) -> DataFrame:
+    """The context's commits and rollback points as JSON, one record each: a list of them has no bound, and would stand
+    in the record of every file. Both tables: ``repo, pr_number, commit_ord, sha``."""
+
+    def records(commits: DataFrame, kind: str) -> DataFrame:
+        record = F.struct(
+            F.lit(SNAPSHOT_VERSION).alias("version"), F.col("pr_number"), F.col("repo").alias("repository"),
+            F.lit(kind).alias("kind"), F.col("commit_ord").cast("bigint").alias("ord"), F.col("sha"),
+        )
+        return commits.select(*PR_KEY, F.to_json(record).alias("value"))
+
+    return records(made, COMMITS_MADE).unionByName(records(points, ROLLBACK_POINTS))
+
+
+def restore_snapshot_commits(records: DataFrame) -> DataFrame:
+    """``repo, pr_number, kind, ord, sha, version``; a record without a kind lists a commit made."""
+    return records.select(F.from_json("value", SNAPSHOT_COMMIT).alias("c")).select(
+        F.col("c.repository").alias("repo"), "c.pr_number", F.coalesce("c.kind", F.lit(COMMITS_MADE)).alias("kind"),
+        F.coalesce("c.ord", F.lit(0).cast("bigint")).alias("ord"), "c.sha", F.coalesce("c.version", F.lit(1)).alias("version"),
+    )
+
+
+def with_commit_counts(restored: DataFrame, commits: DataFrame) -> DataFrame:
+    """Restored files with ``n_commits`` and ``n_rollback_points`` of their pull request, and its last point."""
+    of = lambda kind: F.col("kind") == kind
+    counts = commits.groupBy(*PR_KEY).agg(
+        F.count_if(of(COMMITS_MADE)).alias("n_commits"), F.count_if(of(ROLLBACK_POINTS)).alias("n_rollback_points"),
+        F.max_by(F.when(of(ROLLBACK_POINTS), F.col("sha")), F.when(of(ROLLBACK_POINTS), F.col("ord"))).alias("last_point"),
+    )
+    zero = F.lit(0).cast("bigint")
+    return restored.join(counts, PR_KEY, "left").withColumns({c: F.coalesce(c, zero) for c in ("n_commits", "n_rollback_points")})
