@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pullscan.functions import text as tx
@@ -132,21 +132,24 @@ REFACTOR_ANSWER = "refactored_code string, explanation string"
 _FENCE = r"(?Uds)```(?:json)?\s*\n?(.*?)\n?```"
 
 
-def _valid(text: Column) -> Column:
-    return F.when(F.try_parse_json(text).isNotNull(), text)
+#: Strict JSON but for NaN and infinities, which Python's reader takes as well.
+_STRICT = {"allowSingleQuotes": "false"}
+
 
+def _valid(text: Column) -> Column:
+    """The text if it is one JSON value and nothing else. Of a repeated key the last one counts.
 
-def _last_key_wins() -> None:
-    """Of a repeated key the last one counts, where Spark's default is to refuse the text."""
-    session = SparkSession.getActiveSession()
-    if session is not None:
-        session.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    The reader stops at the end of a value, whatever follows. So the text is put inside an array and inside an object: what follows
+    it, or closes too much, breaks at least one of the two.
+    """
+    inside = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
+    below = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "map<string,string>", _STRICT)
+    return F.when((F.size(inside) == 1) & (F.size(below) == 1), text)
 
 
 def json_text(response: Column) -> Column:
     """The JSON in a response: the whole text, else a fenced block, else from the first ``{`` to the last ``}``;
-    null when none of them parses. Sets ``spark.sql.variant.allowDuplicateKeys`` on the session."""
-    _last_key_wins()
+    null when none of them parses."""
     fenced = F.when(response.rlike(_FENCE), F.regexp_extract(response, _FENCE, 1))
     start = F.locate("{", response)
     last = F.length(response) - F.locate("}", F.reverse(response)) + 1

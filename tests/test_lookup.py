@@ -93,3 +93,23 @@ def test_syntax_of_a_tree_is_that_of_its_text():
 
     for code in ("x = 1", "return 1", "def f(:", "def f():\n  yield\nawait x", "x = 1\n  y", "nonlocal a", "a\x00b", "from __future__ import nothing", "def f(a, a): pass", "(" * 300 + ")" * 300, "f'{x!z}'", ""):
         assert pyfacts.syntax_of_tree(pyfacts.tree_or_none(code), code) == pyfacts.syntax_of(code), code
+
+
+def test_json_texts_are_those_python_reads(spark):
+    import json
+
+    from pullscan.operators.answers import _valid
+
+    texts = [
+        '{"a":1}', '{"a":1} x', '{"a":1}{"b":2}', '{"a":1,"a":2}', "[1,2]", '"s"', "5", "nul", "null", '{"a":NaN}', "{'a':1}", '{"a":1,}', "", '  {"a": {"b":[1,"x"]}}  ', '{"a":01}',
+        '{"a":"\\x"}', '{"a":"\n"}', '[{"a":1}] y', '{"a":{"b":1,"b":2}}', "true", "-", "[1,2", '{"a":1/*c*/}', "1],[2", '{"a":1}}', "1,2", '1,"y":2', '{"a":1}]', "[1]]", "1}", " ", '{"a":1}\n\n',
+        '"x" "y"', "[]", "{}", "tru", '{"a":Infinity}', '{"a":"é\\u00e9\U0001F600"}', "{a:1}", '{"a":.5}', "+1", '{"a":[1,2,]}', '{"a" 1}', '{"x":1,"x":[}',
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", _valid(F.col("t")).isNotNull().alias("ok")).collect():
+        try:
+            json.loads(r.t)
+            want = True
+        except ValueError:
+            want = False
+        assert r.ok == want, r.t
