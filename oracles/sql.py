@@ -95,6 +95,7 @@ cte("fns", f"""SELECT s.*, CAST(1 + sum(CASE WHEN x.n <= s.end_line THEN {KEYWOR
 
 # --------------------------------------------------------------------------------------------------- rules
 
+# Patterns of the shipped rules.
 SEC_RE = ["password\\s*=\\s*[''\"][^''\"]+[''\"]", "api_key\\s*=\\s*[''\"][^''\"]+[''\"]", "secret\\s*=\\s*[''\"][^''\"]+[''\"]",
           "token\\s*=\\s*[''\"][^''\"]+[''\"]", "AWS_SECRET", "PRIVATE_KEY"]
 SEC_EX = ["password\\s*=\\s*[''\"][''\"]", "os\\.environ", "getenv"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pullscan.functions import text as tx
 from pullscan.functions.once import compute_once
 from pullscan.model import FILE_KEY, PR_KEY
+from pullscan.rules.checks import filled
 
 # Prompt texts.
 REVIEW_SYSTEM = (
@@ -23,30 +24,35 @@ REFACTOR_SYSTEM = (
     'Always respond in valid JSON: {"refactored_code": "...", "explanation": "..."}'
 )
 REVIEW_FOCUS = "security, bugs, best practices"
-EQUIVALENCE_TAIL = (
+REVIEW_PROMPT = (
+    "Analyze this code focusing on " + REVIEW_FOCUS + ":\n\n```\n", "\n```\n\nContext: File: ", "\n\nProvide your analysis as JSON.",
+)
+COMMENT_PROMPT = (
+    "Generate a review comment for this code issue:\n\nViolation type: ", "\nMessage: ", "\n\nCode:\n```\n",
+    "\n```\n\nWrite a helpful, professional comment.",
+)
+REFACTOR_PROMPT = ("Refactor this code to fix:\n\n", "\n\nOriginal code:\n```\n", "\n```")
+EQUIVALENCE_PROMPT = (
+    "Analyze these two code versions and determine if they are semantically equivalent\n"
+    "(produce the same behavior), accounting for the fact that the refactored version was modified to fix these issues:\n",
+    "\n\nORIGINAL CODE:\n```python\n",
+    "\n```\n\nREFACTORED CODE:\n```python\n",
     '\n```\n\nRespond with JSON:\n{\n    "equivalent": true/false,\n    "confidence": 0.0-1.0,\n'
-    '    "differences": ["list of behavioral differences if any"],\n    "assessment": "brief explanation"\n}'
+    '    "differences": ["list of behavioral differences if any"],\n    "assessment": "brief explanation"\n}',
 )
 
 
 def review_prompt(code: Column, filename: Column) -> Column:
-    return F.concat(
-        F.lit(f"Analyze this code focusing on {REVIEW_FOCUS}:\n\n```\n"), code, F.lit("\n```\n"),
-        F.lit("\nContext: File: "), filename, F.lit("\n\nProvide your analysis as JSON."),
-    )
+    return filled(REVIEW_PROMPT, code, filename)
 
 
 def comment_prompt(code: Column, rule_name: Column, message: Column) -> Column:
-    return F.concat(
-        F.lit("Generate a review comment for this code issue:\n\nViolation type: "), rule_name,
-        F.lit("\nMessage: "), message, F.lit("\n\nCode:\n```\n"), code,
-        F.lit("\n```\n\nWrite a helpful, professional comment."),
-    )
+    return filled(COMMENT_PROMPT, rule_name, message, code)
 
 
 def refactor_prompt(code: Column, issues: Column) -> Column:
     listed = F.array_join(F.transform(issues, lambda i: F.concat(F.lit("- "), i)), "\n")
-    return F.concat(F.lit("Refactor this code to fix:\n\n"), listed, F.lit("\n\nOriginal code:\n```\n"), code, F.lit("\n```"))
+    return filled(REFACTOR_PROMPT, listed, code)
 
 
 def equivalence_prompt(
@@ -55,17 +61,8 @@ def equivalence_prompt(
     """Names the messages and shows both versions, whole unless a limit is given."""
     if max_chars is not None:
         original, refactored = tx.prefix(original, max_chars), tx.prefix(refactored, max_chars)
-    return F.concat(
-        F.lit(
-            "Analyze these two code versions and determine if they are semantically equivalent\n"
-            "(produce the same behavior), accounting for the fact that the refactored version was modified to fix "
-            "these issues:\n"
-        ),
-        F.array_join(messages if max_messages is None else F.slice(messages, 1, max_messages), ", "),
-        F.lit("\n\nORIGINAL CODE:\n```python\n"), original,
-        F.lit("\n```\n\nREFACTORED CODE:\n```python\n"), refactored,
-        F.lit(EQUIVALENCE_TAIL),
-    )
+    named = F.array_join(messages if max_messages is None else F.slice(messages, 1, max_messages), ", ")
+    return filled(EQUIVALENCE_PROMPT, named, original, refactored)
 
 
 def review_prompts(chunks: DataFrame) -> DataFrame:

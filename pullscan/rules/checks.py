@@ -43,6 +43,33 @@ def register_rule(name: str) -> Callable[[RuleFn], RuleFn]:
     return add
 
 
+# Messages and suggestions of the rules.
+LINE_MESSAGE = ("Line exceeds ", " characters (length: ", ")")
+LINE_SUGGESTION = "Break this line into multiple lines or refactor for readability"
+NAME_MESSAGE = (" '", "' should use ")
+NAME_SUGGESTION = ("Rename to '", "'")
+COMPLEXITY_MESSAGE = ("Function '", "' has cyclomatic complexity of ", " (max: ", ")")
+COMPLEXITY_SUGGESTION = "Consider breaking this function into smaller, focused functions"
+LENGTH_MESSAGE = ("Function '", "' is ", " lines long (max: ", ")")
+LENGTH_SUGGESTION = "Consider extracting parts into smaller helper functions"
+SECRET_MESSAGE = "Potential hardcoded secret or credential detected"
+SECRET_SUGGESTION = "Use environment variables or a secrets manager instead"
+SQL_MESSAGE = "Potential SQL injection vulnerability - using string formatting in SQL query"
+SQL_SUGGESTION = "Use parameterized queries: cursor.execute('SELECT * FROM users WHERE id = ?', (user_id,))"
+BARE_MESSAGE = "Bare 'except:' clause catches all exceptions including SystemExit and KeyboardInterrupt"
+BARE_SUGGESTION = "Catch specific exceptions: 'except (ValueError, TypeError) as e:'"
+EMPTY_MESSAGE = "Empty exception handler - exceptions are silently ignored"
+EMPTY_SUGGESTION = "Log the exception or handle it appropriately"
+
+
+def filled(parts: tuple[str, ...], *values: Column) -> Column:
+    """A message with its values between the parts."""
+    out = [F.lit(parts[0])]
+    for value, part in zip(values, parts[1:], strict=True):
+        out += [value.cast("string"), F.lit(part)]
+    return F.concat(*out)
+
+
 DEF = tx.FLAGS + "^" + tx.WS + r"*(?:async" + tx.WS + r"+)?def" + tx.WS + "+(" + tx.WORD + "+)" + tx.WS + r"*\("
 CLASS = tx.FLAGS + "^" + tx.WS + "*class" + tx.WS + "+(" + tx.WORD + "+)" + tx.WS + r"*[:\(]"
 BARE_EXCEPT = tx.FLAGS + "^" + tx.WS + "*except" + tx.WS + "*:"
@@ -73,8 +100,8 @@ def line_length(rule: RuleSpec) -> list[Check]:
         Check(
             "line",
             when,
-            F.concat(F.lit(f"Line exceeds {limit} characters (length: "), F.length(text).cast("string"), F.lit(")")),
-            F.lit("Break this line into multiple lines or refactor for readability"),
+            filled(LINE_MESSAGE, F.lit(limit), F.length(text)),
+            F.lit(LINE_SUGGESTION),
             F.when(F.length(text) > 100, F.concat(tx.prefix(text, 100), F.lit("..."))).otherwise(text),
         )
     ]
@@ -100,8 +127,8 @@ def naming_conventions(rule: RuleSpec) -> list[Check]:
             Check(
                 "line",
                 when,
-                F.concat(F.lit(f"{label} '"), name, F.lit(f"' should use {convention}")),
-                F.concat(F.lit("Rename to '"), tx.name_convert(name, convention), F.lit("'")),
+                F.concat(F.lit(label), filled((*NAME_MESSAGE, ""), name, F.lit(convention))),
+                filled(NAME_SUGGESTION, tx.name_convert(name, convention)),
                 tx.strip(text),
                 seq=seq,
             )
@@ -116,11 +143,8 @@ def function_complexity(rule: RuleSpec) -> list[Check]:
         Check(
             "function",
             F.col("fn_complexity") > limit,
-            F.concat(
-                F.lit("Function '"), F.col("fn_name"), F.lit("' has cyclomatic complexity of "),
-                F.col("fn_complexity").cast("string"), F.lit(f" (max: {limit})"),
-            ),
-            F.lit("Consider breaking this function into smaller, focused functions"),
+            filled(COMPLEXITY_MESSAGE, F.col("fn_name"), F.col("fn_complexity"), F.lit(limit)),
+            F.lit(COMPLEXITY_SUGGESTION),
             F.lit(""),
             0.9,
         )
@@ -139,11 +163,8 @@ def function_length(rule: RuleSpec) -> list[Check]:
         Check(
             "function",
             counted > limit,
-            F.concat(
-                F.lit("Function '"), F.col("fn_name"), F.lit("' is "), counted.cast("string"),
-                F.lit(f" lines long (max: {limit})"),
-            ),
-            F.lit("Consider extracting parts into smaller helper functions"),
+            filled(LENGTH_MESSAGE, F.col("fn_name"), counted, F.lit(limit)),
+            F.lit(LENGTH_SUGGESTION),
             F.lit(""),
         )
     ]
@@ -158,8 +179,8 @@ def hardcoded_secrets(rule: RuleSpec) -> list[Check]:
         Check(
             "line",
             hit & ~excluded,
-            F.lit("Potential hardcoded secret or credential detected"),
-            F.lit("Use environment variables or a secrets manager instead"),
+            F.lit(SECRET_MESSAGE),
+            F.lit(SECRET_SUGGESTION),
             tx.redact_quotes(text),
             0.85,
         )
@@ -173,8 +194,8 @@ def sql_injection(rule: RuleSpec) -> list[Check]:
         Check(
             "line",
             tx.rlike_any(text, rule.config.get("patterns", [])),
-            F.lit("Potential SQL injection vulnerability - using string formatting in SQL query"),
-            F.lit("Use parameterized queries: cursor.execute('SELECT * FROM users WHERE id = ?', (user_id,))"),
+            F.lit(SQL_MESSAGE),
+            F.lit(SQL_SUGGESTION),
             tx.strip(text),
         )
     ]
@@ -190,8 +211,8 @@ def error_handling(rule: RuleSpec) -> list[Check]:
             Check(
                 "line",
                 text.contains("except") & text.rlike(BARE_EXCEPT),
-                F.lit("Bare 'except:' clause catches all exceptions including SystemExit and KeyboardInterrupt"),
-                F.lit("Catch specific exceptions: 'except (ValueError, TypeError) as e:'"),
+                F.lit(BARE_MESSAGE),
+                F.lit(BARE_SUGGESTION),
                 tx.strip(text),
             )
         )
@@ -203,8 +224,8 @@ def error_handling(rule: RuleSpec) -> list[Check]:
                 text.contains("except")
                 & text.rlike(BROAD_EXCEPT)
                 & F.coalesce(tx.strip(F.col("next_text")) == "pass", F.lit(False)),
-                F.lit("Empty exception handler - exceptions are silently ignored"),
-                F.lit("Log the exception or handle it appropriately"),
+                F.lit(EMPTY_MESSAGE),
+                F.lit(EMPTY_SUGGESTION),
                 tx.strip(text),
                 seq=1,
             )

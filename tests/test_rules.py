@@ -34,9 +34,9 @@ def test_url_and_import_lines_are_skipped(make_files):
 def test_secrets(make_files):
     rules = one("hardcoded_secrets", {"patterns": [r"password\s*=\s*['\"][^'\"]+['\"]"], "exclude_patterns": []},
                 "SEC001", "security", "critical")
-    f = make_files(("t.py", 'password = "secret123"'))
+    f = make_files(("t.py", "  db_password='tulip-7'  # keep"))
     r = analyze(f, rules).first()
-    assert (r.severity, r.code_snippet, r.confidence) == ("critical", 'password = "[REDACTED]"', 0.85)
+    assert (r.severity, r.code_snippet, r.confidence) == ("critical", "  db_password='[REDACTED]'  # keep", 0.85)
 
 
 def test_excluded_secret(make_files):
