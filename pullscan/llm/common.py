@@ -2,23 +2,62 @@
 
 from __future__ import annotations
 
+import io
+import os
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pullscan.session import shared_path
 
+_shipped: set[str] = set()
+
+
+def package_zip() -> bytes:
+    """The modules of this package as an archive Python can import from; the same bytes whenever it is made."""
+    import pullscan
+
+    root = os.path.dirname(os.path.abspath(pullscan.__file__))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                with open(path, "rb") as f:
+                    z.writestr(zipfile.ZipInfo(os.path.join("pullscan", os.path.relpath(path, root))), f.read())
+    return out.getvalue()
+
+
+def ship(spark: SparkSession) -> None:
+    """Python workers import these modules by name, so each context gets the package once, as a file that Spark itself sends to
+    every executor, also to one that joins later."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    # Below the folder where the driver keeps what it serves to executors.
+    path = os.path.join(SparkFiles.getRootDirectory(), "pullscan-modules.zip")
+    if not os.path.exists(path):
+        with open(path, "wb") as f:
+            f.write(package_zip())
+        context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """``doc_id`` and the whole ``text`` (null: empty); every other column, whatever its name, stays out of the work."""
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 

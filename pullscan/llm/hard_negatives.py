@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pullscan.llm.common import dealt, shards_of, table_written
+from pullscan.llm.common import dealt, shards_of, ship, table_written
 
 SHARD_ROWS, SHARD_BYTES = 1 << 18, 64 << 20
 CHUNK, ANCHORS = 8192, 128
@@ -188,6 +188,7 @@ def mine(vectors: DataFrame, anchor_every: int = 50, positives: int = 5, k: int
     if high < 0:
         raise ValueError("the upper limit would rise where the positives fall")
     spark = vectors.sparkSession
+    ship(spark)
     rows = table_written(packed(usable(vectors, relabel_every, labels, vector, scale)), "negatives-rows")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("x") + 32), F.lit(0)).alias("bytes")).first()
     # Shards of bounded rows and bytes, and enough of them for all cores.

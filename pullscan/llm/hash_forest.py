@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pullscan.llm.common import dealt, shards_of, table_written
+from pullscan.llm.common import dealt, shards_of, ship, table_written
 
 TREES, BITS = 64, 62
 SHARD_ROWS, SHARD_BYTES = 1 << 17, 64 << 20
@@ -177,6 +177,7 @@ def nearest(vectors: DataFrame, query_every: int = 50, k: int = 5, vector: str =
     ``sample_rows`` bounds the sample of which the mean is taken; every row is indexed.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = table_written(packed(usable(vectors, vector)), "forest")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("x") + 64), F.lit(0)).alias("bytes")).first()
     part = min(1.0, sample_rows / max(size.n, 1))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pullscan.llm.common import mix, slices, table_written, window_hashes, word_hashes
+from pullscan.llm.common import mix, ship, slices, table_written, window_hashes, word_hashes
 
 WORD = re.compile(r"\w+")
 HASHES, ROWS, STEP = 160, 4, 32
@@ -207,6 +207,7 @@ def sketched(docs: DataFrame, size: int) -> DataFrame:
                 own = [b.column(c).slice(at, len(texts)) for c in ("doc_id", "jid", "raw")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(k, pa.binary()), pa.array(s, pa.binary())], ["doc_id", "jid", "raw", "k", "sketch"])
 
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     return rows.withColumns({"jid": join_id(), "raw": text_key(F.col("text"))}).select("doc_id", "jid", "raw", "text").mapInArrow(each, "doc_id long, jid long, raw string, k binary, sketch binary")
 

@@ -11,7 +11,8 @@ the source's quota lasts; of the block on the border, documents are taken in ord
 a block is ever ordered in one task, so a source with most of the documents is like any other.
 
 Tokens are the words of a text, at least one for each document. Defined results: a null source is a source of its own. A null or
-empty text counts one token. Repeated rows are drawn each for itself. An empty table gives no rows.
+empty text counts one token, a text of any length all of its words. Repeated rows are drawn each for itself. Other columns, whatever their
+names, take no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -85,15 +86,17 @@ def draw(rows: DataFrame, repeats: float | None, entropy: float | None, budget:
     held = {r.source: r.t for r in rows.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
     alpha = find_exponent(held, repeats, entropy)
     quota = quotas(held, alpha, budget) if held else {}
-    plan = [(s, t, quota[s], max(1, math.ceil(t / block_tokens)), e) for s, t in held.items() for e in range(math.ceil(quota[s] / t))]
-    epochs = spark.createDataFrame(plan, "source string, held long, quota long, blocks long, epoch int")
+    plan = [(s, t, quota[s], max(1, math.ceil(t / block_tokens)), math.ceil(quota[s] / t)) for s, t in held.items() if quota[s] > 0]
+    sources = spark.createDataFrame(plan, "source string, held long, quota long, blocks long, passes int")
+    # However often a small source is read, its passes are counted out by the tasks.
+    epochs = sources.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).drop("passes")
 
-    first = epochs.where("epoch = 0").select(F.col("source").alias("s_"), F.col("blocks").alias("b_"))
+    first = sources.select(F.col("source").alias("s_"), F.col("blocks").alias("b_"))
     dealt = rows.join(F.broadcast(first), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")  # a row per source
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "row_id", F.lit(seed)), F.col("b_"))).drop("b_")
     blocks = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("t"))
     named = epochs.withColumnRenamed("source", "s_")
-    blocks = blocks.join(F.broadcast(named), F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
+    blocks = blocks.join(named, F.col("source").eqNullSafe(F.col("s_"))).drop("s_")
     order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64("source", "block", "epoch", F.lit(seed)), "block")
     begin = F.col("epoch") * F.col("held") + F.sum("t").over(order) - F.col("t")
     blocks = blocks.withColumn("begin", begin).where(F.col("begin") < F.col("quota"))

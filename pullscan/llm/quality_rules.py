@@ -4,7 +4,9 @@ The model is fitted on a bounded sample of labelled rows (``per_class`` rows of
 parameter); a labelled row is good if its quality is 1 and it is not toxic. Classes weigh as often as they occur among all
 labels. Counting and scoring run over every whole text, one Arrow batch at a time, without a shuffle.
 
-Defined results: a null text has no words and fails the base rule. A null or repeated ``doc_id`` stays as it is, one row for
+Defined results: whole texts of any length count; an empty table gives no rows; other columns, whatever their names, take no part.
+A null text has no words and fails the base rule. Whole texts of any length count. An empty table gives no rows, and other
+columns, whatever their names, take no part. A null or repeated ``doc_id`` stays as it is, one row for
 each row. Without labels of both classes there is no model, and the base rule alone decides (``probability`` is null).
 """
 

@@ -11,7 +11,8 @@ rare characters say little. No fixed length or kind of character is required.
 Positions are in code points, the end exclusive. Work is done per row, without a shuffle of texts.
 
 Defined results: a null or empty text has no spans. A null or repeated ``doc_id`` stays, one row for each row. Without any
-finding to train from, nothing is added to the base spans.
+finding to train from, nothing is added to the base spans. Texts of any length are scanned whole. An empty table gives no rows. Other
+columns, whatever their names, take no part, but for names that begin with two underscores, which must be free.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Equal texts are neighbours in the order, so they share a shard unless a border f
 all rows is parted like any other, since the record's own hash parts it further.
 
 Defined results: a null text has no bytes, so size 8 and checksum 0. A null or repeated ``doc_id`` stays, one row for each row, each with a
-slot of its own. An empty table gives no rows.
+slot of its own. A very long text is a record like any other, and may alone be larger than a shard. Other columns, whatever their
+names, take no part. An empty table gives no rows. Equal texts are parted where the border of a shard falls among them: the law is one of
+sizes.
 """
 
 from __future__ import annotations
@@ -81,7 +83,8 @@ def shard_records(docs: DataFrame, shards: int = 24, range_rows: int = RANGE_ROW
     n, total = rows.agg(F.count("*"), F.sum("size")).first()
     ranges = max(4 * shards, math.ceil((n or 0) / range_rows)) if n else 1
     borders = splitters(rows, total or 1, ranges, seed)
-    for again in range(8):
+    again = stuck = 0
+    while True:
         held = rows.groupBy(range_of(borders).alias("r")).count().where(F.col("count") > OVERFULL * max(64, n / ranges)).collect() if n else []
         if not held:
             break
@@ -89,7 +92,11 @@ def shard_records(docs: DataFrame, shards: int = 24, range_rows: int = RANGE_ROW
         inside = rows.withColumn("r", range_of(borders)).where(F.col("r").isin(*full)).drop("r")
         share = max(2, math.ceil(2 * sum(full.values()) * ranges / n))
         more = splitters(inside, inside.agg(F.sum("size")).first()[0], share, seed + 1 + again)
-        borders = sorted({*borders, *more})
+        # Each round draws another sample; where none of several parts a range, its records share one key.
+        stuck = stuck + 1 if set(more) <= set(borders) else 0
+        if stuck == 5:
+            raise ValueError(f"{len(full)} ranges hold records that no key parts")
+        borders, again = sorted({*borders, *more}), again + 1
 
     placed = rows.withColumn("r", range_of(borders))
     sums = placed.groupBy("r").agg(F.count("*").alias("n"), F.sum("size").alias("b"))

@@ -11,7 +11,8 @@ occurs, packed by hash range; back come those that other chunks have too. The wi
 passage that a third of all documents share costs one number per chunk. Texts are shuffled once, to their chunks.
 
 Windows are equal if 64 bits of hash and their hash range agree. Defined results: a null or empty text has no words. Rows without an
-id keep all words and remove none elsewhere; rows of one id never remove from each other. Extra columns are not read.
+id keep all words and remove none elsewhere; rows of one id never remove from each other. Texts of any length count with all
+their windows. An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations

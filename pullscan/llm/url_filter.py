@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pullscan.llm.common import mix
+from pullscan.llm.common import mix, ship
 from pullscan.session import shared_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -197,6 +197,7 @@ def filter_urls(pages: DataFrame, block: Sequence[str], allow: Sequence[str], li
     all subdomains if the path starts with the rule's; the longest wins (then the longer host). Without a rule, a page is
     blocked if its host or a domain above it is listed.
     """
+    ship(pages.sparkSession)
     rules = [("b", r, *split_rule(r)) for r in block] + [("a", r, *split_rule(r)) for r in allow]
     lengths = sorted({len(p) for _, _, _, p in rules})
     hosts = listed.select(F.translate(F.col("host"), UPPER, LOWER).alias("host")).where("host is not null and host != ''")

@@ -10,7 +10,9 @@ One labeller knows words of toxic texts: those that a bounded labelled sample (`
 parameter) shows far more often in toxic than in other texts. The scorer is trained on the texts of the same sample; its labels
 are the posteriors, never the given ones.
 
-Defined results: a null or empty text has no word and is rejected. A null or repeated ``doc_id`` stays as it is, one row for each row. Without
+Defined results: whole texts of any length are judged; an empty table gives no rows; other columns, whatever their names, take no part.
+A null or empty text has no word and is rejected. Whole texts of any length are judged, an empty table gives no rows, and
+other columns, whatever their names, take no part. A null or repeated ``doc_id`` stays as it is, one row for each row. Without
 labelled rows the lexicon is empty and nothing can be trained: ``score`` is then the posterior of the votes.
 """
 
