@@ -423,8 +423,8 @@ _ast_fn = [
     # kind, offset of def, offset of last line, name, class, params, returns, decorators, async, doc offset?, complexity, calls, body offset
     (0, 1, 7, "'fn_' || n", "NULL", "a,b,*args,**kwargs", "NULL", "", "false", "'\"\"\"Doc ' || n || '.\"\"\"'", 5, "helper", 2),
     (1, 2, 7, "'co_' || n", "NULL", "x,y", "'int'", "@cached", "true", "NULL", 5, "c.push,ctx,range", 3),
-    (2, 4, 6, "'run'", "'Thing' || n", "self,k", "NULL", "", "false", "NULL", 3, "self.go", 5),
-    (2, 8, 8, "'size'", "'Thing' || n", "self", "NULL", "@property", "false", "NULL", 1, "len", 8),
+    (2, 4, 6, "'run'", "'Thing' || (n % 7)", "self,k", "NULL", "", "false", "NULL", 3, "self.go", 5),
+    (2, 8, 8, "'size'", "'Thing' || (n % 7)", "self", "NULL", "@property", "false", "NULL", 1, "len", 8),
     (4, 1, 7, "'outer_' || n", "NULL", "q", "NULL", "", "false", "NULL", 5, "inner,logger.info,sum", 2),
     (4, 2, 3, "'inner'", "NULL", "z", "NULL", "", "false", "NULL", 1, "", 3),
     (5, 3, 3, "'say_' || n", "NULL", "", "NULL", "", "false", "NULL", 1, "print", 3),
@@ -445,7 +445,7 @@ oracle("ast_complexity", "SELECT f AS file_ord, filename, name, start_line, comp
 oracle("complex_functions", "SELECT f AS file_ord, filename, name, complexity FROM pyfn WHERE complexity > 4", "pyfn")
 oracle("long_functions", "SELECT f AS file_ord, filename, name, start_line, end_line FROM pyfn WHERE end_line - start_line + 1 > 6", "pyfn")
 oracle("facts_calls", "SELECT f AS file_ord, filename, name AS caller, start_line AS line, unnest(string_split(calls, ',')) AS callee FROM pyfn WHERE calls <> ''", "pyfn")
-cte("pycls", """SELECT f, filename, n, 'Thing' || n AS name, CAST(b + 1 AS INT) AS start_line, CAST(b + CASE WHEN is_ast THEN 8 ELSE 1 END AS INT) AS end_line, CASE WHEN is_ast THEN '\"\"\"Thing ' || n || '.\"\"\"' END AS docstring,
+cte("pycls", """SELECT f, filename, n, 'Thing' || (n % 7) AS name, CAST(b + 1 AS INT) AS start_line, CAST(b + CASE WHEN is_ast THEN 8 ELSE 1 END AS INT) AS end_line, CASE WHEN is_ast THEN '\"\"\"Thing ' || n || '.\"\"\"' END AS docstring,
  CASE WHEN is_ast THEN 'Base' ELSE '' END AS bases, CASE WHEN is_ast THEN 'run,size' ELSE '' END AS methods, '' AS decorators FROM blk JOIN pyfiles USING (f) WHERE kind = 2""", "blk", "pyfiles")
 oracle("facts_classes", "SELECT f AS file_ord, * EXCLUDE (f, n) FROM pycls", "pycls")
 cte("pyimp", """SELECT f, filename, 'os' AS module, '' AS names, CAST(NULL AS VARCHAR) AS alias, 2 AS line, false AS is_from_import FROM pyfiles
@@ -479,14 +479,14 @@ cte("py", "SELECT *, filename LIKE '%.py' AS is_py, f % 8 = 6 AS is_broken FROM
 cte("names_o", """SELECT DISTINCT f, 'functions' AS kind, name FROM (
   SELECT f, n, unnest(CASE kind WHEN 0 THEN ['fn_' || n] WHEN 1 THEN ['co_' || n] WHEN 4 THEN ['outer_' || n, 'inner'] WHEN 5 THEN ['say_' || n] WHEN 2 THEN CASE WHEN is_py THEN [] ELSE ['run', 'size'] END ELSE [] END) AS name
   FROM blk JOIN py USING (f))
- UNION ALL SELECT f, 'classes', 'Thing' || n FROM blk WHERE kind = 2
+ UNION ALL SELECT f, 'classes', 'Thing' || (n % 7) FROM blk WHERE kind = 2
  UNION ALL SELECT f, 'imports', unnest(['os', 'json', 'pkg.mod' || (f % 7)]) FROM py UNION ALL SELECT f, 'imports', 'fast_' || n FROM blk JOIN py USING (f) WHERE kind = 3 AND is_py""", "blk", "py")
 # The rewritten text of a broken .py file is read by pattern.
 cte("names_r", """SELECT DISTINCT f, 'functions' AS kind, name FROM (
   SELECT f, n, unnest(CASE kind WHEN 0 THEN ['fn_' || n] WHEN 1 THEN ['co_' || n] WHEN 4 THEN ['outer_' || n, 'inner'] WHEN 5 THEN ['say_' || n] WHEN 2 THEN CASE WHEN is_py AND NOT is_broken THEN [] ELSE ['run', 'size'] END ELSE [] END) AS name
   FROM blk JOIN py USING (f) WHERE f % 4 <> 0 OR n % 5 <> 0
   UNION ALL SELECT f, 0, 'heavy' FROM py WHERE f % 4 = 2 UNION ALL SELECT f, 0, 'bad' FROM py WHERE is_broken)
- UNION ALL SELECT f, 'classes', 'Thing' || n FROM blk WHERE kind = 2 AND (f % 4 <> 0 OR n % 5 <> 0)
+ UNION ALL SELECT f, 'classes', 'Thing' || (n % 7) FROM blk WHERE kind = 2 AND (f % 4 <> 0 OR n % 5 <> 0)
  UNION ALL SELECT f, 'imports', unnest(CASE WHEN f % 4 = 1 THEN ['json', 'pkg.mod' || (f % 7)] ELSE ['os', 'json', 'pkg.mod' || (f % 7)] END) FROM py
  UNION ALL SELECT f, 'imports', 'fast_' || n FROM blk JOIN py USING (f) WHERE kind = 3 AND is_py AND NOT is_broken AND (f % 4 <> 0 OR n % 5 <> 0)""", "blk", "py")
 cte("removed", "SELECT * FROM names_o EXCEPT SELECT * FROM names_r", "names_o", "names_r")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pullscan.functions.once import compute_once
 
-# Line text by residue. Placeholders: {q} sentence, {n} line number, {s} residue.
+# Line text by residue, with a form feed inside a line and two findings on one. Placeholders: {q} sentence, {n} line number, {s} residue.
 LINE_RECIPE = """CASE
  WHEN {s} < 4 THEN 'def get_item_' || {n} || '(x):'
  WHEN {s} = 4 THEN 'def GetItem' || {n} || '(x):'
@@ -34,6 +34,8 @@ LINE_RECIPE = """CASE
  WHEN {s} = 85 THEN 'from pkg import ' || repeat('z', 120)
  WHEN {s} < 90 THEN '    def inner_' || {n} || '(self):'
  WHEN {s} = 90 THEN '    async def ShoutLoud' || {n} || '(self):'
+ WHEN {s} = 91 THEN '    y' || {n} || ' = 1' || chr(12)
+ WHEN {s} = 92 THEN '    password = "a"; q = f"SELECT * FROM t WHERE id = {{x}}"'
  ELSE '    x' || {n} || ' = "' || {q} || '"' END"""
 RESIDUE = "(({f} * 13 + {n} * 29 + length({q}) * 7) % 200)"
 
@@ -220,7 +222,7 @@ def source_files_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("f")).select(*_keys())
 
 
-# Test log layouts by order key. {k} order key, {a} {b} {c} small numbers from it.
+# Test log layouts by order key; a run that timed out has printed counts before. {k} order key, {a} {b} {c} small numbers from it.
 CI_STDOUT = """CASE
  WHEN {k} % 6 = 0 THEN 'tests/test_a.py::test_' || {k} || ' PASSED' || chr(10) || 'tests/test_b.py::TestB::test_x FAILED'
    || chr(10) || 'TOTAL     ' || {k} || '    ' || {a} || '    ' || ({k} % 101) || '%' || chr(10)
@@ -228,7 +230,7 @@ CI_STDOUT = """CASE
  WHEN {k} % 6 = 1 THEN 'tests/test_c.py::test_y PASSED' || chr(10) || '=== ' || {a} || ' passed in ' || {c} || '.25s ==='
  WHEN {k} % 6 = 2 THEN 'tests/test_d.py::test_z ERROR  tests/test_e.py::test_w SKIPPED' || chr(10)
    || '=== ' || {b} || ' failed, ' || {a} || ' passed in ' || {a} || 's ==='
- WHEN {k} % 6 = 3 THEN '' ELSE 'no tests ran' END"""
+ WHEN {k} % 6 = 3 THEN 'tests/test_f.py::test_v ' || chr(10) || '=== ' || {a} || ' passed, 1 failed in 9s ===' ELSE 'no tests ran' END"""
 CI_STDERR = """CASE
  WHEN {k} % 6 = 3 THEN 'Test execution timed out after 300 seconds'
  WHEN {k} % 6 = 4 THEN 'Ran ' || {a} || ' tests' || chr(10) || 'FAILED (errors=1, failures=' || {b} || ')'
@@ -324,7 +326,7 @@ def rewrite_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------------------
 # valid Python modules for the syntax-tree facts
 
-# Module head and six eight-line blocks. {f} file, {n} block number, {q} cleaned sentence.
+# Module head and six eight-line blocks; classes of a file share names, and a comment holds a form feed. {f} file, {n} block number, {q} cleaned sentence.
 MODULE_HEAD = (
     "'\"\"\"Module ' || {f} || '.\"\"\"'",
     "'import os'",
@@ -353,7 +355,7 @@ BLOCKS = (
         "''",
     ),
     (
-        "'class Thing' || {n} || '(Base, mixins.Mix):'",
+        "'class Thing' || ({n} % 7) || '(Base, mixins.Mix):'",
         "'    \"\"\"Thing ' || {n} || '.\"\"\"'",
         "'    attr_' || {n} || ' = 1'",
         "'    def run(self, k):'",
@@ -384,7 +386,7 @@ BLOCKS = (
     ),
     (
         "'TEXT_' || {n} || ' = \"' || {q} || '\"'",
-        "'# note'",
+        "'# note' || chr(12) || 'y = 2'",
         "'def say_' || {n} || '(): print(TEXT_' || {n} || ')'",
         "''",
         "'with open(\"p\") as fh, lock: pass'",
