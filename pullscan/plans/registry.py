@@ -73,10 +73,14 @@ def decisions(spark, sf) -> DataFrame:
     return rv.pr_decisions(scan_prs(spark, sf), d.file_changes(spark, sf), violations(spark, sf))
 
 
-def results(spark, sf) -> DataFrame:
-    i = static_inputs(spark, sf)
-    files = plan.reviewed_files(i)
-    return rewrite.apply_fixes(files, plan.all_violations(files, i, load_rules()))
+def written_violations(spark, sf) -> DataFrame:
+    """Computed once where several parts of a query read them."""
+    return plan.materialized(violations(spark, sf), spark, "violations")
+
+
+def results(spark, sf, v: DataFrame | None = None) -> DataFrame:
+    v = written_violations(spark, sf) if v is None else v
+    return rewrite.apply_fixes(plan.files_to_fix(static_inputs(spark, sf), v), v)
 
 
 def whole(spark, sf, *rule_ids: str, with_text: bool = False) -> DataFrame:
@@ -187,7 +191,7 @@ def rollback_plan(spark, sf):
 
 @query
 def review_payload(spark, sf):
-    v = violations(spark, sf)
+    v = written_violations(spark, sf)
     out = rv.review_payload(rv.review_comments(v), rv.pr_decisions(scan_prs(spark, sf), d.file_changes(spark, sf), v))
     return out.withColumn("comments", F.to_json("comments"))
 
@@ -220,7 +224,7 @@ EVENT_COLUMNS = ["repo", "pr_number", "step", "file_ord", "rule_ord", "line", "s
 def _pair_review(spark, sf, rollback: bool = True) -> tuple[plan.Review, plan.ReviewInputs]:
     """A review whose rewrites are the derived pairs of the delegated pull requests."""
     i = inputs(spark, sf)
-    v = plan.materialized(violations(spark, sf), spark, "violations")
+    v = written_violations(spark, sf)
     dec = plan.materialized(rv.pr_decisions(i.pull_requests, i.file_changes, v), spark, "decisions")
     pairs = d.code_pairs(spark, sf).join(dec.filter("should_delegate").select(*PR_KEY), PR_KEY, "left_semi")
     done = pairs.select(*FILE_KEY, F.lit(True).alias("success"))
@@ -260,8 +264,8 @@ def review_log_scan(spark, sf):
 def handoff_snapshot(spark, sf):
     i = static_inputs(spark, sf)
     files = rv.file_at_ref(i.file_changes, i.pull_requests, i.file_contents)
-    v = violations(spark, sf)
-    snap = tables.handoff_snapshot(files, i.pull_requests, results(spark, sf), v, reviewlog.iso_utc(at()))
+    v = written_violations(spark, sf)
+    snap = tables.handoff_snapshot(files, i.pull_requests, results(spark, sf, v), v, reviewlog.iso_utc(at()))
     restored = tables.with_commit_counts(tables.restore_snapshot(snap, F.lit("")), _restored_commits(spark, sf))
     return restored.select(
         "repo", "pr_number", "branch", "filename", "original_code", "refactored_code",
@@ -603,8 +607,8 @@ def class_at_position(spark, sf):
 
 @query
 def violations_of_file(spark, sf):
-    v = violations(spark, sf)
-    return rv.violations_of_file(v, results(spark, sf).filter("success")).select("file", "rule_id", "line")
+    v = written_violations(spark, sf)
+    return rv.violations_of_file(v, results(spark, sf, v).filter("success")).select("file", "rule_id", "line")
 
 
 @query
@@ -658,7 +662,7 @@ def review_comments(spark, sf):
 @query
 def review_comments_generated(spark, sf):
     """Comments in which written texts stand in for the messages of the findings they were written for."""
-    v = plan.materialized(violations(spark, sf), spark, "violations")
+    v = written_violations(spark, sf)
     comments = rv.review_comments(v, d.generated_comments(v))
     return comments.select("file_ord", "rule_ord", "seq", "file", "line", "body", "severity", "rule_id")
 
@@ -675,9 +679,9 @@ def comment_body(spark, sf):
 
 @query
 def summary_markdown(spark, sf):
-    v = violations(spark, sf)
+    v = written_violations(spark, sf)
     dec = rv.pr_decisions(scan_prs(spark, sf), d.file_changes(spark, sf), v)
-    rewritten = results(spark, sf).filter("success").select("repo", "pr_number", F.col("filename").alias("file"))
+    rewritten = results(spark, sf, v).filter("success").select("repo", "pr_number", F.col("filename").alias("file"))
     return rv.summary_markdown(dec, rv.files_with_issues(v), rewritten)
 
 
@@ -712,8 +716,8 @@ def prompt_rows(spark, sf):
 
 @query
 def first_five_messages(spark, sf):
-    done = results(spark, sf)
-    return ans.equivalence_prompts(done, violations(spark, sf), 2000, 5).select("file_ord", "prompt")
+    v = written_violations(spark, sf)
+    return ans.equivalence_prompts(results(spark, sf, v), v, 2000, 5).select("file_ord", "prompt")
 
 
 @query

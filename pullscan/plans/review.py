@@ -12,7 +12,7 @@ from pullscan.model import FILE_KEY, PR_KEY
 from pullscan.operators import answers as ans
 from pullscan.operators import review as rv
 from pullscan.operators.diff import added_chunks
-from pullscan.operators.rewrite import apply_fixes, with_model_rewrites
+from pullscan.operators.rewrite import apply_fixes, fix_lists, with_model_rewrites
 from pullscan.operators.verify import verification_all, verification_results, verify
 from pullscan.rules.config import RuleSet, load_rules
 from pullscan.session import shared_path
@@ -69,6 +69,15 @@ def reviewed_files(inputs: ReviewInputs) -> DataFrame:
     )
 
 
+def files_to_fix(inputs: ReviewInputs, violations: DataFrame) -> DataFrame:
+    """The files with enough findings for a rewrite, with their texts: keys first, so that patches stay behind and only the
+    contents of these files are joined. ``violations`` is best a written table, as it is read once more for the keys."""
+    wanted = fix_lists(violations).select(*PR_KEY, "filename")
+    head = ["head_branch"] if "head_branch" in inputs.file_changes.columns else []
+    gated = rv.analyzable_files(inputs.file_changes).select(*FILE_KEY, *head)
+    return rv.file_at_ref(gated.join(wanted, [*PR_KEY, "filename"], "left_semi"), inputs.pull_requests, inputs.file_contents)
+
+
 def all_violations(files: DataFrame, inputs: ReviewInputs, rules: RuleSet) -> DataFrame:
     """Static findings and, where answers are given, model findings."""
     found = rv.analyze(files, rules)
@@ -149,7 +158,7 @@ def review(spark: SparkSession, inputs: ReviewInputs, options: ReviewOptions | N
     comments = rv.review_comments(violations, inputs.generated_comments)
     wanted = decisions.filter("should_delegate").select(*PR_KEY)
     delegated = violations.join(wanted, PR_KEY, "left_semi")
-    results = apply_fixes(files, delegated)
+    results = apply_fixes(files_to_fix(inputs, delegated) if options.materialize else files, delegated)
     if inputs.refactor_answers is not None:
         results = with_model_rewrites(results, delegated, inputs.refactor_answers)
     if options.materialize:
