@@ -287,3 +287,29 @@ def test_the_pipeline_without_documents(spark, corpus, docs, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{corpus}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# ----------------------------------------------------------------------------------------------- url filters
+
+
+def test_thousands_of_listed_hosts(spark):
+    """A list from a table, most of it on no page, over pages with many hosts; asked whole and in rounds."""
+    from pullscan.llm import url_filter
+
+    rng = np.random.default_rng(31)
+    name = lambda i: f"h{i}.d{i % 97}.{'com' if i % 2 else 'org'}"
+    hosts = [name(i) for i in range(0, 12_000, 2)] + ["D5.com", "", None]
+    listed = spark.createDataFrame([(h,) for h in hosts], "host string")
+    urls = [f"http://{'a.b.' * int(rng.integers(0, 2))}{name(int(rng.integers(0, 20_000)))}/p{i}" for i in range(3000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    held = {h.lower() for h in hosts if h}
+
+    def blocked(url):
+        labels = url[7:].split("/")[0].split(".")
+        return any(".".join(labels[k:]) in held for k in range(len(labels)))
+
+    want = {i: "block" if blocked(u) else "allow" for i, u in enumerate(urls)}
+    assert 300 < sum(v == "block" for v in want.values()) < 2700
+    for keys, limit in ((1_000_000, 1 << 20), (2000, 2048)):
+        got = url_filter.filter_urls(pages, (), (), listed, keys, limit).collect()
+        assert {r.page_id: r.verdict for r in got} == want
