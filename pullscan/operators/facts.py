@@ -22,7 +22,7 @@ from pullscan.operators import pyfacts
 from pullscan.rules.checks import CLASS, DEF
 
 FUNCTION_TYPE = (
-    "struct<name:string,class_name:string,start_line:int,end_line:int,body_start_line:int,parameters:array<string>,"
+    "struct<name:string,class_name:string,class_line:int,start_line:int,end_line:int,body_start_line:int,parameters:array<string>,"
     "return_type:string,decorators:array<string>,is_async:boolean,docstring:string,complexity:int,"
     "calls:array<string>>"
 )
@@ -76,7 +76,7 @@ def regex_facts(lines: Column) -> Column:
             lambda t, i: F.when(
                 t.contains("def") & t.rlike(DEF),
                 F.struct(
-                    F.regexp_extract(t, DEF, 1).alias("name"), none.alias("class_name"),
+                    F.regexp_extract(t, DEF, 1).alias("name"), none.alias("class_name"), F.lit(None).cast("int").alias("class_line"),
                     (i + 1).alias("start_line"), (i + 1).alias("end_line"), F.lit(0).alias("body_start_line"),
                     empty.alias("parameters"), none.alias("return_type"), empty.alias("decorators"),
                     t.rlike(_ASYNC).alias("is_async"), none.alias("docstring"), F.lit(1).alias("complexity"),
@@ -182,22 +182,17 @@ def facts_functions(facts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def facts_classes(facts: DataFrame, keys: list[str]) -> DataFrame:
-    """Classes with the names of their methods. Of classes with one name, a method belongs to the innermost around it."""
+    """Classes with the names of their methods. A method knows the line of its class, so classes of one name stay apart."""
     c = F.col("c")
-
-    def inside(f: Column, k: Column) -> Column:
-        return (f["start_line"] > k["start_line"]) & (f["start_line"] <= k["end_line"])
-
-    def nearer(f: Column) -> Column:
-        return F.exists(
-            "facts.classes",
-            lambda k: (k["name"] == c["name"]) & (k["start_line"] > c["start_line"]) & inside(f, k),
-        )
-
-    own = F.filter("facts.functions", lambda f: (f["class_name"] == c["name"]) & F.coalesce(inside(f, c) & ~nearer(f), F.lit(True)))
-    methods = F.transform(own, lambda f: f["name"])
-    return facts.select(*keys, "facts", F.explode("facts.classes").alias("c")).select(
-        *keys, "c.*", methods.alias("methods")
+    own = F.filter("methods_", lambda f: f["line"] == c["start_line"])
+    methods = F.filter(
+        F.transform("facts.functions", lambda f: F.struct(f["class_line"].alias("line"), f["name"].alias("name"))),
+        lambda f: f["line"].isNotNull(),
+    )
+    # Only the two short fields of the methods go on beside each class.
+    slim = compute_once(facts, [*keys, F.col("facts.classes").alias("classes_")], {"methods_": methods})
+    return slim.select(*keys, "methods_", F.explode("classes_").alias("c")).select(
+        *keys, "c.*", F.transform(own, lambda f: f["name"]).alias("methods")
     )
 
 

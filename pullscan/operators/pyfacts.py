@@ -54,7 +54,7 @@ def _parameters(args: ast.arguments) -> list[str]:
     return names
 
 
-def _function(node, src, class_name=None) -> dict:
+def _function(node, src, class_name=None, class_line=None) -> dict:
     complexity, calls = 1, set()
     starred = set()
     for stmt in node.body:
@@ -72,7 +72,7 @@ def _function(node, src, class_name=None) -> dict:
     first = node.body[0]
     start = min([first.lineno, *(d.lineno for d in getattr(first, "decorator_list", []))])
     return {
-        "name": node.name, "class_name": class_name, "start_line": node.lineno, "end_line": node.end_lineno,
+        "name": node.name, "class_name": class_name, "class_line": class_line, "start_line": node.lineno, "end_line": node.end_lineno,
         "body_start_line": start, "parameters": _parameters(node.args),
         "return_type": src.text(node.returns) if node.returns else None,
         "decorators": ["@" + src.text(d) for d in node.decorator_list],
@@ -97,7 +97,7 @@ def _facts(tree: ast.Module, src: _Source) -> dict:
                     "decorators": ["@" + src.text(d) for d in child.decorator_list],
                     "docstring": _docstring(child.body, src),
                 })
-                methods.extend(_function(m, src, child.name) for m in child.body if isinstance(m, _DEFS))
+                methods.extend(_function(m, src, child.name, child.lineno) for m in child.body if isinstance(m, _DEFS))
                 visit(child, True, in_function)
             else:
                 if isinstance(child, ast.Import):
@@ -267,7 +267,7 @@ def _no_collection():
 _strings = pa.list_(pa.string())
 _FACTS = pa.struct([
     ("functions", pa.list_(pa.struct([
-        ("name", pa.string()), ("class_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()),
+        ("name", pa.string()), ("class_name", pa.string()), ("class_line", pa.int32()), ("start_line", pa.int32()), ("end_line", pa.int32()),
         ("body_start_line", pa.int32()), ("parameters", _strings), ("return_type", pa.string()),
         ("decorators", _strings), ("is_async", pa.bool_()), ("docstring", pa.string()),
         ("complexity", pa.int32()), ("calls", _strings)]))),
