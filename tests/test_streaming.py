@@ -112,3 +112,29 @@ def test_log_of_a_range_of_days(spark, tmp_path):
     filters = plan[plan.index("PartitionFilters: [") :].split("]")[0]
     assert "event_date" in filters and ">=" in filters and "<=" in filters
     assert read_review_log(spark, path).count() == 9
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_is_one_file_or_a_folder(spark, tmp_path, files):
+    """The streamed documents are all of the table, however it is kept, and nothing that lies beside it."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from pullscan.plans.registry import QUERIES
+
+    def rows(a, b):
+        return pa.table({"doc_id": pa.array(range(a, b), pa.int64()), "text": [f"password = 'x{i}'\nn = {i}" for i in range(a, b)]})
+
+    at = tmp_path / "documents.parquet"
+    if files == 1:
+        pq.write_table(rows(0, 9), at)
+    else:
+        at.mkdir()
+        for k in range(files):
+            pq.write_table(rows(3 * k, 3 * k + 3), at / f"part-{k}.parquet")
+    pq.write_table(rows(100, 109), tmp_path / "documents.parquet2")
+    got = QUERIES["stream_review"](spark, str(tmp_path)).collect()
+    want = QUERIES["analyze_documents"](spark, str(tmp_path)).collect()
+    assert len(want) >= 9 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    events = QUERIES["stream_events"](spark, str(tmp_path)).groupBy("event").count().collect()
+    assert {r["event"]: r["count"] for r in events}["rule_triggered"] == len(want)
