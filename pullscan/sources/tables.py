@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from functools import partial
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pullscan import model
 from pullscan.model import PR_KEY
 from pullscan.operators.rewrite import commit_message
+from pullscan.sources import filewriter
 
 
 def read(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
@@ -45,14 +50,39 @@ def files_of_pull_requests(nested: DataFrame) -> DataFrame:
     )
 
 
-def write_files(texts: DataFrame, path: str) -> None:
-    """One file per row of ``name, text`` in a folder ``name=<name>`` below ``path``; a line feed ends the file."""
-    texts.select("name", F.col("text").alias("value")).write.partitionBy("name").text(path)
+#: Folders of written files; each is listed by itself, and written by one task.
+FOLDERS = 256
+#: Where ``write_files`` puts its folders, below its path.
+WRITTEN = "folder=*"
+# The helper travels with the task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(filewriter)
 
 
-def file_contents_from_files(spark: SparkSession, path: str, repo: str, ref: str, glob: str | None = None) -> DataFrame:
+def write_files(texts: DataFrame, path: str) -> None:
+    """One file per row of ``name, text`` in a folder ``folder=<number>/name=<name>`` below ``path``; a line feed ends the file.
+
+    Rows of one name are in one file. Spark's writer asks a local file system for the rights of each file and folder in a process of
+    its own, and renames all folders from the driver; so files of a local folder are written by the tasks themselves.
+    """
+    folder = F.pmod(F.xxhash64("name"), F.lit(FOLDERS)).alias("folder")
+    dealt = texts.select(folder, "name", F.col("text").alias("value")).repartition(FOLDERS, "folder")
+    # A folder to be found where there is no row.
+    texts.limit(0).select("text").write.text(f"{path.rstrip('/')}/folder=none")
+    if not re.match(r"(file:)?/", path):
+        dealt.write.mode("append").partitionBy("folder", "name").text(path)
+        return
+    root = "/" + re.sub(r"^(file:)?/+", "", path.rstrip("/"))
+    sorted_ = dealt.sortWithinPartitions("folder", "name")
+    sorted_.mapInArrow(partial(filewriter.written, root), "n BIGINT").write.format("noop").mode("overwrite").save()
+
+
+def file_contents_from_files(
+    spark: SparkSession, path: str, repo: str, ref: str, glob: str | None = None, below: str | None = None
+) -> DataFrame:
     """File texts below a checked-out folder. ``path`` is relative to the folder; ``glob`` picks files by their names.
 
+    ``below`` names, as a pattern, the folders in it to be read; many of them are listed by tasks, not by the driver.
+
     The text is UTF-8 with U+FFFD for what is none; ``sha`` is of the bytes as they are.
     """
     root = path.rstrip("/") + "/"
@@ -60,7 +90,7 @@ def file_contents_from_files(spark: SparkSession, path: str, repo: str, ref: str
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     relative = F.substring_index(F.col("path"), root, -1)
-    return reader.load(path).select(
+    return reader.load(root + below if below else path).select(
         F.lit(repo).alias("repo"), relative.alias("path"), F.lit(ref).alias("ref"),
         F.sha1("content").alias("sha"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )

@@ -79,3 +79,25 @@ def test_files_of_a_folder(spark, tmp_path):
     got = {r.path: r for r in tables.file_contents_from_files(spark, str(tmp_path), "org/a", "main", "*.py").collect()}
     assert {p: r.content for p, r in got.items()} == {"src/a.py": "é = 1\n", "bad.py": b"x\xff\xfey\xe2\x82".decode("utf-8", "replace")}
     assert got["bad.py"].repo == "org/a" and len(got["bad.py"].sha) == 40
+
+
+def test_files_written_by_tasks(spark, tmp_path):
+    """One file for each name, in folders that are listed by themselves; names are escaped, nothing half-written is left."""
+    rows = [("d1", "a\nb"), ("d2", ""), ("d2", "again"), ("x/y %", "é"), (None, "n"), ("d3", None)]
+    many = [(f"m{i}", f"text {i}") for i in range(500)]
+    path = str(tmp_path / "out")
+    tables.write_files(spark.createDataFrame(rows + many, "name string, text string").repartition(7), f"file://{path}")
+    got = tables.file_contents_from_files(spark, path, "org/a", "main", "*.txt", tables.WRITTEN).collect()
+    parts = [r.path.split("/") for r in got]
+    assert all(p[0].startswith("folder=") and p[1].startswith("name=") and len(p) == 3 for p in parts)
+    content = {p[1].removeprefix("name="): r.content for p, r in zip(parts, got, strict=True)}
+    assert len(content) == len(got) == 505 and sorted(content.pop("d2").split("\n")) == ["", "", "again"]
+    want = {"d1": "a\nb\n", "x%2Fy %25": "é\n", "__HIVE_DEFAULT_PARTITION__": "n\n", "d3": "\n", **{n: t + "\n" for n, t in many}}
+    assert content == want
+    assert not [f for f in (tmp_path / "out").rglob(".*") if f.suffix != ".crc"]
+
+
+def test_no_files_written(spark, tmp_path):
+    path = str(tmp_path / "out")
+    tables.write_files(spark.createDataFrame([], "name string, text string"), path)
+    assert tables.file_contents_from_files(spark, path, "org/a", "main", "*.txt", tables.WRITTEN).count() == 0
