@@ -88,6 +88,66 @@ def test_outlines_against_a_plain_walk():
     assert all(f in {"arg", "args"} or not issubclass(t, ast.keyword) or f == "value" for t, fs in pyfacts._INSIDE.items() for f in fs)
 
 
+def test_nested_functions_are_walked_once(monkeypatch):
+    """The text of a call is cut out once, however many functions it is in; each of them has the call and its complexity."""
+    from pullscan.operators import pyfacts
+
+    depth, cut = 60, []
+    code = "\n".join(" " * i + f"def f{i}(a=g{i}()):" for i in range(depth)) + "\n" + " " * depth + "return h() if x else 1\n"
+    plain = pyfacts._Source.text
+    monkeypatch.setattr(pyfacts._Source, "text", lambda self, node: cut.append(node) or plain(self, node))
+    got = pyfacts.facts_or_none(code)["functions"]
+    assert len(cut) == depth + 1
+    assert [f["name"] for f in got] == [f"f{i}" for i in range(depth)] and {f["complexity"] for f in got} == {2}
+    assert [f["calls"] for f in got] == [sorted([f"g{k}" for k in range(i + 1, depth)] + ["h"]) for i in range(depth)]
+
+
+def test_few_files_of_a_batch_are_objects_at_one_time(monkeypatch):
+    import pyarrow as pa
+
+    from pullscan.operators import pyfacts
+
+    sizes, plain = [], pa.array
+    texts = plain([f"def f{i}(): return g{i}()\n" if i % 9 else None for i in range(300)])
+    monkeypatch.setattr(pyfacts.pa, "array", lambda x, **k: sizes.append(len(x := list(x))) or plain(x, **k))
+    got = pyfacts.facts_batch(texts)
+    assert max(sizes) <= pyfacts._AT_ONCE and [x and x["functions"][0]["calls"][0] for x in got.to_pylist()] == [f"g{i}" if i % 9 else None for i in range(300)]
+    yes = plain([True] * 300)
+    pair, lean = pyfacts.pair_batch(texts, texts, yes).to_pylist(), pyfacts.outlines_batch(texts, texts, yes).to_pylist()
+    assert max(sizes) <= pyfacts._AT_ONCE and [(p["before"], p["after"]) for p in pair] == [(p["before"], p["after"]) for p in lean]
+    assert len(pyfacts.facts_batch(plain([], type=pa.string()))) == 0
+
+
+def test_tasks_of_a_spread_table_grow_with_it(spark):
+    from pullscan.sources import derived as d
+
+    n = lambda rows: d.spread(spark.range(rows)).rdd.getNumPartitions()
+    assert n(10) == spark.sparkContext.defaultParallelism and n(100_000) == 100_000 // d.ROWS_OF_A_TASK
+
+
+def test_names_are_compared_without_compiling(spark):
+    from pullscan.operators import verify
+
+    shape = "repo string, pr_number bigint, file_ord bigint, filename string, original string, refactored string"
+    pairs = spark.createDataFrame([("r", 1, 0, "a.py", "def a(): pass\nimport x", "import y\nreturn 1"), ("r", 1, 1, "b.md", "def q(x):", "z")], shape)
+    gone = verify.changed_names(pairs, True)
+    assert sorted((r.file_ord, r.kind, r.name) for r in gone.collect()) == [(0, "functions", "a"), (0, "imports", "x"), (1, "functions", "q")]
+    plan = gone._jdf.queryExecution().executedPlan().toString()
+    assert "outlines_batch" in plan and "pair_batch" not in plan
+
+
+def test_security_words_in_any_letters(spark):
+    """Words are found in either case, also in letters that a pattern without case takes for an ASCII one."""
+    from pullscan.operators import verify
+
+    texts = ["HASH(x)", "ha\u017fh", "VER\u0130FY", "val\u0131date", "rehash", "try:", "logger.info(x)", "mylogger.x(", "x", None]
+    df = spark.createDataFrame([(t, "x") for t in texts], "a string, b string")
+    got = [r.i for r in df.select(verify.critical_issues(F.col("a"), F.col("b")).alias("i")).collect()]
+    word = lambda w: [f"All {w} code was removed"]
+    assert got[:6] == [word("hashing"), word("hashing"), word("verification"), word("validation"), [], ["All try/except blocks were removed"]]
+    assert got[6:] == [["All logging statements were removed"], [], [], []]
+
+
 def test_syntax_of_a_tree_is_that_of_its_text():
     from pullscan.operators import pyfacts
 
