@@ -173,3 +173,21 @@ def test_json_texts_are_those_python_reads(spark):
         except ValueError:
             want = False
         assert r.ok == want, r.t
+
+
+def test_segments_of_spans_against_all_spans():
+    """The first span of the list that covers a line, whatever order spans are in, found without looking at each for each line."""
+    from pullscan.operators import pyfacts
+
+    rng = random.Random(5)
+    for n in (0, 1, 5, 40):
+        first = [rng.randint(1, 60) for _ in range(n)]
+        last = [a + rng.randint(-1, 30) for a in first]
+        names = [f"f{i}" for i in range(n)]
+        got = pyfacts._segments(names, first, last)
+        assert got["starts"] == sorted({*first, *(b + 1 for b in last)})
+        assert got["names"] == [next((names[i] for i in range(n) if first[i] <= x <= last[i]), None) for x in got["starts"]]
+    assert pyfacts._segments(None, None, None) is None
+    # A file of 100,000 functions in one another's way: every span against every line would be 10 ** 10 steps.
+    many = pyfacts._segments(["f"] * 100_000, list(range(1, 100_001)), [200_000] * 100_000)
+    assert len(many["starts"]) == 100_001 and many["names"][-2:] == ["f", None]
