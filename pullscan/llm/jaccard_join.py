@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 ADDENDS = mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
 #: Texts of a block, and bits of the filter that keeps other texts from being shuffled.
 BLOCK, FILTER_BITS = 256, 1 << 26
+#: Bytes of words whose n-grams a verifying task holds at a time, unless one group has more.
+PIECE = 1 << 21
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -131,6 +134,18 @@ def _changes(t: pa.Table) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _pieces(t: pa.Table, column: str, most: int = PIECE) -> Iterator[pa.Table]:
+    """Runs of whole groups with about ``most`` bytes in a column (one group at least): a batch of long texts is not held as n-grams at once."""
+    ends = np.cumsum(pc.binary_length(t.column(column)).to_numpy().astype(np.int64))
+    begins = _changes(t).tolist()
+    at = 0
+    for a, b in zip(begins, [*begins[1:], t.num_rows], strict=True):
+        if a > at and ends[b - 1] - (ends[at - 1] if at else 0) > most:
+            yield t.slice(at, a - at)
+            at = a
+    yield t.slice(at)
+
+
 def _survivors(t: pa.Table, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
     begins = _changes(t)
     sizes = np.diff(np.append(begins, t.num_rows))
@@ -245,12 +260,10 @@ def _held_texts(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
         held[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(r.m)] = np.frombuffer(bytes(r.m), np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(held)
 
-    @F.pandas_udf("boolean")
-    def maybe(p):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        x = p.to_numpy()
-        return pd.Series((sent.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
+    @F.arrow_udf("boolean")
+    def maybe(p: pa.Array) -> pa.Array:
+        x = p.to_numpy(zero_copy_only=False)
+        return pa.array((sent.value[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1)
 
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("jid", join_id())
     near = rows.select("jid", "text").where(maybe(F.pmod(F.xxhash64("jid"), F.lit(bits))))
@@ -287,7 +300,7 @@ def links(docs: DataFrame, size: int = 5, threshold: float = 0.8, tolerance: flo
                 yield from t.take(pa.array(used)).to_batches()
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches):
+        for t in (piece for groups in _groups(batches) for piece in _pieces(groups, "words")):
             left, right = _survivors(t, need)
             grams = [shingles(w.split(b" "), size) for w in t.column("words").to_pylist()]
             ok = verified(grams, left, right, threshold)

@@ -187,6 +187,21 @@ def test_links_of_texts_with_the_same_words(spark):
     assert got == {0: (0, 4, 1), 1: (0, 4, 1), 2: (0, 5, 0), 3: (0, 5, 0), 4: (0, 5, 0), 5: (0, 5, 0), 6: (6, 0, 1), 7: (6, 0, 1), 8: (6, 0, 0)}
 
 
+def test_jaccard_pieces_are_whole_groups():
+    """What a verifying task holds at a time is bounded by the bytes of its words, not by the rows of a batch."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    sizes = [1, 2, 300, *rng.integers(2, 9, 400).tolist()]
+    keys = np.repeat(np.arange(len(sizes)), sizes)
+    t = pa.table({"key": keys, "bi": np.zeros(len(keys), np.int32), "bj": np.zeros(len(keys), np.int32), "words": [b"w" * int(n) for n in rng.integers(1, 90, len(keys))]})
+    got = list(jaccard_join._pieces(t, "words", 2000))
+    assert pa.concat_tables(got).equals(t) and len(got) > 20
+    ends = [(p.column("key")[0].as_py(), p.column("key")[-1].as_py()) for p in got]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    assert all(a == b or sum(map(len, p.column("words").to_pylist())) <= 2000 for p, (a, b) in zip(got, ends))
+
+
 def test_pruning_keeps_likely_pairs():
     need = jaccard_join.least_matches(0.8, 1e-9)
     tail = lambda n, m: sum(math.comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m + 1))
