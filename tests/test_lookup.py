@@ -191,3 +191,50 @@ def test_segments_of_spans_against_all_spans():
     # A file of 100,000 functions in one another's way: every span against every line would be 10 ** 10 steps.
     many = pyfacts._segments(["f"] * 100_000, list(range(1, 100_001)), [200_000] * 100_000)
     assert len(many["starts"]) == 100_001 and many["names"][-2:] == ["f", None]
+
+
+def test_a_version_of_a_file_is_parsed_where_it_differs(monkeypatch):
+    """The outline of a rewritten text comes from the parts it shares with the original; only the others are parsed."""
+    import ast
+
+    from pullscan.operators import pyfacts
+
+    parts = [f"@cached\ndef f{i}(a):\n    return a if a else {i}\n\n\n" for i in range(50)]
+    a, b = "import os\n" + "".join(parts), "import re\n" + "".join(parts[:20] + ["def new(): pass\n"] + parts[21:])
+    want, seen, plain = (pyfacts.outline_or_none(a), pyfacts.outline_or_none(b)), [], ast.parse
+    monkeypatch.setattr(pyfacts.ast, "parse", lambda code: seen.append(code) or plain(code))
+    assert pyfacts.pair_outlines(a, b)[:2] == want
+    assert seen == [a, "import re\n", "def new(): pass\n"]
+
+
+def test_outlines_of_pairs_are_those_of_the_whole_texts():
+    """Parts that only look like statements of the module: in strings, behind others, cut off, in another grammar."""
+    import pyarrow as pa
+
+    from pullscan.operators import pyfacts
+
+    f, g, c = "def f(a):\n    return a and 1\n", "def g():\n    x = [1 for i in y]\n", "class C:\n    def m(self): pass\n    import z\n"
+    rest = "import a, b\nfrom .x import y\n" + g + c
+    texts = [
+        f + rest, rest + f, 'x = """\n' + f + '"""\n' + rest, 'x = """\ny"""; z = 1\n' + f + rest, "(\n" + f + ")\n" + rest, rest + "@d\n" + f, rest + "@d(\n  1)\n# c\n@e\n" + f, f + rest + "x = 1 \\\n",
+        "if x:\n  pass\n" + f + "else:\n  pass\n" + rest, "try:\n  pass\nexcept A:\n  pass\n" + f + rest, "try:\n  pass\n" + f + rest, f + rest + "return 5\n", rest + f + "def bad(", "from __future__ import barry_as_FLUFL\n" + f + rest + "x != 1\n",
+        f.replace("\n", "\r\n") + rest, f + "\x0c" + rest, "\ufeff" + f + rest, f + "match x:\n  case 1: pass\n" + rest, f + f + f + rest, "", "# c\n", "x\x00", None, f, rest, f + rest + "x = " + "-" * 3000 + "1\n", '"""doc"""\n' + rest + f,
+        rest + "async " + f, 'x = f"""\n{' + "f(1)}\n" + '"""\n' + f + rest, rest + "type X = int\n" + f,
+    ]
+    pairs = [(a, b) for a in texts for b in texts]
+    columns = [pa.array(x, pa.string()) for x in zip(*pairs, strict=True)]
+    one = {t: (pyfacts.syntax_of(t), pyfacts.outline_or_none(t)) for t in texts}
+    want = [{"syntax": one[b][0], "before": one[a][1], "after": one[b][1]} for a, b in pairs]
+    assert pyfacts.pair_batch(*columns, pa.array([True] * len(pairs))).to_pylist() == want
+    assert sum(pyfacts.pair_outlines(a, b)[2] is None for a, b in pairs if one[b][1]) > 50
+
+
+def test_methods_come_with_their_class(spark, make_files):
+    """A class holds the names of its methods: no search of all methods of the file for each class."""
+    code = "\n".join(f"class A:\n  def m{i}(self): pass\n  if x:\n    def no(self): pass\n  class B:\n    async def n{i}(self): pass" for i in range(30))
+    found = facts.facts_classes(facts.code_facts(make_files(("a.py", code), ("b.ts", "class Q:\n")), ["filename"]), ["filename"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "methods_" not in plan
+    assert sorted((r.name, r.start_line, *r.methods) for r in found.collect()) == sorted(
+        [("A", 6 * i + 1, f"m{i}") for i in range(30)] + [("B", 6 * i + 5, f"n{i}") for i in range(30)] + [("Q", 1)]
+    )
