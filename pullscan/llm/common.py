@@ -190,10 +190,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, salt: in
         return []
     ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
     # A text held by several rows of one id counts once.
-    found = id_and_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    found = id_and_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").cast("binary").alias("text")).collect()
     out, seen = [], set()
     for r in sorted(found, key=lambda r: r.doc_id):
-        text = r.text.encode()
+        text = bytes(r.text)
         h = window_hashes(word_hashes(text.split()), 5)
         least = {(k, int(mix(h + np.uint64(k)).min())) for k in range(5)} if len(h) else {text}
         if not least & seen:

@@ -256,7 +256,7 @@ def _held_texts(docs: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
     # Bit positions of the built-in functions run from 1, 32,768 to a map.
     maps = wanted.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
     held = np.zeros(-(-bits // 32768) * 4096, np.uint8)
-    for r in maps.toLocalIterator():  # of 4 KB each, bits / 8 bytes in all
+    for r in maps.collect():  # of 4 KB each, bits / 8 bytes in all; an iterator would run a job for each partition
         held[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(r.m)] = np.frombuffer(bytes(r.m), np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(held)
 
@@ -289,7 +289,8 @@ def links(docs: DataFrame, size: int = 5, threshold: float = 0.8, tolerance: flo
     """
     spark = docs.sparkSession
     rows = table_written(sketched(docs, size), "jaccard")
-    texts = rows.groupBy("k").agg(F.min("jid").alias("jid"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
+    # Written as well, as it is read in each of the plans that follow: they are planned anew in the driver after every stage of theirs.
+    texts = table_written(rows.groupBy("k").agg(F.min("jid").alias("jid"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "jaccard")
     need = least_matches(threshold, tolerance)
 
     def prune(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,7 +351,7 @@ def _classes(docs: DataFrame, **options: object) -> DataFrame:
     rows, texts, found = links(docs, **options)
     roots = components(found)
     n = found.groupBy("k").agg(F.sum("n").alias("n_links"))
-    joined = texts.join(n, "k", "left").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    joined = table_written(texts.join(n, "k", "left").join(roots, "k", "left").withColumn("root", F.coalesce("root", "k")), "jaccard")
     least = joined.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = joined.join(least, "root").select("k", "root", F.coalesce("n_links", F.lit(0)).alias("links"), "copies", "class_id")
     # Documents of the same words but other texts are links, of similarity 1; without words there are no n-grams to share.

@@ -84,13 +84,18 @@ def train(texts: list[bytes], target: np.ndarray, weight: np.ndarray, most_cells
     if not len(y) or y.max() < 0.5 or y.min() >= 0.5:
         return None
     w = w / w.sum()
-    own = [np.unique(np.concatenate(cells(t))) for t in texts]
+    own, ends = bytearray(), [0]  # one block of memory, which goes back whole
+    for t in texts:
+        own += np.unique(np.concatenate(cells(t))).astype(np.uint32).tobytes()
+        ends.append(len(own) // 4)
+    own = np.frombuffer(own, np.uint32)
     held = np.arange(len(y)) % 4 == 3 if len(y) >= 40 else np.zeros(len(y), bool)
     fit = ~held
     good, bad = np.zeros(1 << BITS), np.zeros(1 << BITS)
     for i in np.flatnonzero(fit):
-        good[own[i]] += y[i]
-        bad[own[i]] += 1 - y[i]
+        c = own[ends[i] : ends[i + 1]]
+        good[c] += y[i]
+        bad[c] += 1 - y[i]
     n1, n0 = y[fit].sum(), (1 - y[fit]).sum()
     p = (good + bad) / max(1.0, n1 + n0)
     z = (good / max(n1, 1e-9) - bad / max(n0, 1e-9)) / np.sqrt(p * (1 - p) * (1 / max(n1, 1e-9) + 1 / max(n0, 1e-9)) + 1e-12)
@@ -99,19 +104,23 @@ def train(texts: list[bytes], target: np.ndarray, weight: np.ndarray, most_cells
     kept = kept[np.abs(z[kept]) >= least_z] if (np.abs(z) >= least_z).any() else kept[:64]
     place = np.full(1 << BITS, -1, np.int16)
     place[kept] = np.arange(len(kept))
-    x = np.zeros((len(y), len(kept)), np.float32)
-    for i, c in enumerate(own):
-        at = place[c]
-        x[i, at[at >= 0]] = 1
+
+    def features(which: np.ndarray) -> np.ndarray:
+        x = np.zeros((int(which.sum()), len(kept)), np.float32)
+        for row, i in enumerate(np.flatnonzero(which)):
+            at = place[own[ends[i] : ends[i + 1]]]
+            x[row, at[at >= 0]] = 1
+        return x
+
     r = np.sqrt(w[fit])
-    a, b = _fit(x[fit], y[fit], r / r.sum(), l2, steps)
+    a, b = _fit(features(fit), y[fit], r / r.sum(), l2, steps)
     if held.any() and 0 < (y[held] >= 0.5).sum() < held.sum():
-        s = (x[held] @ a + b)[:, None].astype(np.float32)
+        s = (features(held) @ a + b)[:, None].astype(np.float32)
         scale, shift = _fit(s / max(1e-6, s.std()), y[held], w[held] / w[held].sum(), 1e-3, 600)
         scale = float(scale[0]) / max(1e-6, float(s.std()))
         if scale > 0:
             right = (1 / (1 + np.exp(-np.clip(scale * s[:, 0] + shift, -40, 40))) >= 0.5) == (y[held] >= 0.5)
             return Model(place, a, b, scale, shift, float((w[held] * right).sum() / w[held].sum()))
-    right = (x @ a + b >= 0) == (y >= 0.5)
+    right = (features(np.ones(len(y), bool)) @ a + b >= 0) == (y >= 0.5)
     return Model(place, a, b, 1.0, 0.0, float((w * right).sum() / w.sum()))
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pullscan.llm import hash_forest, jaccard_join, mixing, packing, quality_rules, secrets, sharding, substring_dedup, url_filter, weak_labels
+from pullscan.llm.linear import train
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard string, size string, k string, chunk string"
 TOKENIZER = "word_bpe_49k.json"
@@ -187,6 +189,39 @@ def test_links_of_texts_with_the_same_words(spark):
     assert got == {0: (0, 4, 1), 1: (0, 4, 1), 2: (0, 5, 0), 3: (0, 5, 0), 4: (0, 5, 0), 5: (0, 5, 0), 6: (6, 0, 1), 7: (6, 0, 1), 8: (6, 0, 0)}
 
 
+def test_jaccard_join_keeps_plans_and_jobs_of_the_driver_few(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i // 3} x y z") for i in range(30)], "doc_id long, text string")
+    plan = jaccard_join.without_near_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange ") <= 10
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.sparkContext.setJobGroup("held texts", "")
+        wanted = docs.select(F.col("doc_id").alias("jid"), F.encode("text", "UTF-8").alias("k"))
+        jaccard_join._held_texts(docs, wanted, 1 << 16)
+        assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("held texts")) <= 5  # not one for each partition
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
+def test_training_holds_its_sample_once():
+    rng = np.random.default_rng(1)
+    y = np.arange(2400) // 2 % 2
+    texts = [" ".join(f"w{i}" for i in rng.choice(1500, 200) + 1500 * c).encode() for c in y.tolist()]
+    tracemalloc.start()
+    try:
+        m = train(texts, y, np.ones(len(y)))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert m.held_out_accuracy > 0.99
+    # The cells of all texts, and the features of the three quarters that are fitted.
+    assert most < 90e6
+
+
 def test_jaccard_pieces_are_whole_groups():
     """What a verifying task holds at a time is bounded by the bytes of its words, not by the rows of a batch."""
     import pyarrow as pa
