@@ -238,3 +238,31 @@ def test_methods_come_with_their_class(spark, make_files):
     assert sorted((r.name, r.start_line, *r.methods) for r in found.collect()) == sorted(
         [("A", 6 * i + 1, f"m{i}") for i in range(30)] + [("B", 6 * i + 5, f"n{i}") for i in range(30)] + [("Q", 1)]
     )
+
+
+def test_answers_meet_checks_and_no_texts(spark):
+    """The answers are joined to finished checks; below the join no text is dealt out or sorted by file."""
+    from pullscan.operators import verify
+
+    shape = "repo string, pr_number bigint, file_ord bigint, filename string, original string, refactored string"
+    rows = [("r", 1, 0, "a.py", "x = 1", "x = 2"), ("r", 1, 1, "b.py", "x = 1", "def f("), ("r", 1, 2, "c.py", "x", "x"), (None, 1, 3, "d.py", "x", "x")]
+    told = "repo string, pr_number bigint, file_ord bigint, filename string, other string, parsed struct<equivalent:boolean,confidence:double,differences:array<string>,assessment:string>"
+    yes, no = (True, 0.9, [], "same"), (False, 0.9, ["d"], None)
+    answers = [("r", 1, 0, "a.py", "o", yes), ("r", 1, 0, "a.py", "o", no), ("r", 1, 1, "b.py", "o", yes), (None, 1, 3, "d.py", "o", yes)]
+    got = verify.verify(spark.createDataFrame(rows, shape), spark.createDataFrame(answers, told))
+    last = sorted((r.file_ord, len(r.checks), r.checks[-1].name, r.checks[-1].status) for r in got.collect())
+    same = "semantic_equivalence"
+    assert last == [(0, 5, same, "failed"), (0, 5, same, "passed"), (1, 1, "syntax_validation", "failed"), (2, 5, same, "warning"), (3, 5, same, "warning")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.index("Join") < plan.index("pair_batch")
+
+
+def test_only_texts_with_other_letters_are_replaced_in(spark):
+    """Letters are looked at one by one only in texts that hold some outside ASCII."""
+    from pullscan.operators import verify
+
+    df = spark.createDataFrame([("HASH(x)", "x"), ("ha\u017fh", "x"), ("\u00e4 auth", None), (None, "x")], "a string, b string")
+    out = df.select(verify.critical_issues(F.col("a"), F.col("b")).alias("i"))
+    assert [r.i for r in out.collect()] == [["All hashing code was removed"], ["All hashing code was removed"], [], []]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "octet_length" in plan.lower() or "bytelength" in plan.lower()
