@@ -257,6 +257,45 @@ def test_answers_meet_checks_and_no_texts(spark):
     assert plan.count("Join") == 1 and plan.index("Join") < plan.index("pair_batch")
 
 
+def test_a_rewritten_text_is_parsed_once(monkeypatch):
+    """A text put together of known parts is compiled from their trees; one that the parser refuses is not given to it again."""
+    import builtins
+
+    import pyarrow as pa
+
+    from pullscan.operators import pyfacts
+
+    texts = []
+
+    def counted(code, *args, **kwargs):
+        texts.extend([code] if isinstance(code, str) else [])
+        return builtins.compile(code, *args, **kwargs)
+
+    parts = [f"@cached\ndef f{i}(a):\n    return a if a else {i}\n\n\n" for i in range(20)]
+    a = "import os\n" + "".join(parts)
+    future = "from __future__ import annotations\n"
+    pairs = [
+        (a, a.replace("import os", "# gone")), (a, a + "def bad("), (a, "x = (1,\n"), ("def f(:", "def f(:"), (a, a + "return 5\n"),
+        (a, a + future), (future + a, a + future), (future + a, future + "".join(parts[5:])), ("x = 1\n" + a, a + "global x\n"),
+    ]
+    want = [pyfacts.syntax_of(b) for _, b in pairs]
+    columns = [pa.array(x, pa.string()) for x in zip(*pairs, strict=True)]
+    monkeypatch.setattr(pyfacts, "compile", counted, raising=False)
+    got = pyfacts.pair_batch(*columns, pa.array([True] * len(pairs))).to_pylist()
+    assert [g["syntax"] for g in got] == want and [w["ok"] for w in want] == [True, *[False] * 6, True, True]
+    # From the text only where compiling fails behind the parser, or the place of a statement counts.
+    assert texts == [b for _, b in pairs[4:8]]
+
+
+def test_bare_words_as_statements_of_a_module():
+    """``pass``, ``global``: statements that hold nothing stand at the top of a text as well."""
+    from pullscan.operators import pyfacts
+
+    for a in ("pass\n", "import os\nglobal x\npass\n", "break\n"):
+        for b in ("pass\nimport a\n", a, a + "import b\n"):
+            assert pyfacts.pair_outlines(a, b)[:2] == (pyfacts.outline_or_none(a), pyfacts.outline_or_none(b))
+
+
 def test_only_texts_with_other_letters_are_replaced_in(spark):
     """Letters are looked at one by one only in texts that hold some outside ASCII."""
     from pullscan.operators import verify
