@@ -1,7 +1,8 @@
-"""The helper that writes rows into files of their own. Runs inside tasks on Arrow batches."""
+"""The helpers that write rows into files of their own and read them back. They run inside tasks on Arrow batches."""
 
 from __future__ import annotations
 
+import fnmatch
 import os
 import re
 import uuid
@@ -31,3 +32,51 @@ def written(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         os.replace(whole, f"{at}/part.txt")
         n += 1
     yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+
+#: Bytes, and files, of a batch that is read.
+_BATCH_BYTES, _BATCH_FILES = 4 << 20, 1000
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's scans pass over."""
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _files(folder: str) -> Iterator[os.DirEntry]:
+    """All files below a folder that are not empty, as Spark's scans find them."""
+    below = [folder]
+    while below:
+        with os.scandir(below.pop()) as entries:
+            for entry in entries:
+                if _hidden(entry.name):
+                    continue
+                if entry.is_dir():
+                    below.append(entry.path)
+                elif entry.stat().st_size:
+                    yield entry
+
+
+def contents_of(root: str, folders: list[str], glob: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Path below ``root`` and bytes of each file in the folders whose numbers are given. Nobody holds a list of the files: each is
+    read where its folder is listed."""
+    fits = re.compile(fnmatch.translate(glob or "*")).match
+    names, texts, size = [], [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"path": pa.array(names, pa.string()), "content": pa.array(texts, pa.binary())})
+
+    for numbers in batches:
+        for number in numbers.column(0).to_pylist():
+            for entry in _files(folders[number]):
+                if not fits(entry.name):
+                    continue
+                with open(entry.path, "rb") as f:
+                    text = f.read()
+                if names and (size + len(text) > _BATCH_BYTES or len(names) == _BATCH_FILES):
+                    yield batch()
+                    names, texts, size = [], [], 0
+                names.append(os.fsencode(entry.path[len(root):]).decode(errors="replace"))
+                texts.append(text)
+                size += len(text)
+    yield batch()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import glob as globbing
 import re
 from functools import partial
 
@@ -58,6 +59,11 @@ WRITTEN = "folder=*"
 cloudpickle.register_pickle_by_value(filewriter)
 
 
+def _local(path: str) -> str | None:
+    """The path of a folder of a local file system, else None."""
+    return "/" + re.sub(r"^(file:)?/+", "", path.rstrip("/")) if re.match(r"(file:)?/", path) else None
+
+
 def write_files(texts: DataFrame, path: str) -> None:
     """One file per row of ``name, text`` in a folder ``folder=<number>/name=<name>`` below ``path``; a line feed ends the file.
 
@@ -68,10 +74,10 @@ def write_files(texts: DataFrame, path: str) -> None:
     dealt = texts.select(folder, "name", F.col("text").alias("value")).repartition(FOLDERS, "folder")
     # A folder to be found where there is no row.
     texts.limit(0).select("text").write.text(f"{path.rstrip('/')}/folder=none")
-    if not re.match(r"(file:)?/", path):
+    root = _local(path)
+    if root is None:
         dealt.write.mode("append").partitionBy("folder", "name").text(path)
         return
-    root = "/" + re.sub(r"^(file:)?/+", "", path.rstrip("/"))
     sorted_ = dealt.sortWithinPartitions("folder", "name")
     sorted_.mapInArrow(partial(filewriter.written, root), "n BIGINT").write.format("noop").mode("overwrite").save()
 
@@ -81,21 +87,38 @@ def file_contents_from_files(
 ) -> DataFrame:
     """File texts below a checked-out folder. ``path`` is relative to the folder; ``glob`` picks files by their names.
 
-    ``below`` names, as a pattern, the folders in it to be read; many of them are listed by tasks, not by the driver.
+    ``below`` names, as a pattern, the folders in it to be read. On a local file system each is listed and read by a task of its own;
+    elsewhere, and without ``below``, Spark's file index holds an entry for each file in the driver.
 
     The text is UTF-8 with U+FFFD for what is none; ``sha`` is of the bytes as they are.
     """
     root = path.rstrip("/") + "/"
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    relative = F.substring_index(F.col("path"), root, -1)
-    return reader.load(root + below if below else path).select(
-        F.lit(repo).alias("repo"), relative.alias("path"), F.lit(ref).alias("ref"),
+    found = _contents_by_folder(spark, path, glob, below) if below else None
+    if found is None:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        if glob:
+            reader = reader.option("pathGlobFilter", glob)
+        relative = F.substring_index(F.col("path"), root, -1)
+        found = reader.load(root + below if below else path).select(relative.alias("path"), "content")
+    return found.select(
+        F.lit(repo).alias("repo"), "path", F.lit(ref).alias("ref"),
         F.sha1("content").alias("sha"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
 
 
+def _contents_by_folder(spark: SparkSession, path: str, glob: str | None, below: str) -> DataFrame | None:
+    """``path, content`` of the files in some folders, a task for each; None where there is none, the file system is not local, or a
+    pattern has more than ``*`` and ``?``."""
+    root = _local(path)
+    if root is None or re.search(r"[][{}*?\\]", path) or re.search(r"[][{}\\]", below + (glob or "")):
+        return None
+    folders = sorted(globbing.glob(f"{root}/{below}", include_hidden=True))
+    if not folders:
+        return None
+    read_ = partial(filewriter.contents_of, f"{root}/", folders, glob)
+    return spark.range(0, len(folders), 1, len(folders)).mapInArrow(read_, "path STRING, content BINARY")
+
+
 # ---------------------------------------------------------------------------------------------------------
 # commits and rollback
 

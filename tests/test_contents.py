@@ -101,3 +101,20 @@ def test_no_files_written(spark, tmp_path):
     path = str(tmp_path / "out")
     tables.write_files(spark.createDataFrame([], "name string, text string"), path)
     assert tables.file_contents_from_files(spark, path, "org/a", "main", "*.txt", tables.WRITTEN).count() == 0
+
+
+def test_folders_are_read_by_tasks(spark, tmp_path):
+    """The driver holds folders, not files; what is read is what Spark's own scan finds."""
+    for name in ("f=1/a/x.txt", "f=1/_h/x.txt", "f=1/.h/x.txt", "f=2/_x=1/y.txt", "f=2/_x=1/_z.txt", "f=2/y.txt._COPYING_", "f=3/é x%20.txt", "f=3/q.TXT", "g=4/g.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() + b"\xff")
+    (tmp_path / "f=3" / "empty.txt").touch()
+    (tmp_path / "f=3" / "link").symlink_to(tmp_path / "f=1" / "a")
+    (tmp_path / "f=5").mkdir()
+    for glob in ("*.txt", "?.txt", None):
+        got = tables.file_contents_from_files(spark, f"file:{tmp_path}/", "org/a", "main", glob, "f=*")
+        assert "binaryFile" not in plan_of(got) and not got.inputFiles()
+        scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob or "*")
+        want = scan.load(f"{tmp_path}/f=*")
+        want = want.select(F.substring_index("path", f"{tmp_path}/", -1), F.sha1("content"), F.make_valid_utf8(F.col("content").cast("string")))
+        assert sorted(map(tuple, got.select("path", "sha", "content").collect())) == sorted(map(tuple, want.collect()))
