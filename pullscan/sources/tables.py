@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pullscan import model
 from pullscan.model import PR_KEY
+from pullscan.operators.review import file_at_ref
 from pullscan.operators.rewrite import commit_message
 from pullscan.sources import filewriter
 
@@ -228,9 +229,12 @@ COMMITS_MADE, ROLLBACK_POINTS = "commits_made", "rollback_points"
 
 
 def handoff_snapshot(
-    files: DataFrame, pull_requests: DataFrame, results: DataFrame, violations: DataFrame, at: Column
+    changes: DataFrame, pull_requests: DataFrame, file_contents: DataFrame, results: DataFrame, violations: DataFrame, at: Column
 ) -> DataFrame:
-    """The context as JSON, one record per file of a pull request with that file's violations and texts."""
+    """The context as JSON, one record per file of a pull request with that file's violations and texts.
+
+    What is known by pull request and by name is put together first; the texts on the head branch join last, and are moved by no other key.
+    """
     rewritten = results.filter("success").select(*PR_KEY, "filename", "refactored_code")
     heads = pull_requests.select(*PR_KEY, F.col("head_branch").alias("branch"))
     item = F.struct("rule_ord", "line", "seq", F.to_json(F.struct(*model.VIOLATION_COLUMNS)).alias("json"))
@@ -251,12 +255,13 @@ def handoff_snapshot(
         at.alias("started_at"),
         F.array(handoff_chain_entry(F.lit("orchestrator"), at)).alias("handoff_chain"),
     )
-    return (
-        files.join(heads, PR_KEY)
+    known = (
+        changes.select(*model.FILE_KEY, "status", *(c for c in ("head_branch",) if c in changes.columns))
+        .join(heads, PR_KEY)
         .join(found, [*PR_KEY, "filename"], "left")
         .join(rewritten, [*PR_KEY, "filename"], "left")
-        .select(*PR_KEY, "file_ord", F.to_json(record).alias("value"))
     )
+    return file_at_ref(known, pull_requests, file_contents).select(*PR_KEY, "file_ord", F.to_json(record).alias("value"))
 
 
 def restore_snapshot(snapshot: DataFrame, now: Column) -> DataFrame:
@@ -284,6 +289,15 @@ def snapshot_commits(made: DataFrame, points: DataFrame) -> DataFrame:
     return records(made, COMMITS_MADE).unionByName(records(points, ROLLBACK_POINTS))
 
 
+#: Records of a file of commit records; a packed one is read by one task.
+RECORDS_OF_A_FILE = 500_000
+
+
+def write_snapshot_commits(records: DataFrame, path: str) -> None:
+    """The records as packed JSON lines: most of a record are the names of its fields."""
+    records.select("value").write.option("maxRecordsPerFile", RECORDS_OF_A_FILE).option("compression", "gzip").text(path)
+
+
 def restore_snapshot_commits(records: DataFrame) -> DataFrame:
     """``repo, pr_number, kind, ord, sha, version``; a record without a kind lists a commit made."""
     return records.select(F.from_json("value", SNAPSHOT_COMMIT).alias("c")).select(

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from pullscan.model import VIOLATION_COLUMNS
 from pullscan.operators import review as rv
-from pullscan.sources import contents, tables
+from pullscan.sources import contents, derived, tables
 
 CHANGES = "repo string, pr_number bigint, file_ord bigint, filename string, status string, patch string, head_branch string"
 
@@ -118,3 +119,52 @@ def test_folders_are_read_by_tasks(spark, tmp_path):
         want = scan.load(f"{tmp_path}/f=*")
         want = want.select(F.substring_index("path", f"{tmp_path}/", -1), F.sha1("content"), F.make_valid_utf8(F.col("content").cast("string")))
         assert sorted(map(tuple, got.select("path", "sha", "content").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_snapshot_moves_texts_by_their_own_key_only(spark, texts, changes, no_broadcast):
+    """Names of pull requests that repeat multiply their files, unknown ones drop them; a file without a text has none."""
+    prs = spark.createDataFrame([("org/r0", 0, "h1"), ("org/r0", 0, "h2"), ("org/r1", 1, "h3"), (None, 2, "h4")], "repo string, pr_number bigint, head_branch string")
+    done = spark.createDataFrame([("org/r0", 0, "p0", True, "new"), ("org/r1", 1, "p16", False, "no")], "repo string, pr_number bigint, filename string, success boolean, refactored_code string")
+    fields = ", ".join(f"{c} {'int' if c in ('line', 'column', 'seq', 'rule_ord') else 'string'}" for c in ("repo", "file", *[c for c in VIOLATION_COLUMNS if c != "file"], "seq", "rule_ord"))
+    found = spark.createDataFrame([], f"pr_number bigint, {fields}")
+    more = spark.createDataFrame([("org/r0", 1, 998, "gone", "modified", "+x", "feature/1"), (None, 2, 999, None, "modified", "+x", "feature/1")], changes.schema)
+    wide = changes.unionByName(more.where("file_ord = 999")).unionByName(changes.where("file_ord = 0"))
+    snap = tables.handoff_snapshot(wide, prs, texts, done, found, F.lit("t"))
+    got = sorted((r.branch, r.filename, r.original_code, r.refactored_code) for r in tables.restore_snapshot(snap, F.lit("")).collect())
+    files = [("h1", "p0"), ("h2", "p0"), *((h, f"p{i}") for i in range(0, 220, 2) if i % 5 == 0 and i % 3 == 0 for h in ("h1", "h2")), *(("h3", f"p{i}") for i in range(0, 220, 2) if i % 5 == 1 and i % 3 == 1)]
+    want = sorted((b, p, f"text {p[1:]}" if int(p[1:]) < 200 else None, "new" if p == "p0" else None) for b, p in files)
+    assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in want]
+    # Nothing is exchanged above the join with the texts.
+    plan = plan_of(snap).splitlines()
+    join = next(i for i, x in enumerate(plan) if "Join" in x)
+    assert "ref" in plan[join] and not [x for x in plan[:join] if "Exchange" in x]
+
+
+def test_commit_records_are_packed(spark, tmp_path):
+    commits = spark.range(5000).select(
+        F.lit("org/a").alias("repo"), (F.col("id") % 7).alias("pr_number"), F.col("id").alias("commit_ord"), F.md5(F.col("id").cast("string")).alias("sha")
+    )
+    records = tables.snapshot_commits(commits, commits.where("commit_ord % 4 = 0"))
+    path = tmp_path / "snapshot"
+    tables.write_snapshot_commits(records, str(path))
+    size = sum(f.stat().st_size for f in path.glob("part-*"))
+    assert size * 3 < records.selectExpr("sum(length(value) + 1)").first()[0]
+    back, plain = (tables.restore_snapshot_commits(r) for r in (spark.read.text(str(path)), records))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, plain.collect())) and back.count() == 6250
+
+
+def test_even_tables_are_not_dealt_again(spark, tmp_path):
+    """A table of many even splits stays where it is, also where no patch is read; one of few splits is dealt to all cores."""
+    docs = spark.range(0, 240).select(F.col("id").alias("doc_id"), F.concat(F.lit("One. Two "), F.col("id").cast("string")).alias("text"))
+    docs.repartition(24).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "one" / "documents.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        many, one = (derived.source_files(spark, str(tmp_path / k)) for k in ("many", "one"))
+        assert "RoundRobin" not in plan_of(many) and "RoundRobin" in plan_of(one)
+        assert sorted(map(tuple, many.collect())) == sorted(map(tuple, one.collect()))
+        assert "RoundRobin" in plan_of(derived.code_pairs(spark, str(tmp_path / "many")))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    keys = derived.file_changes(spark, str(tmp_path / "one"), patch=False)
+    assert "text" not in plan_of(keys) and set(map(tuple, keys.collect())) == set(map(tuple, derived.file_changes(spark, str(tmp_path / "one")).select(keys.columns).collect()))
