@@ -6,7 +6,7 @@ from pullscan.operators import answers as ans
 from pullscan.operators import facts, review as rv, rewrite, testlogs, verify
 from pullscan.plans import review as plan
 from pullscan.rules.config import default_rules, load_rules
-from pullscan.sources import reviewlog, tables
+from pullscan.sources import derived, reviewlog, tables
 
 PR = "repo string, pr_number bigint, title string, body string, base_branch string, head_branch string, author string, commits_count int"
 
@@ -394,3 +394,23 @@ def test_log_round_trip(spark, tmp_path):
     sample = '{"timestamp": "2026-02-13T10:30:03.500Z", "event": "refactor_applied", "file": "src/config.py", "violations_fixed": 1}'
     got = reviewlog.parse_review_log(spark.createDataFrame([(sample,)], "value string")).first()
     assert (got.file, got.violations_fixed, got.timestamp.microsecond) == ("src/config.py", 1, 500000)
+
+
+def test_the_route_is_made_once(spark):
+    """Its pull requests' tests and commits are sought once, not for each event that reads it."""
+    i = review_inputs(spark, CODE)
+    r = plan.review(spark, i, plan.ReviewOptions(rules=load_rules(), materialize=True))
+    assert any("route" in f for f in r.route.inputFiles())
+    assert "Join" not in r.route._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_some_files(spark, tmp_path):
+    """Texts meet the wanted files before anything is made of them, and are dealt to tasks behind that."""
+    docs = spark.range(60).selectExpr("CASE WHEN id % 20 < 19 THEN id % 50 END AS doc_id", "concat('One. Two. Three ', id) AS text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = spark.createDataFrame([(n,) for n in (*range(0, 60, 3), 3, None)], "file_ord bigint")
+    pairs = derived.code_pairs(spark, str(tmp_path), wanted)
+    plain = derived.code_pairs(spark, str(tmp_path)).join(wanted, "file_ord", "left_semi").select(pairs.columns)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, plain.collect())) and pairs.count() == plain.count() > 15
+    steps = pairs._jdf.queryExecution().executedPlan().toString()
+    assert steps.index("RoundRobin") < steps.index("Join")
